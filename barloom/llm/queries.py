@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, near_dedup, quality_rules
+from . import exact_dedup, mixing, near_dedup, packing, pii, quality_model, quality_rules, substring_dedup, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, _labels(spark, sf_dir)))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir))
 
@@ -21,10 +30,35 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(_documents(spark, sf_dir))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(_documents(spark, sf_dir)))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.with_crc(packing.pack(_documents(spark, sf_dir)))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.answers(token_counts.histogram(token_counts.lengths(_documents(spark, sf_dir))))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.mix(_documents(spark, sf_dir)))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(_documents(spark, sf_dir))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality_model.score(docs, quality_model.train(docs, _labels(spark, sf_dir)))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.with_digest(substring_dedup.remove_repeats(_documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
@@ -61,5 +95,23 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha AS text_sha256
 """
 
 
+_OP10 = (
+    r"""
+WITH w AS (SELECT doc_id, """
+    + _WORDS.format(text="coalesce(text, '')")
+    + r""" AS ws FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20),
+h AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS t FROM s JOIN w USING (doc_id)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS nth FROM h),
+gone AS (SELECT doc_id, list(DISTINCT k) AS gone FROM (SELECT doc_id, unnest(range(i, i + 20)) AS k FROM r WHERE nth > 1) GROUP BY doc_id),
+k AS (
+  SELECT doc_id, len(ws) AS n, list_filter(list_transform(range(1, len(ws) + 1), lambda j:
+    CASE WHEN list_contains(coalesce(gone, []), j) THEN NULL ELSE ws[j] END), lambda x: x IS NOT NULL) AS kept
+  FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n AS n_words, n - len(kept) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
+"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": _OP2, "op3_exact_dedup": _OP3}
+    return {"op2_minhash_near_dedup": _OP2, "op3_exact_dedup": _OP3, "op10_substring_dedup": _OP10}
