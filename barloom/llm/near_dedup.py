@@ -5,24 +5,32 @@ signature is split into chunks of ``CHUNK`` symbols. Signatures that differ in a
 ``RADIUS`` = 2 * chunks - 1 symbols have, by the pigeonhole principle, a chunk with at most
 one error; enumerating the one symbol that may differ (each in turn left out of the key)
 finds every such pair by equality. Symbols agree with the probability of the Jaccard
-similarity, so a pair at 0.75 differs in 16 of 64 on average and is beyond 31 about once
-in 100,000; all pairs within the radius are confirmed on the full shingle sets.
+similarity: a pair at 0.75 has no chunk with at most one error twice in a million, and
+differs in more than ``FAR`` symbols, beyond which pairs are not confirmed, about once in
+100,000. All others are confirmed on the full shingle sets.
 
 Links are found without enumerating a bucket's pairs. Documents with equal sets are one
-node. In each bucket the smallest node is compared with all others; components follow.
-Only buckets that still hold several components are compared further: pairs of different
-components, less those that the triangle inequality for the signature distance or for the
-Jaccard distance rules out against the bucket's smallest node.
+node. In each bucket the smallest node, its pivot, is compared with all others; components
+of the links follow. What remains are pairs of one bucket in different components. They
+lie in one group, a component of all pairs (pivot, node). A group has a consensus P, the
+shingles of more than half its nodes, and a node differs from it by u extra and m missing
+shingles. With W = 4 m + 3 u, two nodes that share s of their differences are similar by
+0.75 exactly if W + W' <= |P| + 7 s. Without shared differences that is a star around the
+node of least W; beyond it a pair needs an overlap that grows with W and with the size, so
+it must share one of the rarest differences of one side, and those are joined by equality
+(a prefix filter). A group without much in common has an empty consensus, and the filter is
+then the usual one for the Jaccard similarity.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -31,10 +39,11 @@ from .textkernel import SPACE, Tokens, U64, blocks, mix64
 
 WORDS = 5
 SIMILARITY = 75  # in hundredths
-SYMBOLS = 64
-CHUNK = 4
+SYMBOLS = 65
+CHUNK = 5
 CHUNKS = SYMBOLS // CHUNK
 RADIUS = 2 * CHUNKS - 1
+FAR = 32
 
 _A = mix64(np.arange(1, SYMBOLS + 1, dtype=U64)) | U64(1)
 _B = mix64(np.arange(1001, SYMBOLS + 1001, dtype=U64))
@@ -85,7 +94,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def chunk_keys(nodes: DataFrame) -> DataFrame:
     """(key, node) for each chunk of a signature and each symbol left out of it."""
-    shifts = np.array([32, 16, 0], U64)
+    shifts = np.array([48, 32, 16, 0], U64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -95,9 +104,8 @@ def chunk_keys(nodes: DataFrame) -> DataFrame:
             sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(n, CHUNKS, CHUNK).astype(U64)
             keys = np.empty((n, CHUNKS, CHUNK), U64)
             for out in range(CHUNK):
-                kept = np.delete(sig, out, axis=2)
-                tag = (np.arange(CHUNKS, dtype=U64) * U64(CHUNK) + U64(out)) << U64(48)
-                keys[:, :, out] = (kept << shifts).sum(axis=2, dtype=U64) | tag
+                tag = mix64(np.arange(CHUNKS, dtype=U64) * U64(CHUNK) + U64(out))
+                keys[:, :, out] = mix64((np.delete(sig, out, axis=2) << shifts).sum(axis=2, dtype=U64) ^ tag)
             node = np.repeat(b.column(0).to_numpy(zero_copy_only=False), SYMBOLS)
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(node)], names=["key", "node"])
 
@@ -152,22 +160,17 @@ def _linked() -> Column:
     return 100 * F.col("common") >= SIMILARITY * (F.col("size_x") + F.col("size_y") - F.col("common"))
 
 
-class _Search:
-    def __init__(self, docs: DataFrame, scratch: Scratch):
-        self.docs, self.scratch = docs, scratch
+def _near(pairs: DataFrame) -> DataFrame:
+    return pairs.filter((F.col("far") <= FAR) & _sizes_allow(F.col("size_x"), F.col("size_y")))
 
-    def candidates(self, pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
-        return self.scratch.table(_with_distance(pairs, nodes), f"{name}-pairs")
 
-    def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Candidates within the radius, of admissible sizes, with their intersections."""
-        near = pairs.filter((F.col("far") <= RADIUS) & _sizes_allow(F.col("size_x"), F.col("size_y")))
-        wanted = near.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-        texts = self.docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
-        sets = self.scratch.table(shingle_sets(texts), f"{name}-sets")
-        out = self.scratch.table(_confirm(near, sets), f"{name}-confirmed")
-        self.scratch.drop(f"{name}-sets")
-        return out
+def _sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+    return shingle_sets(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
+def _links(confirmed: DataFrame) -> DataFrame:
+    return confirmed.filter(_linked()).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,17 +192,23 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, id_col: str
     shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     members = scratch.table(keys.join(shared, "key"), "members")
 
-    search = _Search(docs, scratch)
-    stars = search.candidates(members.filter("node <> pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct(), nodes, "star")
-    found = search.confirmed(stars, "star")
-    links = found.filter(_linked()).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    stars = members.filter("node <> pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct()
+    stars = scratch.table(_with_distance(stars, nodes), "stars")
+    sets = scratch.table(_sets_of(docs, stars), "sets")
+    found = scratch.table(_confirm(_near(stars), sets), "found")
+    links = _links(found)
     comp = scratch.table(components(links, scratch, "first"), "comp")
 
-    rest = scratch.table(_residual(members, stars, found, comp), "rest")
-    more = search.confirmed(search.candidates(rest, nodes, "rest"), "rest")
-    all_links = links.unionByName(more.filter(_linked()).select(F.col("x").alias("a"), F.col("y").alias("b")))
-    scratch.drop("members")
-    final = components(all_links, scratch, "final")
+    more = [links]
+    groups = scratch.table(_busy_groups(stars, comp, scratch), "groups")
+    if not groups.isEmpty():
+        shapes = scratch.table(_shapes(groups, sets), "shapes")
+        more.append(_consensus_star(shapes))
+        pairs = scratch.table(_sharing(shapes), "sharing")
+        more.append(_links(_confirm(pairs, sets)))
+    every = scratch.table(functools.reduce(DataFrame.unionByName, more), "links")
+    scratch.drop("members", "sets", "shapes")
+    final = components(every, scratch, "final")
 
     of_node = nodes.select("digest", F.col("n").alias("n_shingles"), "node").join(final, "node", "left")
     of_node = of_node.select(*same, F.coalesce("component", "node").alias("component_id"))
@@ -208,24 +217,73 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, id_col: str
     return grouped.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def _residual(members: DataFrame, stars: DataFrame, found: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different components that no bound rules out."""
-    apart = F.when(F.col("common").isNotNull(), 1 - F.col("common") / (F.col("size_x") + F.col("size_y") - F.col("common")))
-    known = stars.join(found.select("x", "y", "common"), ["x", "y"], "left")
-    known = known.select(F.col("x").alias("pivot"), F.col("y").alias("node"), F.col("size_y").alias("n"), "far", apart.alias("apart"))
-    of = comp.select(F.col("node").alias("of_node"), "component")
-    full = members.filter("node <> pivot").join(known, ["pivot", "node"])
-    full = full.join(of, F.col("node") == F.col("of_node"), "left").drop("of_node").withColumn("c", F.coalesce("component", "node")).drop("component")
-    pivots = comp.select(F.col("node").alias("of_node"), F.col("component").alias("pc"))
-    full = full.join(pivots, F.col("pivot") == F.col("of_node"), "left").drop("of_node").withColumn("pc", F.coalesce("pc", "pivot"))
-    odd = full.filter("c <> pc").select("key", F.col("node").alias("p"), F.col("c").alias("cp"), F.col("n").alias("np"), F.col("far").alias("fp"), F.col("apart").alias("ap"))
-    busy = odd.select("key").distinct()
-    there = full.join(busy, "key", "left_semi").select("key", "node", "c", "n", "far", "apart")
-    rule = (
-        (odd["key"] == there["key"])
-        & (odd["cp"] != there["c"])
-        & _sizes_allow(odd["np"], there["n"])
-        & (F.abs(odd["fp"] - there["far"]) <= RADIUS)
-        & F.coalesce(F.abs(odd["ap"] - there["apart"]) <= 1 - SIMILARITY / 100 + 1e-9, F.lit(True))
+def _component_of(rows: DataFrame, comp: DataFrame, node: str, to: str) -> DataFrame:
+    of = comp.select(F.col("node").alias("of_node"), F.col("component").alias("of_component"))
+    joined = rows.join(of, F.col(node) == F.col("of_node"), "left")
+    return joined.withColumn(to, F.coalesce("of_component", node)).drop("of_node", "of_component")
+
+
+def _busy_groups(stars: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
+    """(grp, node, comp): groups of candidate pairs that hold several components of links."""
+    edges = stars.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    group = components(edges, scratch, "group")
+    full = group.select("node", F.col("component").alias("grp")).unionByName(group.select(F.col("component").alias("node"), F.col("component").alias("grp")).distinct())
+    full = scratch.table(_component_of(full, comp, "node", "comp"), "in-groups")
+    busy = full.groupBy("grp").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("grp")
+    return full.join(busy, "grp", "left_semi")
+
+
+def _shapes(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Per node of a busy group: size, |P| (p), W (w) and the differences from the group's consensus."""
+    own = groups.join(sets, "node")
+    total = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
+    counts = own.select("grp", F.explode("items").alias("item")).groupBy("grp", "item").agg(F.count(F.lit(1)).alias("c"))
+    held = counts.join(total, "grp").filter(2 * F.col("c") > F.col("members"))
+    # at most twice the mean size of the group's sets
+    consensus = held.groupBy("grp").agg(F.collect_list("item").alias("agreed"))
+    shaped = own.join(consensus, "grp", "left").withColumn("agreed", F.coalesce("agreed", F.array().cast("array<bigint>")))
+    shaped = shaped.withColumns({"extra": F.array_except("items", "agreed"), "missing": F.array_except("agreed", "items")})
+    w = (4 * F.size("missing") + 3 * F.size("extra")).alias("w")
+    return shaped.select("grp", "node", "comp", F.size("items").alias("n"), F.size("agreed").alias("p"), w, F.concat("extra", "missing").alias("diff"))
+
+
+def _centres(shapes: DataFrame) -> DataFrame:
+    return shapes.groupBy("grp").agg(F.min(F.struct("w", "node")).alias("c")).select("grp", F.col("c.w").alias("least"), F.col("c.node").alias("centre"))
+
+
+def _consensus_star(shapes: DataFrame) -> DataFrame:
+    """Links to the group's node of least W that hold whatever the differences shared."""
+    return shapes.join(_centres(shapes), "grp").filter("w + least <= p and node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+
+
+def _sharing(shapes: DataFrame) -> DataFrame:
+    """Pairs (x, y, size_x, size_y) of a group that may be similar by the differences they share.
+
+    One of the two is odd: not linked to the centre by W alone. The other then needs an
+    overlap of at least ``need``, so it shares one of its rarest |diff| - need + 1 differences.
+    """
+    every = shapes.join(_centres(shapes), "grp").withColumn("odd", F.col("w") + F.col("least") > F.col("p"))
+    some = every.filter("odd").select("grp").distinct()
+    every = every.join(some, "grp", "left_semi")
+    each = every.select("grp", "node", "comp", "n", "p", "w", "least", "odd", F.size("diff").alias("d"), F.explode("diff").alias("item"))
+    often = each.groupBy("grp", "item").agg(F.count(F.lit(1)).alias("often"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    often = often.filter("c0 <> c1").select("grp", "item", "often")
+    # what the other side's W is at least: that of an odd node, or of any node, and by the sizes
+    by_size = F.ceil(2.25 * F.col("n") - 3 * F.col("p"))
+    need = lambda w: F.greatest(F.lit(1), F.ceil((F.col("w") + F.greatest(w, by_size) - F.col("p")) / 7))
+    beside_odd, beside_any = need(F.col("p") - F.col("least") + 1), need(F.col("least"))
+    # differences of one component alone, which no pair looked for shares, rank first
+    shared = each.join(often, ["grp", "item"]).withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("often", "item")))
+    shared = shared.withColumn("rank", F.col("rank") + F.col("d") - F.count(F.lit(1)).over(Window.partitionBy("node")))
+    index = shared.filter(F.col("rank") <= F.col("d") - beside_odd + 1)
+    one = index.select("grp", "item", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("size_x"), F.col("w").alias("wx"), (F.col("d") - F.col("rank") + 1).alias("dx"))
+    index = shared.filter(F.col("odd") & (F.col("rank") <= F.col("d") - beside_any + 1))
+    two = index.select("grp", "item", F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("size_y"), F.col("w").alias("wy"), (F.col("d") - F.col("rank") + 1).alias("dy"), "p")
+    # from the first shared difference on, there must be enough left on both sides
+    joined = one.join(two, ["grp", "item"]).filter(
+        (F.col("cx") != F.col("cy")) & _sizes_allow(F.col("size_x"), F.col("size_y")) & (F.col("wx") + F.col("wy") <= F.col("p") + 7 * F.least("dx", "dy"))
     )
-    return odd.join(there, rule).select(F.least("p", "node").alias("x"), F.greatest("p", "node").alias("y")).distinct()
+    swap = F.col("x") > F.col("y")
+    pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a)).cast("long")
+    pairs = joined.groupBy("x", "y", "size_x", "size_y", "wx", "wy", "p").agg(F.lit(1))
+    return pairs.select(pick("x", "y").alias("x"), pick("y", "x").alias("y"), pick("size_x", "size_y").alias("size_x"), pick("size_y", "size_x").alias("size_y")).distinct()
