@@ -100,7 +100,7 @@ def screened(rows: np.ndarray, buckets: np.ndarray, label: np.ndarray) -> np.nda
     return best[z[best] >= LEAST_Z]
 
 
-def fit(label: np.ndarray, packed: list[bytes], rounds: int = 300, rate: float = 0.1, decay: float = 2e-4) -> Machine:
+def fit(label: np.ndarray, packed: list[bytes], rounds: int = 400, rate: float = 0.1, decay: float = 1e-5) -> Machine:
     slot = np.full(1 << BITS, -1, np.int64)
     if not len(label):
         return Machine(0.0, slot, np.zeros(0), np.zeros((0, FACTORS)))
