@@ -1,22 +1,31 @@
 """Token ids of texts by a public tokenizer file.
 
 Every pre-token of ``word_bpe_49k.json`` lies between two white spaces, so the ids of a
-text are those of its white-space runs, one after the other. Runs repeat: a worker keeps
-the ids of those it has met, up to ``REMEMBER`` of them, and encodes only the others.
+text are those of its white-space runs, one after the other. Runs repeat, and what they
+are made of repeats more: a worker keeps the ids of runs and of pre-tokens that it has
+met, up to a bound each, and gives the tokenizer only pre-tokens that are new. Runs beyond
+printable Latin, and those that may hold a special token, go to the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 
 from .textkernel import blocks
 
 WORD_TOKENIZER = "word_bpe_49k.json"
-REMEMBER = 400_000
+REMEMBER = 300_000
+REMEMBER_PARTS = 600_000
+# The tokenizer's pre-token pattern; characters on which its normal form is lower case alone.
+_PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
+_PLAIN = re.compile("[\n!-~\u00a1-\u024f]+")
 _OPEN: dict[str, "RunEncoder"] = {}
 
 
@@ -27,28 +36,51 @@ class RunEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[bytes, bytes] = {}
+        self.runs: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def encode(self, raw: bytes) -> bytes:
         """Ids of a UTF-8 text as little-endian integers of ``width``."""
         runs = raw.split()
-        found = list(map(self.known.get, runs))
+        found = list(map(self.runs.get, runs))
         if None in found:
             self._learn({r for r, f in zip(runs, found, strict=True) if f is None})
-            found = list(map(self.known.__getitem__, runs)) if len(self.known) <= REMEMBER else self._once(runs)
+            found = list(map(self.runs.__getitem__, runs))
+            if len(self.runs) > REMEMBER:
+                self.runs.clear()
+            if len(self.parts) > REMEMBER_PARTS:
+                self.parts.clear()
         return b"".join(found)
 
-    def _ids(self, runs: Iterable[bytes]) -> list[bytes]:
-        texts = [r.decode("utf-8") for r in runs]
-        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: Iterable[str]) -> list[bytes]:
+        code = "H" if self.width is np.uint16 else "I"
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
     def _learn(self, new: set[bytes]) -> None:
-        self.known.update(zip(list(new), self._ids(new), strict=True))
-
-    def _once(self, runs: list[bytes]) -> list[bytes]:
-        out = list(map(self.known.__getitem__, runs))
-        self.known.clear()
-        return out
+        plain = list(new)
+        text = b"\n".join(plain).decode("utf-8")
+        if not self._is_plain(text):
+            whole = [r for r in plain if not self._is_plain(r.decode("utf-8"))]
+            self.runs.update(zip(whole, self._ids(r.decode("utf-8") for r in whole), strict=True))
+            plain = list(new.difference(whole))
+            text = b"\n".join(plain).decode("utf-8")
+        parts = _PART.findall(text.lower())
+        fresh = set(parts).difference(self.parts, "\n")
+        if fresh:
+            self.parts.update(zip(list(fresh), self._ids(fresh), strict=True))
+        known, of, at = self.parts, [], 0
+        for part in parts:
+            if part == "\n":
+                self.runs[plain[at]] = b"".join(of)
+                of, at = [], at + 1
+            else:
+                of.append(known[part])
+        if plain:
+            self.runs[plain[at]] = b"".join(of)
+
+    @staticmethod
+    def _is_plain(text: str) -> bool:
+        return bool(_PLAIN.fullmatch(text)) and "<|" not in text
 
 
 def encoder(name: str = WORD_TOKENIZER) -> RunEncoder:
