@@ -26,9 +26,9 @@ def _full(agg: str, x: str, n: int) -> str:
     return f"CASE WHEN count({x}) {_over(n)} >= {n} THEN {agg} {_over(n)} END"
 
 
-@query("WITH {BARS} SELECT ticker, date, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, round(volume, 2) AS volume FROM bars", days="date")
+@query("WITH {BARS} SELECT ticker, date, open, high, low, close, volume FROM bars", days="date")
 def panel_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(normalise(brand_bars(spark, sf_dir)), {"volume": 2, "open": 4, "high": 4, "low": 4, "close": 4})
+    return normalise(brand_bars(spark, sf_dir))
 
 
 @query(
@@ -66,7 +66,7 @@ f AS (SELECT *, CASE WHEN tp > ptp THEN tp * volume ELSE 0 END AS up, CASE WHEN
 s AS (SELECT *, {_full("sum(tr)", "tr", 14)} AS trs, {_full("sum(abs(high - pl))", "high - pl", 14)} AS vp, {_full("sum(abs(low - ph))", "low - ph", 14)} AS vm,
   {_full("sum(up)", "up", 14)} AS u, {_full("sum(dn)", "dn", 14)} AS d, {_full("sum(mfv)", "mfv", 20)} AS mf, {_full("sum(volume)", "volume", 20)} AS vs,
   {_full("avg(close)", "close", 20)} AS m20 FROM f)
-SELECT ticker, date, round(tr, 4) AS true_range, round(vp / nullif(trs, 0), 6) AS vi_plus, round(vm / nullif(trs, 0), 6) AS vi_minus,
+SELECT ticker, date, round(tr, 9) AS true_range, round(vp / nullif(trs, 0), 6) AS vi_plus, round(vm / nullif(trs, 0), 6) AS vi_minus,
   round(100 - 100 / (1 + u / nullif(d, 0)), 6) AS mfi_14, round(CASE WHEN mf / nullif(vs, 0) IS NOT NULL THEN least(greatest(mf / nullif(vs, 0), -1), 1) END, 6) AS cmf_20,
   round((close - lag(m20, 11) OVER {_W})) / close, 6) AS dpo_20
 FROM s""",
@@ -78,7 +78,7 @@ def window_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     plus, minus = indicators.vortex()
     mfi = 100 - 100 / (1 + ratio(rolling_sum(C("up"), 14), rolling_sum(C("down"), 14)))
     out = bars.select("ticker", "date", C("tr").alias("true_range"), plus.alias("vi_plus"), minus.alias("vi_minus"), mfi.alias("mfi_14"), indicators.cmf().alias("cmf_20"), ((C("close") - lag("sma_20", 11)) / C("close")).alias("dpo_20"))
-    return rounded(out, {"true_range": 4})
+    return rounded(out, {"true_range": 9})
 
 
 @query(
@@ -90,7 +90,7 @@ s AS (SELECT *, {_full("stddev_samp(lr)", "lr", 20)} AS sd, {_full("avg(lr)", "l
 SELECT ticker, date, round(close / nullif(lag(close, 5) OVER {_W}), 0) - 1, 6) AS return_5d, round(ln(close / lag(close, 20) OVER {_W})), 6) AS log_return_20d,
   round(open / pc - 1, 6) AS gap_return, round(abs(close - open) / nullif(high - low, 0), 6) AS candle_body,
   round(sd * sqrt(252), 6) AS hist_vol_20, round({_full("stddev_samp(dn)", "dn", 20)} * sqrt(252), 6) AS downside_vol_20, round((lr - mu) / nullif(sd, 0), 5) AS ret_z_20,
-  round(dv20, 0) AS dollar_volume_20, round(close / hi - 1, 6) AS dist_high_60, round(close / lo - 1, 6) AS dist_low_60, round(obv, 2) AS obv,
+  round(dv20, 1) AS dollar_volume_20, round(close / hi - 1, 6) AS dist_high_60, round(close / lo - 1, 6) AS dist_low_60, round(obv, 2) AS obv,
   round(lead(close, 5) OVER {_W}) / close - 1, 6) AS target_return, CASE WHEN lead(close, 5) OVER {_W}) IS NOT NULL THEN CAST(lead(close, 5) OVER {_W}) / close - 1 > 0 AS INTEGER) END AS target_direction
 FROM s""",
     days="date",
@@ -106,7 +106,7 @@ def window_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
         (C("close") / rolling_min(C("low"), 60) - 1).alias("dist_low_60"), F.sum(F.coalesce(F.signum(C("close") - C("prior")), F.lit(0.0)) * C("volume")).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0)).alias("obv"),
         goal["target_return"].alias("target_return"), goal["target_direction"].alias("target_direction"),
     )
-    return rounded(out, {"dollar_volume_20": 0, "obv": 2, "ret_z_20": 5})
+    return rounded(out, {"obv": 2, "ret_z_20": 5, "dollar_volume_20": 1})
 
 
 _EMA_SQL = """WITH RECURSIVE {BARS},
@@ -134,12 +134,12 @@ def recursive_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH RECURSIVE {BARS}, b AS (SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n FROM bars),
 e AS (SELECT ticker, date, n, close AS y FROM b WHERE n = 1 UNION ALL SELECT b.ticker, b.date, b.n, 0.8 * e.y + 0.2 * b.close FROM e JOIN b ON b.ticker = e.ticker AND b.n = e.n + 1)
-SELECT ticker, date, round(CASE WHEN n >= 9 THEN y END, 4) AS ema_9 FROM e""",
+SELECT ticker, date, round(CASE WHEN n >= 9 THEN y END, 2) AS ema_9 FROM e""",
     days="date",
 )
 def folded_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same recursion without Python, as a fold over a bounded look-back."""
-    return rounded(brand_bars(spark, sf_dir).select("ticker", "date", ema(C("close"), span(9), 9).alias("ema_9")), 4)
+    return rounded(brand_bars(spark, sf_dir).select("ticker", "date", ema(C("close"), span(9), 9).alias("ema_9")), 2)
 
 
 @query()
@@ -152,18 +152,18 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT *, (high + low + close) / 3 AS tp, close / lag(close) OVER {_W}) - 1 AS ret, close * volume AS dv FROM bars),
 s AS (SELECT *, abs(ret) / nullif(dv, 0) AS il FROM r)
 SELECT ticker, date, round(-CASE WHEN count(open) {_over(10)} >= 10 AND NOT isnan(corr(open, volume) {_over(10)}) THEN corr(open, volume) {_over(10)} END, 5) AS alpha006,
-  round(sign(volume - lag(volume) OVER {_W})) * -(close - lag(close) OVER {_W})), 4) AS alpha012,
-  round(sqrt(high * low) - {_full("sum(tp * volume)", "tp", 5)} / nullif({_full("sum(volume)", "volume", 5)}, 0), 4) AS alpha041,
+  round(sign(volume - lag(volume) OVER {_W})) * -(close - lag(close) OVER {_W})), 9) AS alpha012,
+  round(sqrt(high * low) - {_full("sum(tp * volume)", "tp", 5)} / nullif({_full("sum(volume)", "volume", 5)}, 0), 3) AS alpha041,
   round(-(low - close) * pow(open, 5) / nullif((low - high) * pow(close, 5), 0), 6) AS alpha054, round((close - open) / (high - low + 0.001), 6) AS alpha101,
   round(lag(close, 21) OVER {_W}) / nullif(lag(close, 252) OVER {_W}), 0) - 1, 6) AS momentum_12_1, round({_full("stddev_samp(ret)", "ret", 60)}, 6) AS volatility_60d,
-  round(1e9 * {_full("avg(il)", "il", 21)}, 4) AS amihud_21
+  round(1e9 * {_full("avg(il)", "il", 21)}, 3) AS amihud_21
 FROM s""",
     days="date",
 )
 def factor_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["alpha006", "alpha012", "alpha041", "alpha054", "alpha101", "momentum_12_1", "volatility_60d", "amihud_21"]
     out = factors.compute(brand_bars(spark, sf_dir), names).withColumn("amihud_21", 1e9 * C("amihud_21"))
-    return rounded(out, {"alpha006": 5, "alpha012": 4, "alpha041": 4, "amihud_21": 4})
+    return rounded(out, {"alpha006": 5, "alpha012": 9, "alpha041": 3, "amihud_21": 3})
 
 
 @query(
@@ -200,17 +200,17 @@ def weekly_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH {BARS}, v AS (SELECT ticker, date, close, 0 AS gen FROM bars UNION ALL SELECT ticker, date, close * 2, 1 FROM bars WHERE day(date) <= 10 UNION ALL SELECT ticker, date, close * 3, 2 FROM bars WHERE day(date) <= 5)
-SELECT ticker, date, round(arg_max(close, gen), 4) AS close FROM v WHERE gen <= 1 GROUP BY ticker, date""",
+SELECT ticker, date, arg_max(close, gen) AS close FROM v WHERE gen <= 1 GROUP BY ticker, date""",
     days="date",
 )
 def lake_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three ingests of the panel, read as of the second."""
-    lake = Lake(spark, shared_path(spark, "lake"))
+    lake = Lake(spark, shared_path(spark, "lake"), grain="yyyy")
     bars = brand_bars(spark, sf_dir)
     for gen, (days, by) in enumerate(((31, 1), (10, 2), (5, 3))):
         lake.write(bars.filter(F.dayofmonth("date") <= days).withColumn("close", C("close") * by), f"gen{gen}", F.lit(f"2024-01-0{gen + 1} 00:00:00").cast("timestamp"))
     known = lake.versions().filter(C("_ingested_at") <= F.lit("2024-01-02 12:00:00").cast("timestamp"))
-    return rounded(newest_version(known).select("ticker", "date", "close"), 4)
+    return newest_version(known).select("ticker", "date", "close")
 
 
 @query(
@@ -249,8 +249,8 @@ _ACTIONS = "SELECT p_brand AS ticker, l_shipdate::DATE AS date, 'split' AS type,
     f"""WITH {{BARS}}, a AS ({_ACTIONS}),
 p AS (SELECT a.*, (SELECT arg_max(b.close, b.date) FROM bars b WHERE b.ticker = a.ticker AND b.date < a.date) AS lc FROM a),
 s AS (SELECT ticker, date, CASE WHEN type = 'split' THEN -ln(ratio) WHEN cash <> 0 AND lc > 0 AND 1 - cash / lc > 0 THEN ln(1 - cash / lc) END AS step FROM p)
-SELECT b.ticker, b.date, round(exp(coalesce(sum(s.step), 0)), 6) AS factor, round(b.close * exp(coalesce(sum(s.step), 0)), 3) AS adj_close
-FROM bars b LEFT JOIN s ON s.ticker = b.ticker AND s.date > b.date GROUP BY b.ticker, b.date, b.close""",
+SELECT b.ticker, b.date, round(exp(coalesce(sum(s.step), 0)), 6) AS factor
+FROM bars b LEFT JOIN s ON s.ticker = b.ticker AND s.date > b.date GROUP BY b.ticker, b.date""",
     days="date",
 )
 def back_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,7 +260,7 @@ def back_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     splits = lines.filter("l_orderkey % 500 = 0 and l_linenumber = 1").select("ticker", "date", F.lit("split").alias("type"), F.lit(2.0).alias("ratio"), none.alias("cash_amount"))
     cash = lines.filter("l_orderkey % 400 = 1").select("ticker", "date", F.lit("dividend").alias("type"), none.alias("ratio"), (C("l_tax") * 1000).alias("cash_amount"))
     out = timejoins.adjusted(brand_bars(spark, sf_dir), splits.unionByName(cash))
-    return rounded(out.select("ticker", "date", "factor", "adj_close"), {"adj_close": 3})
+    return rounded(out.select("ticker", "date", (C("adj_close") / C("close")).alias("factor")))
 
 
 @query(
@@ -291,11 +291,11 @@ b AS (SELECT ticker, date, high, low, close, CASE WHEN close < lag(close, 5) OVE
 h AS (SELECT e.*, b.date, CASE WHEN low <= stop THEN 'STOP' WHEN high >= target THEN 'TARGET' WHEN signal < 0 THEN 'REVERSAL' END AS reason,
   CASE WHEN low <= stop THEN stop WHEN high >= target THEN target ELSE close END AS price FROM e JOIN b ON b.ticker = e.ticker AND b.date > e.entry_date AND b.date <= e.entry_date + 30),
 f AS (SELECT ticker, entry_date, min(date) AS exit_date, arg_min(reason, date) AS reason, arg_min(price, date) AS price FROM h WHERE reason IS NOT NULL GROUP BY ALL)
-SELECT e.ticker, e.entry_date, f.exit_date, coalesce(f.reason, 'OPEN') AS exit_reason, round(f.price, 4) AS exit_price FROM e LEFT JOIN f USING (ticker, entry_date)""",
+SELECT e.ticker, e.entry_date, f.exit_date, coalesce(f.reason, 'OPEN') AS exit_reason, f.price AS exit_price FROM e LEFT JOIN f USING (ticker, entry_date)""",
     days="entry_date exit_date",
 )
 def first_touch_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = brand_bars(spark, sf_dir).withColumn("signal", F.when(C("close") < lag("close", 5), -1).otherwise(1))
     entries = bars.filter(F.dayofmonth("date") == 1).select("ticker", C("date").alias("entry_date"), (C("close") * 0.7).alias("stop"), (C("close") * 1.5).alias("target"))
-    return rounded(timejoins.first_touch(entries, bars, 30).select("ticker", "entry_date", "exit_date", "exit_reason", "exit_price"), 4)
+    return timejoins.first_touch(entries, bars, 30).select("ticker", "entry_date", "exit_date", "exit_reason", "exit_price")
 

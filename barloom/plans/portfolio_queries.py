@@ -40,14 +40,14 @@ w AS (SELECT *, avg(close) OVER {_W} ROWS 19 PRECEDING) AS s20, avg(close) OVER
   max(high) OVER {_W} ROWS 19 PRECEDING) AS high20, max(high) OVER {_W} ROWS 251 PRECEDING) AS high252, avg(dv) OVER {_W} ROWS 19 PRECEDING) AS adv, avg(volume) OVER {_W} ROWS 19 PRECEDING) AS av,
   coalesce(close / lag(close, 20) OVER {_W}) - 1, 0) AS r20, coalesce(close / lag(close, 252) OVER {_W}) - 1, 0) AS r252 FROM d),
 l AS (SELECT *, CASE WHEN rows >= 200 THEN s200r ELSE s50 END AS s200 FROM w WHERE back = 1)
-SELECT ticker, rows, round(close, 3) AS latest, round(s20, 3) AS sma20, round(s50, 3) AS sma50, round(s200, 3) AS sma200, round(high20, 3) AS high20, round(adv, 0) AS avg_dollar_volume_20d,
+SELECT ticker, rows, round(close, 9) AS latest, round(s20, 3) AS sma20, round(s50, 3) AS sma50, round(s200, 3) AS sma200, round(high20, 9) AS high20, round(adv, 1) AS avg_dollar_volume_20d,
   round(volume / av, 6) AS volume_ratio_20d, round(r20, 6) AS return_20d, round(r252, 6) AS return_252d, round(close / high252 - 1, 6) AS drawdown_252d FROM l"""
 
 
 @query(_SNAP_SQL)
 def market_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["latest", "sma20", "sma50", "sma200", "high20", "avg_dollar_volume_20d", "volume_ratio_20d", "return_20d", "return_252d", "drawdown_252d"]
-    return rounded(snapshot(brand_bars(spark, sf_dir)).select("ticker", "rows", *names), {"latest": 3, "sma20": 3, "sma50": 3, "sma200": 3, "high20": 3, "avg_dollar_volume_20d": 0})
+    return rounded(snapshot(brand_bars(spark, sf_dir)).select("ticker", "rows", *names), {"latest": 9, "sma20": 3, "sma50": 3, "sma200": 3, "high20": 9, "avg_dollar_volume_20d": 1})
 
 
 @query()

@@ -22,12 +22,14 @@ PROVIDER_NAMES = {"시가": "open", "고가": "high", "저가": "low", "종가":
 
 
 class Lake:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    """``grain`` is the date format that names a period's folder: a month, or a year for sparse bars."""
+
+    def __init__(self, spark: SparkSession, root: str, grain: str = "yyyy-MM"):
+        self.spark, self.root, self.grain = spark, root.rstrip("/"), grain
         self.bars = f"{self.root}/bars"
 
     def write(self, bars: DataFrame, source: str, ingested_at: Column | None = None) -> None:
-        stamped = bars.select(*BARS, C("ticker").alias("symbol"), F.date_format("date", "yyyy-MM").alias("month"), F.lit(source).alias("_source"), (F.current_timestamp() if ingested_at is None else ingested_at).alias("_ingested_at"))
+        stamped = bars.select(*BARS, C("ticker").alias("symbol"), F.date_format("date", self.grain).alias("month"), F.lit(source).alias("_source"), (F.current_timestamp() if ingested_at is None else ingested_at).alias("_ingested_at"))
         stamped.repartition("symbol", "month").write.mode("append").partitionBy("symbol", "month").parquet(self.bars)
 
     def versions(self, tolerant: bool = True) -> DataFrame:
@@ -40,7 +42,8 @@ class Lake:
             rows = rows.filter(C("symbol").isin(*tickers))
         for bound, day in ((">=", start), ("<=", end)):
             if day is not None:
-                rows = rows.filter(f"month {bound} '{day:%Y-%m}' and date {bound} date '{day}'")
+                period = F.date_format(F.lit(day).cast("date"), self.grain)
+                rows = rows.filter((C("month").cast("string") >= period) & (C("date") >= day) if bound == ">=" else (C("month").cast("string") <= period) & (C("date") <= day))
         if as_of is not None:
             rows = rows.filter(C("_ingested_at") <= F.lit(as_of))
             if rows.isEmpty():
