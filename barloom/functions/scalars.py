@@ -52,6 +52,14 @@ def change(now: Column, then: Column) -> Column:
     return ratio(now, then) - 1.0
 
 
+def correlation(x: Column, y: Column, over=None) -> Column:
+    """Pearson's r of the rows that have both; null without variance. ``over``: a window."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    of = (lambda f: f) if over is None else (lambda f: f.over(over))
+    scale = of(F.stddev_pop(a)) * of(F.stddev_pop(b))
+    return F.when(scale > 1e-24, of(F.covar_pop(a, b)) / F.nullif(scale, F.lit(0.0)))
+
+
 def signed_power(x: Column, p: float) -> Column:
     return F.signum(x) * F.pow(F.abs(x), F.lit(p))
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import lookup, ratio, strip_market
+from ..functions.scalars import correlation, lookup, ratio, strip_market
 from .timejoins import target_vs_current
 
 C = F.col
@@ -28,7 +28,7 @@ def covariance(returns: DataFrame, tickers: Sequence[str] | None = None) -> Data
     days = rows.groupBy("date").agg(F.count_distinct("ticker").alias("k")).crossJoin(F.broadcast(full)).filter("k = n").select("date")
     kept = rows.join(days, "date", "left_semi")
     a, b = kept.select("date", C("ticker").alias("a"), C("ret").alias("x")), kept.select("date", C("ticker").alias("b"), C("ret").alias("y"))
-    return a.join(b, "date").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"), F.corr("x", "y").alias("corr"), F.count(F.lit(1)).alias("days"))
+    return a.join(b, "date").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"), correlation(C("x"), C("y")).alias("corr"), F.count(F.lit(1)).alias("days"))
 
 
 def shrunk(cov: DataFrame, share: float = 0.3) -> DataFrame:

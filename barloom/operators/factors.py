@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import change, ratio, signed_power
+from ..functions.scalars import change, correlation, ratio, signed_power
 from .indicators import C, bollinger, cmf, lag, rolling_std, rolling_sum, rsi, sma, smoothed, vortex
 from .panel import by_ticker, over_last
 
@@ -55,8 +55,7 @@ def ts_argmax(x: Column, n: int) -> Column:
 def rolling_corr(x: Column, y: Column, n: int) -> Column:
     w = by_ticker(n)
     both = F.when(x.isNotNull() & y.isNotNull(), 1)
-    value = F.corr(x, y).over(w)
-    return F.when((F.count(both).over(w) >= n) & ~F.isnan(value), value)
+    return F.when(F.count(both).over(w) >= n, correlation(x, y, w))
 
 
 for _name, _look, _of in (

@@ -7,7 +7,7 @@ what is built from both. Recursive averages are made in one grouped pass.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bounded, change, ratio
@@ -137,7 +137,7 @@ def bollinger(n: int = 20, width: float = 2.0) -> dict[str, Column]:
 def raw_features(df: DataFrame) -> DataFrame:
     """All features of the same bar, not yet lagged, beside the bars."""
     up, down = mfi()
-    base = smoothed(df).withColumns({f"sma_{n}": sma("close", n) for n in SMAS} | {"stoch_raw": stochastic_k(), "flow_up": up, "flow_down": down, "obv": F.sum(F.coalesce(F.signum(C("close") - C("prior")), F.lit(0.0)) * C("volume")).over(by_ticker().rowsBetween(-(1 << 31), 0))})
+    base = smoothed(df).withColumns({f"sma_{n}": sma("close", n) for n in SMAS} | {"stoch_raw": stochastic_k(), "flow_up": up, "flow_down": down, "obv": F.sum(F.coalesce(F.signum(C("close") - C("prior")), F.lit(0.0)) * C("volume")).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0))})
     downside = F.when(C("log_ret") < 0, C("log_ret")).otherwise(0.0)
     out: dict[str, Column] = {}
     for n in RETURNS:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import normal_cdf, normal_ppf, ratio
+from ..functions.scalars import correlation, normal_cdf, normal_ppf, ratio
 
 YEAR = 252
 EPS = 1e-12
@@ -38,7 +38,7 @@ def information_coefficient(df: DataFrame, factor: str, target: str, by: Sequenc
     if method == "spearman":
         rows = rows.select(*by, average_rank(F.col("f"), by, "f").alias("f"), average_rank(F.col("r"), by, "r").alias("r"))
     enough = (F.count("f") >= 3) & (F.stddev_pop("f") > EPS) & (F.stddev_pop("r") > EPS)
-    return rows.groupBy(*by).agg(F.count("f").alias("n"), F.when(enough, F.corr("f", "r")).alias("ic"))
+    return rows.groupBy(*by).agg(F.count("f").alias("n"), F.when(enough, correlation(F.col("f"), F.col("r"))).alias("ic"))
 
 
 def information_ratio(ics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -67,7 +67,7 @@ def rank_autocorrelation(df: DataFrame, factor: str, lag: int = 1) -> DataFrame:
     rows = df.select("ticker", "date", F.col(factor).alias("f")).dropna()
     ranked = rows.select("ticker", "date", average_rank(F.col("f"), ["ticker"], "f").alias("k"))
     before = ranked.withColumn("b", F.lag("k", lag).over(Window.partitionBy("ticker").orderBy("date")))
-    return before.dropna().groupBy("ticker").agg(F.corr("k", "b").alias("rho"), F.count("k").alias("n"))
+    return before.dropna().groupBy("ticker").agg(correlation(F.col("k"), F.col("b")).alias("rho"), F.count("k").alias("n"))
 
 
 def half_life(rho: Column) -> Column:
@@ -81,8 +81,8 @@ def admission(ic: Column, ir: Column, crowding: Column, life: Column) -> Column:
 
 def crowding(df: DataFrame, factor: str, known: Sequence[str]) -> DataFrame:
     """The largest absolute correlation with known factors."""
-    pairs = F.array_compact(F.array(*(F.abs(F.corr(factor, k)) for k in known)))
-    return df.agg(F.array_max(F.filter(pairs, lambda c: ~F.isnan(c))).alias("max_corr"))
+    pairs = F.array_compact(F.array(*(F.abs(correlation(F.col(factor), F.col(k))) for k in known)))
+    return df.agg(F.array_max(pairs).alias("max_corr"))
 
 
 def signal_profile(df: DataFrame, signal: str) -> DataFrame:

@@ -144,7 +144,8 @@ def folded_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indicators.feature_matrix(brand_bars(spark, sf_dir))
+    """By part type, whose bars hold several lines: a bar of one line has no range, which voids its features."""
+    return indicators.feature_matrix(brand_bars(spark, sf_dir, "p_type"))
 
 
 @query(
