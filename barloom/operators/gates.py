@@ -369,3 +369,24 @@ def order_gate(ticker: Column, restricted: DataFrame | None = None, position_sha
 def ranked(df: DataFrame, n: int) -> DataFrame:
     """The best ``n`` candidates: verdict, score, expected value, ticker."""
     return df.orderBy(severity(C("verdict")).desc(), F.desc("score"), F.desc("ev_pct"), "ticker").limit(n)
+
+
+def provider_report(bars: DataFrame, today: Column, least: int = 1, warn: int = 5, fail: int = 365) -> DataFrame:
+    """Per ticker: rows, repeated and future dates, nulls, age in days, the status and its evidence.
+
+    Bars may be raw: repeated, with nulls, from any source.
+    """
+    nulls = sum((F.count_if(C(c).isNull()) for c in ("open", "high", "low", "close", "volume")), F.lit(0))
+    agg = bars.groupBy("ticker").agg(
+        F.count(F.lit(1)).alias("rows"), (F.count("date") - F.count_distinct("date")).alias("duplicate_dates"), F.count_if(C("date") > today).alias("future_rows"), nulls.alias("nulls"),
+        F.greatest(F.datediff(today, F.max("date")), F.lit(0)).alias("age_days"),
+    )
+    bad = reasons((C("rows") < least, "row_count"), (C("duplicate_dates") > 0, "duplicate_dates"), (C("future_rows") > 0, "future_rows"), (C("age_days") >= fail, "freshness_days"), (C("nulls") > 0, "null_critical_values"))
+    old = C("age_days") > warn
+    return agg.withColumn("failures", bad).withColumn("status", ladder((F.size("failures") > 0, "FAIL"), (old, "AMBER"), other="PASS"))
+
+
+def provider_summary(reports: DataFrame) -> DataFrame:
+    """Over a run's reports (with ``provider``): the worst status, providers, fewest rows and greatest age."""
+    worst = F.max(F.when(C("status") == "FAIL", 2).when(C("status") == "AMBER", 1).otherwise(0))
+    return reports.agg(F.element_at(F.array(F.lit("PASS"), F.lit("AMBER"), F.lit("FAIL")), worst + 1).alias("status"), F.array_sort(F.collect_set("provider")).alias("providers"), F.min("rows").alias("min_rows"), F.max("age_days").alias("max_age_days"))

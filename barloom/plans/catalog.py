@@ -52,7 +52,7 @@ def rounded(df: DataFrame, places: dict[str, int] | int = 6) -> DataFrame:
 
 
 def _load() -> None:
-    from . import panel_queries, portfolio_queries, risk_queries, text_queries  # noqa: F401
+    from . import book_queries, panel_queries, portfolio_queries, risk_queries, text_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
