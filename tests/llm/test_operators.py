@@ -177,6 +177,43 @@ def test_compression_bands():
     assert list(m["in_bands"]) == [True, False, True] or m["ratio"][0] > m["ratio"][2]
 
 
+@pytest.mark.parametrize("n", [200, 500, 1_800, 4_800, 9_000, 24_000, 120_000])
+def test_production_bands(n):
+    import base64
+    import random
+
+    import pyarrow as pa
+
+    from .conftest import words
+
+    rng = random.Random(n)
+    printable = "".join(chr(rng.randrange(33, 127)) for _ in range(n))
+    printable = " ".join(printable[i : i + 5] for i in range(0, n, 5))[:n]
+    coded = base64.b64encode(rng.randbytes(n)).decode()
+    coded = "\n".join(coded[i : i + 76] for i in range(0, n, 76))[:n]
+    clean = " ".join(words(rng, n // 5))[:n]
+    m = quality_rules.measure(pa.array([printable, coded, clean]))
+    assert list(m["in_bands"]) == [False, False, True], m["ratio"]
+    if n >= 1_800:
+        twice = (clean[: n // 2] + " ") * 2
+        assert not quality_rules.measure(pa.array([twice if n < 9_000 else (clean[:900] + " ") * (n // 900)]))["in_bands"][0]
+
+
+def test_chunk_bands_reach_the_tail():
+    import random
+
+    import pyarrow as pa
+
+    from .conftest import words
+
+    rng = random.Random(2)
+    noise = "".join(chr(rng.randrange(33, 127)) for _ in range(3_000))
+    fine = " ".join(words(rng, 2_000))[:4_096]
+    m = quality_rules.measure(pa.array([fine + noise, noise + fine, fine + fine[::-1][:50]]))
+    assert m["bad_chunks"][0] == 3_000 / 7_096 and m["bad_chunks"][1] > 0.5 and m["bad_chunks"][2] == 0
+    assert list(m["in_bands"]) == [False, False, True]
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     import public_tokenizers
