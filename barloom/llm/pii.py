@@ -1,12 +1,17 @@
 """Personal data by patterns, and the terms that give it away by co-occurrence.
 
 Base spans are e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers. For
-every protected entity c (a value found) and term t in the text around it, document counts
-over the whole corpus give the information content IC(c) = log(N / n_c) and the pointwise
-mutual information PMI(c; t) = log(N n_ct / (n_c n_t)). A term whose PMI reaches a share
-of the entity's IC discloses it (Sanchez and Batet, "C-sanitized", 2016): beyond
-``generalise`` it is replaced by its shape, beyond ``remove`` it is taken out. A pair needs
-``support`` documents, as a term that met an entity once says nothing.
+every protected entity c (a value found) and every term t of the documents that hold it,
+document counts over the whole corpus give the information content IC(c) = log(N / n_c) and
+the pointwise mutual information PMI(c; t) = log(p(t | c) / p(t)). A term whose PMI reaches
+a share of the entity's IC discloses it (Sanchez and Batet, "C-sanitized", 2016): beyond
+``generalise`` it is replaced by its shape, beyond ``remove`` it is taken out, wherever it
+stands in a document that holds the entity. Few documents say little, so p(t | c) is
+smoothed by ``prior`` documents drawn from the whole corpus: (n_ct + prior p(t)) / (n_c + prior).
+
+Entities of the same documents have the same counts and are one class. A term of larger
+p(t) than p(c) ** ``generalise`` of the most frequent entity cannot disclose any, as
+p(t | c) is at most 1, and is left out before pairs are made.
 
 All of it is DataFrame functions. Match positions come from splitting a text by the
 pattern: running sums of the lengths between and of matches, in code points. The patterns
@@ -45,10 +50,9 @@ _TERM = r"[\p{L}\p{N}_]{3,}+"
 
 @dataclass(frozen=True)
 class Disclosure:
-    """``context`` code points to either side of a span; shares of IC; documents a pair needs."""
+    """``prior`` documents that smooth a pair's counts; shares of IC."""
 
-    context: int = 64
-    support: int = 3
+    prior: float = 1.0
     generalise: float = 0.8
     remove: float = 0.95
 
@@ -84,7 +88,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def matches(rows: DataFrame) -> DataFrame:
-    """Valid base spans: doc_id, text_key, kind, start, end, match and the text before and after."""
+    """Valid base spans: doc_id, text_key, kind, start, end, match."""
     text = F.col("text")
 
     def of(i: int) -> Column:
@@ -96,30 +100,14 @@ def matches(rows: DataFrame) -> DataFrame:
 
     kinds = rows.select("doc_id", "text_key", F.explode(F.array(*map(of, range(len(KINDS))))).alias("k")).filter(F.size("k.found") > 0)
     n = F.size("k.found")
-    each = F.arrays_zip(F.col("k.found").alias("match"), F.slice("k.gaps", F.lit(1), n).alias("before"), F.slice("k.gaps", F.lit(2), n).alias("after"))
+    each = F.arrays_zip(F.col("k.found").alias("match"), F.slice("k.gaps", F.lit(1), n).alias("before"))
     one = kinds.select("doc_id", "text_key", F.col("k.kind").alias("kind"), F.posexplode(each).alias("pos", "m"))
-    one = one.select("doc_id", "text_key", "kind", "pos", F.col("m.match").alias("match"), F.length("m.before").alias("skip"), F.length("m.match").alias("len"), F.col("m.before").alias("before"), F.col("m.after").alias("after"))
-    one = one.withColumn("before", F.right("before", F.lit(256))).withColumn("after", F.left("after", F.lit(256)))
+    one = one.select("doc_id", "text_key", "kind", "pos", F.col("m.match").alias("match"), F.length("m.before").alias("skip"), F.length("m.match").alias("len"))
     one = one.dropDuplicates(["doc_id", "text_key", "kind", "pos"])
     order = Window.partitionBy("doc_id", "text_key", "kind").orderBy("pos")
     end = F.sum(F.col("skip") + F.col("len")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = one.withColumn("end", end).withColumn("start", F.col("end") - F.col("len"))
-    return placed.filter(_valid(F.col("kind"), F.col("match"))).select("doc_id", "text_key", "kind", "start", "end", "match", "before", "after")
-
-
-def _words_at(text: Column, base: Column) -> Column:
-    """Terms of a short text with their places, ``base`` being its first code point's."""
-    words, gaps = F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.split(text, _TERM, -1)
-
-    def total(x: Column) -> Column:
-        return F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + F.length(y))
-
-    def place(i: Column) -> Column:
-        start = base + total(F.slice(gaps, F.lit(1), i + 1)) + total(F.slice(words, F.lit(1), i))
-        word = F.element_at(words, i + 1)
-        return F.struct(F.lower(word).alias("term"), start.alias("start"), (start + F.length(word)).alias("end"))
-
-    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), F.size(words) - 1), place)).otherwise(F.array())
+    return placed.filter(_valid(F.col("kind"), F.col("match"))).select("doc_id", "text_key", "kind", "start", "end", "match")
 
 
 def entities() -> Column:
@@ -135,34 +123,65 @@ def entities() -> Column:
     return F.array(F.concat_ws(":", "kind", value), F.concat_ws(":", "kind", F.lit("group"), group))
 
 
-def occurrences(base: DataFrame, context: int) -> DataFrame:
-    """Terms near each span: doc_id, text_key, entity, term, start, end."""
-    cut = r"[\p{L}\p{N}_]+"
-    near = F.right("before", F.lit(context))
-    whole = F.length("before") <= context
-    left = F.when(whole, near).otherwise(F.regexp_replace(near, f"^{cut}", ""))
-    far = F.left("after", F.lit(context))
-    right = F.when(F.length("after") <= context, far).otherwise(F.regexp_replace(far, f"{cut}$", ""))
-    sides = base.select("doc_id", "text_key", entities().alias("entities"), "start", "end", left.alias("left"), right.alias("right"))
-    terms = F.concat(_words_at(F.col("left"), F.col("start") - F.length("left")), _words_at(F.col("right"), F.col("end")))
-    return sides.select("doc_id", "text_key", "entities", F.inline(terms)).select("doc_id", "text_key", F.explode("entities").alias("entity"), "term", "start", "end")
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower))
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
     """Documents that hold each term."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))
-    return rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    return rows.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+
 
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
 
-def disclosing(rows: DataFrame, base: DataFrame, near: DataFrame, rule: Disclosure) -> DataFrame:
-    """Pairs (entity, term) with the share of the entity's information content that the term reveals."""
-    total = rows.agg(F.count(F.lit(1)).alias("n"))
-    pairs = near.select("entity", "term", "doc_id", "text_key").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"))
-    held = base.select(F.explode(entities()).alias("entity"), "doc_id", "text_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    often = pairs.filter(F.col("n_ct") >= rule.support).join(held, "entity").join(term_counts(rows), "term").crossJoin(F.broadcast(total))
+
+def classes(base: DataFrame) -> DataFrame:
+    """The classes of entities that each document holds: doc_id, text_key, class, n_c."""
+    each = base.select("doc_id", "text_key", F.explode(entities()).alias("entity")).distinct()
+    of = each.groupBy("entity").agg(F.bit_xor(F.xxhash64("doc_id", "text_key")).alias("class"), F.count(F.lit(1)).alias("n_c"))
+    return each.join(of, "entity").select("doc_id", "text_key", "class", "n_c").distinct()
+
+
+def holding(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """Each document that holds an entity, once: doc_id, text_key, text, its classes."""
+    text = F.col("text")
+    maybe = None
+    for kind in KINDS:
+        one = _NEEDS[kind](text) & text.rlike(_PATTERNS[kind])
+        maybe = one if maybe is None else maybe | one
+    lists = held.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("class", "n_c")).alias("classes"))
+    found = rows.filter(maybe)
+    return found.join(lists, _same(found, lists)).select(found["doc_id"], found["text_key"], "text", "classes").dropDuplicates(["doc_id", "text_key"])
+
+
+def occurrences(rows: DataFrame, texts: DataFrame, held: DataFrame, rule: Disclosure) -> DataFrame:
+    """Terms with the classes they share a document with: doc_id, text_key, term, n_t, class, n_c, n."""
+    total = rows.agg(F.count(F.lit(1)).alias("n")).crossJoin(held.agg(F.max("n_c").alias("most")))
+    most = F.col("n") * F.pow(F.col("most") / F.col("n"), F.lit(rule.generalise))
+    rare = term_counts(rows).crossJoin(F.broadcast(total)).filter(F.col("n_t") <= most + 1e-6).select("term", "n_t", "n")
+    terms = texts.select("doc_id", "text_key", "classes", F.explode(_terms(F.col("text"))).alias("term"))
+    return terms.join(rare, "term").select("doc_id", "text_key", "term", "n_t", "n", F.inline("classes"))
+
+
+def disclosing(near: DataFrame, rule: Disclosure) -> DataFrame:
+    """Pairs (class, term) with the share of the entities' information content that the term reveals."""
+    pairs = near.groupBy("class", "n_c", "term", "n_t", "n").agg(F.count(F.lit(1)).alias("n_ct"))
     ic = F.log(F.col("n") / F.col("n_c"))
-    pmi = F.log(F.col("n") * F.col("n_ct") / (F.col("n_c") * F.greatest("n_t", "n_ct")))
-    return often.filter(ic > 0).select("entity", "term", (pmi / ic).alias("reveals")).filter(F.col("reveals") >= rule.generalise)
+    p = F.col("n_t") / F.col("n")
+    pmi = F.log((F.col("n_ct") + rule.prior * p) / (F.col("n_c") + rule.prior) / p)
+    return pairs.filter(ic > 0).select("class", "n_c", "term", (pmi / ic).alias("reveals")).filter(F.col("reveals") >= rule.generalise)
+
+
+def places(texts: DataFrame) -> DataFrame:
+    """Every term of a text with its place in code points: doc_id, text_key, term, start, end."""
+    words, gaps = F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.split("text", _TERM, -1)
+    each = F.arrays_zip(words.alias("word"), F.slice(gaps, F.lit(1), F.size(words)).alias("gap"))
+    one = texts.select("doc_id", "text_key", F.posexplode(each).alias("pos", "w"))
+    one = one.select("doc_id", "text_key", "pos", F.lower("w.word").alias("term"), F.length("w.word").alias("len"), F.length("w.gap").alias("skip"))
+    order = Window.partitionBy("doc_id", "text_key").orderBy("pos")
+    end = F.sum(F.col("skip") + F.col("len")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return one.withColumn("end", end).select("doc_id", "text_key", "term", (F.col("end") - F.col("len")).alias("start"), "end")
 
 
 @dataclass
@@ -178,11 +197,15 @@ def find(docs: DataFrame, rule: Disclosure = Disclosure(), scratch: Scratch | No
     scratch = scratch or Scratch(docs.sparkSession, "pii")
     rows = keyed(docs, id_col, text_col)
     base = scratch.table(matches(rows), "base")
-    near = scratch.table(occurrences(base, rule.context), "near")
-    pairs = scratch.table(disclosing(rows, base, near, rule), "pairs")
-    hit = near.join(pairs, ["entity", "term"]).groupBy("doc_id", "text_key", "start", "end").agg(F.max("reveals").alias("reveals"))
+    held = scratch.table(classes(base), "held")
+    texts = scratch.table(holding(rows, held), "texts")
+    near = scratch.table(occurrences(rows, texts, held, rule), "near")
+    pairs = scratch.table(disclosing(near, rule), "pairs")
+    said = scratch.table(near.join(pairs, ["class", "n_c", "term"]).groupBy("doc_id", "text_key", "term").agg(F.max("reveals").alias("reveals")), "said")
+    at = places(texts)
+    hit = at.join(said, _same(at, said) & (at["term"] == said["term"])).select(at["doc_id"], at["text_key"], "start", "end", "reveals")
     spans = base.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("taken"))
-    hit = hit.join(spans, hit["doc_id"].eqNullSafe(spans["doc_id"]) & (hit["text_key"] == spans["text_key"])).select(hit["doc_id"], hit["text_key"], "start", "end", "reveals", "taken")
+    hit = hit.join(spans, _same(hit, spans)).select(hit["doc_id"], hit["text_key"], "start", "end", "reveals", "taken")
     free = ~F.exists("taken", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
     action = F.when(F.col("reveals") >= rule.remove, "remove").otherwise("generalise")
     return Found(rows, base, scratch.table(hit.filter(free).select("doc_id", "text_key", "start", "end", "reveals", action.alias("action")), "terms"))

@@ -142,6 +142,45 @@ def test_pii_disclosing_terms(spark):
     assert "zanzibar" not in texts[0]["text"] and "[EMAIL]" in texts[0]["text"] and "today" in texts[0]["text"]
 
 
+def test_pii_terms_of_whole_documents(spark):
+    """Rare values and far terms, against counts by brute force; every place of a term is masked."""
+    import math
+    import random
+
+    rng = random.Random(4)
+    common = [f"common{i}" for i in range(30)]
+    name = {i: f"Name{i}"[:4] + "abcdefghij"[i % 10] * 3 for i in range(10)}
+    texts = {}
+    for i in range(300):
+        ws = rng.choices(common, k=40)
+        if i < 24:
+            k = i if i < 4 else 4 + i % 6
+            ws = [name[k % 10], "wrote", *ws, f"box{k}@h{k % 3}.example.org", *rng.choices(common, k=30), name[k % 10]]
+        texts[i] = " ".join(ws)
+    texts[300] = None
+    found = pii.find(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4))
+    term = re.compile(r"\w{3,}")
+    holds = {i: {t.lower() for t in term.findall(x or "")} for i, x in texts.items()}
+    entity = {i: {f"box:{m[1]}", f"h:{m[2]}"} for i, x in texts.items() if (m := re.search(r"(box\d+)@(h\d)", x or ""))}
+    n, rule, want = len(texts), pii.Disclosure(), {}
+    for i, own in entity.items():
+        at = re.search(r"\S+@\S+", texts[i]).span()
+        for m in term.finditer(texts[i]):
+            t, best = m[0].lower(), -1.0
+            for c in own:
+                docs_c = [j for j in entity if c in entity[j]]
+                p = sum(t in x for x in holds.values()) / n
+                p_tc = (sum(t in holds[j] for j in docs_c) + rule.prior * p) / (len(docs_c) + rule.prior)
+                best = max(best, math.log(p_tc / p) / math.log(n / len(docs_c)))
+            if best >= rule.generalise and not (m.start() < at[1] and m.end() > at[0]):
+                want.setdefault(i, set()).add(f"term:{m.start()}:{m.end()}")
+    got = by_id(pii.report(found))
+    assert {i: {s for s in r["spans"].split(",") if s.startswith("term")} for i, r in got.items() if r["n_term"]} == want
+    assert all(f"term:0:{len(name[i])}" in want[i] for i in range(4))  # far from an address that one document holds
+    masked = by_id(pii.sanitised(found))
+    assert not any(name[i] in masked[i]["text"] for i in range(4)) and common[0] in " ".join(masked[i]["text"] for i in range(24))
+
+
 def test_quality_rules(docs, corpus):
     got = by_id(quality_rules.score(docs))
     for i, t, *_ in corpus:
