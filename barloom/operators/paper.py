@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,25 +43,31 @@ def signal_gate(least_score: float = 56.0) -> Column:
 def sized_orders(signals: DataFrame, cash: float, most_open: int = 10, most_new: int = 3, share: float = 0.1, buffer: float = 0.05, slippage: float = 0.001) -> DataFrame:
     """Orders of each run in signal order: duplicates, full books and small cash are refused.
 
-    A run's signals are one short array that is folded in order. Columns: run_id, nth, ticker, price.
+    Runs are folded row by row in sorted partitions, so a run may have any number of
+    signals. A signal without a price has no fill. Columns: run_id, nth, ticker, price.
     """
-    runs = signals.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("nth", "ticker", "price"))).alias("s"))
-    line = "array<struct<nth:int,ticker:string,quantity:bigint,fill:double,reason:string>>"
-    start = F.struct(F.lit(float(cash)).alias("cash"), F.lit(0).alias("new"), F.array().cast("array<string>").alias("held"), F.array().cast(line).alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        fill = x["price"] * (1 + slippage)
-        room = F.least(F.lit(cash * share), a["cash"] - cash * buffer)
-        quantity = F.greatest(F.floor(room / fill), F.lit(0))
-        reason = (
-            F.when(F.array_contains(a["held"], x["ticker"]), "DUPLICATE").when(F.size(a["held"]) >= most_open, "BOOK_FULL").when(a["new"] >= most_new, "NEW_LIMIT").when(quantity < 1, "NO_CASH").otherwise("FILLED")
-        )
-        ok = reason == "FILLED"
-        taken = F.when(ok, quantity).otherwise(F.lit(0)).cast("bigint")
-        row = F.struct(x["nth"].cast("int").alias("nth"), x["ticker"].alias("ticker"), taken.alias("quantity"), fill.alias("fill"), reason.alias("reason"))
-        return F.struct((a["cash"] - taken * fill).alias("cash"), (a["new"] + ok.cast("int")).alias("new"), F.when(ok, F.concat(a["held"], F.array(x["ticker"]))).otherwise(a["held"]).alias("held"), F.concat(a["out"], F.array(row)).alias("out"))
-
-    return runs.select("run_id", F.aggregate("s", start, step, lambda a: a["out"]).alias("o")).select("run_id", F.inline("o"))
+    kind = signals.schema["run_id"].dataType.simpleString()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left, new, held = None, None, 0, set()
+        for b in batches:
+            quantities, fills, why = [], [], []
+            for run, ticker, price in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if left is None or run != now:
+                    now, left, new, held = run, float(cash), 0, set()
+                fill = None if price is None else price * (1 + slippage)
+                quantity = 0 if fill is None else max(math.floor(min(cash * share, left - cash * buffer) / fill), 0)
+                reason = "DUPLICATE" if ticker in held else "BOOK_FULL" if len(held) >= most_open else "NEW_LIMIT" if new >= most_new else "NO_CASH" if quantity < 1 else "FILLED"
+                if reason == "FILLED":
+                    left, new = left - quantity * fill, new + 1
+                    held.add(ticker)
+                quantities.append(quantity if reason == "FILLED" else 0)
+                fills.append(fill)
+                why.append(reason)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(quantities, pa.int64()), pa.array(fills, pa.float64()), pa.array(why, pa.string())], names=["run_id", "nth", "ticker", "quantity", "fill", "reason"])
+
+    rows = signals.select("run_id", C("nth").cast("int").alias("nth"), C("ticker").cast("string").alias("ticker"), C("price").cast("double").alias("price"))
+    return rows.repartition("run_id").sortWithinPartitions("run_id", "nth", "ticker", "price").mapInArrow(fold, f"run_id {kind}, nth int, ticker string, quantity bigint, fill double, reason string")
 
 
 def equity_rows(fills: DataFrame, closes: DataFrame, cash: float) -> DataFrame:

@@ -244,8 +244,8 @@ def paper_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def paper_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of every run folded in signal order."""
-    first = memory.newest(spark.read.parquet(f"{sf_dir}/events.parquet"), ["user_id"], 12, ["ts", "event_id"])
-    signals = first.select(C("user_id").alias("run_id"), C("nth").cast("int").alias("nth"), F.concat_ws("-", "event_type", (C("event_id") % 4)).alias("ticker"), (C("value") + 1).alias("price"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    signals = e.select(C("user_id").alias("run_id"), "nth", F.concat_ws("-", "event_type", (C("event_id") % 4)).alias("ticker"), (C("value") + 1).alias("price"))
     return rounded(paper.sized_orders(signals, 10_000.0), 4)
 
 

@@ -106,6 +106,19 @@ def test_paper_orders(spark):
     assert got == ["FILLED", "DUPLICATE", "FILLED", "FILLED", "NEW_LIMIT"]
 
 
+def test_every_signal_of_a_long_run_has_its_order(spark):
+    from barloom.plans import catalog
+
+    rows = [("long", i, f"t{i % 400}", None if i == 7 else 50.0) for i in range(1, 30_001)] + [("short", 1, "t1", 50.0)]
+    out = paper.sized_orders(spark.createDataFrame(rows, "run_id string, nth int, ticker string, price double"), 10_000.0, most_open=300, most_new=200, share=0.001, buffer=0.0, slippage=0.0)
+    got = {(r["run_id"], r["reason"]): r["n"] for r in out.groupBy("run_id", "reason").agg(F.count("*").alias("n")).collect()}
+    assert got == {("long", "NO_CASH"): 30_000} | {("short", "NO_CASH"): 1}
+    out = paper.sized_orders(spark.createDataFrame(rows, "run_id string, nth int, ticker string, price double"), 1e6, most_open=300, most_new=200, slippage=0.0).filter("run_id = 'long'")
+    assert [r["nth"] for r in out.orderBy("nth").collect()] == list(range(1, 30_001))
+    base = "/root/testdata/sf0.001"
+    assert catalog.queries()["paper_orders"](spark, base).count() == spark.read.parquet(f"{base}/events.parquet").count()
+
+
 def test_upsert_keeps_old_outcome(spark):
     old = spark.createDataFrame([("a", 1, 5.0), ("b", 2, None)], "id string, v int, outcome double")
     new = spark.createDataFrame([("a", 9, None), ("c", 3, 1.0)], "id string, v int, outcome double")
