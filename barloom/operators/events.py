@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,12 +175,19 @@ def similar(queries: DataFrame, items: DataFrame, k: int = 7, floor: float = 0.3
 
 def bootstrap_interval(matches: DataFrame, draws: int = 200, seed: int = 7) -> DataFrame:
     """Percentile interval of the weighted mean return by redrawing matches (group, ret, weight)."""
-    w = Window.partitionBy("group")
-    order = w.orderBy("ret", "weight").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edges = matches.select("group", "ret", (F.sum("weight").over(order) / F.sum("weight").over(w)).alias("hi"), ((F.sum("weight").over(order) - C("weight")) / F.sum("weight").over(w)).alias("lo"), F.count("ret").over(w).alias("n"))
-    size = edges.select("group", "n").distinct()
-    each = size.select("group", "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select("group", "draw", F.explode(F.sequence(F.lit(1), C("n").cast("int"))).alias("i"))
-    u = F.pmod(F.xxhash64("group", "draw", "i", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = each.withColumn("u", u).join(edges, "group").filter((C("u") >= C("lo")) & (C("u") < C("hi")))
-    means = drawn.groupBy("group", "draw").agg(F.avg("ret").alias("m"))
+    each = matches.filter(C("ret").isNotNull() & (C("weight") > 0)).groupBy("group").agg(F.array_sort(F.collect_list(F.struct(C("ret").cast("double").alias("ret"), C("weight").cast("double").alias("weight")))).alias("m"))
+    rows = each.select("group", F.xxhash64("group", F.lit(seed)).alias("own"), C("m.ret").alias("ret"), C("m.weight").alias("weight"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for own, ret, weight in zip(b.column(1), b.column(2), b.column(3), strict=True):
+                x, hi = ret.values.to_numpy(), np.cumsum(weight.values.to_numpy())
+                rng = np.random.default_rng(own.as_py() % (1 << 64))
+                at = lambda: np.minimum(np.searchsorted(hi, rng.random(len(x)) * hi[-1], side="right"), len(x) - 1)  # noqa: E731, B023
+                found.append([float(x[at()].mean()) for _ in range(draws)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.float64()))], names=["group", "m"])
+
+    kind = matches.schema["group"].dataType.simpleString()
+    means = rows.mapInArrow(run, f"group {kind}, m array<double>").select("group", F.explode("m").alias("m"))
     return means.groupBy("group").agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))

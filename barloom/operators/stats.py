@@ -6,8 +6,10 @@ Functions take long tables and the columns that key a series; nothing is collect
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -260,20 +262,35 @@ def moving_average_sweep(df: DataFrame, windows: Sequence[int], fee: float = 0.0
     return out if top is None else out.orderBy(F.desc("sharpe"), "ma").limit(top)
 
 
-def bootstrap_drawdowns(returns: DataFrame, by: Sequence[str], paths: int, periods: int, block: int = 20, seed: int = 7) -> DataFrame:
+def bootstrap_drawdowns(returns: DataFrame, by: Sequence[str], paths: int = 2_000, periods: int | None = None, block: int = 20, seed: int = 7) -> DataFrame:
     """Largest drawdown of circular block-bootstrap paths, at the 50th, 95th and 99th percentile.
 
-    Draws come from a hash of series, path and block, so they repeat. ``returns``: by, ret, date.
+    Paths are as long as the series unless ``periods`` is given. A series is one array that
+    tasks of 100 paths share; draws are seeded by series and path, so they repeat.
+    ``returns``: by, ret, date; returns must exceed -1.
     """
-    w = Window.partitionBy(*by)
-    rows = returns.filter(F.col("ret").isNotNull()).select(*by, "ret", (F.row_number().over(w.orderBy("date")) - 1).alias("k"), F.count("ret").over(w).alias("n"))
-    size = rows.select(*by, "n").distinct()
-    blocks = -(-periods // block)
-    drawn = size.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(paths - 1))).alias("path")).select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    start = F.pmod(F.xxhash64(*by, "path", "b", F.lit(seed)), F.col("n"))
-    steps = drawn.withColumn("start", start).select("*", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("o")).withColumn("t", F.col("b") * block + F.col("o")).filter(F.col("t") < periods)
-    steps = steps.withColumn("k", F.pmod(F.col("start") + F.col("o"), F.col("n"))).join(rows.drop("n"), [*by, "k"])
-    worst = drawdowns(steps, [*by, "path"], "ret", "t").groupBy(*by, "path").agg(F.min("drawdown").alias("mdd"))
+    series = returns.filter(F.col("ret").isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("date", "ret"))).alias("s"))
+    own = F.xxhash64(*by, F.lit(seed)).alias("own")
+    parts = series.select(*by, own, F.col("s.ret").cast("array<double>").alias("ret"), F.explode(F.sequence(F.lit(0), F.lit(paths - 1), F.lit(100))).alias("first"))
+    k = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            worst = []
+            for own, ret, first in zip(*(b.column(k + i) for i in range(3)), strict=True):
+                x = np.log1p(ret.values.to_numpy())
+                size = periods or len(x)
+                found = []
+                for path in range(first.as_py(), min(first.as_py() + 100, paths)):
+                    start = np.random.default_rng([own.as_py() % (1 << 64), path]).integers(0, len(x), -(-size // block))
+                    at = (start[:, None] + np.arange(block)).ravel()[:size] % len(x)
+                    equity = np.exp(np.cumsum(x[at]))
+                    found.append(float((equity / np.maximum.accumulate(equity) - 1).min()))
+                worst.append(found)
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(worst, pa.list_(pa.float64()))], names=[*by, "mdd"])
+
+    kinds = ", ".join(f"`{c}` {returns.schema[c].dataType.simpleString()}" for c in by)
+    worst = parts.repartition(*by, "first").mapInArrow(run, f"{kinds}, mdd array<double>").select(*by, F.explode("mdd").alias("mdd"))
     return worst.groupBy(*by).agg(F.count("mdd").alias("paths"), *(F.percentile(-F.col("mdd"), F.lit(p)).alias(f"mdd_p{round(100 * p)}") for p in (0.5, 0.95, 0.99)))
 
 

@@ -186,7 +186,7 @@ def average_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_drawdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.bootstrap_drawdowns(strategy_returns(spark, sf_dir), ["ticker"], paths=50, periods=120))
+    return rounded(stats.bootstrap_drawdowns(strategy_returns(spark, sf_dir), ["ticker"]))
 
 
 @query(

@@ -119,6 +119,24 @@ def test_every_signal_of_a_long_run_has_its_order(spark):
     assert catalog.queries()["paper_orders"](spark, base).count() == spark.read.parquet(f"{base}/events.parquet").count()
 
 
+def test_bootstraps_draw_the_whole_job(spark):
+    from barloom.operators import events
+    from barloom.plans import catalog
+
+    days = [date(2020, 1, 1) + timedelta(days=i) for i in range(300)]
+    falls = spark.createDataFrame([("a", d, -0.01) for d in days], "ticker string, date date, ret double")
+    r = stats.bootstrap_drawdowns(falls, ["ticker"]).first()
+    assert r["paths"] == 2_000 and r["mdd_p50"] == pytest.approx(1 - 0.99**299)  # as long as the series
+    m = spark.createDataFrame([(1, float(i % 10), 1.0 + (i % 10 == 9)) for i in range(1000)], "group int, ret double, weight double")
+    r, mean = events.bootstrap_interval(m, draws=500).first(), (45 + 9) / 11
+    error = (((sum(i * i for i in range(10)) + 81) / 11 - mean**2) / 1000) ** 0.5
+    assert abs(r["mean"] - mean) < 0.3 * error and abs(r["low"] - mean + 1.96 * error) < 0.4 * error and abs(r["high"] - mean - 1.96 * error) < 0.4 * error
+    base = "/root/testdata/sf0.001"
+    assert {r["paths"] for r in catalog.queries()["bootstrap_drawdowns"](spark, base).collect()} == {2_000}
+    users = spark.read.parquet(f"{base}/events.parquet").select("user_id").distinct().count()
+    assert catalog.queries()["match_interval"](spark, base).count() == users
+
+
 def test_upsert_keeps_old_outcome(spark):
     old = spark.createDataFrame([("a", 1, 5.0), ("b", 2, None)], "id string, v int, outcome double")
     new = spark.createDataFrame([("a", 9, None), ("c", 3, 1.0)], "id string, v int, outcome double")
