@@ -26,8 +26,11 @@ NON_TERM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BYTE_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE = 0xD6E8FEB86659FD93
+#: Two independent polynomials: bases for bytes and for words, and seeds of the bytes' values.
+_BYTE_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+_VALUE_SEEDS = (0x9E3779B97F4A7C15, 0xE7037ED1A0B428DB)
+_BYTE_BASE = _BYTE_BASES[0]
 _SEGMENT = 1 << 20
 
 
@@ -42,7 +45,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_VALUE = mix64(np.arange(1, 257, dtype=U64) * U64(_BYTE_BASE))
+_BYTE_VALUES = tuple(mix64(np.arange(1, 257, dtype=U64) * U64(seed)) for seed in _VALUE_SEEDS)
 
 
 class _Powers:
@@ -64,7 +67,7 @@ class _Powers:
         return self.up, self.down
 
 
-_BYTES, _WORDS = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
+_BYTES, _WORDS = (tuple(map(_Powers, bases)) for bases in (_BYTE_BASES, _WORD_BASES))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,62 +93,84 @@ def blocks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, side="right")) - 1)
         yield lo, hi, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
+    pa.default_memory_pool().release_unused()
+
+
+def edges(data: np.ndarray, at: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte starts and ends of the runs without separators of a block's rows."""
+    n = len(data)
+    inside = ~separators[data]
+    before = np.empty(n, bool)
+    after = np.empty(n, bool)
+    if n:
+        before[0] = after[-1] = False
+        before[1:] = inside[:-1]
+        after[:-1] = inside[1:]
+        before[at[at < n]] = False
+        after[at[at > 0] - 1] = False
+    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray | None = None, nth: int = 0) -> np.ndarray:
+    """Hashes of the byte spans, which are in order and do not overlap, by polynomial ``nth``.
+
+    Over segments of about a megabyte that end between two spans; a longer span is a segment of its own.
+    """
+    out = np.empty(len(start), U64)
+    first = 0
+    value = _BYTE_VALUES[nth] if fold is None else _BYTE_VALUES[nth][fold]
+    while first < len(start):
+        lo = start[first]
+        last = max(first + 1, int(np.searchsorted(end, lo + _SEGMENT, side="right")))
+        hi = end[last - 1]
+        up, down = _BYTES[nth](hi - lo + 1)
+        sums = np.empty(hi - lo + 1, U64)
+        sums[0] = 0
+        np.cumsum(value[data[lo:hi]] * up[: hi - lo], out=sums[1:])
+        s, e = start[first:last] - lo, end[first:last] - lo
+        out[first:last] = (sums[e] - sums[s]) * down[s] + (e - s).astype(U64)
+        first = last
+    return mix64(out)
 
 
 class Tokens:
     """Words of a block: byte ``start`` and ``end``, ``ptr`` (first word of each row, n + 1), ``hash``."""
 
-    __slots__ = ("start", "end", "ptr", "hash", "_sum")
-
     def __init__(self, data: np.ndarray, at: np.ndarray, separators: np.ndarray = SPACE, lower: bool = False):
-        n = len(data)
-        inside = ~separators[data]
-        before = np.empty(n, bool)
-        after = np.empty(n, bool)
-        if n:
-            before[0] = after[-1] = False
-            before[1:] = inside[:-1]
-            after[:-1] = inside[1:]
-            before[at[at < n]] = False
-            after[at[at > 0] - 1] = False
-        self.start = np.flatnonzero(inside & ~before)
-        self.end = np.flatnonzero(inside & ~after) + 1
+        self.start, self.end = edges(data, at, separators)
         self.ptr = np.searchsorted(self.start, at)
-        self.hash = self._hash(data, separators, LOWER if lower else None)
-        self._sum = None
-
-    def _hash(self, data: np.ndarray, separators: np.ndarray, fold: np.ndarray | None) -> np.ndarray:
-        """Over segments of about a megabyte that end between two words."""
-        out = np.empty(len(self.start), U64)
-        lo, first = 0, 0
-        value = _BYTE_VALUE if fold is None else _BYTE_VALUE[fold]
-        while first < len(self.start):
-            lo = self.start[first]
-            last = max(first + 1, int(np.searchsorted(self.end, lo + _SEGMENT, side="right")))
-            hi = self.end[last - 1]
-            up, down = _BYTES(hi - lo + 1)
-            sums = np.empty(hi - lo + 1, U64)
-            sums[0] = 0
-            np.cumsum(value[data[lo:hi]] * up[: hi - lo], out=sums[1:])
-            s, e = self.start[first:last] - lo, self.end[first:last] - lo
-            out[first:last] = (sums[e] - sums[s]) * down[s] + (e - s).astype(U64)
-            first = last
-        return mix64(out)
+        self._data, self._fold = data, LOWER if lower else None
+        self._hashes: dict[int, np.ndarray] = {}
+        self._sums: dict[int, np.ndarray] = {}
+
+    def hashes(self, nth: int) -> np.ndarray:
+        if nth not in self._hashes:
+            self._hashes[nth] = span_hash(self._data, self.start, self.end, self._fold, nth)
+        return self._hashes[nth]
+
+    @property
+    def hash(self) -> np.ndarray:
+        return self.hashes(0)
 
     @property
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.ptr) - 1), np.diff(self.ptr))
 
-    def run_hash(self, first: np.ndarray, last: np.ndarray, salt: int = 0) -> np.ndarray:
-        """Hash of the words first..last-1 of each pair; equal runs of equal length have equal hashes."""
-        if self._sum is None:
-            up, _ = _WORDS(len(self.hash) + 1)
-            self._sum = np.empty(len(self.hash) + 1, U64)
-            self._sum[0] = 0
-            np.cumsum(self.hash * up[: len(self.hash)], out=self._sum[1:])
-        _, down = _WORDS(len(self.hash) + 1)
-        h = (self._sum[last] - self._sum[first]) * down[first]
-        return mix64(h ^ U64(salt) + (last - first).astype(U64) * U64(_BYTE_BASE))
+    def run_hash(self, first: np.ndarray, last: np.ndarray, nth: int = 0) -> np.ndarray:
+        """Hash of the words first..last-1 of each pair; equal runs of equal length have equal hashes.
+
+        ``nth`` 0 and 1 are independent: other values of the bytes and other bases.
+        """
+        n = len(self.start)
+        up, down = _WORDS[nth](n + 1)
+        if nth not in self._sums:
+            sums = np.empty(n + 1, U64)
+            sums[0] = 0
+            np.cumsum(self.hashes(nth) * up[:n], out=sums[1:])
+            self._sums[nth] = sums
+        sums = self._sums[nth]
+        h = (sums[last] - sums[first]) * down[first]
+        return mix64(h + (last - first).astype(U64) * U64(_BYTE_BASES[nth]))
 
     def windows(self, k: int) -> np.ndarray:
         """First words of all windows of k words that lie in one row."""
