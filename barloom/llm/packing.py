@@ -32,17 +32,20 @@ def tokenised(docs: DataFrame, tokenizer: str = WORD_TOKENIZER, separator: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        wide, end = np.dtype(enc.width).itemsize, np.array([separator], enc.width).tobytes()
+        wide = np.dtype(enc.width).itemsize
         for b in batches:
-            ids = [x + end for x in encoded(b.column(1), enc)]
-            size = np.array([len(x) // wide for x in ids], np.int64)
-            first = before + np.cumsum(size) - size
-            before += int(size.sum())
-            wide_ids = ids if wide == 2 else [np.frombuffer(x, np.uint32).tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(first), pa.array(size), pa.array(np.full(len(ids), wide, np.int8)), pa.array(wide_ids, pa.binary())],
-                names=["doc_id", "part", "first", "doc_tokens", "width", "ids"],
-            )
+            row = 0
+            for ids, ptr in encoded(b.column(1), enc):
+                ids, size = np.insert(ids, ptr[1:], separator), np.diff(ptr) + 1
+                first = before + np.cumsum(size) - size
+                before += len(ids)
+                n, ends = len(size), (np.concatenate([[0], np.cumsum(size)]) * wide).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(ids))])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(row, n), pa.array(np.full(n, part, np.int32)), pa.array(first), pa.array(size), pa.array(np.full(n, wide, np.int8)), packed],
+                    names=["doc_id", "part", "first", "doc_tokens", "width", "ids"],
+                )
+                row += n
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, part int, first long, doc_tokens long, width tinyint, ids binary")
