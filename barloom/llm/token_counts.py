@@ -12,12 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tokens import WORD_TOKENIZER, encoded, encoder
+from .scratch import Scratch
+from .tokens import WORD_TOKENIZER, encoder, token_counts
 
 #: Lengths in a block of the two-level sums.
 BLOCK = 256
@@ -28,16 +28,16 @@ def lengths(docs: DataFrame, text_col: str = "text", tokenizer: str = WORD_TOKEN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        wide = np.dtype(enc.width).itemsize
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(x) // wide for x in encoded(b.column(0), enc)], pa.int64())], names=["n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(token_counts(b.column(0), enc))], names=["n_tokens"])
 
     return docs.select(docs[text_col]).mapInArrow(run, "n_tokens long")
 
 
-def histogram(n_tokens: DataFrame) -> DataFrame:
-    """n_tokens and n_docs."""
-    return n_tokens.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+def histogram(n_tokens: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """n_tokens and n_docs, written once, as all answers read it more than once."""
+    scratch = scratch or Scratch(n_tokens.sparkSession, "token-counts")
+    return scratch.table(n_tokens.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")), "histogram")
 
 
 def answers(hist: DataFrame) -> DataFrame:
