@@ -77,9 +77,15 @@ def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
 
 
 def _same_bytes(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (sha, old_id, new_id), the digests whose two texts are equal."""
-    wanted = pairs.select("sha", F.explode(F.array("old_id", "new_id")).alias("doc_id"))
-    texts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("sha", F.encode(normalised(F.col("text")), "UTF-8").alias("raw"))
+    """Of pairs (sha, old_id, new_id), the digests whose two texts are equal.
+
+    Rows are found by id and digest, so that one of several texts of an id is the right one
+    and a null id finds its own.
+    """
+    wanted = pairs.select(F.col("sha").alias("pair_sha"), F.explode(F.array("old_id", "new_id")).alias("pair_id")).distinct()
+    texts = docs.select("doc_id", F.encode(normalised(F.col("text")), "UTF-8").alias("raw"))
+    texts = texts.withColumn("sha", F.sha2("raw", 256))
+    texts = texts.join(wanted.hint("shuffle_hash"), (F.col("sha") == F.col("pair_sha")) & F.col("doc_id").eqNullSafe(F.col("pair_id")), "left_semi")
     return texts.groupBy("sha").agg((F.min("raw") == F.max("raw")).alias("same")).filter("same").select("sha")
 
 
