@@ -19,15 +19,19 @@ EPS = 1e-12
 CASH = "__CASH__"
 
 
-def covariance(returns: DataFrame, tickers: Sequence[str] | None = None) -> DataFrame:
-    """Sample covariance and correlation of every pair over days on which all assets have a return."""
+def covariance(returns: DataFrame, tickers: Sequence[str] | None = None, complete: bool = True) -> DataFrame:
+    """Sample covariance and correlation of every pair of assets, quadratic in them.
+
+    Over days on which all assets have a return, or with ``complete`` off over those of the pair.
+    """
     rows = returns.filter(C("ret").isNotNull()).select("date", "ticker", "ret")
     if tickers is not None:
         rows = rows.filter(C("ticker").isin(*tickers))
-    full = rows.agg(F.count_distinct("ticker").alias("n"))
-    days = rows.groupBy("date").agg(F.count_distinct("ticker").alias("k")).crossJoin(F.broadcast(full)).filter("k = n").select("date")
-    kept = rows.join(days, "date", "left_semi")
-    a, b = kept.select("date", C("ticker").alias("a"), C("ret").alias("x")), kept.select("date", C("ticker").alias("b"), C("ret").alias("y"))
+    if complete:
+        full = rows.agg(F.count_distinct("ticker").alias("n"))
+        days = rows.groupBy("date").agg(F.count_distinct("ticker").alias("k")).crossJoin(full).filter("k = n").select("date")
+        rows = rows.join(days, "date", "left_semi")
+    a, b = rows.select("date", C("ticker").alias("a"), C("ret").alias("x")), rows.select("date", C("ticker").alias("b"), C("ret").alias("y"))
     return a.join(b, "date").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"), correlation(C("x"), C("y")).alias("corr"), F.count(F.lit(1)).alias("days"))
 
 
@@ -35,7 +39,7 @@ def shrunk(cov: DataFrame, share: float = 0.3) -> DataFrame:
     """Off-diagonal values shrunk to 0, variances that are not positive replaced by the median one."""
     diag = cov.filter("a = b").select(C("a").alias("k"), C("cov").alias("v"))
     middle = diag.filter(C("v") > EPS).agg(F.percentile("v", F.lit(0.5)).alias("mid"))
-    j = cov.crossJoin(F.broadcast(middle))
+    j = cov.crossJoin(middle)
     off = F.coalesce("cov", F.lit(0.0)) * (1 - share)
     return j.select("a", "b", F.when(C("a") != C("b"), off).when(C("cov") > EPS, C("cov")).otherwise(F.coalesce("mid", F.lit(1e-6))).alias("cov"))
 
@@ -49,9 +53,9 @@ def correlation_distance(cov: DataFrame) -> DataFrame:
 
 
 def _shares(df: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
-    w = Window.partitionBy(*(by or [F.lit(0)]))
     raw = df.withColumn("_v", value)
-    return raw.withColumn("weight", ratio(C("_v"), F.sum("_v").over(w))).drop("_v")
+    total = raw.groupBy(*by).agg(F.sum("_v").alias("_t"))
+    return (raw.join(total, list(by)) if by else raw.crossJoin(total)).withColumn("weight", ratio(C("_v"), C("_t"))).drop("_v", "_t")
 
 
 def inverse_variance(returns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -74,7 +78,7 @@ def portfolio_returns(weights: DataFrame, returns: DataFrame) -> DataFrame:
 
 def portfolio_cvar(daily: DataFrame, alpha: float = 0.05, least: int = 20) -> DataFrame:
     cut = daily.agg(F.percentile("ret", F.lit(alpha)).alias("cut"), F.count("ret").alias("n"))
-    return daily.crossJoin(F.broadcast(cut)).agg(F.when(F.max("n") >= least, -F.avg(F.when(C("ret") <= C("cut"), C("ret")))).otherwise(0.0).alias("cvar"))
+    return daily.crossJoin(cut).agg(F.when(F.max("n") >= least, -F.avg(F.when(C("ret") <= C("cut"), C("ret")))).otherwise(0.0).alias("cvar"))
 
 
 def turnover(target: DataFrame, current: DataFrame, cost_bps: float = 5.0) -> DataFrame:
@@ -85,16 +89,17 @@ def turnover(target: DataFrame, current: DataFrame, cost_bps: float = 5.0) -> Da
 def capped_turnover(target: DataFrame, current: DataFrame, cap: float) -> DataFrame:
     """Weights moved towards the target as far as the cap allows."""
     both = target_vs_current(target, current)
-    total = F.sum(F.abs(C("target") - C("current"))).over(Window.partitionBy(F.lit(0)))
-    scale = F.when(total > cap + EPS, cap / total).otherwise(1.0)
-    return both.withColumn("weight", C("current") + scale * (C("target") - C("current"))).select("ticker", "weight")
+    total = both.agg(F.sum(F.abs(C("target") - C("current"))).alias("total"))
+    scale = F.when(C("total") > cap + EPS, cap / C("total")).otherwise(1.0)
+    return both.crossJoin(total).withColumn("weight", C("current") + scale * (C("target") - C("current"))).select("ticker", "weight")
 
 
 def turnover_shrink(target: DataFrame, current: DataFrame, penalty: float) -> DataFrame:
     """The blend of target and current that balances squared error against L1 turnover, in closed form."""
-    both, w, d = target_vs_current(target, current), Window.partitionBy(F.lit(0)), C("target") - C("current")
-    alpha = F.greatest(F.lit(0.0), 1 - penalty * ratio(F.sum(F.abs(d)).over(w), 2 * F.sum(d * d).over(w)))
-    return both.withColumn("weight", C("current") + F.coalesce(alpha, F.lit(1.0)) * d).select("ticker", "weight")
+    both, d = target_vs_current(target, current), C("target") - C("current")
+    total = both.agg(ratio(F.sum(F.abs(d)), 2 * F.sum(d * d)).alias("share"))
+    alpha = F.greatest(F.lit(0.0), 1 - penalty * C("share"))
+    return both.crossJoin(total).withColumn("weight", C("current") + F.coalesce(alpha, F.lit(1.0)) * d).select("ticker", "weight")
 
 
 def capped(weights: DataFrame, cap: float, by: Sequence[str], budget: float = 1.0, rounds: int = 20) -> DataFrame:
@@ -121,7 +126,8 @@ def capped(weights: DataFrame, cap: float, by: Sequence[str], budget: float = 1.
 def orders(target: DataFrame, current: DataFrame, value: float, least: float = 100.0, cost_share: float = 0.0) -> DataFrame:
     """Trades from current values (ticker, value) to target weights (ticker, target_weight, price)."""
     positive = F.greatest("target_weight", F.lit(0.0))
-    t = target.select("ticker", "price", (ratio(positive, F.sum(positive).over(Window.partitionBy(F.lit(0)))) * value).alias("target_value"))
+    total = target.agg(F.sum(positive).alias("total"))
+    t = target.crossJoin(total).select("ticker", "price", (ratio(positive, C("total")) * value).alias("target_value"))
     both = t.join(current.select("ticker", C("value").alias("held")), "ticker", "full_outer")
     delta = F.coalesce("target_value", F.lit(0.0)) - F.coalesce("held", F.lit(0.0))
     floor = max(least, cost_share * value * 0.5)
@@ -175,13 +181,21 @@ def sorted_quantile(values: Column, level: Column, higher: bool = False) -> Colu
 def conformal_quantiles(residuals: DataFrame, alpha: float = 0.1, least: int = 30) -> DataFrame:
     """Per (regime, horizon) the finite-sample quantile of |residual|, that of the horizon where few.
 
-    A calibration pool is bounded by its window, so its residuals are one array.
+    Each pool is ranked in a window, so a pool may be of any size; the linear quantile lies
+    between the two ranks around its level.
     """
-    n = C("n").cast("double")
-    sets = residuals.groupingSets([["regime", "horizon"], ["horizon"]], "regime", "horizon").agg(F.array_sort(F.collect_list(F.abs("residual"))).alias("v"), F.count(F.lit(1)).alias("n"), F.grouping("regime").alias("all"))
-    q = sets.withColumn("q", sorted_quantile(C("v"), F.least(F.lit(1.0), F.ceil((n + 1) * (1 - alpha)) / n)))
-    every = q.filter("all = 1").select("horizon", C("q").alias("q_all"))
-    return q.filter("all = 0").join(every, "horizon").select("regime", "horizon", "n", F.when(C("n") >= least, C("q")).otherwise(C("q_all")).alias("q"), (C("n") < least).alias("fallback"))
+    sizes = lambda *by: Window.partitionBy(*by)
+
+    def of(*by: str) -> DataFrame:
+        rows = residuals.select(*by, F.abs("residual").alias("v")).filter("v is not null")
+        ranked = rows.withColumn("k", F.row_number().over(sizes(*by).orderBy("v")) - 1).withColumn("n", F.count(F.lit(1)).over(sizes(*by)))
+        at = F.least(F.lit(1.0), F.ceil((C("n") + 1) * (1 - alpha)) / C("n")) * (C("n") - 1)
+        near = ranked.withColumn("at", at).filter(C("k").between(F.floor("at"), F.ceil("at")))
+        low, top = F.min("v"), F.max("v")
+        return near.groupBy(*by).agg(F.max("n").alias("n"), (low + (F.max("at") - F.floor(F.max("at"))) * (top - low)).alias("q"))
+
+    every = of("horizon").select("horizon", C("q").alias("q_all"))
+    return of("regime", "horizon").join(every, "horizon").select("regime", "horizon", "n", F.when(C("n") >= least, C("q")).otherwise(C("q_all")).alias("q"), (C("n") < least).alias("fallback"))
 
 
 def confidence(score: Column, q: Column) -> Column:

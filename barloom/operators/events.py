@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ratio
+from ..functions.scalars import clip, ratio
+from .folds import ordered_fold
 
 C = F.col
 
@@ -52,7 +53,7 @@ def relevance(topics_: Column, volume: Column, diversity: Column, tone: Column,
     home = F.when(_holds(F.lower(F.concat_ws(" ", place, headline)), HOME_WORDS), 1.0).otherwise(0.55)
     size = F.log1p(F.greatest(volume, F.lit(0.0))) / F.log1p(F.lit(1000.0))
     spread = F.log1p(F.greatest(diversity, F.lit(0.0))) / F.log1p(F.lit(100.0))
-    return 0.35 * best + 0.25 * size + 0.20 * spread + 0.10 * F.least(F.abs(tone) / 10, F.lit(1.0)) + 0.10 * home
+    return clip(0.35 * best + 0.25 * size + 0.20 * spread + 0.10 * F.least(F.abs(tone) / 10, F.lit(1.0)) + 0.10 * home)
 
 
 def normalised_events(df: DataFrame) -> DataFrame:
@@ -108,27 +109,22 @@ def volatility_windows(bars: DataFrame, z: float = 3.0, quantile: float = 0.97,
 
 
 def stable_regimes(signals: DataFrame, confirm: int = 2, cool_off: int = 3) -> DataFrame:
-    """Regimes with hysteresis: worse at once; better only after ``confirm`` days in a row and a cool-off.
+    """Regimes with hysteresis: worse at once; better only after ``confirm`` days in a row and a cool-off."""
+    rank = {"GREEN": 0, "RED": 2}
 
-    An ordered fold of one array per ticker.
-    """
-    rank = lambda r: F.when(r == "GREEN", 0).when(r == "RED", 2).otherwise(1)
-    days = signals.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", "regime"))).alias("d"))
-    first = F.get("d", F.lit(0))["regime"]
-    start = F.struct(first.alias("now"), F.lit(0).alias("changed"), F.lit(-1).alias("i"), first.alias("last"), F.lit(0).alias("run"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        i, r = a["i"] + 1, x["regime"]
-        run = F.when(r == a["last"], a["run"] + 1).otherwise(F.lit(1))
-        worse = rank(r) > rank(a["now"])
-        better = (r != a["now"]) & (i - a["changed"] >= cool_off) & (run >= confirm) & ~worse
-        now = F.when((i > 0) & (worse | better), r).otherwise(a["now"])
-        changed = F.when((i > 0) & (worse | better), i).otherwise(a["changed"])
-        return F.struct(now.alias("now"), changed.alias("changed"), i.alias("i"), r.alias("last"), run.alias("run"), F.concat(a["out"], F.array(now)).alias("out"))
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        i, now, changed, last, run = state
+        r = row[2]
+        if i < 0:
+            now, last = r, r
+        i, run = i + 1, run + 1 if r == last else 1
+        worse = rank.get(r, 1) > rank.get(now, 1)
+        if i and (worse or (r != now and i - changed >= cool_off and run >= confirm)):
+            now, changed = r, i
+        return (i, now, changed, r, run), (now,)
 
-    folded = days.select("ticker", "d", F.aggregate("d", start, step, lambda a: a["out"]).alias("out"))
-    zipped = F.inline(F.arrays_zip(F.transform("d", lambda s: s["date"]).alias("date"), F.transform("d", lambda s: s["regime"]).alias("raw"), C("out").alias("regime")))
-    return folded.select("ticker", zipped)
+    rows = signals.select("ticker", "date", C("regime").alias("raw"))
+    return ordered_fold(rows, "ticker", ["date"], lambda: (-1, None, 0, None, 0), step, "regime string")
 
 
 def overlay(bars: DataFrame, target_vol: float = 0.15, window: int = 20, most: float = 1.0, bps: float = 5.0) -> DataFrame:
@@ -145,19 +141,18 @@ def overlay(bars: DataFrame, target_vol: float = 0.15, window: int = 20, most: f
 
 
 def breaker(daily: DataFrame, off: float = 0.20, on: float = 0.05) -> DataFrame:
-    """Weights set to 0 from a drawdown of ``off`` until it has come back within ``on``: a fold per ticker."""
-    days = daily.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", "held", "ret"))).alias("d"))
-    start = F.struct(F.lit(1.0).alias("eq"), F.lit(1.0).alias("peak"), F.lit(False).alias("cut"), F.array().cast("array<double>").alias("out"))
+    """Weights set to 0 from a drawdown of ``off`` until it has come back within ``on``."""
 
-    def step(a: Column, x: Column) -> Column:
-        peak = F.greatest(a["peak"], a["eq"])
-        down = a["eq"] / peak - 1
-        cut = F.when(a["cut"], down < -on).otherwise(down <= -off)
-        held = F.when(cut, 0.0).otherwise(x["held"])
-        return F.struct((a["eq"] * (1 + held * x["ret"])).alias("eq"), peak.alias("peak"), cut.alias("cut"), F.concat(a["out"], F.array(held)).alias("out"))
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        equity, peak, cut = state
+        peak = max(peak, equity)
+        down = equity / peak - 1
+        cut = down < -on if cut else down <= -off
+        held = 0.0 if cut else row[3]
+        return (equity * (1 + held * row[2]), peak, cut), (held,)
 
-    folded = days.select("ticker", "d", F.aggregate("d", start, step, lambda a: a["out"]).alias("out"))
-    return folded.select("ticker", F.inline(F.arrays_zip(F.transform("d", lambda s: s["date"]).alias("date"), F.transform("d", lambda s: s["ret"]).alias("ret"), C("out").alias("held"))))
+    rows = daily.select("ticker", "date", C("ret").cast("double").alias("ret"), C("held").cast("double").alias("wanted"))
+    return ordered_fold(rows, "ticker", ["date"], lambda: (1.0, 1.0, False), step, "held double").drop("wanted")
 
 
 def similar(queries: DataFrame, items: DataFrame, k: int = 7, floor: float = 0.30) -> DataFrame:
@@ -173,6 +168,23 @@ def similar(queries: DataFrame, items: DataFrame, k: int = 7, floor: float = 0.3
     return scored.filter(C("cosine") >= floor).withColumn("nth", F.row_number().over(w)).filter(C("nth") <= k)
 
 
+def ticker_context(bars: DataFrame, back: int = 20, n: int = 20) -> DataFrame:
+    """Per ticker the return over the last ``back`` bars and the z-score of the last return; 0 where bars are few."""
+    w = Window.partitionBy("ticker").orderBy("date")
+    frame = w.rowsBetween(-(n - 1), 0)
+    rows = bars.withColumns({"ret": F.coalesce(C("close") / F.lag("close").over(w) - 1, F.lit(0.0)), "bars": F.count(F.lit(1)).over(Window.partitionBy("ticker")), "then": F.lag("close", back).over(w)})
+    spread = F.stddev_pop("ret").over(frame)
+    z = F.when((C("bars") >= n + 2) & (spread > 1e-9), (C("ret") - F.avg("ret").over(frame)) / spread).otherwise(0.0)
+    rows = rows.withColumns({"vol_z": z, "back": F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))})
+    return rows.filter("back = 1").select("ticker", F.coalesce(C("close") / C("then") - 1, F.lit(0.0)).alias("recent_return"), "vol_z")
+
+
+def pattern_confidence(low_pct: Column, high_pct: Column) -> Column:
+    """high, medium or low by the width of an interval in percent."""
+    width = high_pct - low_pct
+    return F.when(width > 5, "low").when(width > 2, "medium").otherwise("high")
+
+
 def bootstrap_interval(matches: DataFrame, draws: int = 200, seed: int = 7) -> DataFrame:
     """Percentile interval of the weighted mean return by redrawing matches (group, ret, weight)."""
     each = matches.filter(C("ret").isNotNull() & (C("weight") > 0)).groupBy("group").agg(F.array_sort(F.collect_list(F.struct(C("ret").cast("double").alias("ret"), C("weight").cast("double").alias("weight")))).alias("m"))

@@ -141,9 +141,10 @@ def amihud() -> Column:
 
 @register("trend_cross", "trend", 60)
 def trend_cross() -> Column:
-    """1 while the fast average is above the slow one and RSI is below its ceiling; 0 before 60 bars."""
+    """1 while the fast average is above the slow one, RSI is below its ceiling and the closed
+    weeks do not fall; 0 before 60 bars. Without enough weeks the regime counts as rising."""
     n = F.row_number().over(by_ticker())
-    up = (C("ema_12") > C("ema_26")) & (rsi(14) < 70)
+    up = (C("ema_12") > C("ema_26")) & (rsi(14) < 70) & (F.coalesce("weekly_regime", F.lit(1.0)) > 0)
     return F.when(n < 60, 0.0).otherwise(F.coalesce(up.cast("double"), F.lit(0.0)))
 
 

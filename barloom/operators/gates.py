@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clip, lookup, normalised, reasons, severity, spread, worst_verdict
+from ..functions.scalars import clip, first_number, lookup, normalised, reasons, severity, spread, worst_verdict
 
 C = F.col
 
@@ -121,7 +121,8 @@ def audit_evidence(events: DataFrame) -> DataFrame:
 
 
 def volume_breakout(volume: Column, mean: Column, close: Column, upper: Column) -> Column:
-    return F.coalesce((volume >= 3 * mean) & (close >= 0.995 * upper), F.lit(False))
+    """Volume three times its mean (at least 1) at or just under the upper band."""
+    return F.coalesce((volume / F.greatest(mean, F.lit(1.0)) >= 3) & (close >= 0.995 * upper), F.lit(False))
 
 
 def event_shock(category: Column, sentiment: Column, signal: Column, shocking: Sequence[str]) -> Column:
@@ -142,6 +143,36 @@ def conflicts(values: Column, name: str) -> Column:
     return reasons((F.size(F.array_distinct(F.array_compact(values))) > 1, name))
 
 
+def source_conflicts(signal: Column, rec_signal: Column, benchmark: Column, rec_mode: Column, sources: Column, modes: Column, times: Column, scores: Column) -> Column:
+    """Reasons why a signal, its recommendation and its backtest do not belong together."""
+    static = normalised(rec_mode).isin("FILE", "FILE_STATIC", "STATIC", "STATIC_FILE", "SNAPSHOT", "FILE_SNAPSHOT")
+    said = lambda x: normalised(x) != ""
+    apart = lambda xs: F.size(F.array_distinct(F.filter(F.transform(xs, normalised), lambda v: v != ""))) > 1
+    return reasons(
+        (static, "REC_USES_FILE_STATIC_SNAPSHOT"),
+        (said(signal) & said(rec_signal) & (normalised(signal) != normalised(rec_signal)), "SIGNAL_REC_SOURCE_MISMATCH"),
+        (said(signal) & said(benchmark) & (normalised(signal) != normalised(benchmark)), "SIGNAL_BENCHMARK_MISMATCH"),
+        (apart(sources), "SIGNAL_REC_BACKTEST_SOURCE_MISMATCH"),
+        (apart(modes), "SIGNAL_REC_BACKTEST_MODE_MISMATCH"),
+        (apart(times), "SIGNAL_REC_BACKTEST_TIMESTAMP_MISMATCH"),
+        (model_disagreement(scores), "MODEL_DISAGREEMENT"),
+    )
+
+
+def lag_conflicts(closed: Column, eod: Column, bar_type: Column, source: Column, external: Column, evidence: Column, shock: Column, signal: Column, breakout: Column) -> Column:
+    """Reasons why the last bar cannot be trusted yet, or an event contradicts the signal."""
+    known = lambda x: F.coalesce(x, F.lit(False))
+    kind = normalised(bar_type)
+    cached = normalised(source).contains("CACHE") | kind.contains("CACHE") | kind.contains("INTRADAY")
+    unlocked = known(closed) & (~(known(eod) & kind.isin("EOD_FINAL", "FINAL_EOD")) | cached)
+    return reasons(
+        (unlocked, "EOD_FINAL_BAR_NOT_LOCKED"),
+        (known(external) & ~known(evidence), "EXTERNAL_MARKET_VALUES_NOT_LOCKED"),
+        (known(shock) & (normalised(signal) == "SELL"), "EVENT_SHOCK_SIGNAL_CONFLICT"),
+        (known(breakout) & unlocked, "VOLUME_BREAKOUT_REQUIRES_FINAL_BAR"),
+    )
+
+
 def readiness(hard: Column, lag: Column, source: Column, failures: Column, score: Column) -> Column:
     """Status and capped score from reason arrays, the first kind that has any deciding."""
     status = ladder((F.size(hard) > 0, "RED_BLOCKED"), (F.size(lag) > 0, "AMBER_DATA_LAG_EVENT_CONFLICT"), (F.size(source) > 0, "AMBER_SOURCE_CONFLICT"), (F.size(failures) > 0, "AMBER_GATE_FAILURES"), other="READY")
@@ -150,10 +181,54 @@ def readiness(hard: Column, lag: Column, source: Column, failures: Column, score
 
 
 def live_review(checks: dict[str, Column], paper: Sequence[str]) -> Column:
-    """LIVE_REVIEW_CANDIDATE if all gates pass, PAPER_PASS if those for paper do, else AMBER."""
+    """LIVE_REVIEW_CANDIDATE if all gates pass, PAPER_PASS if those for paper do, else AMBER_WATCHLIST."""
     failed = reasons(*((~F.coalesce(c, F.lit(False)), name) for name, c in checks.items()))
     of_paper = F.array_intersect(failed, F.array(*map(F.lit, paper)))
-    return F.struct(ladder((F.size(failed) == 0, "LIVE_REVIEW_CANDIDATE"), (F.size(of_paper) == 0, "PAPER_PASS"), other="AMBER").alias("status"), failed.alias("failed"))
+    return F.struct(ladder((F.size(failed) == 0, "LIVE_REVIEW_CANDIDATE"), (F.size(of_paper) == 0, "PAPER_PASS"), other="AMBER_WATCHLIST").alias("status"), failed.alias("failed"))
+
+
+def readiness_snapshot(tickers: DataFrame, paths: DataFrame, pbo: DataFrame, dsr: DataFrame, paper: DataFrame, cards: DataFrame) -> DataFrame:
+    """Evidence of several reports per ticker, first known names first, and the live review of it.
+
+    ``paths``: pass_rate or path_pass_rate; ``pbo``; ``dsr``: deflated_sharpe or dsr; ``paper``:
+    days, alpha, violations; ``cards``: the tickers that have a model card.
+    """
+    first = lambda df, *names: df.select("ticker", first_number(*(C(n) for n in names if n in df.columns)).alias(names[0]))
+    every = tickers.select("ticker").distinct()
+    for report in (first(paths, "pass_rate", "path_pass_rate"), first(pbo, "pbo", "probability_of_backtest_overfitting"), first(dsr, "deflated_sharpe", "dsr"), paper.select("ticker", "days", "alpha", "violations")):
+        every = every.join(report, "ticker", "left")
+    every = every.join(cards.select("ticker", F.lit(True).alias("card")).distinct(), "ticker", "left").withColumn("card", F.coalesce("card", F.lit(False)))
+    checks = {
+        "CPCV_PATH_RATE": C("pass_rate") >= 0.6, "PBO": C("pbo") <= 0.2, "DEFLATED_SHARPE": C("deflated_sharpe") > 0, "FORWARD_PAPER_DAYS": C("days") >= 30,
+        "FORWARD_PAPER_ALPHA": C("alpha") >= 0, "RULE_VIOLATIONS": C("violations") <= 0, "MODEL_CARD_PRESENT": C("card"),
+    }
+    return every.withColumn("decision", live_review(checks, ("CPCV_PATH_RATE", "PBO", "DEFLATED_SHARPE", "MODEL_CARD_PRESENT")))
+
+
+def strategy_validation(sharpe: Column, calmar: Column, mdd_pct: Column, hit_rate: Column, paper_only: Column, halted: Column) -> Column:
+    """Named checks of a strategy's metrics and the verdict; a short hit rate warns but does not fail."""
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    ok = {"BACKTEST_HONESTY": F.coalesce(paper_only, F.lit(False)), "SHARPE": zero(sharpe) >= 0.5, "CALMAR": zero(calmar) >= 0.3, "MAX_DRAWDOWN": F.abs(zero(mdd_pct)) <= 15, "TARGET_RETURN_10PCT": zero(hit_rate) >= 0.33}
+    other = {"BACKTEST_HONESTY": "FAIL", "MAX_DRAWDOWN": "FAIL"}
+    checks = F.array(*(F.struct(F.lit(k).alias("rule"), F.when(v, "PASS").otherwise(other.get(k, "WARN")).alias("status")) for k, v in ok.items()))
+    good = ok["BACKTEST_HONESTY"] & ok["SHARPE"] & ok["CALMAR"] & ok["MAX_DRAWDOWN"]
+    return F.struct(checks.alias("checks"), ladder((halted, "BLOCKED_RISK_HALT"), (good, "CONDITIONAL_PASS_PAPER_TRADING_CANDIDATE"), other="NOT_PASS").alias("verdict"))
+
+
+def sizing_regime(atr_pct: Column, fast: Column, slow: Column) -> Column:
+    """Coarse regime for sizing and the probability of a crisis that it stands for."""
+    atr, fast, slow = (F.coalesce(x, F.lit(0.0)) for x in (atr_pct, fast, slow))
+    label = ladder((atr >= 0.08, "CRISIS"), (slow >= 0.5, "TREND"), ((fast >= 0.5) & (atr <= 0.05), "CALM"), (atr >= 0.05, "RISK"), other="CALM")
+    return F.struct(label.alias("regime"), lookup(label, {"CRISIS": 1.0, "RISK": 0.5}, 0.0).alias("crisis_prob"))
+
+
+def scenarios(entry: Column, stop: Column, tp1: Column, tp2: Column, prob: Column) -> Column:
+    """Bull, base and bear price, return in percent and probability of a risk plan."""
+    middle = entry + (tp1 - entry) * 0.5
+    share = lambda p: F.round((p - entry) / F.nullif(entry, F.lit(0.0)) * 100, 1)
+    bull, bear = F.round(F.greatest(F.lit(0.1), F.least(F.lit(0.55), prob * 0.55)), 2), F.round(F.greatest(F.lit(0.1), F.least(F.lit(0.45), (1 - prob) * 0.65)), 2)
+    row = lambda name, price, p: F.struct(F.lit(name).alias("scenario"), price.alias("price"), F.coalesce(share(price), F.lit(0.0)).alias("return_pct"), p.alias("probability"))
+    return F.array(row("bull", tp2, bull), row("base", middle, F.round(F.greatest(F.lit(0.1), 1 - bull - bear), 2)), row("bear", stop, bear))
 
 
 @dataclass(frozen=True)
@@ -309,20 +384,31 @@ def honesty_summary(rows: DataFrame) -> DataFrame:
     return each.agg(*(F.count_if(C("c.status") == s).alias(s.lower()) for s in STATUS), F.max(F.when(C("pbo").between(0, 1), C("pbo"))).alias("max_pbo"), F.element_at(F.array(*map(F.lit, STATUS)), worst + 1).alias("status"))
 
 
-def forward_review(days: Column, alpha: Column, violations: Column, missing: Column, mdd: Column, least_days: int = 20, limit: float = 10.0) -> Column:
-    return ladder((violations > 0, "RED"), (days < least_days, "AMBER"), (missing > 0, "AMBER"), ((alpha > 0) & (mdd <= limit), "PASS"), other="AMBER")
+def forward_review(days: Column, alpha: Column, violations: Column, missing: Column, mdd: Column, target: Column | int = 30, limit: float = 20.0) -> Column:
+    """PASS if enough days, no loss against the benchmark, no violation, nothing missing and a small drawdown."""
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    return ladder((zero(days) < target, "FAIL"), (zero(alpha) < 0, "FAIL"), (zero(violations) > 0, "FAIL"), (zero(missing) > 0, "FAIL"), (zero(mdd) > limit, "FAIL"), other="PASS")
+
 
+def sequential_promotion(new: Column, old: Column, weeks: Column, effect: float = 0.02, alpha: float = 0.05, beta: float = 0.20, sequential: bool = True) -> Column:
+    """Wald's test on Brier scores (lower is better) of a candidate against the model in use.
 
-def sequential_promotion(new: Column, old: Column, sd: Column, n: Column, effect: float = 0.02, alpha: float = 0.05, beta: float = 0.20) -> Column:
-    """Wald's test of an improvement by ``effect`` against none; CONTINUE under four observations."""
+    CONTINUE under four weeks and between the bounds. Not ``sequential``: promote beyond five percent.
+    """
     import math
 
-    llr = n * effect * ((new - old) - effect / 2) / F.nullif(sd * sd, F.lit(0.0))
-    return ladder((n < 4, "CONTINUE"), (llr.isNull() & (new - old > 0.05 * F.abs(old)), "PROMOTE"), (llr >= math.log((1 - beta) / alpha), "PROMOTE"), (llr <= math.log(beta / (1 - alpha)), "REJECT"), other="CONTINUE")
+    better = old - new
+    if not sequential:
+        return F.when(better / F.greatest(F.abs(old), F.lit(1e-9)) > 0.05, "PROMOTE").otherwise("STOP")
+    sigma = F.sqrt(2.0 * old * F.greatest(1 - old, F.lit(1e-9)) / weeks)
+    z = (better - effect) / F.greatest(sigma, F.lit(1e-9))
+    return ladder((weeks < 4, "CONTINUE"), (z >= math.log((1 - beta) / alpha), "PROMOTE"), (z <= math.log(beta / (1 - alpha)), "STOP"), other="CONTINUE")
 
 
-def advisor_route(a: Column, b: Column, confidence_a: Column, confidence_b: Column, limit: float = 0.25) -> Column:
-    return F.when(F.coalesce(F.abs(a - b) * confidence_a * confidence_b, F.lit(0.0)) >= limit, "deep").otherwise("shallow")
+def advisor_route(a: Column, b: Column, confidence_a: Column, confidence_b: Column, apart: float = 0.5, least: float = 0.3) -> Column:
+    """deep where two advisors that are sure of it disagree."""
+    deep = (F.abs(a - b) > apart) & (confidence_a * confidence_b > least)
+    return F.when(F.coalesce(deep, F.lit(False)), "deep").otherwise("shallow")
 
 
 def policy_verdict(stress: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -337,8 +423,14 @@ def forward_month(ret: Column, mdd: Column) -> Column:
     return F.when((ret >= -0.02) & (mdd >= -0.05), "PASS").otherwise("FAIL")
 
 
-def sleeve_warnings(weight: Column, ret: Column, cap: float, return_cap: float, floor: float) -> Column:
-    return reasons((weight > cap, "WEIGHT_CAP"), (ret > return_cap, "RETURN_CAP"), (ret < floor, "RETURN_FLOOR"))
+def sleeve_warnings(weight: Column, ret: Column, heavy: float = 0.20, loss: float = -0.05, cap: float | None = None, floor: float | None = None) -> Column:
+    """A heavy sleeve that lost in the month, and breaches of its own cap and floor."""
+    rules = [((weight > heavy) & (ret < loss), "FORWARD_LOSS")]
+    if cap is not None:
+        rules.append((weight > cap, "WEIGHT_CAP_BREACH"))
+    if floor is not None:
+        rules.append((weight < floor, "WEIGHT_FLOOR_BREACH"))
+    return reasons(*rules)
 
 
 def require_sound(df: DataFrame, least: int = 10) -> DataFrame:

@@ -43,6 +43,18 @@ def information_coefficient(df: DataFrame, factor: str, target: str, by: Sequenc
     return rows.groupBy(*by).agg(F.count("f").alias("n"), F.when(enough, correlation(F.col("f"), F.col("r"))).alias("ic"))
 
 
+def rolling_rank_ic(df: DataFrame, factor: str, target: str, n: int = 21) -> DataFrame:
+    """Spearman correlation over each ticker's last n pairs; null without variance in either."""
+    w = Window.partitionBy("ticker").orderBy("date").rowsBetween(-(n - 1), 0)
+    rows = df.select("ticker", "date", F.col(factor).alias("f"), F.col(target).alias("r")).dropna()
+    last = rows.withColumns({"fs": F.collect_list("f").over(w), "rs": F.collect_list("r").over(w)}).filter(F.size("fs") == n)
+    ranks = lambda xs: F.transform(xs, lambda x: F.size(F.filter(xs, lambda y: y < x)) + (F.size(F.filter(xs, lambda y: y == x)) + 1) / 2.0 - (n + 1) / 2.0)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    ranked = last.withColumns({"fs": ranks(F.col("fs")), "rs": ranks(F.col("rs"))})
+    scale = F.sqrt(dot("fs", "fs") * dot("rs", "rs"))
+    return ranked.select("ticker", "date", ratio(dot("fs", "rs"), scale).alias("ic"))
+
+
 def information_ratio(ics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return ics.groupBy(*by).agg(F.avg("ic").alias("mean_ic"), ratio(F.avg("ic"), F.stddev_samp("ic")).alias("ir"), F.count("ic").alias("n"))
 
@@ -232,7 +244,8 @@ def two_factor_regression(df: DataFrame, y: str, x1: str, x2: str, n: int = 60)
 
 def stress_replay(returns: DataFrame, scenarios: DataFrame, by: Sequence[str]) -> DataFrame:
     """Performance inside each scenario (scenario, start, end)."""
-    hit = returns.join(F.broadcast(scenarios), (F.col("date") >= F.col("start")) & (F.col("date") <= F.col("end")))
+    days = scenarios.select("scenario", F.explode(F.sequence("start", "end")).alias("date"))  # so that the join is by equality
+    hit = returns.join(days, "date")
     return performance(hit, [*by, "scenario"])
 
 

@@ -59,11 +59,23 @@ def adjusted(bars: DataFrame, actions: DataFrame, dividends: bool = True) -> Dat
     return out.withColumns(prices | {"adj_volume": F.col("volume") / F.when(F.col("factor") > 0, F.col("factor")).otherwise(1.0)})
 
 
-def next_session(days: DataFrame, calendar: DataFrame, day: str = "day") -> DataFrame:
-    """Adds ``session``: the first calendar day at or after ``day``; null beyond the calendar."""
-    keyed = days.withColumn("_all", F.lit(0))
-    sessions = calendar.select(F.lit(0).alias("_all"), F.col("day").alias(day), F.col("day").alias("session"))
-    return as_of_forward(keyed, sessions, ["_all"], day, "session").drop("_all")
+def next_session(days: DataFrame, calendar: DataFrame, day: str = "day", strict: bool = False) -> DataFrame:
+    """Adds ``session``: the first calendar day at or after ``day``; beyond the calendar null, or ``strict`` an error.
+
+    Days and sessions are matched within months; a month without a later session takes the
+    first one of the months to come, so no window holds more than a month of days.
+    """
+    month = F.trunc(day, "month").alias("_month")
+    sessions = calendar.select(F.col("day").alias("session")).distinct()
+    firsts = sessions.groupBy(F.trunc("session", "month").alias("_month")).agg(F.min("session").alias("_first"))
+    months = days.select(month).distinct().join(firsts, "_month", "full_outer")
+    ahead = Window.orderBy("_month").rowsBetween(1, Window.unboundedFollowing)  # a row per month
+    later = months.select("_month", F.min("_first").over(ahead).alias("_later"))
+    inside = as_of_forward(days.select("*", month), sessions.select(F.trunc("session", "month").alias("_month"), F.col("session").alias(day), "session"), ["_month"], day, "session")
+    out = inside.join(later, "_month", "left").withColumn("session", F.coalesce("session", "_later"))
+    if strict:
+        out = out.withColumn("session", F.coalesce("session", F.raise_error(F.lit("a day lies beyond the calendar")).cast("date")))
+    return out.select(*days.columns, "session")
 
 
 def weekdays_between(a: Column, b: Column) -> Column:

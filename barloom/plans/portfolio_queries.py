@@ -75,23 +75,24 @@ def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.ranked(parts[0].unionByName(parts[1]), 20)
 
 
-_COMPLETE = f"{_RET}, f AS (SELECT ticker, date, ret FROM r WHERE ret IS NOT NULL AND ticker IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5')), days AS (SELECT date FROM f GROUP BY date HAVING count(DISTINCT ticker) = 5), k AS (SELECT f.* FROM f JOIN days USING (date))"
-_FIVE = [f"Brand#{i}" for i in range(1, 6)]
+_PAIRS = f"{_RET}, k AS (SELECT ticker, date, ret FROM r WHERE ret IS NOT NULL)"
 
 
 @query(
-    f"WITH {{BARS}}, {_COMPLETE}, c AS (SELECT x.ticker AS a, y.ticker AS b, covar_samp(x.ret, y.ret) AS cov, corr(x.ret, y.ret) AS corr, count(*) AS days FROM k x JOIN k y USING (date) GROUP BY ALL) SELECT a, b, round(cov, 4) AS cov, round(corr, 5) AS corr, days FROM c"
+    f"WITH {{BARS}}, {_PAIRS}, c AS (SELECT x.ticker AS a, y.ticker AS b, covar_samp(x.ret, y.ret) AS cov, corr(x.ret, y.ret) AS corr, count(*) AS days FROM k x JOIN k y USING (date) GROUP BY ALL) SELECT a, b, round(cov, 4) AS cov, round(CASE WHEN days > 2 THEN corr END, 5) AS corr, days FROM c"
 )
 def covariance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(allocation.covariance(daily_returns(spark, sf_dir), _FIVE), {"cov": 4, "corr": 5})
+    """All tickers; a pair is measured on the days that both have, as days of all tickers are few."""
+    out = allocation.covariance(daily_returns(spark, sf_dir), complete=False)
+    return rounded(out.withColumn("corr", F.when(C("days") > 2, C("corr"))), {"cov": 4, "corr": 5})
 
 
 @query(
-    f"WITH {{BARS}}, {_COMPLETE}, c AS (SELECT x.ticker AS a, y.ticker AS b, covar_samp(x.ret, y.ret) AS cov FROM k x JOIN k y USING (date) GROUP BY ALL), s AS (SELECT a, b, CASE WHEN a = b THEN cov ELSE 0.7 * cov END AS cov FROM c), v AS (SELECT a AS k, sqrt(cov) AS s FROM s WHERE a = b) "
-    "SELECT s.a, s.b, round(CASE WHEN s.a = s.b THEN 1.0 ELSE cov / (x.s * y.s) END, 5) AS corr, round(sqrt(greatest((1 - CASE WHEN s.a = s.b THEN 1.0 ELSE cov / (x.s * y.s) END) / 2, 0)), 5) AS distance FROM s JOIN v x ON x.k = s.a JOIN v y ON y.k = s.b"
+    f"WITH {{BARS}}, {_PAIRS}, c AS (SELECT x.ticker AS a, y.ticker AS b, coalesce(covar_samp(x.ret, y.ret), 0) AS cov FROM k x JOIN k y USING (date) GROUP BY ALL), s AS (SELECT a, b, CASE WHEN a = b THEN cov ELSE 0.7 * cov END AS cov FROM c), v AS (SELECT a AS k, sqrt(cov) AS s FROM s WHERE a = b), "
+    "e AS (SELECT s.a, s.b, CASE WHEN s.a = s.b THEN 1.0 ELSE least(greatest(cov / (x.s * y.s), -0.999), 0.999) END AS corr FROM s JOIN v x ON x.k = s.a JOIN v y ON y.k = s.b) SELECT a, b, round(corr, 5) AS corr, round(sqrt(greatest((1 - corr) / 2, 0)), 5) AS distance FROM e"
 )
 def correlation_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(allocation.correlation_distance(allocation.shrunk(allocation.covariance(daily_returns(spark, sf_dir), _FIVE))), 5)
+    return rounded(allocation.correlation_distance(allocation.shrunk(allocation.covariance(daily_returns(spark, sf_dir), complete=False))), 5)
 
 
 @query(f"WITH {{BARS}}, {_RET}, v AS (SELECT ticker, var_samp(ret) AS v FROM r GROUP BY ticker) SELECT ticker, round((1 / v) / sum(1 / v) OVER (), 6) AS weight FROM v")
@@ -107,14 +108,14 @@ def inverse_cvar_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _weights(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
-    """Share of each brand in the volume of even or odd days."""
-    bars = brand_bars(spark, sf_dir).filter(by)
-    total = F.sum("v").over(Window.partitionBy(F.lit(0)))
-    return bars.groupBy("ticker").agg(F.sum("volume").alias("v")).select("ticker", (C("v") / total).alias("weight"))
+    """Share of each brand in the volume of all days, weighed by an expression of the day."""
+    bars = brand_bars(spark, sf_dir)
+    shares = bars.groupBy("ticker").agg(F.sum(C("volume") * F.expr(by)).alias("v"))
+    return shares.crossJoin(shares.agg(F.sum("v").alias("total"))).select("ticker", (C("v") / C("total")).alias("weight"))
 
 
-_TWO = "t AS (SELECT ticker, sum(volume) / sum(sum(volume)) OVER () AS w FROM bars WHERE day(date) <= 10 AND ticker <> 'Brand#3' GROUP BY ticker), c AS (SELECT ticker, sum(volume) / sum(sum(volume)) OVER () AS w FROM bars WHERE day(date) > 20 AND ticker <> 'Brand#4' GROUP BY ticker), b AS (SELECT coalesce(t.ticker, c.ticker) AS ticker, coalesce(t.w, 0) AS target, coalesce(c.w, 0) AS current FROM t FULL JOIN c ON t.ticker = c.ticker)"
-_TARGET, _CURRENT = "dayofmonth(date) <= 10 and ticker <> 'Brand#3'", "dayofmonth(date) > 20 and ticker <> 'Brand#4'"
+_TARGET, _CURRENT = "dayofmonth(date)", "(32 - dayofmonth(date))"
+_TWO = "t AS (SELECT ticker, sum(volume * day(date)) / sum(sum(volume * day(date))) OVER () AS w FROM bars GROUP BY ticker), c AS (SELECT ticker, sum(volume * (32 - day(date))) / sum(sum(volume * (32 - day(date)))) OVER () AS w FROM bars GROUP BY ticker), b AS (SELECT coalesce(t.ticker, c.ticker) AS ticker, coalesce(t.w, 0) AS target, coalesce(c.w, 0) AS current FROM t FULL JOIN c ON t.ticker = c.ticker)"
 
 
 @query(f"WITH {{BARS}}, {_TWO} SELECT round(sum(abs(target - current)), 6) AS turnover, round(sum(abs(target - current)) * 5 / 10000, 8) AS cost FROM b")
@@ -139,11 +140,22 @@ def rebalance_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(allocation.orders(target, held, 1e6), {"quantity": 3, "target_value": 2, "delta": 2})
 
 
-@query()
+def _capped_sql(cap: float, rounds: int = 20) -> str:
+    """The excess over the cap goes to the others by room, round after round."""
+    total = "sum({0}) OVER (PARTITION BY date)"
+    steps = [f"w0 AS (SELECT date, ticker, volume / {total.format('volume')} AS w FROM bars)"]
+    for i in range(rounds):
+        excess, room = (total.format(f"greatest({x}, 0)") for x in (f"w - {cap}", f"{cap} - w"))
+        moved = f"CASE WHEN w > {cap} THEN {cap} ELSE w + CASE WHEN {room} > 1e-12 THEN {excess} * ({cap} - w) / {room} ELSE 0 END END"
+        steps.append(f"w{i + 1} AS MATERIALIZED (SELECT date, ticker, CASE WHEN {excess} > 1e-12 THEN {moved} ELSE w END AS w FROM w{i})")
+    return f"WITH {{BARS}}, {', '.join(steps)} SELECT date, ticker, round(w, 9) AS weight FROM w{rounds}"
+
+
+@query(_capped_sql(0.3), days="date")
 def capped_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volume shares per day, none above 30 percent."""
     bars = brand_bars(spark, sf_dir).select("date", "ticker", C("volume").alias("weight"))
-    return rounded(allocation.capped(bars, 0.3, ["date"]))
+    return rounded(allocation.capped(bars, 0.3, ["date"]), 9)
 
 
 @query(
@@ -157,6 +169,10 @@ def signal_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(allocation.signal_weights(r.select("date", "ticker", (-C("ret")).alias("score"), (C("ret") < -0.1).alias("trade"))))
 
 
+#: Linear quantile of the values ``a`` at the level that a finite sample needs.
+_LEVEL = "list_transform([list_sort(list(a))], lambda v: list_transform([least(1.0, ceil((len(v) + 1) * 0.9) / len(v)) * (len(v) - 1)], lambda p: v[CAST(floor(p) AS BIGINT) + 1] + (p - floor(p)) * (v[CAST(ceil(p) AS BIGINT) + 1] - v[CAST(floor(p) AS BIGINT) + 1]))[1])[1]"
+
+
 def _residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = daily_returns(spark, sf_dir).filter("ret is not null")
     return r.select(F.when(F.month("date") == 2, "CRISIS").when(F.month("date") < 7, "CALM").otherwise("TREND").alias("regime"), (F.year("date") % 2).alias("horizon"), C("ret").alias("residual"))
@@ -171,13 +187,26 @@ def conformal_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(allocation.conformal_quantiles(_residuals(spark, sf_dir)), 5)
 
 
-@query()
+@query(
+    f"""WITH {{BARS}}, {_RET}, x AS (SELECT CASE WHEN month(date) = 2 THEN 'CRISIS' WHEN month(date) < 7 THEN 'CALM' ELSE 'TREND' END AS regime, CAST(year(date) % 2 AS INTEGER) AS horizon, abs(ret) AS a FROM r WHERE ret IS NOT NULL),
+l AS (SELECT regime, horizon, count(*) AS n, quantile_cont(a, least(1.0, ceil((count(*) + 1) * 0.9) / count(*))) AS q FROM x GROUP BY ALL), e AS (SELECT horizon, quantile_cont(a, least(1.0, ceil((count(*) + 1) * 0.9) / count(*))) AS q FROM x GROUP BY ALL),
+u AS (SELECT l.regime, l.horizon, CASE WHEN l.n >= 30 THEN l.q ELSE e.q END AS q FROM l JOIN e USING (horizon))
+SELECT regime, horizon, count(*) AS n, round(avg(CAST(a <= q AS DOUBLE)), 6) AS covered, avg(CAST(a <= q AS DOUBLE)) >= 0.85 AS honest FROM x JOIN u USING (regime, horizon) GROUP BY regime, horizon""".replace(
+        "quantile_cont(a, least(1.0, ceil((count(*) + 1) * 0.9) / count(*)))", _LEVEL
+    )
+)
 def conformal_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     res = _residuals(spark, sf_dir)
     return rounded(allocation.coverage(res, allocation.conformal_quantiles(res)), 6)
 
 
-@query()
+@query(
+    f"""WITH {{BARS}}, {_RET}, p AS (SELECT ticker, date, -0.1 * ret AS e, lead(close) OVER {_W}) / close - 1 AS f, ret FROM r), k AS (SELECT * FROM p WHERE ret IS NOT NULL),
+h AS (SELECT *, list_sort(list(e - f) FILTER (f IS NOT NULL) OVER {_W} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)) AS past FROM k),
+z AS (SELECT *, CASE WHEN len(past) >= 20 THEN past[CAST(ceil(0.8 * (len(past) - 1)) AS BIGINT) + 1] END AS z FROM h)
+SELECT ticker, date, round(e - z, 5) AS lower, coalesce(e - z > 0, false) AS trade FROM z""",
+    days="date",
+)
 def conformal_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = daily_returns(spark, sf_dir)
     w = Window.partitionBy("ticker").orderBy("date")
@@ -187,7 +216,7 @@ def conformal_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {{BARS}}, {_RET}, m AS (SELECT date, avg(ret) AS m FROM r WHERE ret IS NOT NULL GROUP BY date), b AS (SELECT r.ticker, CASE WHEN count(m) >= 30 THEN covar_samp(ret, m) / nullif(var_samp(m), 0) END AS beta FROM r JOIN m USING (date) WHERE ret IS NOT NULL GROUP BY r.ticker),
-t AS (SELECT ticker, sum(volume) / sum(sum(volume)) OVER () AS w FROM bars WHERE day(date) <= 10 AND ticker <> 'Brand#3' GROUP BY ticker)
+t AS (SELECT ticker, sum(volume * day(date)) / sum(sum(volume * day(date))) OVER () AS w FROM bars GROUP BY ticker)
 SELECT ticker, round(w, 6) AS weight FROM t UNION ALL SELECT 'HEDGE', round(least(greatest(-sum(w * coalesce(beta, 1)), -1), 1), 5) FROM t LEFT JOIN b USING (ticker)"""
 )
 def beta_hedge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,15 +227,15 @@ def beta_hedge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH u AS (SELECT user_id, event_type, sum(value) AS q FROM events WHERE hour(ts) < 12 GROUP BY ALL), v AS (SELECT user_id, event_type, sum(value) AS q FROM events WHERE hour(ts) < 12 AND event_id % 50 <> 0 GROUP BY ALL),
-a AS (SELECT user_id || ':' || event_type AS ticker, q FROM u), b AS (SELECT user_id || ':' || event_type AS ticker, q FROM v),
-j AS (SELECT coalesce(a.ticker, b.ticker) AS ticker, coalesce(a.q, 0) AS ours, coalesce(b.q, 0) AS theirs FROM a FULL JOIN b USING (ticker))
+    """WITH u AS (SELECT user_id, event_type, sum(value) AS q, sum(CASE WHEN event_id % 50 = 0 THEN 0 ELSE value END) AS p FROM events GROUP BY ALL),
+j AS (SELECT user_id || ':' || event_type AS ticker, q AS ours, p AS theirs FROM u)
 SELECT ticker, round(ours, 4) AS ours, round(theirs, 4) AS theirs, round(theirs - ours, 4) AS difference, abs(theirs - ours) > 0.05 * greatest(abs(ours), abs(theirs)) AS is_large FROM j WHERE abs(theirs - ours) > 1e-6"""
 )
 def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.hour("ts") < 12).withColumn("ticker", F.concat_ws(":", "user_id", "event_type"))
+    """All events in both books; the broker's has some of no quantity."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ticker", F.concat_ws(":", "user_id", "event_type"))
     book = e.groupBy("ticker").agg(F.sum("value").alias("quantity"))
-    broker = e.filter("event_id % 50 <> 0").groupBy("ticker").agg(F.sum("value").alias("quantity"))
+    broker = e.groupBy("ticker").agg(F.sum(F.when(C("event_id") % 50 == 0, 0.0).otherwise(C("value"))).alias("quantity"))
     return rounded(timejoins.reconcile(book, broker, tolerance=1e-6), 4)
 
 
@@ -233,20 +262,28 @@ def advisor_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(allocation.posterior_weights(e))
 
 
-@query(
-    """WITH s AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events) SELECT run_id, count(*) AS signals FROM s WHERE nth <= 12 GROUP BY run_id"""
-)
+@query("SELECT user_id AS run_id, count(*) AS signals, count(DISTINCT event_type) AS kinds, max(event_id) AS newest FROM events GROUP BY user_id")
 def paper_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals each paper run takes up: its first twelve."""
-    return memory.newest(spark.read.parquet(f"{sf_dir}/events.parquet"), ["user_id"], 12, ["ts", "event_id"]).groupBy(C("user_id").alias("run_id")).agg(F.count(F.lit(1)).alias("signals"))
+    """All signals of each paper run."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.groupBy(C("user_id").alias("run_id")).agg(F.count(F.lit(1)).alias("signals"), F.count_distinct("event_type").alias("kinds"), F.max("event_id").alias("newest"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE s AS (SELECT user_id AS run_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS nth, event_type || '-' || (event_id % 4) AS ticker, (value + 1) * 1.001 AS fill FROM events),
+f AS (
+  SELECT run_id, 0 AS nth, CAST('' AS VARCHAR) AS ticker, CAST(0 AS BIGINT) AS quantity, CAST(0 AS DOUBLE) AS fill, CAST('' AS VARCHAR) AS reason, CAST(10000 AS DOUBLE) AS cash, CAST([] AS VARCHAR[]) AS held FROM (SELECT DISTINCT run_id FROM s)
+  UNION ALL
+  SELECT run_id, nth, ticker, CASE WHEN reason = 'FILLED' THEN q ELSE 0 END, fill, reason, cash - CASE WHEN reason = 'FILLED' THEN q * fill ELSE 0 END, CASE WHEN reason = 'FILLED' THEN list_append(held, ticker) ELSE held END
+  FROM (SELECT *, CASE WHEN list_contains(held, ticker) THEN 'DUPLICATE' WHEN len(held) >= 10 THEN 'BOOK_FULL' WHEN len(held) >= 3 THEN 'NEW_LIMIT' WHEN q < 1 THEN 'NO_CASH' ELSE 'FILLED' END AS reason
+    FROM (SELECT s.run_id, s.nth, s.ticker, s.fill, f.cash, f.held, CAST(greatest(floor(least(1000.0, f.cash - 500.0) / s.fill), 0) AS BIGINT) AS q FROM f JOIN s ON s.run_id = f.run_id AND s.nth = f.nth + 1)))
+SELECT run_id, nth, ticker, quantity, round(fill, 7) AS fill, reason FROM f WHERE nth > 0"""
+)
 def paper_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of every run folded in signal order."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     signals = e.select(C("user_id").alias("run_id"), "nth", F.concat_ws("-", "event_type", (C("event_id") % 4)).alias("ticker"), (C("value") + 1).alias("price"))
-    return rounded(paper.sized_orders(signals, 10_000.0), 4)
+    return rounded(paper.sized_orders(signals, 10_000.0), 7)
 
 
 @query(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -121,9 +124,25 @@ def return_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, {"skew": 5, "kurt": 4})
 
 
-@query()
+def _normal_sql(x: str) -> str:
+    """The normal distribution function by Simpson's rule over 0 to x."""
+    weight = "CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(0.5 + ({x}) / 1200 / sqrt(2 * pi()) * list_sum(list_transform(range(401), lambda i: {weight} * exp(-pow(i / 400.0 * ({x}), 2) / 2))))"
+
+
+def _best_of(trials: int) -> float:
+    """Expected largest of that many standard normal draws."""
+    normal = NormalDist()
+    return (1 - stats.EULER) * normal.inv_cdf(1 - 1 / trials) + stats.EULER * normal.inv_cdf(1 - 1 / (trials * math.e))
+
+
+@query(
+    f"""WITH {{BARS}}, {_STRATEGY}, m AS (SELECT ticker, count(*)::DOUBLE AS n, avg(ret) / nullif(stddev_samp(ret), 0) AS sr, skewness(ret) AS sk, kurtosis(ret) + 3 AS ku FROM d GROUP BY ticker),
+z AS (SELECT ticker, sqrt(n - 1) / sqrt(greatest(1 - sk * sr + (ku - 1) / 4 * sr * sr, 1e-12)) AS scale, sr, {_best_of(25)} / sqrt(n - 1) AS best FROM m), u AS (SELECT ticker, sr * scale AS a, (sr - best) * scale AS b FROM z)
+SELECT ticker, round({_normal_sql("a")}, 6) AS psr, round({_normal_sql("b")}, 6) AS dsr FROM u"""
+)
 def sharpe_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probabilistic and deflated Sharpe ratios; SQL has no normal distribution."""
+    """Probabilistic and deflated Sharpe ratios."""
     m = stats.moments(strategy_returns(spark, sf_dir), ["ticker"])
     args = (C("n_obs"), C("skew"), C("kurt"))
     return rounded(m.select("ticker", stats.probabilistic_sharpe(C("sr"), F.lit(0.0), *args).alias("psr"), stats.deflated_sharpe(C("sr"), 25, *args).alias("dsr")))
@@ -142,7 +161,7 @@ def overfitting_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT l_shipdate::DATE AS date, p_type AS sector, sum(l_quantity) AS a, sum(l_extendedprice) AS b, avg(l_discount) AS rp, avg(l_tax) AS rb FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_shipdate < '1995-07-01' GROUP BY ALL),
+    """WITH p AS (SELECT l_shipdate::DATE AS date, p_type AS sector, sum(l_quantity) AS a, sum(l_extendedprice) AS b, avg(l_discount) AS rp, avg(l_tax) AS rb FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL),
 w AS (SELECT date, sector, a / sum(a) OVER (PARTITION BY date) AS wp, b / sum(b) OVER (PARTITION BY date) AS wb, rp, rb FROM p),
 t AS (SELECT *, sum(wb * rb) OVER (PARTITION BY date) AS rbt FROM w)
 SELECT date, sector, round(sum((wp - wb) * (rb - rbt)), 6) AS allocation, round(sum(wb * (rp - rb)), 6) AS selection, round(sum((wp - wb) * (rp - rb)), 6) AS interaction,
@@ -151,7 +170,7 @@ SELECT date, sector, round(sum((wp - wb) * (rb - rbt)), 6) AS allocation, round(
 )
 def brinson_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(C("p_partkey").alias("l_partkey"), C("p_type").alias("sector"))
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_shipdate < '1995-07-01'").join(part, "l_partkey")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(part, "l_partkey")
     p = lines.groupBy(F.to_date("l_shipdate").alias("date"), "sector").agg(F.sum("l_quantity").alias("a"), F.sum("l_extendedprice").alias("b"), F.avg("l_discount").alias("rp"), F.avg("l_tax").alias("rb"))
     day = Window.partitionBy("date")
     return rounded(stats.brinson(p.select("date", "sector", (C("a") / F.sum("a").over(day)).alias("wp"), (C("b") / F.sum("b").over(day)).alias("wb"), "rp", "rb")))
@@ -179,7 +198,16 @@ def cost_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("ticker", "multiple", "periods", "ann_return", "sharpe", "passed"), 5)
 
 
-@query()
+def _sweep_sql(windows: tuple[int, ...]) -> str:
+    rules = " UNION ALL ".join(f"SELECT {n} AS ma, ticker, date, r, CASE WHEN count(close) OVER {_W} ROWS {n - 1} PRECEDING) >= {n} AND close > avg(close) OVER {_W} ROWS {n - 1} PRECEDING) THEN 1.0 ELSE 0.0 END AS o FROM a" for n in windows)
+    own = "(PARTITION BY ma, ticker ORDER BY date)"
+    return f"""WITH {{BARS}}, c AS (SELECT ticker, date, pow(close, 0.1) AS close FROM bars), a AS (SELECT *, close / lag(close) OVER {_W}) - 1 AS r FROM c), o AS ({rules}),
+h AS (SELECT *, coalesce(lag(o) OVER {own}, 0) AS held FROM o), m AS (SELECT *, abs(held - coalesce(lag(held) OVER {own}, 0)) AS moved FROM h), n AS (SELECT ma, date, avg(held * coalesce(r, 0) - 0.0005 * moved) AS ret, sum(moved) AS trades FROM m GROUP BY ma, date),
+e AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY ma ORDER BY date ROWS UNBOUNDED PRECEDING)) AS eq FROM n), x AS (SELECT *, eq / max(eq) OVER (PARTITION BY ma ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e)
+SELECT ma, round(avg(ret) * 252, 5) AS ann_return, round(CASE WHEN stddev_pop(ret) * sqrt(252) > 1e-12 THEN avg(ret) * 252 / (stddev_pop(ret) * sqrt(252)) ELSE 0 END, 5) AS sharpe, round(min(dd), 5) AS max_drawdown, round(sum(trades), 5) AS trades FROM x GROUP BY ma"""
+
+
+@query(_sweep_sql((5, 10, 20, 50, 100)))
 def average_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.moving_average_sweep(brand_bars(spark, sf_dir).withColumn("close", F.pow("close", F.lit(0.1))), [5, 10, 20, 50, 100]), 5)
 
@@ -208,7 +236,13 @@ def _days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     return days, dates.count()
 
 
-@query()
+@query(
+    """WITH d AS (SELECT row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT l_shipdate::DATE AS date FROM lineitem)), n AS (SELECT count(*) AS n FROM d), p AS (SELECT pos, least(pos + 5, n - 1) AS e FROM d, n),
+f AS (SELECT i, i * (n // 6) + least(i, n % 6) AS a, (i + 1) * (n // 6) + least(i + 1, n % 6) AS b FROM n, (SELECT unnest(range(6)) AS i)),
+g AS (SELECT row_number() OVER (ORDER BY x.i, y.i) - 1 AS path, x.a AS a1, x.b AS b1, y.a AS a2, y.b AS b2, least(y.b - 1 + 5, n - 1) AS last, CAST(floor(n * 0.01) AS BIGINT) AS emb FROM f x JOIN f y ON x.i < y.i, n)
+SELECT CAST(path AS INTEGER) AS path, role, count(*) AS n, CAST(min(pos) AS INTEGER) AS first, CAST(max(pos) AS INTEGER) AS last FROM (
+  SELECT path, pos, CASE WHEN (pos >= a1 AND pos < b1) OR (pos >= a2 AND pos < b2) THEN 'test' WHEN NOT (pos <= last AND e >= a1) AND NOT (pos >= b2 AND pos < b2 + emb) THEN 'train' END AS role FROM p, g) WHERE role IS NOT NULL GROUP BY ALL"""
+)
 def combinatorial_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     days, n = _days(spark, sf_dir)
     return learning.combinatorial_folds(days, n).groupBy("path", "role").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
@@ -279,12 +313,35 @@ def price_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brand_bars(spark, sf_dir).select("ticker", "date", gates.price_crosscheck(C("close"), C("close") * (1 + (day % 5) / 100.0)).alias("crosscheck"), gates.freshness(market, day * 200).alias("freshness"))
 
 
-@query()
+VOLATILITY_SQL = f"""b0 AS (SELECT ticker, date, coalesce(close / lag(close) OVER {_W}) - 1, 0) AS ret FROM bars),
+m0 AS (SELECT *, abs(ret) AS a, CASE WHEN count(ret) OVER w >= 6 THEN median(ret) OVER w END AS m, CASE WHEN count(ret) OVER w >= 6 THEN stddev_pop(ret) OVER w END AS s FROM b0 WINDOW w AS {_W} ROWS 19 PRECEDING)),
+d0 AS (SELECT *, abs(ret - m) AS d FROM m0), k0 AS (SELECT *, CASE WHEN count(d) OVER w >= 6 THEN 1.4826 * median(d) OVER w END AS mad FROM d0 WINDOW w AS {_W} ROWS 19 PRECEDING)),
+z0 AS (SELECT *, abs(coalesce((ret - m) / CASE WHEN mad > 1e-12 THEN mad WHEN s > 1e-12 THEN s END, 0)) AS rz FROM k0), c0 AS (SELECT ticker, greatest(quantile_cont(abs(ret), 0.97), 0.02) AS cut FROM b0 GROUP BY ticker),
+h0 AS (SELECT z0.* FROM z0 JOIN c0 USING (ticker) WHERE (rz >= 3 OR a >= cut) AND a >= 0.02), g0 AS (SELECT *, CASE WHEN date - lag(date) OVER {_W}) <= 2 THEN 0 ELSE 1 END AS opens FROM h0), r0 AS (SELECT *, sum(opens) OVER {_W}) AS run FROM g0),
+v AS (SELECT *, 0.6 * least(vol_z_max / 5, 2) + 0.4 * least(peak_abs_ret / 0.05, 2) AS severity, CASE WHEN cum_return > 0 THEN 'UP' ELSE 'DOWN' END AS direction
+  FROM (SELECT ticker, run, min(date) AS start, max(date) AS "end", count(*) AS days, exp(sum(ln(1 + ret))) - 1 AS cum_return, max(a) AS peak_abs_ret, max(rz) AS vol_z_max FROM r0 GROUP BY ticker, run))"""
+
+
+@query(
+    f"""WITH {{BARS}}, {VOLATILITY_SQL} SELECT ticker, start, "end", days, round(cum_return, 5) AS cum_return, round(peak_abs_ret, 5) AS peak_abs_ret, round(vol_z_max, 5) AS vol_z_max, direction, round(severity, 5) AS severity FROM v""",
+    days='start "end"',
+)
 def volatility_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(events.volatility_windows(brand_bars(spark, sf_dir)), 5)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {{BARS}}, {_RET}, d AS (SELECT ticker, date, CASE WHEN abs(ret) > 0.5 THEN 'RED' WHEN abs(ret) > 0.2 THEN 'AMBER' ELSE 'GREEN' END AS raw, row_number() OVER {_W}) AS n FROM r),
+k AS (SELECT *, CASE raw WHEN 'GREEN' THEN 0 WHEN 'RED' THEN 2 ELSE 1 END AS rk FROM d),
+f AS (
+  SELECT ticker, date, n, raw, raw AS regime, rk AS rrk, CAST(0 AS BIGINT) AS changed, CAST(1 AS BIGINT) AS run FROM k WHERE n = 1
+  UNION ALL
+  SELECT ticker, date, n, raw, CASE WHEN moves THEN raw ELSE regime END, CASE WHEN moves THEN rk ELSE rrk END, CASE WHEN moves THEN n - 1 ELSE changed END, run
+  FROM (SELECT *, rk > rrk OR (raw <> regime AND n - 1 - changed >= 3 AND run >= 2) AS moves
+    FROM (SELECT k.ticker, k.date, k.n, k.raw, k.rk, f.regime, f.rrk, f.changed, CASE WHEN k.raw = f.raw THEN f.run + 1 ELSE 1 END AS run FROM f JOIN k ON k.ticker = f.ticker AND k.n = f.n + 1)))
+SELECT ticker, date, raw, regime FROM f""",
+    days="date",
+)
 def stable_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regimes by the size of the daily move, with hysteresis, and the overlay's returns under a breaker."""
     r = daily_returns(spark, sf_dir)
@@ -292,7 +349,20 @@ def stable_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.stable_regimes(r.select("ticker", "date", raw.alias("regime")))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {{BARS}}, c AS (SELECT ticker, date, pow(close, 0.1) AS close, row_number() OVER {_W}) AS n FROM bars), a AS (SELECT *, coalesce(close / lag(close) OVER {_W}) - 1, 0) AS ret FROM c),
+v AS (SELECT *, CASE WHEN count(ret) OVER w >= 5 THEN stddev_pop(ret) OVER w END AS vol FROM a WINDOW w AS {_W} ROWS 19 PRECEDING)),
+t AS (SELECT *, least(coalesce(least(0.15 / nullif(lag(vol) OVER {_W}) * sqrt(252), 0), 1.0), 1.0), 1.0) AS target FROM v), h AS (SELECT *, coalesce(lag(target) OVER {_W}), 1.0) AS held FROM t),
+o AS (SELECT *, held * ret - abs(held - coalesce(lag(held) OVER {_W}), held)) * 5.0 / 1e4 AS net FROM h),
+f AS (
+  SELECT ticker, date, n, 1.0 * (1 + held * ret) AS eq, CAST(1 AS DOUBLE) AS peak, false AS cut, held AS held_cut FROM o WHERE n = 1
+  UNION ALL
+  SELECT ticker, date, n, eq * (1 + CASE WHEN cut THEN 0 ELSE held END * ret), peak, cut, CASE WHEN cut THEN 0 ELSE held END
+  FROM (SELECT *, CASE WHEN was THEN eq / peak - 1 < -0.05 ELSE eq / peak - 1 <= -0.2 END AS cut
+    FROM (SELECT o.ticker, o.date, o.n, o.held, o.ret, f.eq, greatest(f.peak, f.eq) AS peak, f.cut AS was FROM f JOIN o ON o.ticker = f.ticker AND o.n = f.n + 1)))
+SELECT o.ticker, o.date, round(o.ret, 6) AS ret, round(o.held, 6) AS held, round(o.net, 6) AS net, round(f.held_cut, 6) AS held_cut FROM o JOIN f USING (ticker, date)""",
+    days="date",
+)
 def overlay_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = brand_bars(spark, sf_dir).withColumn("close", F.pow("close", F.lit(0.1))).withColumn("weight", F.lit(1.0))
     daily = events.overlay(bars)

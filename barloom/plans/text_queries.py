@@ -10,6 +10,7 @@ from ..operators import events, timejoins
 from ..operators.events import BEAR_WORDS, BULL_WORDS, HOME_WORDS, TOPIC_KEYWORDS, TOPIC_WEIGHTS
 from ..operators.panel import brand_bars
 from .catalog import query, rounded
+from .risk_queries import VOLATILITY_SQL
 
 C = F.col
 
@@ -29,7 +30,7 @@ _BEST = "list_max(list_transform(topics, lambda x: CASE x " + " ".join(f"WHEN '{
 @query(
     f"""WITH d AS (SELECT doc_id, source, lower(coalesce(text, '')) AS t, n_chars FROM documents), l AS (SELECT *, {_TOPICS} AS found, {_any(HOME_WORDS)} AS home FROM d),
 p AS (SELECT *, CASE WHEN len(found) = 0 THEN ['general'] ELSE found END AS topics FROM l)
-SELECT doc_id, array_to_string(topics, ',') AS topics, round(0.35 * {_BEST} + 0.25 * ln(1 + n_chars) / ln(1001) + 0.2 * ln(1 + doc_id % 100) / ln(101) + 0.1 * least(abs(CAST(doc_id % 7 AS DOUBLE)) / 10, 1) + 0.1 * CASE WHEN home THEN 1.0 ELSE 0.55 END, 6) AS relevance FROM p"""
+SELECT doc_id, array_to_string(topics, ',') AS topics, round(least(greatest(0.35 * {_BEST} + 0.25 * ln(1 + n_chars) / ln(1001) + 0.2 * ln(1 + doc_id % 100) / ln(101) + 0.1 * least(abs(CAST(doc_id % 7 AS DOUBLE)) / 10, 1) + 0.1 * CASE WHEN home THEN 1.0 ELSE 0.55 END, 0), 1), 6) AS relevance FROM p"""
 )
 def event_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("topics", events.topics(C("text")))
@@ -58,7 +59,11 @@ def similar_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("query_id", "item_id", "cosine", C("nth").cast("long").alias("nth")), 5)
 
 
-@query()
+@query(
+    f"""WITH {{BARS}}, {VOLATILITY_SQL}, j AS (SELECT v.ticker, v.start, v."end", b.date, b.volume / (b.volume + 50) * (1 + v.severity) AS weight FROM v JOIN bars b ON b.ticker = v.ticker AND b.date BETWEEN v.start - 2 AND v."end" + 3),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY ticker, start ORDER BY weight DESC, date) AS INTEGER) AS nth FROM j) SELECT ticker, start, "end", date, round(weight, 5) AS weight, nth FROM n WHERE nth <= 5""",
+    days='start "end" date',
+)
 def matched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order days as events of a brand, matched to its volatility windows."""
     bars = brand_bars(spark, sf_dir)
@@ -67,7 +72,11 @@ def matched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(timejoins.matched_events(days, windows).select("ticker", "start", "end", "date", "weight", "nth"), 5)
 
 
-@query()
+_NAMES = "api[_-]?key|token|secret|password|passwd|authorization|credential"
+_MASKED = rf"regexp_replace(regexp_replace(coalesce(text, ''), '(?i)\b([\w-]*(?:{_NAMES})[\w-]*)\s*[=:]\s*[^\s,;&]+', '\1=***', 'g'), '(?i)\bbearer\s+[A-Za-z0-9._~+/=-]+', 'Bearer ***', 'g')"
+
+
+@query(f"SELECT doc_id, sha256({_MASKED}) AS masked_sha, {_MASKED} <> text AS changed FROM documents")
 def masked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.select("doc_id", F.sha2(mask_secrets(F.coalesce("text", F.lit(""))), 256).alias("masked_sha"), (mask_secrets(C("text")) != C("text")).alias("changed"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,9 +78,10 @@ def trade_plan(candidates: DataFrame, value: float) -> DataFrame:
     return candidates.filter("quantity > 0 and stop < entry").select("ticker", "entry", "stop", "tp2", "quantity", ((C("tp2") - C("entry")) / (C("entry") - C("stop"))).alias("reward_to_risk"), risk.alias("risk_value"), (C("quantity") * C("entry") / value).alias("portfolio_share"))
 
 
-def ops_summary(rows: DataFrame) -> DataFrame:
+def ops_summary(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Counts of verdicts by their first word."""
     has = lambda s: F.count_if(C("verdict").startswith(s)).alias(s.lower())
-    return rows.agg(F.count(F.lit(1)).alias("rows"), has("ELIGIBLE"), has("AMBER"), has("RED"), has("ZERO"))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), has("ELIGIBLE"), has("AMBER"), has("RED"), has("ZERO"))
 
 
 def latest_run(runs: DataFrame, by: Column | str = "run_id") -> DataFrame:
