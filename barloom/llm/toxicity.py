@@ -1,15 +1,20 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A document is the set of its terms (runs of ASCII letters, digits and non-ASCII bytes,
-A-Z lower-cased), hashed into ``2 ** BITS`` buckets. Buckets are screened on the training
-rows: kept are those that toxic documents hold more, or less, often than documents of
-their number of terms do. A factorization machine (Rendle, 2010) over the kept buckets
-learns a weight for each and a vector for each whose products weigh pairs, so a pair can
-count for more or less than its two terms.
+A-Z lower-cased), hashed into ``2 ** BITS`` buckets. A factorization machine (Rendle, 2010)
+learns a weight for each bucket and a vector for each whose products weigh pairs, so a pair
+can mark a text though neither of its terms does.
+
+All buckets that at least two training documents hold are fitted, none is screened. Weights
+have normal priors whose variances come from the data (empirical Bayes): wide where a bucket
+goes with the label beyond chance, narrow elsewhere. Vectors are fitted to what the weights
+leave; those that the data do not tell from zero (Wald statistic of their information) are
+set to zero, and weights and the vectors left are fitted together once more.
 
 The model is fitted on at most ``TRAIN_ROWS`` labelled documents; scoring reads every
 whole text. Null and empty texts have no terms and get the score of the bias. Only
-the text is an input of a score. Rows repeat in the output as in the input.
+the text is an input of a score: other columns, whatever their names, are not read. Rows
+repeat in the output as in the input, null ids included; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,9 +33,6 @@ from .textkernel import NON_TERM, Tokens, U64, blocks
 BITS = 20
 TRAIN_ROWS = 20_000
 FACTORS = 4
-MOST_BUCKETS = 1_024
-LEAST_SUPPORT = 4
-LEAST_Z = 5.0
 THRESHOLD = 0.7
 
 
@@ -42,26 +44,25 @@ def term_buckets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
 @dataclass(frozen=True)
 class Machine:
     bias: float
-    slot: np.ndarray  # per bucket: its feature, or -1
-    weight: np.ndarray
+    weight: np.ndarray  # per bucket
+    slot: np.ndarray  # per bucket: its vector, or -1
     factor: np.ndarray
 
     def logits(self, column: pa.Array) -> np.ndarray:
         out = [np.zeros(0)]
         for lo, hi, data, at in blocks(column):
             bucket, ptr = term_buckets(data, at)
-            feature = self.slot[bucket]
-            hit = np.flatnonzero(feature >= 0)
-            row = np.searchsorted(ptr, hit, side="right") - 1
-            pair = np.unique(row * (len(self.weight) + 1) + feature[hit])
-            row, feature = np.divmod(pair, len(self.weight) + 1)
-            out.append(self.of(row, feature, hi - lo))
+            row = np.repeat(np.arange(hi - lo), np.diff(ptr))
+            row, bucket = np.divmod(np.unique((row << BITS) | bucket), 1 << BITS)
+            out.append(self.of(row, bucket, hi - lo))
         return np.concatenate(out)
 
-    def of(self, row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
-        y = self.bias + np.bincount(row, self.weight[feature], minlength=n)
+    def of(self, row: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
+        y = self.bias + np.bincount(row, self.weight[bucket], minlength=n)
+        slot = self.slot[bucket]
+        row, slot = row[slot >= 0], slot[slot >= 0]
         for v in self.factor.T:
-            y += 0.5 * (np.bincount(row, v[feature], minlength=n) ** 2 - np.bincount(row, v[feature] ** 2, minlength=n))
+            y += 0.5 * (np.bincount(row, v[slot], minlength=n) ** 2 - np.bincount(row, v[slot] ** 2, minlength=n))
         return y
 
 
@@ -83,58 +84,174 @@ def distinct_buckets(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "label int, buckets binary").distinct()
 
 
-def screened(rows: np.ndarray, buckets: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Buckets that go with the label beyond what the documents' numbers of terms explain."""
-    size = np.bincount(rows, minlength=len(label))
+@dataclass(frozen=True)
+class Fitting:
+    """Priors' variances (least and most of a weight, of a vector's numbers), steps and rates of
+    both parts, documents in a step, and the Wald statistic that keeps a vector.
+
+    ``still`` is the size of a gradient below which a vector's steps shrink with it, so that
+    vectors stay put where the weights explain the labels.
+    """
+
+    least: float = 1e-4
+    most: float = 30.0
+    vectors: float = 0.03
+    weight_steps: int = 500
+    vector_steps: int = 200
+    weight_rate: float = 0.1
+    vector_rate: float = 0.05
+    batch: int = 256
+    still: float = 1e-3
+    wald: float = 9.0
+    seed: int = 7
+
+
+class _Adam:
+    """Adam with the prior as a decoupled shrinkage in the same metric."""
+
+    def __init__(self, shape: int | tuple[int, ...], still: float = 1e-8):
+        self.first, self.second = np.zeros(shape, np.float32), np.zeros(shape, np.float32)
+        self.still, self.step = still, 0
+
+    def __call__(self, theta: np.ndarray, gradient: np.ndarray, rate: float, prior: np.ndarray | float) -> None:
+        self.step += 1
+        self.first += 0.1 * (gradient - self.first)
+        self.second += 0.01 * (gradient * gradient - self.second)
+        size = rate / (np.sqrt(self.second / (1 - 0.99**self.step)) + self.still)
+        theta -= size * (self.first / (1 - 0.9**self.step))
+        theta /= 1 + size * prior
+
+
+@dataclass(frozen=True)
+class _Batch:
+    """Some training documents: their rows, features by document from ``ptr`` on, and by feature."""
+
+    rows: np.ndarray
+    feature: np.ndarray
+    ptr: np.ndarray
+    holder: np.ndarray  # document (place in rows) of each feature, ordered by feature
+    own: np.ndarray  # the features held
+    cut: np.ndarray
+
+    def sums(self, theta: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(theta[self.feature], self.ptr)
+
+    def by_feature(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values[self.holder], self.cut)
+
+
+def _batches(row: np.ndarray, feature: np.ndarray, n: int, size: int, rng: np.random.Generator) -> list[_Batch]:
+    count = np.bincount(row, minlength=n)
+    begin, out = np.cumsum(count) - count, []
+    for part in np.array_split(rng.permutation(n), max(1, round(n / size))):
+        rows = part[count[part] > 0]
+        if len(rows):
+            k = count[rows]
+            f = feature[np.repeat(begin[rows] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+            order = np.argsort(f, kind="stable")
+            own, cut = np.unique(f[order], return_index=True)
+            out.append(_Batch(rows, f, np.cumsum(k) - k, np.repeat(np.arange(len(rows)), k)[order], own, cut))
+    return out
+
+
+def _prior(row: np.ndarray, feature: np.ndarray, label: np.ndarray, how: Fitting) -> np.ndarray:
+    """Variance of each weight: what its score has beyond chance, over its information.
+
+    Chance is the label's rate among documents of about as many terms.
+    """
+    size = np.bincount(row, minlength=len(label))
     band = np.floor(2 * np.log2(size + 1)).astype(int)
-    rate = (np.bincount(band, label) + label.mean()) / (np.bincount(band) + 1)
-    p = rate[band]
-    n = 1 << BITS
-    support = np.bincount(buckets, minlength=n)
-    seen = np.bincount(buckets, label[rows], minlength=n)
-    expected = np.bincount(buckets, p[rows], minlength=n)
-    spread = np.bincount(buckets, (p * (1 - p))[rows], minlength=n)
-    z = np.abs(seen - expected) / np.sqrt(spread + 1e-9)
-    z[support < LEAST_SUPPORT] = 0
-    best = np.argsort(-z, kind="stable")[:MOST_BUCKETS]
-    return best[z[best] >= LEAST_Z]
-
-
-def fit(label: np.ndarray, packed: list[bytes], rounds: int = 400, rate: float = 0.1, decay: float = 1e-5) -> Machine:
-    slot = np.full(1 << BITS, -1, np.int64)
-    if not len(label):
-        return Machine(0.0, slot, np.zeros(0), np.zeros((0, FACTORS)))
-    buckets = np.concatenate([np.frombuffer(x, "<i4") for x in packed]).astype(np.int64)
-    rows = np.repeat(np.arange(len(packed)), [len(x) // 4 for x in packed])
-    kept = screened(rows, buckets, label.astype(float))
-    slot[kept] = np.arange(len(kept))
-    feature = slot[buckets]
-    rows, feature = rows[feature >= 0], feature[feature >= 0]
-    share = np.clip(label.mean(), 0.01, 0.99)
-    n, m = len(label), len(kept)
-    theta = np.concatenate([[np.log(share / (1 - share))], np.zeros(m), np.random.default_rng(7).normal(0, 0.01, m * FACTORS)])
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, rounds + 1):
-        weight, factor = theta[1 : m + 1], theta[m + 1 :].reshape(m, FACTORS)
-        y = Machine(theta[0], slot, weight, factor).of(rows, feature, n)
-        g = (sigmoid(y) - label) / n
-        grad = [np.array([g.sum()]), np.bincount(feature, g[rows], minlength=m) + decay * weight]
-        by_factor = []
-        for v in factor.T:
-            total = np.bincount(rows, v[feature], minlength=n)
-            by_factor.append(np.bincount(feature, g[rows] * (total[rows] - v[feature]), minlength=m) + decay * v)
-        grad.append(np.stack(by_factor, axis=1).ravel())
-        d = np.concatenate(grad)
-        first, second = 0.9 * first + 0.1 * d, 0.999 * second + 0.001 * d * d
-        theta = theta - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
-    return Machine(float(theta[0]), slot, theta[1 : m + 1], theta[m + 1 :].reshape(m, FACTORS))
-
-
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Machine:
+    rate = ((np.bincount(band, label) + label.mean()) / (np.bincount(band) + 1))[band]
+    score = np.abs(np.bincount(feature, (label - rate)[row]))
+    information = np.bincount(feature, (rate * (1 - rate))[row]) + 1e-9
+    beyond = np.maximum(score - 2 * np.sqrt(information) - 2, 0)
+    return np.clip((beyond / information) ** 2, how.least, how.most)
+
+
+def fit(label: np.ndarray, packed: list[bytes], how: Fitting = Fitting()) -> Machine:
+    weight, slot = np.zeros(1 << BITS, np.float32), np.full(1 << BITS, -1, np.int32)
+    label = np.asarray(label, float)
+    n, rng = len(label), np.random.default_rng(how.seed)
+    share = np.clip(label.mean(), 0.01, 0.99) if n else 0.5
+    bias = np.array([np.log(share / (1 - share))], np.float32)
+    nothing = Machine(float(bias[0]), weight, slot, np.zeros((0, FACTORS)))
+    if not n:
+        return nothing
+    row = np.repeat(np.arange(n), [len(x) // 4 for x in packed])
+    seen, feature, count = np.unique(np.concatenate([np.frombuffer(x, "<i4") for x in packed]), return_inverse=True, return_counts=True)
+    twice = count > 1
+    row, feature, seen = row[twice[feature]], (np.cumsum(twice) - 1)[feature[twice[feature]]], seen[twice]
+    m = len(seen)
+    if not m:
+        return nothing
+    variance = _prior(row, feature, label, how)
+    batches = _batches(row, feature, n, how.batch, rng)
+
+    def residuals(b: _Batch, y: np.ndarray) -> np.ndarray:
+        return ((sigmoid(bias[0] + y) - label[b.rows]) / len(b.rows)).astype(np.float32)
+
+    def passes(steps: int, rate: float, falling: bool) -> Iterator[tuple[_Batch, float]]:
+        rounds = max(1, -(-steps // len(batches)))
+        for k in range(rounds):
+            for i in rng.permutation(len(batches)):
+                yield batches[i], rate * (0.5 * (1 + np.cos(np.pi * k / rounds)) if falling else 1.0)
+
+    theta = np.zeros((m, 1 + FACTORS), np.float32)
+    w, narrow = np.zeros(m, np.float32), (1 / variance / n).astype(np.float32)
+    move, move_bias = _Adam(m), _Adam(1)
+    for b, rate in passes(how.weight_steps, how.weight_rate, True):
+        g = residuals(b, b.sums(w))
+        d = np.zeros(m, np.float32)
+        d[b.own] = b.by_feature(g)
+        move(w, d, rate, narrow)
+        move_bias(bias, g.sum(keepdims=True), rate, 0.0)
+    theta[:, 0] = w
+    theta[:, 1:] = rng.normal(0, 0.02, (m, FACTORS))
+    wide = np.full((m, FACTORS), 1 / how.vectors / n, np.float32)
+
+    def pairs(b: _Batch) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the weights and vectors of each document, and the machine's value."""
+        s = b.sums(theta)
+        square = np.add.reduceat(theta[b.feature, 1:] ** 2, b.ptr)
+        return s, s[:, 0] + 0.5 * (s[:, 1:] ** 2 - square).sum(axis=1)
+
+    def gradient(b: _Batch) -> tuple[np.ndarray, np.ndarray]:
+        s, y = pairs(b)
+        g = residuals(b, y)
+        own = b.by_feature(np.concatenate([g[:, None], g[:, None] * s[:, 1:]], axis=1))
+        own[:, 1:] -= theta[b.own, 1:] * own[:, :1]
+        d = np.zeros_like(theta)
+        d[b.own] = own
+        return g, d
+
+    move, vectors = _Adam((m, FACTORS), how.still), theta[:, 1:]
+    for b, rate in passes(how.vector_steps, how.vector_rate, False):
+        move(vectors, gradient(b)[1][:, 1:], rate, wide)
+    information = np.zeros((m, FACTORS))
+    for b in batches:
+        s, y = pairs(b)
+        p = sigmoid(bias[0] + y)
+        information[b.own] += b.by_feature((p * (1 - p))[:, None] * s[:, 1:] ** 2)
+    kept = (vectors**2 * information).sum(axis=1) > how.wald
+    vectors[~kept] = 0
+    if kept.any():
+        narrow[kept] = 1 / how.most / n
+        prior = np.concatenate([narrow[:, None], wide], axis=1)
+        move, move_bias = _Adam(theta.shape), _Adam(1)
+        for b, rate in passes(how.vector_steps, how.vector_rate, True):
+            g, d = gradient(b)
+            d[~kept, 1:] = 0
+            move(theta, d, rate, prior)
+            move_bias(bias, g.sum(keepdims=True), rate, 0.0)
+    weight[seen], slot[seen[kept]] = theta[:, 0], np.arange(kept.sum())
+    return Machine(float(bias[0]), weight, slot, theta[kept, 1:].astype(float))
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, how: Fitting = Fitting()) -> Machine:
     """A machine fitted on the driver to the buckets of at most ``most`` labelled documents."""
     rows = distinct_buckets(training_rows(docs, labels, "toxic", most)).collect()
     rows.sort(key=lambda r: (r["buckets"], r["label"]))
-    return fit(np.array([r["label"] for r in rows]), [bytes(r["buckets"]) for r in rows])
+    return fit(np.array([r["label"] for r in rows]), [bytes(r["buckets"]) for r in rows], how)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
