@@ -5,9 +5,9 @@ signature is split into chunks of ``CHUNK`` symbols. Signatures that differ in a
 ``RADIUS`` = 2 * chunks - 1 symbols have, by the pigeonhole principle, a chunk with at most
 one error; enumerating the one symbol that may differ (each in turn left out of the key)
 finds every such pair by equality. Symbols agree with the probability of the Jaccard
-similarity: a pair at 0.75 has no chunk with at most one error twice in a million, and
-differs in more than ``FAR`` symbols, beyond which pairs are not confirmed, about once in
-100,000. All others are confirmed on the full shingle sets.
+similarity: a pair at 0.75 has no chunk with at most one error twice in a million. It
+differs in more than ``FAR`` symbols, beyond which pairs are not confirmed, less than once
+in a thousand million times. All others are confirmed on the full shingle sets.
 
 Links are found without enumerating a bucket's pairs. Documents with equal sets are one
 node. In each bucket the smallest node, its pivot, is compared with all others; components
@@ -19,7 +19,8 @@ shingles. With W = 4 m + 3 u, two nodes that share s of their differences are si
 node of least W; beyond it a pair needs an overlap that grows with W and with the size, so
 it must share one of the rarest differences of one side, and those are joined by equality
 (a prefix filter). A group without much in common has an empty consensus, and the filter is
-then the usual one for the Jaccard similarity.
+then the usual one for the Jaccard similarity. A large group is split by node: what is known
+of the group, one row, is there once for each ``SPLIT`` of its nodes.
 """
 
 from __future__ import annotations
@@ -43,7 +44,9 @@ SYMBOLS = 65
 CHUNK = 5
 CHUNKS = SYMBOLS // CHUNK
 RADIUS = 2 * CHUNKS - 1
-FAR = 32
+FAR = 40
+#: Nodes of a group that meet in one task, about.
+SPLIT = 500
 
 _A = mix64(np.arange(1, SYMBOLS + 1, dtype=U64)) | U64(1)
 _B = mix64(np.arange(1001, SYMBOLS + 1001, dtype=U64))
@@ -203,11 +206,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, id_col: str
     groups = scratch.table(_busy_groups(stars, comp, scratch), "groups")
     if not groups.isEmpty():
         shapes = scratch.table(_shapes(groups, sets), "shapes")
-        more.append(_consensus_star(shapes))
-        pairs = scratch.table(_sharing(shapes), "sharing")
+        centred = scratch.table(_centred(shapes), "centred")
+        more.append(_consensus_star(centred))
+        pairs = scratch.table(_sharing(centred), "sharing")
         more.append(_links(_confirm(pairs, sets)))
     every = scratch.table(functools.reduce(DataFrame.unionByName, more), "links")
-    scratch.drop("members", "sets", "shapes")
+    scratch.drop("members", "sets", "shapes", "centred")
     final = components(every, scratch, "final")
 
     of_node = nodes.select("digest", F.col("n").alias("n_shingles"), "node").join(final, "node", "left")
@@ -224,47 +228,54 @@ def _component_of(rows: DataFrame, comp: DataFrame, node: str, to: str) -> DataF
 
 
 def _busy_groups(stars: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
-    """(grp, node, comp): groups of candidate pairs that hold several components of links."""
+    """(grp, node, comp, members, split): groups of candidate pairs that hold several components of links."""
     edges = stars.select(F.col("x").alias("a"), F.col("y").alias("b"))
     group = components(edges, scratch, "group")
     full = group.select("node", F.col("component").alias("grp")).unionByName(group.select(F.col("component").alias("node"), F.col("component").alias("grp")).distinct())
     full = scratch.table(_component_of(full, comp, "node", "comp"), "in-groups")
-    busy = full.groupBy("grp").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("grp")
-    return full.join(busy, "grp", "left_semi")
+    sums = full.groupBy("grp").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("members"))
+    busy = scratch.table(sums.filter("c0 <> c1").select("grp", "members"), "busy")
+    split = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / SPLIT)).alias("split")
+    return full.join(busy, "grp").select("grp", "node", "comp", "members", split)
+
+
+def _for_each_split(groups: DataFrame) -> DataFrame:
+    """One row per group and split of it, from one row per group with ``members``."""
+    splits = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("members") / SPLIT) - 1)
+    return groups.withColumn("split", F.explode(splits)).drop("members")
 
 
 def _shapes(groups: DataFrame, sets: DataFrame) -> DataFrame:
     """Per node of a busy group: size, |P| (p), W (w) and the differences from the group's consensus."""
     own = groups.join(sets, "node")
-    total = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
-    counts = own.select("grp", F.explode("items").alias("item")).groupBy("grp", "item").agg(F.count(F.lit(1)).alias("c"))
-    held = counts.join(total, "grp").filter(2 * F.col("c") > F.col("members"))
+    counts = own.select("grp", "members", F.explode("items").alias("item")).groupBy("grp", "members", "item").agg(F.count(F.lit(1)).alias("c"))
     # at most twice the mean size of the group's sets
-    consensus = held.groupBy("grp").agg(F.collect_list("item").alias("agreed"))
-    shaped = own.join(consensus, "grp", "left").withColumn("agreed", F.coalesce("agreed", F.array().cast("array<bigint>")))
+    consensus = counts.filter(2 * F.col("c") > F.col("members")).groupBy("grp", "members").agg(F.collect_list("item").alias("agreed"))
+    shaped = own.join(_for_each_split(consensus), ["grp", "split"], "left").withColumn("agreed", F.coalesce("agreed", F.array().cast("array<bigint>")))
     shaped = shaped.withColumns({"extra": F.array_except("items", "agreed"), "missing": F.array_except("agreed", "items")})
     w = (4 * F.size("missing") + 3 * F.size("extra")).alias("w")
-    return shaped.select("grp", "node", "comp", F.size("items").alias("n"), F.size("agreed").alias("p"), w, F.concat("extra", "missing").alias("diff"))
+    return shaped.select("grp", "split", "members", "node", "comp", F.size("items").alias("n"), F.size("agreed").alias("p"), w, F.concat("extra", "missing").alias("diff"))
 
 
-def _centres(shapes: DataFrame) -> DataFrame:
-    return shapes.groupBy("grp").agg(F.min(F.struct("w", "node")).alias("c")).select("grp", F.col("c.w").alias("least"), F.col("c.node").alias("centre"))
+def _centred(shapes: DataFrame) -> DataFrame:
+    """Shapes with the group's node of least W (centre, least) and its largest W (most)."""
+    best = shapes.groupBy("grp", "members").agg(F.min(F.struct("w", "node")).alias("c"), F.max("w").alias("most"))
+    best = best.select("grp", "members", F.col("c.w").alias("least"), F.col("c.node").alias("centre"), "most")
+    return shapes.drop("members").join(_for_each_split(best), ["grp", "split"])
 
 
-def _consensus_star(shapes: DataFrame) -> DataFrame:
+def _consensus_star(centred: DataFrame) -> DataFrame:
     """Links to the group's node of least W that hold whatever the differences shared."""
-    return shapes.join(_centres(shapes), "grp").filter("w + least <= p and node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    return centred.filter("w + least <= p and node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
 
 
-def _sharing(shapes: DataFrame) -> DataFrame:
+def _sharing(centred: DataFrame) -> DataFrame:
     """Pairs (x, y, size_x, size_y) of a group that may be similar by the differences they share.
 
     One of the two is odd: not linked to the centre by W alone. The other then needs an
     overlap of at least ``need``, so it shares one of its rarest |diff| - need + 1 differences.
     """
-    every = shapes.join(_centres(shapes), "grp").withColumn("odd", F.col("w") + F.col("least") > F.col("p"))
-    some = every.filter("odd").select("grp").distinct()
-    every = every.join(some, "grp", "left_semi")
+    every = centred.filter("most + least > p").withColumn("odd", F.col("w") + F.col("least") > F.col("p"))
     each = every.select("grp", "node", "comp", "n", "p", "w", "least", "odd", F.size("diff").alias("d"), F.explode("diff").alias("item"))
     often = each.groupBy("grp", "item").agg(F.count(F.lit(1)).alias("often"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     often = often.filter("c0 <> c1").select("grp", "item", "often")
