@@ -10,10 +10,12 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_WATCHING: list[list["Scratch"]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -27,6 +29,19 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+@contextlib.contextmanager
+def dropped_after() -> Iterator[None]:
+    """What is scratched inside goes at the end; the caller has written what it wants to keep."""
+    made: list[Scratch] = []
+    _WATCHING.append(made)
+    try:
+        yield
+    finally:
+        _WATCHING.remove(made)
+        for one in made:
+            one._remove(one.root)
+
+
 class Scratch:
     """Named Parquet tables under one fresh folder; ``drop`` removes those no longer read."""
 
@@ -34,6 +49,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         atexit.register(self._remove, self.root)
+        for made in _WATCHING:
+            made.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"

@@ -1,5 +1,6 @@
 """Held-out accuracy of the classifiers; the pipeline and its guard."""
 
+import dataclasses
 import random
 
 import pytest
@@ -49,6 +50,48 @@ def test_classifier(labelled_docs, module, label):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
+@pytest.mark.parametrize("vocabulary", [300, 4000])
+def test_toxic_pairs_of_innocent_terms(spark, vocabulary):
+    """The label is whether two words come both or not at all; neither tells anything alone."""
+    rng = random.Random(vocabulary)
+    rows, marks = [], []
+    for i in range(3_600):
+        ws = words(rng, 60, vocabulary)
+        both = [w for w in ("group", "insult") if rng.random() < 0.5]
+        for w in both:
+            ws.insert(rng.randrange(len(ws)), w)
+        rows.append((i, " ".join(ws)))
+        marks.append((i, int(len(both) != 1)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    machine = toxicity.train(docs, labels)
+    alone = toxicity.train(docs, labels, how=toxicity.Fitting(wald=float("inf")))
+    right = {}
+    for name, m in (("machine", machine), ("weights", alone)):
+        held = [r for r in toxicity.score(docs, m).collect() if r["held_out"]]
+        right[name] = sum((r["score"] >= 0.5) == marks[r["doc_id"]][1] for r in held) / len(held)
+    assert right["machine"] > 0.9 and right["weights"] < 0.65, right
+
+
+def test_attention_finds_a_bad_passage(spark):
+    """One passage of broken words in a long document decides; the mean over passages does not."""
+    rng = random.Random(12)
+    rows, marks = [], []
+    for i in range(1_500):
+        ws = words(rng, 48 * 12, 4000)
+        if bad := i % 2:
+            at = 48 * rng.randrange(12)
+            ws[at : at + 48] = ["".join(rng.choice("bcdfgk") for _ in range(5)) for _ in range(48)]
+        rows.append((i, " ".join(ws)))
+        marks.append((i, 1 - bad))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    net = quality_model.train(docs, labels)
+    right = {}
+    for name, n in (("attention", net), ("mean", dataclasses.replace(net, w=net.w | {"a": net.w["a"] * 0}))):
+        held = [r for r in quality_model.score(docs, n).collect() if r["held_out"]]
+        right[name] = sum(r["predicted"] == marks[r["doc_id"]][1] for r in held) / len(held)
+    assert right["attention"] > 0.95 and right["attention"] > right["mean"], right
+
+
 def test_classifier_without_labels(labelled_docs, no_docs):
     docs, labels = labelled_docs
     for module in (toxicity, quality_model):
