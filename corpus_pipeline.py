@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
-from barloom.llm.scratch import Scratch
+from barloom.llm.scratch import Scratch, dropped_after
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -41,7 +41,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes; a document taken in two passes is there twice."""
+    """The words that the mix takes; a document taken in two passes is there twice.
+
+    Rows without an id, or of one id, are documents of their own.
+    """
     docs = docs.select(*COLUMNS)
     return mixing.mixed_documents(docs, mixing.mix(docs))
 
@@ -61,5 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES[:-1]):
-        docs = scratch.table(stage(spark, docs, sf_dir), f"stage-{i}")
+        with dropped_after():
+            docs = scratch.table(stage(spark, docs, sf_dir), f"stage-{i}")
+        scratch.drop(f"stage-{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
