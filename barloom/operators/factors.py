@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import change, correlation, ratio, signed_power
-from .indicators import C, bollinger, cmf, lag, rolling_std, rolling_sum, rsi, sma, smoothed, vortex
+from .indicators import C, bollinger, cmf, lag, rolling_std, rolling_sum, rsi, sma, smoothed, steps, vortex
 from .panel import by_ticker, over_last
 
 
@@ -23,16 +23,19 @@ class Factor:
     category: str
     lookback: int
     of: Callable[[], Column]
+    needs: frozenset[str] = frozenset()
 
 
 REGISTRY: dict[str, Factor] = {}
+#: What ``prepared`` adds only for the factors that need it.
+SMOOTHED, RANKS, PEAK, WEEKS, FUNDAMENTALS = "smoothed", "ranks", "peak", "weeks", "fundamentals"
 
 
-def register(name: str, category: str, lookback: int) -> Callable:
+def register(name: str, category: str, lookback: int, *needs: str) -> Callable:
     def add(of: Callable[[], Column]) -> Callable[[], Column]:
         if lookback <= 0:
             raise ValueError("lookback must be positive")
-        REGISTRY[name] = Factor(name, category, lookback, of)
+        REGISTRY[name] = Factor(name, category, lookback, of, frozenset(needs))
         return of
 
     return add
@@ -58,21 +61,21 @@ def rolling_corr(x: Column, y: Column, n: int) -> Column:
     return F.when(F.count(both).over(w) >= n, correlation(x, y, w))
 
 
-for _name, _look, _of in (
-    ("rsi_14", 14, lambda: rsi(14)),
-    ("macd_histogram", 35, lambda: C("macd") - C("macd_signal_raw")),
+for _name, _look, _of, *_needs in (
+    ("rsi_14", 14, lambda: rsi(14), SMOOTHED),
+    ("macd_histogram", 35, lambda: C("macd") - C("macd_signal_raw"), SMOOTHED),
     ("bb_pct_20", 20, lambda: bollinger()["bb_pct"]),
-    ("adx_14", 28, lambda: C("adx")),
+    ("adx_14", 28, lambda: C("adx"), SMOOTHED),
     ("cmf_20", 20, lambda: cmf()),
     ("volume_ratio_20", 20, lambda: ratio(C("volume"), sma("volume", 20))),
     ("vortex_diff_14", 14, lambda: vortex()[0] - vortex()[1]),
     ("return_5d", 5, lambda: change(C("close"), lag("close", 5))),
     ("sma_ratio_20", 20, lambda: change(C("close"), sma("close", 20))),
 ):
-    register(_name, "technical", _look)(_of)
+    register(_name, "technical", _look, *_needs)(_of)
 
 
-@register("alpha003", "formulaic", 262)
+@register("alpha003", "formulaic", 262, RANKS)
 def alpha003() -> Column:
     return -rolling_corr(C("rank_open"), C("rank_volume"), 10)
 
@@ -82,7 +85,7 @@ def alpha006() -> Column:
     return -rolling_corr(C("open"), C("volume"), 10)
 
 
-@register("alpha001", "formulaic", 280)
+@register("alpha001", "formulaic", 280, PEAK)
 def alpha001() -> Column:
     return rolling_rank(C("alpha001_peak")) - 0.5
 
@@ -108,18 +111,18 @@ def alpha101() -> Column:
     return (C("close") - C("open")) / (C("high") - C("low") + 0.001)
 
 
-@register("size", "fundamental", 1)
+@register("size", "fundamental", 1, FUNDAMENTALS)
 def size() -> Column:
     return F.when(C("market_cap") > 0, F.log("market_cap"))
 
 
-@register("value", "fundamental", 1)
+@register("value", "fundamental", 1, FUNDAMENTALS)
 def value() -> Column:
     inverse = F.array_compact(F.array(*(F.when(C(c) > 0, 1 / C(c)) for c in ("pe", "pb", "ev_ebitda"))))
     return F.when(F.size(inverse) > 0, F.aggregate(inverse, F.lit(0.0), lambda a, v: a + v) / F.size(inverse))
 
 
-@register("quality", "fundamental", 1)
+@register("quality", "fundamental", 1, FUNDAMENTALS)
 def quality() -> Column:
     return C("roe") - ratio(C("net_income"), C("ocf"))
 
@@ -139,7 +142,7 @@ def amihud() -> Column:
     return sma(ratio(F.abs(C("day_return")), C("dollar_volume")), 21)
 
 
-@register("trend_cross", "trend", 60)
+@register("trend_cross", "trend", 60, SMOOTHED, WEEKS)
 def trend_cross() -> Column:
     """1 while the fast average is above the slow one, RSI is below its ceiling and the closed
     weeks do not fall; 0 before 60 bars. Without enough weeks the regime counts as rising."""
@@ -148,13 +151,19 @@ def trend_cross() -> Column:
     return F.when(n < 60, 0.0).otherwise(F.coalesce(up.cast("double"), F.lit(0.0)))
 
 
-def prepared(df: DataFrame, fundamentals: DataFrame | None = None) -> DataFrame:
+def prepared(df: DataFrame, needs: frozenset[str], fundamentals: DataFrame | None = None) -> DataFrame:
     """The panel with what the factors read; fundamentals, one row per ticker, join by ticker."""
-    base = smoothed(df).withColumn("day_return", change(C("close"), C("prior")))
-    base = base.withColumns({"rank_open": rolling_rank(C("open")), "rank_volume": rolling_rank(C("volume")), "std_20": rolling_std(C("day_return"), 20)})
-    powered = signed_power(F.when(C("day_return") < 0, C("std_20")).otherwise(C("close")), 2.0)
-    base = base.withColumn("alpha001_in", powered).withColumn("alpha001_peak", ts_argmax(C("alpha001_in"), 5))
+    base = (smoothed(df) if SMOOTHED in needs else steps(df)).withColumn("day_return", change(C("close"), C("prior")))
+    if RANKS in needs:
+        base = base.withColumns({"rank_open": rolling_rank(C("open")), "rank_volume": rolling_rank(C("volume"))})
+    if PEAK in needs:
+        powered = signed_power(F.when(C("day_return") < 0, C("std_20")).otherwise(C("close")), 2.0)
+        base = base.withColumn("std_20", rolling_std(C("day_return"), 20)).withColumn("alpha001_in", powered).withColumn("alpha001_peak", ts_argmax(C("alpha001_in"), 5))
+    if WEEKS in needs:
+        base = weekly_regime(base).withColumnRenamed("regime", "weekly_regime")
     names = ("market_cap", "pe", "pb", "ev_ebitda", "roe", "net_income", "ocf")
+    if FUNDAMENTALS not in needs:
+        return base
     if fundamentals is None:
         return base.withColumns({c: F.lit(None).cast("double") for c in names})
     return base.join(fundamentals.select("ticker", *names), "ticker", "left")
@@ -164,7 +173,15 @@ def compute(df: DataFrame, names: Sequence[str] | None = None, category: str | N
     chosen = [f for f in REGISTRY.values() if (names is None or f.name in names) and (category is None or f.category == category)]
     if names is not None and (unknown := set(names) - set(REGISTRY)):
         raise KeyError(f"unknown factors: {sorted(unknown)}")
-    return prepared(df, fundamentals).select("ticker", "date", *(f.of().alias(f.name) for f in chosen))
+    needs = frozenset().union(*(f.needs for f in chosen))
+    return prepared(df, needs, fundamentals).select("ticker", "date", *(f.of().alias(f.name) for f in chosen))
+
+
+def with_factors(features: DataFrame, bars: DataFrame, names: Sequence[str], fundamentals: DataFrame | None = None) -> DataFrame:
+    """A feature table with chosen factors of the same (ticker, date) beside it; null where a factor has none."""
+    clash = set(names) & set(features.columns)
+    own = compute(bars, names, fundamentals=fundamentals).withColumnsRenamed({c: f"factor_{c}" for c in clash})
+    return features.join(own, ["ticker", "date"], "left")
 
 
 def weekly_regime(df: DataFrame, fast: int = 4, slow: int = 12) -> DataFrame:

@@ -7,6 +7,7 @@ what is built from both. Recursive averages are made in one grouped pass.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,16 +81,27 @@ SMOOTHINGS = (
 )
 
 
+def _macd(bars: pd.DataFrame) -> pd.Series:
+    return bars["ema_12"] - bars["ema_26"]
+
+
+def _dx(bars: pd.DataFrame) -> pd.Series:
+    plus, minus = bars["plus_dm_14"] / bars["atr_14"], bars["minus_dm_14"] / bars["atr_14"]
+    return 100 * (plus - minus).abs() / (plus + minus).where(plus + minus != 0)
+
+
 def smoothed(df: DataFrame) -> DataFrame:
-    """All recursive averages; MACD's signal and ADX smooth what the first pass gives."""
-    first = smooth(steps(df), SMOOTHINGS)
-    plus, minus = (100 * C(f"{x}_dm_14") / C("atr_14") for x in ("plus", "minus"))
-    second = first.withColumns({"macd": C("ema_12") - C("ema_26"), "dx": 100 * ratio(F.abs(plus - minus), plus + minus)})
-    return smooth(second, [Smoothing("macd_signal_raw", "macd", span(9), 9), Smoothing("adx", "dx", wilder(14), 14)])
+    """All recursive averages in one pass per ticker; MACD's signal and ADX smooth what the others give."""
+    second = [Smoothing("macd_signal_raw", _macd, span(9), 9), Smoothing("adx", _dx, wilder(14), 14)]
+    return smooth(steps(df), [*SMOOTHINGS, *second]).withColumn("macd", C("ema_12") - C("ema_26"))
+
+
+def rsi_raw(n: int) -> Column:
+    return 100 - 100 / (1 + ratio(C(f"gain_{n}"), C(f"loss_{n}")))
 
 
 def rsi(n: int) -> Column:
-    return bounded(100 - 100 / (1 + ratio(C(f"gain_{n}"), C(f"loss_{n}"))), 0.0, 100.0)
+    return bounded(rsi_raw(n), 0.0, 100.0)
 
 
 def stochastic_k(n: int = 14) -> Column:
@@ -97,9 +109,13 @@ def stochastic_k(n: int = 14) -> Column:
     return 100 * ratio(C("close") - low, rolling_max(C("high"), n) - low)
 
 
-def williams_r(n: int = 14) -> Column:
+def williams_raw(n: int = 14) -> Column:
     high = rolling_max(C("high"), n)
-    return bounded(-100 * ratio(high - C("close"), high - rolling_min(C("low"), n)), -100.0, 0.0)
+    return -100 * ratio(high - C("close"), high - rolling_min(C("low"), n))
+
+
+def williams_r(n: int = 14) -> Column:
+    return bounded(williams_raw(n), -100.0, 0.0)
 
 
 def cci(n: int = 20) -> Column:
@@ -120,8 +136,12 @@ def money_flow_value() -> Column:
     return ((C("close") - C("low")) - (C("high") - C("close"))) / C("candle") * C("volume")
 
 
+def cmf_raw(n: int = 20) -> Column:
+    return ratio(rolling_sum(money_flow_value(), n), rolling_sum(C("volume"), n))
+
+
 def cmf(n: int = 20) -> Column:
-    return bounded(ratio(rolling_sum(money_flow_value(), n), rolling_sum(C("volume"), n)), -1.0, 1.0)
+    return bounded(cmf_raw(n), -1.0, 1.0)
 
 
 def vortex(n: int = 14) -> tuple[Column, Column]:
@@ -135,7 +155,11 @@ def bollinger(n: int = 20, width: float = 2.0) -> dict[str, Column]:
 
 
 def raw_features(df: DataFrame) -> DataFrame:
-    """All features of the same bar, not yet lagged, beside the bars."""
+    """All features of the same bar, not yet lagged, beside the bars.
+
+    Bounds and the check for finite values come in a projection of their own: an expression
+    that names a window twice would have it computed twice.
+    """
     up, down = mfi()
     base = smoothed(df).withColumns({f"sma_{n}": sma("close", n) for n in SMAS} | {"stoch_raw": stochastic_k(), "flow_up": up, "flow_down": down, "obv": F.sum(F.coalesce(F.signum(C("close") - C("prior")), F.lit(0.0)) * C("volume")).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0))})
     downside = F.when(C("log_ret") < 0, C("log_ret")).otherwise(0.0)
@@ -152,8 +176,8 @@ def raw_features(df: DataFrame) -> DataFrame:
             out[f"{name}_ratio_{n}"] = change(C("close"), C(f"{name}_{n}"))
             out[f"{name}_slope_{n}"] = change(C(f"{name}_{n}"), lag(f"{name}_{n}", 5))
     out |= {"macd_line": C("macd") / C("close"), "macd_signal": C("macd_signal_raw") / C("close"), "macd_hist": (C("macd") - C("macd_signal_raw")) / C("close"), "adx_14": C("adx")}
-    out |= {f"rsi_{n}": rsi(n) for n in RSIS}
-    out |= {"stoch_k": bounded(C("stoch_raw"), 0.0, 100.0), "stoch_d": bounded(sma("stoch_raw", 3), 0.0, 100.0), "williams_r_14": williams_r(), "cci_20": cci(), "roc_10": 100 * change(C("close"), lag("close", 10))}
+    out |= {f"rsi_{n}": rsi_raw(n) for n in RSIS}
+    out |= {"stoch_k": C("stoch_raw"), "stoch_d": sma("stoch_raw", 3), "williams_r_14": williams_raw(), "cci_20": cci(), "roc_10": 100 * change(C("close"), lag("close", 10))}
     out |= {"atr_14": C("atr_14"), "atr_pct_14": C("atr_14") / C("close")}
     for n in (10, 20, 60):
         out[f"hist_vol_{n}"] = rolling_std(C("log_ret"), n) * YEAR**0.5
@@ -162,8 +186,8 @@ def raw_features(df: DataFrame) -> DataFrame:
     bands = bollinger()
     out |= {"bb_width": bands["bb_width"], "bb_pct": bands["bb_pct"], "obv": C("obv"), "obv_slope_20": change(C("obv"), lag("obv", 20))}
     out["vwap_ratio_20"] = change(C("close"), ratio(rolling_sum(C("typical") * C("volume"), 20), rolling_sum(C("volume"), 20)))
-    out["mfi_14"] = bounded(100 - 100 / (1 + ratio(rolling_sum(C("flow_up"), 14), rolling_sum(C("flow_down"), 14))), 0.0, 100.0)
-    out |= {"volume_ratio_20": ratio(C("volume"), sma("volume", 20)), "dollar_volume_20": sma("dollar_volume", 20), "dollar_volume_z_60": zscore(C("dollar_volume"), 60), "cmf_20": cmf()}
+    out["mfi_14"] = 100 - 100 / (1 + ratio(rolling_sum(C("flow_up"), 14), rolling_sum(C("flow_down"), 14)))
+    out |= {"volume_ratio_20": ratio(C("volume"), sma("volume", 20)), "dollar_volume_20": sma("dollar_volume", 20), "dollar_volume_z_60": zscore(C("dollar_volume"), 60), "cmf_20": cmf_raw()}
     width = F.nullif(4 * C("atr_14"), F.lit(0.0))
     out |= {"kc_pct": (C("close") - (C("ema_20") - 2 * C("atr_14"))) / width, "kc_width": width / C("ema_20")}
     plus, minus = vortex()
@@ -175,7 +199,11 @@ def raw_features(df: DataFrame) -> DataFrame:
     flag = lambda x: F.coalesce(x.cast("double"), F.lit(0.0))
     out["trend_regime_fast"] = flag((C("close") > C("sma_20")) & (C("sma_20") > C("sma_50")))
     out["trend_regime_slow"] = flag((C("close") > C("sma_50")) & (C("sma_50") > C("sma_200")))
-    return base.select(*BARS, *(F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x).alias(k) for k, x in out.items()))
+    limits = {f"rsi_{n}": (0.0, 100.0) for n in RSIS} | {"stoch_k": (0.0, 100.0), "stoch_d": (0.0, 100.0), "mfi_14": (0.0, 100.0), "williams_r_14": (-100.0, 0.0), "cmf_20": (-1.0, 1.0)}
+    made = base.select(*BARS, *(x.alias(k) for k, x in out.items()))
+    # as SQL text: one call for each feature instead of one for each operator in it
+    shaped = {k: f"CASE WHEN {k} IS NOT NULL THEN least(greatest({k}, {limits[k][0]}D), {limits[k][1]}D) END" if k in limits else k for k in out}
+    return made.selectExpr(*BARS, *(f"CASE WHEN NOT isnan({x}) AND abs({x}) <> double('infinity') THEN {x} END AS {k}" for k, x in shaped.items()))
 
 
 def feature_names(df: DataFrame) -> list[str]:
@@ -192,5 +220,6 @@ def feature_matrix(df: DataFrame, horizon: int = 5, lag_by: int = 1, threshold:
     raw = raw_features(df)
     names = feature_names(raw)
     goal = targets(horizon, threshold) if with_targets else {}
-    out = raw.select("ticker", "date", "close", *((lag(c, lag_by) if lag_by else C(c)).alias(c) for c in names), *(x.alias(k) for k, x in goal.items()))
-    return out.dropna(subset=[*names, *goal])
+    raw = raw.withColumns(goal) if goal else raw
+    shown = [f"lag({c}, {lag_by}) OVER (PARTITION BY ticker ORDER BY date) AS {c}" if lag_by else c for c in names]
+    return raw.selectExpr("ticker", "date", "close", *shown, *goal).dropna(subset=[*names, *goal])

@@ -92,7 +92,7 @@ def direction_model(features: Sequence[str], kind: str = "logistic", top: int |
         last = "picked"
     common = {"featuresCol": last, "labelCol": "label", "weightCol": "weight"}
     models = {
-        "logistic": lambda: LogisticRegression(regParam=0.01, **common),
+        "logistic": lambda: LogisticRegression(regParam=0.01, maxIter=25, **common),
         "forest": lambda: RandomForestClassifier(numTrees=40, maxDepth=5, seed=7, **common),
         "boosted": lambda: GBTClassifier(maxIter=20, maxDepth=3, seed=7, **common),
     }
@@ -121,6 +121,22 @@ def out_of_fold(rows: DataFrame, features: Sequence[str], kind: str = "logistic"
     return out
 
 
+def final_probabilities(rows: DataFrame, latest: DataFrame, features: Sequence[str], kind: str = "logistic", contrarian: bool = False) -> DataFrame:
+    """Probability of the newest bar of each ticker, from a model fitted on all labelled rows."""
+    model = direction_model(features, kind).fit(balanced(rows))
+    prob = F.get(vector_to_array("probability"), F.lit(1))
+    return model.transform(latest).select("ticker", (1 - prob if contrarian else prob).alias("prob"))
+
+
+def evidence(scored: DataFrame, rows: DataFrame, final: DataFrame) -> DataFrame:
+    """Per ticker the accuracy and AUC of out-of-fold rows, the share of rows they cover, and the newest probability."""
+    from .stats import average_rank_auc
+
+    quality = average_rank_auc(scored, ["ticker"]).select("ticker", "accuracy", "auc", "n")
+    counts = rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("rows_labelled"))
+    return quality.join(counts, "ticker").join(final, "ticker", "left").select("ticker", "accuracy", "auc", (C("n") / C("rows_labelled")).alias("oof_coverage"), "prob")
+
+
 def importance(coefficients: Sequence[float], features: Sequence[str], spark, top: int = 20) -> DataFrame:
     rows = spark.createDataFrame(list(zip(features, map(float, coefficients), strict=True)), "feature string, value double")
     return rows.orderBy(F.desc(F.abs("value")), "feature").limit(top)

@@ -9,7 +9,7 @@ look-back, so the feature matrix uses the single pass.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -41,10 +41,10 @@ def ema(x: Column, alpha: float, least: int) -> Column:
 
 @dataclass(frozen=True)
 class Smoothing:
-    """``to`` is the smoothed ``of``; ``of`` may be the ``to`` of an earlier one."""
+    """``to`` is the smoothed ``of``: a column, the ``to`` of an earlier one, or made from a ticker's bars."""
 
     to: str
-    of: str
+    of: str | Callable[[pd.DataFrame], pd.Series]
     alpha: float
     least: int
 
@@ -55,7 +55,8 @@ def smooth(df: DataFrame, steps: Sequence[Smoothing]) -> DataFrame:
     def run(bars: pd.DataFrame) -> pd.DataFrame:
         bars = bars.sort_values("date", kind="stable")
         for s in steps:
-            bars[s.to] = bars[s.of].astype(float).ewm(alpha=s.alpha, adjust=False, min_periods=s.least).mean()
+            x = bars[s.of] if isinstance(s.of, str) else s.of(bars)
+            bars[s.to] = x.astype(float).ewm(alpha=s.alpha, adjust=False, min_periods=s.least).mean()
         return bars
 
     return df.groupBy("ticker").applyInPandas(run, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +12,10 @@ from ..operators import factors, indicators, timejoins
 from ..operators.indicators import lag, rolling_max, rolling_min, rolling_std, rolling_sum, sma
 from ..operators.panel import as_of, brand_bars, by_ticker, normalise
 from ..operators.smoothing import ema, span
-from ..sources.lake import Lake, best_source, chart_records, newest_version, universe_changes
+from ..sources.lake import Lake, best_source, chart_records, read_universe, universe_changes, write_universe
 from ..sources.shared import shared_path
-from .catalog import query, rounded
+from . import feature_sql
+from .catalog import BARS_SQL, query, rounded
 
 C = F.col
 _W = "(PARTITION BY ticker ORDER BY date"
@@ -142,10 +145,10 @@ def folded_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(brand_bars(spark, sf_dir).select("ticker", "date", ema(C("close"), span(9), 9).alias("ema_9")), 2)
 
 
-@query()
+@query(feature_sql.matrix_sql(BARS_SQL.replace("p_brand", "p_type")), days="date")
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By part type, whose bars hold several lines: a bar of one line has no range, which voids its features."""
-    return indicators.feature_matrix(brand_bars(spark, sf_dir, "p_type"))
+    return rounded(indicators.feature_matrix(brand_bars(spark, sf_dir, "p_type")), feature_sql.PLACES)
 
 
 @query(
@@ -177,12 +180,12 @@ def rolling_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(brand_bars(spark, sf_dir).select("ticker", "date", factors.rolling_rank(C("volume")).alias("rank_volume"), factors.ts_argmax(C("close"), 5).alias("argmax_5")))
 
 
-@query()
+@query(feature_sql.zoo_sql(BARS_SQL), days="date")
 def factor_zoo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All registered factors with fundamentals made from the part table."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     made = part.groupBy(C("p_brand").alias("ticker")).agg((F.sum("p_retailprice") * 1e4).alias("market_cap"), F.avg("p_size").alias("pe"), (F.avg("p_size") / 10).alias("pb"), F.avg("p_retailprice").alias("ev_ebitda"), F.lit(0.12).alias("roe"), F.sum("p_size").cast("double").alias("net_income"), F.sum("p_retailprice").alias("ocf"))
-    return factors.compute(brand_bars(spark, sf_dir), fundamentals=made)
+    return rounded(factors.compute(brand_bars(spark, sf_dir), fundamentals=made), feature_sql.ZOO_PLACES)
 
 
 @query(
@@ -210,8 +213,7 @@ def lake_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = brand_bars(spark, sf_dir)
     for gen, (days, by) in enumerate(((31, 1), (10, 2), (5, 3))):
         lake.write(bars.filter(F.dayofmonth("date") <= days).withColumn("close", C("close") * by), f"gen{gen}", F.lit(f"2024-01-0{gen + 1} 00:00:00").cast("timestamp"))
-    known = lake.versions().filter(C("_ingested_at") <= F.lit("2024-01-02 12:00:00").cast("timestamp"))
-    return newest_version(known).select("ticker", "date", "close")
+    return lake.read(as_of=datetime(2024, 1, 2, 12, tzinfo=timezone.utc)).select("ticker", "date", "close")
 
 
 @query(
@@ -235,12 +237,17 @@ def chart_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH {BARS}, o AS (SELECT DISTINCT ticker FROM bars WHERE date < DATE '1995-01-15'), n AS (SELECT DISTINCT ticker FROM bars WHERE date >= DATE '2001-10-28')
+    """WITH {BARS}, o AS (SELECT DISTINCT ticker FROM bars WHERE date <= (SELECT min(date) FROM bars)), n AS (SELECT DISTINCT ticker FROM bars WHERE date >= (SELECT max(date) FROM bars))
 SELECT ticker, 'LEFT' AS change FROM o WHERE ticker NOT IN (SELECT ticker FROM n) UNION ALL SELECT ticker, 'JOINED' FROM n WHERE ticker NOT IN (SELECT ticker FROM o)"""
 )
 def universe_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickers quoted on the first day against those of the last, through written snapshots."""
     bars = brand_bars(spark, sf_dir)
-    return universe_changes(as_of(bars, "1995-01-14").select("ticker").distinct(), bars.filter("date >= date '2001-10-28'").select("ticker").distinct())
+    ends = bars.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+    members = as_of(bars, ends["a"]).withColumn("as_of", F.lit("old")).unionByName(bars.filter(C("date") >= ends["b"]).withColumn("as_of", F.lit("new")))
+    root = shared_path(spark, "universe")
+    write_universe(members.select(F.lit("brands").alias("universe"), "as_of", "ticker"), root)
+    return universe_changes(read_universe(spark, root, "brands", "old"), read_universe(spark, root, "brands", "new"))
 
 
 _ACTIONS = "SELECT p_brand AS ticker, l_shipdate::DATE AS date, 'split' AS type, 2.0 AS ratio, NULL::DOUBLE AS cash FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 500 = 0 AND l_linenumber = 1 UNION ALL SELECT p_brand, l_shipdate::DATE, 'dividend', NULL, l_tax * 1000 FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 400 = 1"

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import allocation, gates, indicators, memory, paper, timejoins
 from ..operators.panel import brand_bars
-from ..sources.shared import shared_path
+from ..sources.shared import landed, shared_path
 from ..streaming import jobs
 from .catalog import query, rounded
-from .risk_queries import _RET, _W, daily_returns
+from .risk_queries import _RET, _W, daily_returns, honesty_evidence, model_evidence
 
 C = F.col
 
@@ -52,26 +52,18 @@ def market_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: bars, snapshot, risk plan, score, checks, verdict, gates and the ranked list, for both tracks.
-
-    Model evidence comes from the panel: the share of rising bars stands for the probability
-    and the return series' own Sharpe ratio and drawdown for the backtest.
-    """
-    bars = brand_bars(spark, sf_dir)
-    snap = snapshot(bars)
-    r = daily_returns(spark, sf_dir).withColumn("x", 0.02 * F.signum(F.coalesce("ret", F.lit(0.0))))
-    run = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    eq = r.withColumn("eq", F.exp(F.sum(F.log1p("x")).over(run))).withColumn("dd", C("eq") / F.max("eq").over(run) - 1)
-    evidence = eq.groupBy("ticker").agg((-100 * F.min("dd")).alias("mdd_pct"), (F.avg("x") / F.stddev_pop("x") * 252**0.5).alias("sharpe"), F.avg((C("ret") > 0).cast("double")).alias("prob"), F.count("ret").alias("trades"))
-    joined = snap.join(evidence, "ticker").withColumns({"auc": F.lit(0.56), "accuracy": F.lit(0.52), "oof_coverage": F.lit(0.8)})
+    """The flagship: bars, snapshot, model, honesty, risk plan, score, checks, verdict, gates and the ranked list, for both tracks."""
+    bars = landed(brand_bars(spark, sf_dir), "bars")
+    joined = snapshot(bars).join(model_evidence(bars), "ticker").join(honesty_evidence(bars), "ticker")
+    joined = landed(joined.withColumn("honesty", gates.honesty(gates.honesty_checks())), "candidates")
     parts = []
     for t, score in ((gates.SHORT, gates.score_short), (gates.LONG, gates.score_long)):
         rows = joined.withColumns(gates.risk_plan(C("latest"), C("atr_pct"), t))
         rows = rows.withColumn("score", score(t)).withColumn("checks", gates.validation_checks(t))
-        rows = rows.withColumn("verdict", gates.verdict(C("score"), C("checks"), t)).withColumn("gate", gates.readiness_gate(C("verdict"), F.lit("PASS"), C("accuracy"), C("auc"), C("trades")))
+        rows = rows.withColumn("verdict", gates.verdict(C("score"), C("checks"), t)).withColumn("gate", gates.readiness_gate(C("verdict"), C("honesty"), C("accuracy"), C("auc"), C("trades")))
         ev = 100 * (C("prob") * C("tp2_pct") - (1 - C("prob")) * C("stop_pct"))
         passed = F.size(F.filter("checks", lambda c: c["status"] == "PASS"))
-        parts.append(rows.select("ticker", F.lit(t.name).alias("track"), F.round("score", 4).alias("score"), C("gate.verdict").alias("verdict"), F.round(ev, 4).alias("ev_pct"), passed.alias("passed"), F.round("stop", 4).alias("stop"), F.round("tp2", 4).alias("tp2")))
+        parts.append(rows.select("ticker", F.lit(t.name).alias("track"), F.round("score", 4).alias("score"), C("gate.verdict").alias("verdict"), F.round(ev, 4).alias("ev_pct"), passed.alias("passed"), F.round("stop", 4).alias("stop"), F.round("tp2", 4).alias("tp2"), "honesty"))
     return gates.ranked(parts[0].unionByName(parts[1]), 20)
 
 

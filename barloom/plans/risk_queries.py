@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import events, gates, indicators, learning, stats
 from ..operators.panel import brand_bars
-from ..sources.shared import shared_path
+from ..sources.shared import landed
 from .catalog import query, rounded
 
 C = F.col
@@ -18,9 +18,13 @@ _W = "(PARTITION BY ticker ORDER BY date"
 _RET = f"r AS (SELECT ticker, date, close, volume, close / lag(close) OVER {_W}) - 1 AS ret FROM bars)"
 
 
-def daily_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def returns_of(bars: DataFrame) -> DataFrame:
     w = Window.partitionBy("ticker").orderBy("date")
-    return brand_bars(spark, sf_dir).select("ticker", "date", "close", "volume", (C("close") / F.lag("close").over(w) - 1).alias("ret"))
+    return bars.select("ticker", "date", "close", "volume", (C("close") / F.lag("close").over(w) - 1).alias("ret"))
+
+
+def daily_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return returns_of(brand_bars(spark, sf_dir))
 
 
 _RANKS = """k AS (SELECT {by}, rank() OVER (PARTITION BY {by} ORDER BY f) + (count(*) OVER (PARTITION BY {by}, f) - 1) / 2.0 AS a,
@@ -72,15 +76,19 @@ def factor_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HELD = f"s AS (SELECT ticker, date, coalesce(lag(CASE WHEN close < lag5 THEN 1.0 ELSE 0.0 END) OVER {_W}), 0) AS held, ret FROM (SELECT *, lag(close, 5) OVER {_W}) AS lag5 FROM r))"
 
 
-def strategy_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def strategy_of(returns: DataFrame) -> DataFrame:
     """A tenth of the return after a five-day fall, with the change of the position as turnover."""
     w = Window.partitionBy("ticker").orderBy("date")
-    df = daily_returns(spark, sf_dir).withColumn("on", F.when(C("close") < F.lag("close", 5).over(w), 1.0).otherwise(0.0))
+    df = returns.withColumn("on", F.when(C("close") < F.lag("close", 5).over(w), 1.0).otherwise(0.0))
     df = df.withColumn("held", F.coalesce(F.lag("on").over(w), F.lit(0.0)))
     moved = F.abs(C("held") - F.coalesce(F.lag("held").over(w), F.lit(0.0)))
     return df.select("ticker", "date", "held", moved.alias("moved"), (moved * 0.0005).alias("cost"), (0.1 * C("held") * F.coalesce("ret", F.lit(0.0))).alias("ret"))
 
 
+def strategy_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strategy_of(daily_returns(spark, sf_dir))
+
+
 _STRATEGY = f"""{_RET}, {_HELD},
 d AS (SELECT ticker, date, held, 0.1 * held * coalesce(ret, 0) AS ret, abs(held - coalesce(lag(held) OVER {_W}), 0)) AS moved FROM s),
 e AS (SELECT *, exp(sum(ln(1 + ret)) OVER {_W} ROWS UNBOUNDED PRECEDING)) AS eq FROM d),
@@ -261,27 +269,60 @@ def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 FEATURES = ("ret_1", "ret_5", "vol_20", "range_20")
 
 
-def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = indicators.steps(brand_bars(spark, sf_dir))
+def labelled(bars: DataFrame) -> DataFrame:
+    """Four features of each bar and the direction of the next five; the newest bars have no label."""
     goal = indicators.targets(5)
-    rows = bars.select(
+    rows = indicators.steps(bars).select(
         "ticker", "date", C("log_ret").alias("ret_1"), F.log(C("close") / indicators.lag("close", 5)).alias("ret_5"), indicators.rolling_std(C("log_ret"), 20).alias("vol_20"),
         (C("close") / indicators.rolling_max(C("high"), 20) - 1).alias("range_20"), goal["target_direction"].alias("label"),
     )
-    return rows.dropna()
+    return rows.dropna(subset=list(FEATURES))
+
+
+def model_evidence(bars: DataFrame, folds: int = 3) -> DataFrame:
+    """Out-of-fold quality and newest probability of the direction model, per ticker."""
+    every = landed(labelled(bars), "labelled")
+    rows = every.filter("label is not null")
+    n = rows.select("date").distinct().count()
+    parted = landed(learning.purged_folds(learning.positioned(rows, 5), n, folds), "folds")  # read by every fold's model
+    scored = learning.out_of_fold(parted, FEATURES)
+    newest = every.withColumn("_back", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))).filter("_back = 1").drop("_back")
+    return learning.evidence(scored, rows, learning.final_probabilities(rows, newest, FEATURES))
+
+
+def honesty_evidence(bars: DataFrame) -> DataFrame:
+    """What the honesty checks ask of each ticker's strategy."""
+    r = landed(strategy_of(returns_of(bars)), "strategy")
+    base = stats.annualised(r, ["ticker"]).select("ticker", "sharpe", (-100 * C("max_drawdown")).alias("mdd_pct"))
+    stress = stats.cost_stress(r, ["ticker"]).groupBy("ticker").agg(F.bool_and("passed").alias("stress_passed"))
+    years = r.groupBy("ticker", F.year("date").alias("y")).agg((F.avg("ret") / F.nullif(F.stddev_pop("ret"), F.lit(0.0))).alias("year_sharpe"))
+    paths = stats.overfitting(years, ["ticker"], "year_sharpe").select("ticker", "pbo", "pass_rate")
+    m = stats.moments(r, ["ticker"])
+    dsr = m.select("ticker", stats.deflated_sharpe(C("sr"), 25, C("n_obs"), C("skew"), C("kurt")).alias("dsr"))
+    trades = r.groupBy("ticker").agg(F.floor(F.sum("moved") / 2).alias("trades"), F.coalesce(F.avg(F.when(C("held") > 0, C("ret"))), F.lit(0.0)).alias("edge"), F.lit(0.0005).alias("cost"), F.lit(0.01).alias("embargo"))
+    out = base
+    for part in (stress, paths, dsr, trades):
+        out = out.join(part, "ticker")
+    return out
 
 
 @query()
 def out_of_fold_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purged-fold probabilities of the direction model and their quality per fold."""
-    path = shared_path(spark, "labelled")
-    _labelled(spark, sf_dir).write.parquet(path)  # read once per fold
-    rows = spark.read.parquet(path)
+    """Purged-fold probabilities of the direction model on the whole feature matrix and their quality per fold."""
+    matrix = landed(indicators.feature_matrix(brand_bars(spark, sf_dir, "p_type")), "matrix")
+    rows = matrix.withColumnRenamed("target_direction", "label")
     n = rows.select("date").distinct().count()
-    scored = learning.out_of_fold(learning.purged_folds(learning.positioned(rows, 5), n, 3), FEATURES)
+    parted = landed(learning.purged_folds(learning.positioned(rows, 5), n, 3), "folds")
+    scored = learning.out_of_fold(parted, [c for c in indicators.feature_names(matrix) if c != "close"])
     return rounded(stats.average_rank_auc(scored, ["path"]), 4)
 
 
+@query()
+def model_by_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold quality per brand, and the newest probability from a final fit on all rows."""
+    return rounded(model_evidence(brand_bars(spark, sf_dir)), 4)
+
+
 @query()
 def regime_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = daily_returns(spark, sf_dir).filter("ret is not null")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; only a local session may go without that setting."""
+    """A fresh path below ``spark.checkpoint.dir``, removed at the end of the process; only a local session may go without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
@@ -19,4 +21,19 @@ def shared_path(spark: SparkSession, label: str) -> str:
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="spark-"))
         base = _LOCAL[0]
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def landed(df: DataFrame, label: str) -> DataFrame:
+    """The table, written once and read again by all that use it."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
