@@ -59,7 +59,7 @@ def relevance(topics_: Column, volume: Column, diversity: Column, tone: Column,
 def normalised_events(df: DataFrame) -> DataFrame:
     """Topic strings split at ; and , and numbers coerced; a missing ticker means every ticker."""
     number = lambda c, d: F.coalesce(C(c).cast("string").try_cast("double"), F.lit(d)).alias(c)
-    parts = F.filter(F.transform(F.split(F.coalesce("topics", F.lit("")), "[;,]"), F.trim), lambda t: t != "")
+    parts = F.filter(F.transform(F.split(F.coalesce("topics", F.lit("")), "[;,]"), lambda t: F.trim(t)), lambda t: t != "")
     return df.select("ticker", C("date").cast("date").alias("date"), "headline", "country", number("tone", 0.0), number("volume", 1.0), number("source_diversity", 1.0), F.when(F.size(parts) > 0, parts).otherwise(topics(C("headline"))).alias("topics"))
 
 

@@ -60,10 +60,13 @@ def payload(results: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(severity(C("verdict")) == 3).alias("eligible"), F.to_json(F.array_sort(F.collect_list(F.struct("rank", "ticker", "verdict", "score")))).alias("results"))
 
 
+def eligible(rows: DataFrame) -> DataFrame:
+    return rows.filter(C("verdict").isin("ELIGIBLE_RECOMMENDATION", "ACCUMULATE_RECOMMENDATION"))
+
+
 def open_positions(spark: SparkSession, path: str) -> DataFrame:
     """Eligible rows of a payload file (results: array of rows)."""
-    rows = spark.read.option("multiLine", True).json(path).select(F.inline("results"))
-    return rows.filter(C("verdict").isin("ELIGIBLE_RECOMMENDATION", "ACCUMULATE_RECOMMENDATION"))
+    return eligible(spark.read.option("multiLine", True).json(path).select(F.inline("results")))
 
 
 def factor_status(audit: DataFrame) -> DataFrame:
