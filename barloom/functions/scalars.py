@@ -115,6 +115,11 @@ def mentions(ticker: Column, text: Column) -> Column:
     return F.regexp_like(text, F.concat(F.lit(r"(?i)\b\Q"), ticker, F.lit(r"\E\b")))
 
 
+def to_utc(moment: Column, zone: str) -> Column:
+    """A local wall-clock time of ``zone`` as UTC without a zone."""
+    return F.to_utc_timestamp(moment.cast("timestamp"), zone).cast("timestamp_ntz")
+
+
 def month_key(day: Column) -> Column:
     return F.date_format(day, "yyyy-MM")
 

@@ -482,3 +482,8 @@ def provider_summary(reports: DataFrame) -> DataFrame:
     """Over a run's reports (with ``provider``): the worst status, providers, fewest rows and greatest age."""
     worst = F.max(F.when(C("status") == "FAIL", 2).when(C("status") == "AMBER", 1).otherwise(0))
     return reports.agg(F.element_at(F.array(F.lit("PASS"), F.lit("AMBER"), F.lit("FAIL")), worst + 1).alias("status"), F.array_sort(F.collect_set("provider")).alias("providers"), F.min("rows").alias("min_rows"), F.max("age_days").alias("max_age_days"))
+
+
+def gate_counts(rows: DataFrame, by: Sequence[str] = ("track", "gate")) -> DataFrame:
+    """Candidates per track and gate."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("count"))

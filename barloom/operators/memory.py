@@ -33,6 +33,11 @@ def trimmed(memory: DataFrame, per_regime: int = 1000, since: Column | None = No
     return kept if since is None else kept.filter(C("ts") >= since)
 
 
+def memory_stats(memory: DataFrame) -> DataFrame:
+    """Entries, those with an outcome, and the newest time per regime."""
+    return memory.groupBy("regime").agg(F.count(F.lit(1)).alias("entries"), F.count("outcome").alias("outcomes"), F.max("ts").alias("newest"))
+
+
 def retrieve(requests: DataFrame, episodes: DataFrame, patterns: DataFrame, procedures: DataFrame, k: int = 3) -> DataFrame:
     """Per (ticker, regime, advisor): newest episodes, best patterns of the regime, and the procedure."""
     e = newest(episodes, ["ticker", "regime"], k, [F.desc("ts"), "session_id"]).groupBy("ticker", "regime").agg(F.array_sort(F.collect_list(F.struct("nth", "session_id"))).alias("episodes"))

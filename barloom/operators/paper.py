@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import reasons
+from .timejoins import next_session
 
 C = F.col
 
@@ -40,6 +41,20 @@ def signal_gate(least_score: float = 56.0) -> Column:
     )
 
 
+def benchmark_gate(market: Column, bars: Column, issues: Column) -> Column:
+    """Whether the benchmark of a market lets results be promoted: only KRX asks for one."""
+    status = F.when(F.coalesce(F.upper(market), F.lit("")) != "KRX", "NOT_APPLICABLE").when(F.coalesce(bars, F.lit(0)) < 2, "MISSING").when(F.size(issues) > 0, "MISSING").otherwise("PASS")
+    return F.struct(status.alias("status"), (status == "MISSING").alias("not_promotable"))
+
+
+def fill_dates(orders: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Orders (market, run_date) with ``fill_date``: KRX orders fill at the next session, others on their day."""
+    days = orders.filter("market = 'KRX'").select(C("run_date").alias("day")).distinct()
+    found = next_session(days, sessions).select(C("day").alias("run_date"), "session")
+    joined = orders.join(found, "run_date", "left")
+    return joined.withColumn("fill_date", F.when(C("market") == "KRX", C("session")).otherwise(C("run_date"))).drop("session")
+
+
 def sized_orders(signals: DataFrame, cash: float, most_open: int = 10, most_new: int = 3, share: float = 0.1, buffer: float = 0.05, slippage: float = 0.001) -> DataFrame:
     """Orders of each run in signal order: duplicates, full books and small cash are refused.
 

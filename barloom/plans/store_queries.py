@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import to_utc
 from ..operators import allocation, events, gates, memory, paper, stats, timejoins
 from ..operators.panel import brand_bars, field
 from ..sources import lake, logs
@@ -248,3 +249,29 @@ def forward_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days of a symbol that its log does not hold yet; days with a purchase are logged."""
     e = _events(spark, sf_dir).select(C("user_id").alias("symbol"), F.to_date("ts").alias("date"), "event_type")
     return paper.forward_step(e.filter("event_type = 'purchase'").distinct(), e).groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_type AS track, ['G-05', 'G-06', 'G-07'][event_id % 3 + 1] AS gate, count(*) AS count FROM events GROUP BY ALL")
+def gate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.gate_counts(_events(spark, sf_dir).select(C("event_type").alias("track"), _pick(("G-05", "G-06", "G-07"), C("event_id")).alias("gate")))
+
+
+@query("SELECT event_type AS regime, count(*) AS entries, count(CASE WHEN event_id % 3 <> 0 THEN 1 END) AS outcomes, strftime(max(ts) - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') AS newest_utc FROM events GROUP BY event_type")
+def memory_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regimes of the memory, the newest time read as Seoul's and given in UTC."""
+    rows = _events(spark, sf_dir).select(C("event_type").alias("regime"), "ts", F.when(_mod(3) != 0, C("value")).alias("outcome"))
+    return memory.memory_stats(rows).select("regime", "entries", "outcomes", F.date_format(to_utc(C("newest"), "Asia/Seoul"), "yyyy-MM-dd HH:mm").alias("newest_utc"))
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS d, ['KRX', 'NYSE', NULL][o_orderkey % 3 + 1] AS market, o_orderkey % 5 AS bars FROM orders), c AS (SELECT DISTINCT l_shipdate::DATE AS day FROM lineitem WHERE dayofweek(l_shipdate) NOT IN (0, 6)),
+n AS (SELECT d, min(day) AS session FROM (SELECT DISTINCT d FROM o) LEFT JOIN c ON day >= d GROUP BY d)
+SELECT o_orderkey, CAST(CASE WHEN market = 'KRX' THEN session ELSE d END AS VARCHAR) AS fill_date, CASE WHEN coalesce(market, '') <> 'KRX' THEN 'NOT_APPLICABLE' WHEN bars < 2 OR o_orderkey % 7 = 0 THEN 'MISSING' ELSE 'PASS' END AS benchmark FROM o JOIN n USING (d)"""
+)
+def fill_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When orders fill, and whether their market's benchmark is there."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.to_date("o_orderdate").alias("run_date"), F.when(C("o_orderkey") % 3 == 0, "KRX").when(C("o_orderkey") % 3 == 1, "NYSE").alias("market"))
+    sessions = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.to_date("l_shipdate").alias("day")).filter("dayofweek(day) not in (1, 7)").distinct()
+    issues = F.when(C("o_orderkey") % 7 == 0, F.array(F.lit("OHLC_ORDER"))).otherwise(F.array().cast("array<string>"))
+    gate = paper.benchmark_gate(C("market"), C("o_orderkey") % 5, issues)
+    return paper.fill_dates(orders, sessions).select("o_orderkey", C("fill_date").cast("string").alias("fill_date"), gate["status"].alias("benchmark"))
