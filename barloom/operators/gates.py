@@ -484,6 +484,32 @@ def provider_summary(reports: DataFrame) -> DataFrame:
     return reports.agg(F.element_at(F.array(F.lit("PASS"), F.lit("AMBER"), F.lit("FAIL")), worst + 1).alias("status"), F.array_sort(F.collect_set("provider")).alias("providers"), F.min("rows").alias("min_rows"), F.max("age_days").alias("max_age_days"))
 
 
+def candidate_benchmark(candidates: DataFrame, audit: DataFrame, buffer_pct: float = 0.5, horizons: Sequence[int] = (20, 63)) -> DataFrame:
+    """Candidates with seven checks, what blocks them, the capped score and the readiness for a manual review.
+
+    ``candidates``: ticker, day, track, raw_score, honesty, return_pct, cv_gap, advisor_score,
+    accuracy, auc, alpha_pct, trades; any but the first three may be null. ``audit``: ticker, day.
+    """
+    seen = audit.select("ticker", "day").distinct().withColumn("_audited", F.lit(True))
+    rows = candidates.join(seen, ["ticker", "day"], "left")
+    honest = F.coalesce("honesty", F.lit("AMBER"))
+    stress = lambda k: F.when(C("return_pct").isNull(), "AMBER").when(C("return_pct") > k * buffer_pct, "PASS").otherwise("FAIL")
+    horizon = F.when(C("track") == "S", horizons[0]).otherwise(horizons[1])
+    embargo = F.when(C("cv_gap").isNull(), "AMBER").when(C("cv_gap") >= horizon, "PASS").otherwise("FAIL")
+    advisor = F.when(C("advisor_score").isNull(), "NOT_APPLICABLE").when(C("_audited"), "PASS").otherwise("FAIL")
+    model = reasons((C("accuracy") < 0.5, "ACCURACY_BELOW_50"), (C("auc") < 0.5, "AUC_BELOW_0_50"), (C("alpha_pct") < 0, "ALPHA_NEGATIVE"), (C("trades") < 50, "COMPLETED_TRADES_BELOW_50"))
+    rows = rows.withColumns({"_honest": honest, "_x1": stress(1), "_x2": stress(2), "_x3": stress(3), "_embargo": embargo, "_advisor": advisor, "_model": model})
+    quality = F.when(F.size("_model") > 0, "AMBER_WATCHLIST").otherwise("PASS")
+    ready = (C("_honest") == "PASS") & (C("_x3") == "PASS") & (C("_embargo") == "PASS")
+    other = reasons((C("_honest") != "PASS", "BACKTEST_HONESTY"), (C("_x3") == "FAIL", "COST_STRESS_3X"), (C("_embargo") == "FAIL", "EMBARGO_STRESS"), (C("_advisor") == "FAIL", "ADVISOR_AUDIT"))
+    names = {"BACKTEST_HONESTY": "_honest", "COST_STRESS_1X": "_x1", "COST_STRESS_2X": "_x2", "COST_STRESS_3X": "_x3", "EMBARGO_STRESS": "_embargo", "ADVISOR_AUDIT": "_advisor"}
+    checks = F.array(*(F.struct(F.lit(k).alias("name"), C(v).alias("status")) for k, v in names.items()), F.struct(F.lit("MODEL_QUALITY").alias("name"), quality.alias("status")))
+    return rows.select(
+        *candidates.columns, checks.alias("checks"), F.concat("_model", other).alias("blocking"), candidate_cap(C("raw_score"), C("_model")).alias("investment_score"), ready.alias("ready"),
+        F.when(F.size("_model") > 0, "AMBER_WATCHLIST").when(ready, "PASS").otherwise("FAIL").alias("status"),
+    )
+
+
 def gate_counts(rows: DataFrame, by: Sequence[str] = ("track", "gate")) -> DataFrame:
     """Candidates per track and gate."""
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("count"))

@@ -350,3 +350,25 @@ def signal_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
         (0.45 + _mod(20) / 100.0).alias("accuracy"), _pick(_SIGNALS, C("event_id")).alias("signal"), C("value").alias("score"),
     )
     return e.join(issues, "ticker", "left").select("event_id", paper.signal_gate().alias("reason"))
+
+
+@query(
+    f"""WITH c AS (SELECT event_id, user_id, ts::DATE AS day, CASE WHEN event_id % 2 = 0 THEN 'S' ELSE 'L' END AS track, value AS raw, ['PASS', 'AMBER', 'PASS', NULL][event_id % 4 + 1] AS honest, CASE WHEN event_id % 11 <> 0 THEN (event_id % 30) / 10.0 END AS ret, CASE WHEN event_id % 13 <> 0 THEN event_id % 90 END AS gap,
+  CASE WHEN event_id % 3 <> 0 THEN 0.1 END AS advisor, 0.45 + (event_id % 20) / 100.0 AS acc, 0.48 + (event_id % 10) / 100.0 AS auc, value - 10 AS alpha, 30 + event_id % 70 AS trades FROM events), a AS (SELECT DISTINCT user_id, ts::DATE AS day, true AS seen FROM events WHERE event_type = 'click'),
+k AS (SELECT c.*, coalesce(honest, 'AMBER') AS h, CASE WHEN ret IS NULL THEN 'AMBER' WHEN ret > 1.5 THEN 'PASS' ELSE 'FAIL' END AS x3, CASE WHEN gap IS NULL THEN 'AMBER' WHEN gap >= CASE track WHEN 'S' THEN 20 ELSE 63 END THEN 'PASS' ELSE 'FAIL' END AS e,
+  {_sql_reasons(("acc < 0.5", "ACCURACY_BELOW_50"), ("auc < 0.5", "AUC_BELOW_0_50"), ("alpha < 0", "ALPHA_NEGATIVE"), ("trades < 50", "COMPLETED_TRADES_BELOW_50"))} AS m, CASE WHEN advisor IS NULL THEN 'NOT_APPLICABLE' WHEN seen THEN 'PASS' ELSE 'FAIL' END AS v FROM c LEFT JOIN a USING (user_id, day)),
+o AS (SELECT *, {_sql_reasons(("h <> 'PASS'", "BACKTEST_HONESTY"), ("x3 = 'FAIL'", "COST_STRESS_3X"), ("e = 'FAIL'", "EMBARGO_STRESS"), ("v = 'FAIL'", "ADVISOR_AUDIT"))} AS b, h = 'PASS' AND x3 = 'PASS' AND e = 'PASS' AS ready FROM k)
+SELECT event_id, m || CASE WHEN m <> '' AND b <> '' THEN ',' ELSE '' END || b AS blocking, round(CASE WHEN m <> '' THEN least(raw, 44) ELSE raw END, 4) AS investment_score, ready, CASE WHEN m <> '' THEN 'AMBER_WATCHLIST' WHEN ready THEN 'PASS' ELSE 'FAIL' END AS status,
+  7 - (h <> 'PASS')::INT - (coalesce(ret, 0) <= 0.5)::INT - (coalesce(ret, 0) <= 1.0)::INT - (x3 <> 'PASS')::INT - (e <> 'PASS')::INT - (v <> 'PASS')::INT - (m <> '')::INT AS passed FROM o"""
+)
+def candidate_benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readiness benchmark of a candidate made from each event; clicks are the audit."""
+    e = _events(spark, sf_dir).withColumnsRenamed({"user_id": "ticker"}).withColumn("day", F.to_date("ts"))
+    rows = e.select(
+        "event_id", "ticker", "day", F.when(_mod(2) == 0, "S").otherwise("L").alias("track"), C("value").alias("raw_score"), F.element_at(F.array(F.lit("PASS"), F.lit("AMBER"), F.lit("PASS"), F.lit(None)), (_mod(4) + 1).cast("int")).alias("honesty"),
+        F.when(_mod(11) != 0, _mod(30) / 10.0).alias("return_pct"), F.when(_mod(13) != 0, _mod(90)).alias("cv_gap"), F.when(_mod(3) != 0, 0.1).alias("advisor_score"), (0.45 + _mod(20) / 100.0).alias("accuracy"), (0.48 + _mod(10) / 100.0).alias("auc"),
+        (C("value") - 10).alias("alpha_pct"), (30 + _mod(70)).alias("trades"),
+    )
+    out = gates.candidate_benchmark(rows, e.filter("event_type = 'click'"))
+    passed = F.size(F.filter("checks", lambda c: c["status"] == "PASS"))
+    return rounded(out.select("event_id", _names(C("blocking")).alias("blocking"), "investment_score", "ready", "status", passed.alias("passed")), 4)
