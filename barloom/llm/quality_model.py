@@ -7,7 +7,8 @@ bad passages in a long document can so decide, without labels for passages.
 
 The network is fitted on at most ``TRAIN_ROWS`` labelled documents; scoring reads every
 passage of every text. Null and empty texts are one passage of zeros. Only the text is an
-input of a score. Rows repeat in the output as in the input.
+input of a score: other columns, whatever their names, are not read. Rows repeat in the
+output as in the input, null ids included; an empty table gives no rows.
 """
 
 from __future__ import annotations
