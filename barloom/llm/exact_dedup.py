@@ -14,7 +14,6 @@ share its fate. Other columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
