@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import allocation, gates, indicators, memory, paper, stats
+from ..operators import allocation, gates, memory, paper, stats
 from ..operators.panel import brand_bars
 from ..sources import logs
 from .catalog import query, rounded
