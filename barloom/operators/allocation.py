@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import correlation, lookup, ratio, strip_market
+from ..functions.scalars import correlation, lookup, ratio, reasons, strip_market
 from .timejoins import target_vs_current
 
 C = F.col
@@ -249,6 +249,32 @@ def exposure(positions: DataFrame, sectors: DataFrame, value: float) -> DataFram
     return out.withColumn("weight", C("value") / value)
 
 
+def portfolio_analytics(positions: DataFrame, sectors: DataFrame, capital: float, by: Sequence[str] = (), limits: dict[str, float] | None = None) -> DataFrame:
+    """Exposure, cash, largest position and sector, value-weighted beta, value at risk, drawdown and what calls for a rebalance.
+
+    ``positions``: ticker, track, status, quantity, price, entry, best (the highest move since
+    entry) and vol, which may be null (0.02 a day); only open ones count. ``sectors``: ticker,
+    sector, beta; unknown tickers are OTHER with beta 1.
+    """
+    of = {"total": 0.60, "S": 0.20, "L": 0.75, "sector": 0.30, "cash": 0.05} | (limits or {})
+    open_ = positions.filter("status = 'OPEN'").join(sectors, "ticker", "left").withColumns({"sector": F.coalesce("sector", F.lit("OTHER")), "worth": C("quantity") * C("price")})
+    share = lambda x: F.coalesce(x, F.lit(0.0)) / capital
+    per = open_.groupBy(*by, "sector").agg(F.sum("worth").alias("w")).groupBy(*by).agg(F.max_by("sector", F.struct("w", "sector")).alias("top_sector"), F.max("w").alias("top"), F.sum("w").alias("every"))
+    peak = F.sum(F.when((C("entry") > 0) & (C("quantity") > 0), C("entry") * (1 + C("best")) * C("quantity")))
+    weighted = F.when(C("worth") > 0, C("worth"))
+    book = open_.groupBy(*by).agg(
+        F.sum("worth").alias("value"), *(F.sum(F.when(C("track") == t, C("worth"))).alias(f"track_{t}") for t in ("S", "L")), F.max("worth").alias("largest"), peak.alias("peak"),
+        F.coalesce(ratio(F.sum(weighted * F.coalesce("beta", F.lit(1.0))), F.sum(weighted)), F.lit(1.0)).alias("beta"), (1.65 * F.avg(F.coalesce("vol", F.lit(0.02)))).alias("var_1d_95"),
+    )
+    both = book.join(per, list(by)) if by else book.crossJoin(per)
+    rows = both.select(
+        *by, share(C("value")).alias("exposure"), share(C("track_S")).alias("exposure_s"), share(C("track_L")).alias("exposure_l"), (1 - share(C("value"))).alias("cash"), share(C("largest")).alias("max_position"),
+        "top_sector", ratio(C("top"), C("every")).alias("concentration"), "beta", "var_1d_95", F.coalesce(F.when(C("peak") > 0, (C("peak") - C("value")) / C("peak")), F.lit(0.0)).alias("drawdown"),
+    )
+    why = reasons((C("exposure_s") > of["S"], "TRACK_S"), (C("exposure_l") > of["L"], "TRACK_L"), (C("exposure") > of["total"], "TOTAL"), (C("concentration") > of["sector"], "SECTOR"), (C("cash") < of["cash"], "CASH"))
+    return rows.withColumn("rebalance", why)
+
+
 def advisor_blend(outputs: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Confidence- and weight-weighted mean of advisor scores, within one. Columns: ticker, advisor, score, confidence."""
     w = C("confidence") * lookup(C("advisor"), weights, 1.0)

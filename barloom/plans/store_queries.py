@@ -11,7 +11,7 @@ from ..operators.panel import brand_bars, field
 from ..sources import lake, logs
 from ..sources.shared import shared_path
 from .catalog import query, rounded
-from .gate_queries import _events, _mod, _pick, _sql_pick
+from .gate_queries import _events, _mod, _names, _pick, _sql_pick, _sql_reasons
 from .risk_queries import _RET, _W, daily_returns, returns_of
 
 C = F.col
@@ -275,3 +275,23 @@ def fill_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues = F.when(C("o_orderkey") % 7 == 0, F.array(F.lit("OHLC_ORDER"))).otherwise(F.array().cast("array<string>"))
     gate = paper.benchmark_gate(C("market"), C("o_orderkey") % 5, issues)
     return paper.fill_dates(orders, sessions).select("o_orderkey", C("fill_date").cast("string").alias("fill_date"), gate["status"].alias("benchmark"))
+
+
+@query(
+    f"""WITH p AS (SELECT user_id, event_type AS ticker, CASE WHEN event_id % 2 = 0 THEN 'S' ELSE 'L' END AS track, (event_id % 3)::DOUBLE AS q, value AS price, 40.0 AS entry, (event_id % 50) / 100.0 AS best, CASE WHEN event_id % 5 <> 0 THEN (event_id % 9) / 200.0 END AS vol FROM events WHERE event_id % 4 <> 1),
+s AS (SELECT unnest(['click', 'error', 'purchase']) AS ticker, unnest(['web', 'ops', 'web']) AS sector, unnest([1.3, 0.7, 1.1]) AS beta), o AS (SELECT p.*, coalesce(sector, 'OTHER') AS sector, beta, q * price AS worth FROM p LEFT JOIN s USING (ticker)),
+g AS (SELECT user_id, sector, sum(worth) AS w FROM o GROUP BY ALL), t AS (SELECT user_id, arg_max(sector, (w, sector)) AS top_sector, max(w) / nullif(sum(w), 0) AS concentration FROM g GROUP BY user_id),
+b AS (SELECT user_id, sum(worth) / 10000 AS x, coalesce(sum(worth) FILTER (track = 'S'), 0) / 10000 AS xs, coalesce(sum(worth) FILTER (track = 'L'), 0) / 10000 AS xl, max(worth) / 10000 AS mp, coalesce(sum(worth * coalesce(beta, 1)) FILTER (worth > 0) / nullif(sum(worth) FILTER (worth > 0), 0), 1) AS beta, 1.65 * avg(coalesce(vol, 0.02)) AS v,
+  sum(entry * (1 + best) * q) FILTER (q > 0) AS peak, sum(worth) AS value FROM o GROUP BY user_id)
+SELECT user_id, round(x, 8) AS exposure, round(xs, 8) AS exposure_s, round(xl, 8) AS exposure_l, round(1 - x, 8) AS cash, round(mp, 8) AS max_position, top_sector, round(concentration, 6) AS concentration, round(beta, 6) AS beta, round(v, 8) AS var_1d_95, round(coalesce(CASE WHEN peak > 0 THEN (peak - value) / peak END, 0), 6) AS drawdown,
+  {_sql_reasons(("xs > 0.2", "TRACK_S"), ("xl > 0.75", "TRACK_L"), ("x > 0.6", "TOTAL"), ("concentration > 0.3", "SECTOR"), ("1 - x < 0.05", "CASH"))} AS rebalance FROM b JOIN t USING (user_id)"""
+)
+def portfolio_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analytics of each user's open positions."""
+    p = _events(spark, sf_dir).select(
+        "user_id", C("event_type").alias("ticker"), F.when(_mod(2) == 0, "S").otherwise("L").alias("track"), F.when(_mod(4) != 1, "OPEN").otherwise("CLOSED").alias("status"), _mod(3).cast("double").alias("quantity"), C("value").alias("price"),
+        F.lit(40.0).alias("entry"), (_mod(50) / 100.0).alias("best"), F.when(_mod(5) != 0, _mod(9) / 200.0).alias("vol"),
+    )
+    sectors = spark.createDataFrame([("click", "web", 1.3), ("error", "ops", 0.7), ("purchase", "web", 1.1)], "ticker string, sector string, beta double")
+    out = allocation.portfolio_analytics(p, sectors, 10_000.0, ["user_id"])
+    return rounded(out.withColumn("rebalance", _names(C("rebalance"))), {k: 8 for k in ("exposure", "exposure_s", "exposure_l", "cash", "max_position", "var_1d_95")})
