@@ -92,7 +92,7 @@ def direction_model(features: Sequence[str], kind: str = "logistic", top: int |
         last = "picked"
     common = {"featuresCol": last, "labelCol": "label", "weightCol": "weight"}
     models = {
-        "logistic": lambda: LogisticRegression(regParam=0.01, maxIter=25, **common),
+        "logistic": lambda: LogisticRegression(regParam=0.01, maxIter=12, **common),
         "forest": lambda: RandomForestClassifier(numTrees=40, maxDepth=5, seed=7, **common),
         "boosted": lambda: GBTClassifier(maxIter=20, maxDepth=3, seed=7, **common),
     }
