@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fill_in_middle, mixing, near_dedup, packing, pii, quality_model, quality_rules, substring_dedup, token_counts, toxicity
+from . import alignment, exact_dedup, fill_in_middle, mixing, near_dedup, packing, pii, quality_model, quality_rules, substring_dedup, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.with_digest(substring_dedup.remove_repeats(_documents(spark, sf_dir)))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.with_digest(alignment.align(_documents(spark, sf_dir), texts=False))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.with_digests(fill_in_middle.transform(_documents(spark, sf_dir)))
 
