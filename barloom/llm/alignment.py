@@ -81,11 +81,12 @@ def pieces_of(name: str = PIECE_TOKENIZER) -> tuple[int, Callable[[str], tuple[l
     one = sentencepiece.SentencePieceProcessor(model_file=_place(name))
     size = one.get_piece_size()
     tokens = [bytes([int(one.id_to_piece(i)[3:-1], 16)]) if one.is_byte(i) else one.id_to_piece(i).replace("▁", " ").encode() for i in range(size)]
+    space = one.piece_to_id("▁")
     if any("▁" in one.id_to_piece(i).lstrip("▁") for i in range(size)):
         raise ValueError(f"{name} has pieces over a space, so texts cannot be cut before them")
 
     def encode(text: str) -> tuple[list[int], list[int], bool]:
-        ids = one.encode(text[1:])
+        ids = one.encode(text[1:]) or [space]  # a text of nothing gets no space before it
         found = [tokens[i] for i in ids]
         return ids, list(map(len, found)), b"".join(found) == text.encode()
 
