@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, exact_dedup, fill_in_middle, mixing, near_dedup, packing, pii, quality_model, quality_rules, substring_dedup, token_counts, toxicity
+from . import alignment, exact_dedup, fill_in_middle, mixing, near_dedup, packing, pii, quality_model, quality_rules, substring_dedup, suffix_dedup, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.with_digest(substring_dedup.remove_repeats(_documents(spark, sf_dir)))
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.with_digest(suffix_dedup.remove_repeats(_documents(spark, sf_dir)))
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.with_digest(alignment.align(_documents(spark, sf_dir), texts=False))
 
@@ -121,6 +125,22 @@ SELECT doc_id, n AS n_words, n - len(kept) AS n_removed, sha256(coalesce(array_t
 )
 
 
+_OP11 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 199)) AS i FROM d WHERE len(h) >= 400),
+w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 400)) AS k FROM s JOIN d USING (doc_id)),
+r AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p
+  FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i - p > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM r),
+x AS (SELECT doc_id, g, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY doc_id, g),
+y AS (SELECT doc_id, a, b, lag(b, 1, 0::BIGINT) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM x),
+z AS (SELECT doc_id, count(*) AS spans, sum(b - a)::BIGINT AS removed, max(b) AS last,
+    string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM y JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN z USING (doc_id)
+"""
+
 _OP13 = r"""
 WITH h AS (
   SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id::VARCHAR) AS d FROM documents),
@@ -141,4 +161,4 @@ FROM p
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_fill_in_middle": _OP13, "op2_minhash_near_dedup": _OP2, "op3_exact_dedup": _OP3, "op10_substring_dedup": _OP10}
+    return {"op13_fill_in_middle": _OP13, "op2_minhash_near_dedup": _OP2, "op3_exact_dedup": _OP3, "op10_substring_dedup": _OP10, "op11_suffix_array_dedup": _OP11}

@@ -186,3 +186,20 @@ def per_row(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=sums[1:])
     return sums[at[1:]] - sums[at[:-1]]
+
+
+class Rolling:
+    """Hashes of any byte spans of a buffer, which may overlap; ``nth`` 0 and 1 are independent."""
+
+    def __init__(self, data: np.ndarray, nth: int = 0):
+        up, self._down = _BYTES[nth](len(data) + 1)
+        self._sums = np.zeros(len(data) + 1, U64)
+        np.cumsum(_BYTE_VALUES[nth][data] * up[: len(data)], out=self._sums[1:])
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix64((self._sums[end] - self._sums[start]) * self._down[start] + (end - start).astype(U64))
+
+    def grams(self, k: int) -> np.ndarray:
+        """Hashes of the spans of k bytes at every place that has them."""
+        n = max(0, len(self._sums) - k)
+        return mix64((self._sums[k:] - self._sums[: len(self._sums) - k]) * self._down[:n]) if n else np.zeros(0, U64)
