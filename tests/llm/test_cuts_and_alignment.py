@@ -9,7 +9,7 @@ import pytest
 
 pytest.importorskip("barloom.llm.queries")
 
-from barloom.llm import alignment, fill_in_middle  # noqa: E402
+from barloom.llm import alignment, fill_in_middle, suffix_array, suffix_dedup  # noqa: E402
 
 
 def sha(text):
@@ -173,3 +173,77 @@ def test_alignment_odd_rows(odd_docs, no_docs):
     assert got.count() == odd_docs.count()
     assert {(r["n_a"], r["groups"]) for r in got.filter("doc_id = 3 or doc_id = 4").collect()} == {(0, "")}
     assert alignment.align(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("thick", [suffix_array.THICK, 0])
+def test_suffix_array(monkeypatch, thick):
+    """Also with the recursion carried to the end; short strings of few symbols, runs and repeats."""
+    monkeypatch.setattr(suffix_array, "THICK", thick)
+    rng = np.random.default_rng(0)
+    for k in range(300):
+        t = rng.integers(0, rng.integers(1, 5), rng.integers(0, 80)).astype(np.uint8)
+        t = np.tile(t[: max(1, len(t) // 7)], 9) if k % 3 == 0 and len(t) else t
+        b, order = t.tobytes(), suffix_array.suffix_array(t)
+        assert order.tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+        common = suffix_array.common_prefixes(t, order, 20)
+        for i, j in zip(order[1:].tolist(), order[:-1].tolist(), strict=True):
+            same = next((x for x, (u, v) in enumerate(zip(b[i:], b[j:], strict=False)) if u != v), min(len(b) - i, len(b) - j))
+            assert common[i] == min(same, 20)
+
+
+def brute_removal(texts, length=200):
+    places = defaultdict(list)
+    raw = {i: (t or "").encode() for i, t in texts}
+    for i, b in raw.items():
+        for x in range(len(b) - length + 1):
+            places[b[x : x + length]].append((i, x))
+    gone = {i: np.zeros(len(b), bool) for i, b in raw.items()}
+    for found in places.values():
+        if len(found) > 1:
+            for i, x in found:
+                gone[i][x : x + length] = True
+    out = {}
+    for i, b in raw.items():
+        g = gone[i]
+        out[i] = len(b), int(g.sum()), int((np.diff(np.append(0, g.astype(int))) == 1).sum()), bytes(np.frombuffer(b, np.uint8)[~g])
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_suffix_dedup(spark, corpus, monkeypatch, small):
+    """With small limits too: shards of few keys, keys dealt again by window, texts in parts, batches of few rows."""
+    if small:
+        for name, value in (("SHARD", 2000), ("WIDE", 3), ("SETTLE", 20_000), ("_SEGMENT", 5000)):
+            monkeypatch.setattr(suffix_dedup, name, value)
+    rng = random.Random(9)
+    passage = " ".join(f"q{rng.randrange(10**6)}" for _ in range(60))
+    texts = [(i, t) for i, t, *_ in corpus]
+    texts += [(3000 + i, f"{'x%d ' % rng.randrange(10**9) * 9}{passage} {rng.random()} tail {i}") for i in range(30)]
+    texts += [(3100, "é" * 99), (3101, "é" * 100), (3102, "é" * 100), (3103, "ab" * 900), (3104, "z" * 199), (3105, "z" * 199), (3106, "y" * 201), (3107, passage[:199]), (3108, passage[1:201])]
+    texts += [(3200, "".join(chr(97 + rng.randrange(26)) for _ in range(12_000)) + passage)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = by_id(suffix_dedup.remove_repeats(docs))
+    assert len(got) == len(texts)
+    for i, want in brute_removal(texts).items():
+        r = got[i]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want, i
+
+
+def test_suffix_dedup_long_text(spark):
+    """A text of several segments, with a copy of its end in another."""
+    rng = np.random.default_rng(4)
+    long = rng.integers(97, 123, 2_300_000).astype(np.uint8).tobytes().decode()
+    texts = [(1, long), (2, "start " + long[1_048_000:1_049_000] + " end"), (3, long[-300:])]
+    got = by_id(suffix_dedup.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert [(got[i]["n_removed"], got[i]["n_spans"]) for i in (1, 2, 3)] == [(1300, 2), (1000, 1), (300, 1)]
+    assert bytes(got[2]["kept"]) == b"start  end" and bytes(got[1]["kept"]) == (long[:1_048_000] + long[1_049_000:-300]).encode()
+
+
+def test_suffix_dedup_odd_rows(odd_docs, no_docs):
+    """Repeated rows and rows without an id remove each other's text; nulls are empty."""
+    got = suffix_dedup.with_digest(suffix_dedup.remove_repeats(odd_docs)).collect()
+    assert len(got) == odd_docs.count()
+    long = [r for r in got if r["n_bytes"] > 0]
+    assert len(long) == 5 and all(r["n_removed"] == min(x["n_bytes"] for x in long) for r in long)
+    assert {(r["n_removed"], r["kept_sha256"]) for r in got if not r["n_bytes"]} == {(0, sha(""))}
+    assert suffix_dedup.remove_repeats(no_docs).count() == 0
