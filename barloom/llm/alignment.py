@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +40,12 @@ from .textkernel import blocks, mix64, span_hash
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 PIECE_TOKENIZER = "piece_bpe_32k.model"
 PIECE = 1 << 14
-CHUNK = 2 << 20
+CHUNK = 4 << 20
 #: Runs that a worker remembers: two generations of so many, and only those up to so many bytes.
-REMEMBER = 100_000
-REMEMBERED_BYTES = 256
+REMEMBER = 400_000
+REMEMBERED_BYTES = 64
+#: Bytes of new runs that are encoded in one call.
+TOGETHER = 1 << 16
 #: Links of one group that are listed at once.
 AT_ONCE = 1 << 22
 
@@ -54,65 +56,128 @@ def _place(name: str) -> str:
     return name if os.path.sep in name else public_tokenizers.path(name)
 
 
-def byte_level(name: str = BYTE_TOKENIZER) -> tuple[int, Callable[[str], tuple[list[int], list[int], bool]]]:
-    """Vocabulary size, and a function from a text to ids, byte lengths and whether their bytes are the text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class ByteLevel:
+    """A byte-level tokenizer: the bytes of its tokens, and ids of a text that begins with a space."""
 
-    one = Tokenizer.from_file(_place(name))
-    one.encode_special_tokens = True
-    size = one.get_vocab_size()
-    printable = {*range(33, 127), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    of = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in printable)}
-    tokens = [bytes(of[c] for c in t) if (t := one.id_to_token(i)) and all(c in of for c in t) else (t or "").encode() for i in range(size)]
+    def __init__(self, name: str = BYTE_TOKENIZER):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    def encode(text: str) -> tuple[list[int], list[int], bool]:
-        ids = one.encode(text, add_special_tokens=False).ids
-        found = [tokens[i] for i in ids]
-        return ids, list(map(len, found)), b"".join(found) == text.encode()
+        self.one = Tokenizer.from_file(_place(name))
+        self.one.encode_special_tokens = True
+        printable = {*range(33, 127), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        of = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in printable)}
+        named = (self.one.id_to_token(i) or "" for i in range(self.one.get_vocab_size()))
+        self.tokens = [bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t in named]
 
-    return size, encode
+    def ids(self, text: str) -> list[int]:
+        return self.one.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
-def pieces_of(name: str = PIECE_TOKENIZER) -> tuple[int, Callable[[str], tuple[list[int], list[int], bool]]]:
-    """As ``byte_level``, for a tokenizer that itself puts a space before the text, which begins with one."""
-    import sentencepiece
+class Pieces:
+    """As ``ByteLevel``, for a tokenizer of pieces that itself puts a space before a text."""
 
-    one = sentencepiece.SentencePieceProcessor(model_file=_place(name))
-    size = one.get_piece_size()
-    tokens = [bytes([int(one.id_to_piece(i)[3:-1], 16)]) if one.is_byte(i) else one.id_to_piece(i).replace("▁", " ").encode() for i in range(size)]
-    space = one.piece_to_id("▁")
-    if any("▁" in one.id_to_piece(i).lstrip("▁") for i in range(size)):
-        raise ValueError(f"{name} has pieces over a space, so texts cannot be cut before them")
+    def __init__(self, name: str = PIECE_TOKENIZER):
+        import sentencepiece
 
-    def encode(text: str) -> tuple[list[int], list[int], bool]:
-        ids = one.encode(text[1:]) or [space]  # a text of nothing gets no space before it
-        found = [tokens[i] for i in ids]
-        return ids, list(map(len, found)), b"".join(found) == text.encode()
+        self.one = sentencepiece.SentencePieceProcessor(model_file=_place(name))
+        named = [self.one.id_to_piece(i) for i in range(self.one.get_piece_size())]
+        if any("▁" in x.lstrip("▁") for x in named):
+            raise ValueError(f"{name} has pieces over a space, so texts cannot be cut before them")
+        self.tokens = [bytes([int(x[3:-1], 16)]) if self.one.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(named)]
+        self.space = self.one.piece_to_id("▁")
 
-    return size, encode
+    def ids(self, text: str) -> list[int]:
+        return self.one.encode(text[1:]) or [self.space]  # a text of nothing gets no space before it
 
 
 class Pair:
-    """Both tokenizers, and what they gave for the runs seen lately."""
+    """Both tokenizers, and what they gave for the runs seen lately: the number of A's ids, those, and B's ids."""
 
     def __init__(self, a: str, b: str):
-        (self.size_a, self.a), (self.size_b, self.b) = byte_level(a), pieces_of(b)
-        self.young: dict[bytes, tuple] = {}
-        self.old: dict[bytes, tuple] = {}
-
-    def run(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, bool]:
-        """Ids and byte lengths of both as rows of two arrays, and whether both give the bytes back."""
-        got = self.young.get(raw) or self.old.pop(raw, None)
-        if got is None:
-            text = raw.decode("utf-8", "replace")
-            (ia, la, fine_a), (ib, lb, fine_b) = self.a(text), self.b(text)
-            got = np.array([ia, la], np.int32), np.array([ib, lb], np.int32), fine_a and fine_b and text.encode() == raw
-        if len(raw) <= REMEMBERED_BYTES:
-            self.young[raw] = got
-            if len(self.young) > REMEMBER:
-                self.young, self.old = {}, self.young
-        return got
+        self.sides = ByteLevel(a), Pieces(b)
+        self.sizes = tuple(np.array(list(map(len, x.tokens)), np.int64) for x in self.sides)
+        self.size_b = len(self.sides[1].tokens)
+        self.width = np.uint16 if max(map(len, self.sizes)) <= 1 << 16 else np.uint32
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def runs(self, keys: list[bytes]) -> list[bytes]:
+        """Ids of distinct runs; nothing for a run that one of the tokenizers does not give back."""
+        found = list(map(self.young.get, keys))
+        new = []
+        for i, x in enumerate(found):
+            if x is None:
+                found[i] = self.old.pop(keys[i], None)
+                if found[i] is None:
+                    new.append(i)
+                elif len(keys[i]) <= REMEMBERED_BYTES:
+                    self.young[keys[i]] = found[i]
+        for i, x in zip(new, self._encoded([keys[i] for i in new]), strict=True):
+            found[i] = x
+            if len(keys[i]) <= REMEMBERED_BYTES:
+                self.young[keys[i]] = x
+        if len(self.young) > REMEMBER:
+            self.young, self.old = {}, self.young
+        return found
+
+    def _encoded(self, keys: list[bytes]) -> list[bytes]:
+        """Runs one after the other are a text whose runs they are, so many are encoded in one call."""
+        out: list[bytes] = [b""] * len(keys)
+        together, size = [], 0
+        for i, key in enumerate(keys):
+            if not _closed(key) or _BAR in key:
+                out[i] = self._alone(key)
+                continue
+            together.append(i)
+            size += len(key)
+            if size >= TOGETHER:
+                self._joined(keys, together, out)
+                together, size = [], 0
+        if together:
+            self._joined(keys, together, out)
+        return out
+
+    def _joined(self, keys: list[bytes], which: list[int], out: list[bytes]) -> None:
+        own = [keys[i] for i in which]
+        raw = b"".join(own)
+        ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+        found, cuts = [], []
+        try:
+            text = raw.decode()
+        except UnicodeDecodeError:
+            text = None
+        for side, sizes in zip(self.sides, self.sizes, strict=True) if text is not None else ():
+            ids = side.ids(text)
+            if b"".join(map(side.tokens.__getitem__, ids)) == raw:
+                ids = np.array(ids, self.width)
+                at = np.cumsum(sizes[ids])
+                last = np.searchsorted(at, ends)
+                if (at[last] == ends).all():
+                    found.append(ids)
+                    cuts.append(np.diff(last + 1, prepend=0))
+        if len(found) < 2:
+            for i in which:
+                out[i] = self._alone(keys[i])
+            return
+        (a, b), (in_a, in_b) = found, cuts
+        head = 4 // np.dtype(self.width).itemsize
+        size = head + in_a + in_b
+        first = np.cumsum(size) - size
+        flat = np.empty(int(size.sum()), self.width)
+        flat[_spread(first, np.full(len(own), head))] = in_a.astype("<u4").view(self.width)
+        flat[_spread(first + head, in_a)] = a
+        flat[_spread(first + head + in_a, in_b)] = b
+        packed, wide = flat.tobytes(), flat.itemsize
+        for i, x, y in zip(which, (first * wide).tolist(), ((first + size) * wide).tolist(), strict=True):
+            out[i] = packed[x:y]
+
+    def _alone(self, key: bytes) -> bytes:
+        text = key.decode("utf-8", "replace")
+        a, b = (side.ids(text) for side in self.sides)
+        if any(b"".join(map(side.tokens.__getitem__, ids)) != key for side, ids in zip(self.sides, (a, b), strict=True)):
+            return b""
+        return np.array(len(a), np.uint32).tobytes() + np.array(a, self.width).tobytes() + np.array(b, self.width).tobytes()
 
 
 _OPEN: dict[tuple[str, str], Pair] = {}
@@ -125,6 +190,15 @@ def pair(a: str = BYTE_TOKENIZER, b: str = PIECE_TOKENIZER) -> Pair:
     return _OPEN[a, b]
 
 
+#: What stands for a space in pieces; it is not given back.
+_BAR = "▁".encode()
+
+
+def _closed(run: bytes) -> bool:
+    """Whether a run ends in what is surely no white space, so that another may follow (see ``_runs``)."""
+    return 0x20 < run[-1] < 0x7F or (len(run) > 1 and run[-1] >= 0x80 and 0xC3 <= run[-2] <= 0xDF)
+
+
 def _runs(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Starts of the runs of a block: its texts' starts, and spaces after what is surely no white space."""
     before = data[:-1]
@@ -152,21 +226,25 @@ def encoded(data: np.ndarray, at: np.ndarray, both: Pair) -> tuple[np.ndarray, n
     key = mix64(span_hash(data, start, end) + (end - start).astype(np.uint64))
     _, first, which = np.unique(key, return_index=True, return_inverse=True)
     raw = data.tobytes()
-    found = [both.run(raw[s:e]) for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+    found = both.runs([raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)])
     row = np.searchsorted(at, start, side="right") - 1
     fine = np.ones(len(at) - 1, bool)
     fine[np.diff(at) <= 1] = False  # the space alone
-    fine[row[~np.array([x[2] for x in found], bool)[which]]] = False
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    fine[row[(size == 0)[which]]] = False
     which, row = which[fine[row]], row[fine[row]]
+    wide, head = np.dtype(both.width).itemsize, 4 // np.dtype(both.width).itemsize
+    flat = np.frombuffer(b"".join(found), both.width)
+    begin = (np.cumsum(size) - size) // wide
+    in_a = np.zeros(len(found), np.int64)
+    in_a[size > 0] = np.frombuffer(b"".join(x[:4] for x in found), "<u4")
+    count = in_a, np.maximum(size // wide - head, 0) - in_a
     out = []
-    for side in (0, 1):
-        flat = np.concatenate([x[side] for x in found], axis=1) if found else np.zeros((2, 0), np.int32)
-        size = np.array([x[side].shape[1] for x in found], np.int64)
-        begin = np.cumsum(size) - size
-        take = _spread(begin[which], size[which])
-        ids, lengths = flat[0][take], flat[1][take].astype(np.int64)
-        ptr = np.searchsorted(np.repeat(row, size[which]), np.arange(len(at)))
-        out += [ids, np.cumsum(lengths), ptr]
+    for side, skip in ((0, 0), (1, in_a)):
+        n = count[side][which]
+        ids = flat[_spread((begin + head + skip)[which], n)].astype(np.int32)
+        ptr = np.searchsorted(np.repeat(row, n), np.arange(len(at)))
+        out += [ids, np.cumsum(both.sizes[side][ids]), ptr]
     return (*out, fine)
 
 
@@ -249,12 +327,31 @@ def _listed(ids_a: np.ndarray, ids_b: np.ndarray, first: tuple[np.ndarray, np.nd
     return found[0] if found else (np.zeros(0, np.int64),) * 3
 
 
-def _written(ids_a: list[int], ids_b: list[int], end_a: list[int], end_b: list[int]) -> str:
-    out, i, j = [], 0, 0
-    for x, y in zip(end_a, end_b, strict=True):
-        out.append(f"{','.join(map(str, ids_a[i:x]))}|{','.join(map(str, ids_b[j:y]))}")
-        i, j = x, y
-    return ";".join(out)
+_DIGITS = 10 ** np.arange(9, -1, -1)
+
+
+def _decimals(top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The digits of 0 .. top, ten places each, and how many of them count."""
+    x = np.arange(top + 1)
+    digits = (x[:, None] // _DIGITS % 10 + ord("0")).astype(np.uint8)
+    return digits, np.maximum(10 - np.searchsorted(-_DIGITS, -np.maximum(x, 1)), 1)
+
+
+def _written(ids_a: np.ndarray, ids_b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray, decimals: tuple[np.ndarray, np.ndarray]) -> tuple[bytes, np.ndarray]:
+    """``a1,a2|b1;a3|b2,b3;`` of all groups, and where each group ends in it."""
+    digits, places = decimals
+    n_a, n_b = np.diff(end_a, prepend=0), np.diff(end_b, prepend=0)
+    last = np.cumsum(n_a + n_b)
+    ids, mark = np.empty(len(ids_a) + len(ids_b), np.int64), np.full(len(ids_a) + len(ids_b), ord(","), np.uint8)
+    first = last - n_a - n_b
+    ids[_spread(first, n_a)] = ids_a
+    ids[_spread(first + n_a, n_b)] = ids_b
+    mark[first + n_a - 1], mark[last - 1] = ord("|"), ord(";")
+    size = places[ids] + 1
+    ends = np.cumsum(size)
+    out = digits.ravel()[np.minimum(_spread(ids * 10 + 10 - places[ids], size), digits.size - 1)]
+    out[ends - 1] = mark
+    return out.tobytes(), ends[last - 1]
 
 
 _ROWS = "chunk long, n_a long, n_b long, n_groups long, n_links long, groups string, pair binary, times binary, keys array<long>, held array<long>"
@@ -265,7 +362,7 @@ def aligned(docs: DataFrame, a: str = BYTE_TOKENIZER, b: str = PIECE_TOKENIZER,
     chunk's list, with how often each is linked; per chunk one row of that list (``keys``) with the documents that
     hold each (``held``)."""
 
-    def chunk(ids: pa.Array, number: int, data: np.ndarray, at: np.ndarray, both: Pair) -> Iterator[pa.RecordBatch]:
+    def chunk(ids: pa.Array, number: int, data: np.ndarray, at: np.ndarray, both: Pair, decimals: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
         n = len(at) - 1
         spaced = np.insert(data, at[:-1], 0x20)
         ia, ea, pa_, ib, eb, pb, fine = encoded(spaced, at + np.arange(n + 1), both)
@@ -280,12 +377,11 @@ def aligned(docs: DataFrame, a: str = BYTE_TOKENIZER, b: str = PIECE_TOKENIZER,
         gptr = np.searchsorted(doc, np.arange(n + 1))
         links = np.concatenate([[0], np.cumsum(size[0] * size[1])])
         nth, times = nth.astype("<i4"), times.astype("<i8")
-        la, lb = ia.tolist(), ib.tolist()
-        out = []
-        for i in range(n):
-            i0, j0, g0, g1 = int(pa_[i]), int(pb[i]), int(gptr[i]), int(gptr[i + 1])
-            text = _written(la[i0 : pa_[i + 1]], lb[j0 : pb[i + 1]], (ga[g0:g1] - i0).tolist(), (gb[g0:g1] - j0).tolist())
-            out.append(text if texts or not fine[i] else hashlib.sha256(text.encode()).hexdigest())
+        out, raw, ends = [], *_written(ia, ib, ga, gb, decimals)
+        ends = np.append(0, ends)[gptr].tolist()
+        for i, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            text = raw[x : max(x, y - 1)]
+            out.append(text.decode() if texts or not fine[i] else hashlib.sha256(text).hexdigest())
         cuts = ptr.tolist()
         yield pa.RecordBatch.from_arrays(
             [
@@ -303,9 +399,10 @@ def aligned(docs: DataFrame, a: str = BYTE_TOKENIZER, b: str = PIECE_TOKENIZER,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, number = pair(a, b), TaskContext.get().partitionId() << 32
+        decimals = _decimals(max(map(len, both.sizes)))
         for batch in batches:
             for lo, hi, data, at in blocks(batch.column(1), CHUNK):
-                yield from chunk(batch.column(0).slice(lo, hi - lo), number, data, at, both)
+                yield from chunk(batch.column(0).slice(lo, hi - lo), number, data, at, both, decimals)
                 number += 1
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -330,7 +427,7 @@ def align(docs: DataFrame, a: str = BYTE_TOKENIZER, b: str = PIECE_TOKENIZER, sc
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = scratch.table(aligned(docs, a, b, texts), "rows")
     again = docs.sparkSession.read.schema(rows.schema).parquet(f"{scratch.root}/rows")  # a group takes no two frames of one reading
-    counts = scratch.table(pair_counts(rows, pieces_of(b)[0]), "counts")
+    counts = scratch.table(pair_counts(rows, len(Pieces(b).tokens)), "counts")
     held = again.filter("keys is not null").select("chunk", F.posexplode("keys").alias("nth", "key"))
     looked = held.join(counts.hint("shuffle_hash"), "key").select("chunk", "nth", "count", "best")
     of = rows.filter("keys is null").drop("keys", "held")
