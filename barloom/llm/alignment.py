@@ -40,9 +40,9 @@ from .textkernel import blocks, mix64, span_hash
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 PIECE_TOKENIZER = "piece_bpe_32k.model"
 PIECE = 1 << 14
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Runs that a worker remembers: two generations of so many, and only those up to so many bytes.
-REMEMBER = 400_000
+REMEMBER = 250_000
 REMEMBERED_BYTES = 64
 #: Bytes of new runs that are encoded in one call.
 TOGETHER = 1 << 16
