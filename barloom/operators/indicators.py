@@ -215,11 +215,15 @@ def targets(horizon: int, threshold: float = 0.0) -> dict[str, Column]:
     return {"target_return": future, "target_direction": F.when(future.isNotNull(), (future > threshold).cast("int"))}
 
 
-def feature_matrix(df: DataFrame, horizon: int = 5, lag_by: int = 1, threshold: float = 0.0, with_targets: bool = True) -> DataFrame:
-    """The features of the bar before beside the return to come; rows with any null go."""
+def feature_matrix(df: DataFrame, horizon: int = 5, lag_by: int = 1, threshold: float = 0.0, with_targets: bool = True, complete: bool = True) -> DataFrame:
+    """The features of the bar before beside the return to come; rows with any null go.
+
+    Without ``complete``, for models that fill in what is missing, rows stay that have half of
+    the features, and the last ``horizon`` bars of a ticker without targets.
+    """
     raw = raw_features(df)
     names = feature_names(raw)
     goal = targets(horizon, threshold) if with_targets else {}
     raw = raw.withColumns(goal) if goal else raw
     shown = [f"lag({c}, {lag_by}) OVER (PARTITION BY ticker ORDER BY date) AS {c}" if lag_by else c for c in names]
-    return raw.selectExpr("ticker", "date", "close", *shown, *goal).dropna(subset=[*names, *goal])
+    return raw.selectExpr("ticker", "date", "close", *shown, *goal).dropna(subset=[*names, *goal] if complete else names, thresh=None if complete else len(names) // 2)

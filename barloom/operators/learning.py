@@ -1,7 +1,8 @@
-"""Leak-safe cross-validation and pooled models with pyspark.ml.
+"""Leak-safe cross-validation, and models of the pooled panel with pyspark.ml.
 
 Folds are a small table (fold, test_start, test_stop, ...); rows join it by range. Models
-are fitted once per fold on the pooled panel of all tickers.
+are fitted once per fold on the pooled panel of all tickers; ``forecasters`` fits one per
+ticker and fold.
 """
 
 from __future__ import annotations
@@ -9,14 +10,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import Imputer, StandardScaler, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_path
+
 C = F.col
 
 
@@ -92,7 +95,7 @@ def direction_model(features: Sequence[str], kind: str = "logistic", top: int |
         last = "picked"
     common = {"featuresCol": last, "labelCol": "label", "weightCol": "weight"}
     models = {
-        "logistic": lambda: LogisticRegression(regParam=0.01, maxIter=12, **common),
+        "logistic": lambda: LogisticRegression(regParam=0.01, maxIter=100, **common),
         "forest": lambda: RandomForestClassifier(numTrees=40, maxDepth=5, seed=7, **common),
         "boosted": lambda: GBTClassifier(maxIter=20, maxDepth=3, seed=7, **common),
     }
@@ -106,12 +109,30 @@ def balanced(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(totals.crossJoin(every)), "label").withColumn("weight", C("n") / (C("labels") * C("k"))).drop("n", "k", "labels")
 
 
+def freed(model: PipelineModel, spark: SparkSession) -> PipelineModel:
+    """The model written and read again: a fitted one holds its training data, and with it the session, in the functions that tasks get."""
+    path = shared_path(spark, "model")
+    model.write().save(path)
+    return PipelineModel.load(path)
+
+
+def linear_probability(model: PipelineModel, features: Sequence[str]) -> Column:
+    """The probability of an assembled, scaled logistic model as one dot product of columns; a null feature gives null."""
+    scaler, fitted = model.stages[-2], model.stages[-1]
+    weights = [w / s if s > 0 else 0.0 for w, s in zip(fitted.coefficients.toArray().tolist(), scaler.std.toArray().tolist(), strict=True)]
+    shift = fitted.intercept - sum(w * m for w, m in zip(weights, scaler.mean.toArray().tolist(), strict=True))
+    margin = F.lit(shift)
+    for w, c in zip(weights, features, strict=True):
+        margin = margin + w * C(c)
+    return 1 / (1 + F.exp(-margin))
+
+
 def out_of_fold(rows: DataFrame, features: Sequence[str], kind: str = "logistic", contrarian: bool = False, top: int | None = None) -> DataFrame:
     """Probabilities of the test rows of every path, each from a model fitted on its training rows."""
     parts = []
     for (path,) in rows.select("path").distinct().orderBy("path").collect():
         own = rows.filter(C("path") == path)
-        model = direction_model(features, kind, top).fit(balanced(own.filter("role = 'train'")))
+        model = freed(direction_model(features, kind, top).fit(balanced(own.filter("role = 'train'"))), rows.sparkSession)
         prob = F.get(vector_to_array("probability"), F.lit(1))
         scored = model.transform(own.filter("role = 'test'"))
         parts.append(scored.select("path", "ticker", "date", "label", (1 - prob if contrarian else prob).alias("prob")))
@@ -121,48 +142,8 @@ def out_of_fold(rows: DataFrame, features: Sequence[str], kind: str = "logistic"
     return out
 
 
-def final_probabilities(rows: DataFrame, latest: DataFrame, features: Sequence[str], kind: str = "logistic", contrarian: bool = False) -> DataFrame:
-    """Probability of the newest bar of each ticker, from a model fitted on all labelled rows."""
-    model = direction_model(features, kind).fit(balanced(rows))
-    prob = F.get(vector_to_array("probability"), F.lit(1))
-    return model.transform(latest).select("ticker", (1 - prob if contrarian else prob).alias("prob"))
-
-
-def evidence(scored: DataFrame, rows: DataFrame, final: DataFrame) -> DataFrame:
-    """Per ticker the accuracy and AUC of out-of-fold rows, the share of rows they cover, and the newest probability."""
-    from .stats import average_rank_auc
-
-    quality = average_rank_auc(scored, ["ticker"]).select("ticker", "accuracy", "auc", "n")
-    counts = rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("rows_labelled"))
-    return quality.join(counts, "ticker").join(final, "ticker", "left").select("ticker", "accuracy", "auc", (C("n") / C("rows_labelled")).alias("oof_coverage"), "prob")
-
-
-def importance(coefficients: Sequence[float], features: Sequence[str], spark, top: int = 20) -> DataFrame:
-    rows = spark.createDataFrame(list(zip(features, map(float, coefficients), strict=True)), "feature string, value double")
-    return rows.orderBy(F.desc(F.abs("value")), "feature").limit(top)
-
-
-def parameter_search(rows: DataFrame, features: Sequence[str], grid: Sequence[float], blend: float = 0.5) -> DataFrame:
-    """Objective (Brier and 1 - AUC blended) of each regularisation over the purged folds."""
-    from .stats import average_rank_auc
-
-    out = None
-    for reg in grid:
-        parts = []
-        for (path,) in rows.select("path").distinct().orderBy("path").collect():
-            own = rows.filter(C("path") == path)
-            pipe = direction_model(features)
-            pipe.getStages()[-1].setRegParam(float(reg))
-            scored = pipe.fit(balanced(own.filter("role = 'train'"))).transform(own.filter("role = 'test'"))
-            parts.append(scored.select(F.lit(float(reg)).alias("reg"), "path", "label", F.get(vector_to_array("probability"), F.lit(1)).alias("prob")))
-        for p in parts:
-            out = p if out is None else out.unionByName(p)
-    scores = average_rank_auc(out, ["reg", "path"])
-    return scores.groupBy("reg").agg((blend * F.avg("brier") + (1 - blend) * F.avg(1 - C("auc"))).alias("objective")).orderBy("objective", "reg")
-
-
 def regimes(features: DataFrame, columns: Sequence[str], k: int = 3, seed: int = 7) -> DataFrame:
     """Gaussian-mixture regime and posterior of every row."""
     steps = [VectorAssembler(inputCols=list(columns), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), GaussianMixture(featuresCol="scaled", k=k, seed=seed, predictionCol="regime", probabilityCol="posterior")]
     clean = features.dropna(subset=list(columns))
-    return Pipeline(stages=steps).fit(clean).transform(clean).withColumn("posterior", vector_to_array("posterior")).drop("raw", "scaled")
+    return freed(Pipeline(stages=steps).fit(clean), features.sparkSession).transform(clean).withColumn("posterior", vector_to_array("posterior")).drop("raw", "scaled")

@@ -7,12 +7,11 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
-from .learning import balanced
+from .learning import balanced, linear_probability
 from .panel import by_ticker
 from .smoothing import look_back, span
 
@@ -64,7 +63,10 @@ def meta_panel(bars: DataFrame, horizon: int, cost_bps: float = 5.0) -> DataFram
 
 
 def meta_probabilities(train: DataFrame, rows: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Rows with ``meta_prob``: a balanced logistic model of the label, or its mean where there is too little to fit."""
+    """Rows with ``meta_prob``: a balanced logistic model of the label, or its mean where there is too little to fit.
+
+    Rows are scored by the model's coefficients; a null feature counts as 0.
+    """
     known = train.dropna(subset=[*features, "meta_label"]).withColumn("label", C("meta_label").cast("int"))
     seen = known.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels"), F.avg("label").alias("mean")).first()
     if seen["n"] < 50 or seen["labels"] < 2:
@@ -73,7 +75,7 @@ def meta_probabilities(train: DataFrame, rows: DataFrame, features: Sequence[str
         VectorAssembler(inputCols=list(features), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True),
         LogisticRegression(featuresCol="scaled", labelCol="label", weightCol="weight", regParam=0.01, maxIter=50),
     ]).fit(balanced(known))
-    return model.transform(rows.fillna(0.0, subset=list(features))).withColumn("meta_prob", F.get(vector_to_array("probability"), F.lit(1))).select(*rows.columns, "meta_prob")
+    return rows.fillna(0.0, subset=list(features)).withColumn("meta_prob", linear_probability(model, features))
 
 
 def forecast_path(returns: DataFrame, horizon: int, rebalance_days: int, decay: float, shrink: float) -> DataFrame:

@@ -260,13 +260,13 @@ def audit_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT user_id AS ticker, value / 50 - 1 AS score, (event_id % 10) / 20.0 AS q, (user_id % 10) / 10.0 AS crisis FROM events), k AS (SELECT *, CASE WHEN score - q <= 0 AND score + q >= 0 THEN 0 ELSE greatest(0, 1 - q / greatest(abs(score), 1e-9)) END AS conf FROM s WHERE abs(score) > 0.9),
+    """WITH s AS (SELECT user_id AS ticker, value / 50 - 1 AS score, (event_id % 10) / 20.0 AS q, (user_id % 10) / 10.0 AS crisis FROM events), k AS (SELECT *, CASE WHEN score - q <= 0 AND score + q >= 0 THEN 0 ELSE greatest(0, 1 - q / greatest(abs(score), 1e-9)) END AS conf FROM s),
 m AS (SELECT ticker, CASE WHEN min(conf) > 0 THEN exp(sum(ln(CASE WHEN conf > 0 THEN conf END))) ELSE 0 END * abs(avg(sign(score))) * CASE WHEN max(crisis) < 0.5 THEN 1 ELSE 0 END AS m FROM k GROUP BY ticker) SELECT ticker, round(m, 6) AS multiplier FROM m"""
 )
 def size_multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products of confidences over each user's scores far from zero."""
+    """Products of confidences over all of each user's scores."""
     s = _events(spark, sf_dir).select(C("user_id").alias("ticker"), (C("value") / 50 - 1).alias("score"), (_mod(10) / 20.0).alias("q"), ((C("user_id") % 10) / 10.0).alias("crisis_prob"))
-    return rounded(allocation.size_multiplier(s.filter(F.abs("score") > 0.9)))
+    return rounded(allocation.size_multiplier(s))
 
 
 @query(

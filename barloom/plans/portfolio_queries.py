@@ -54,7 +54,8 @@ def market_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: bars, snapshot, model, honesty, risk plan, score, checks, verdict, gates and the ranked list, for both tracks."""
     bars = landed(brand_bars(spark, sf_dir), "bars")
-    joined = snapshot(bars).join(model_evidence(bars), "ticker").join(honesty_evidence(bars), "ticker")
+    joined = snapshot(bars).join(model_evidence(bars), "ticker", "left").join(honesty_evidence(bars), "ticker")
+    joined = joined.fillna({"prob": 0.5, "accuracy": 0.0, "auc": 0.5, "oof_coverage": 0.0})  # too few bars for a model
     joined = landed(joined.withColumn("honesty", gates.honesty(gates.honesty_checks())), "candidates")
     parts = []
     for t, score in ((gates.SHORT, gates.score_short), (gates.LONG, gates.score_long)):
@@ -194,7 +195,7 @@ def conformal_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {{BARS}}, {_RET}, p AS (SELECT ticker, date, -0.1 * ret AS e, lead(close) OVER {_W}) / close - 1 AS f, ret FROM r), k AS (SELECT * FROM p WHERE ret IS NOT NULL),
-h AS (SELECT *, list_sort(list(e - f) FILTER (f IS NOT NULL) OVER {_W} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)) AS past FROM k),
+h AS (SELECT *, list_sort(list(e - f) FILTER (f IS NOT NULL) OVER {_W} ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING)) AS past FROM k),
 z AS (SELECT *, CASE WHEN len(past) >= 20 THEN past[CAST(ceil(0.8 * (len(past) - 1)) AS BIGINT) + 1] END AS z FROM h)
 SELECT ticker, date, round(e - z, 5) AS lower, coalesce(e - z > 0, false) AS trade FROM z""",
     days="date",
@@ -203,7 +204,7 @@ def conformal_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = daily_returns(spark, sf_dir)
     w = Window.partitionBy("ticker").orderBy("date")
     panel = r.select("ticker", "date", (-0.1 * C("ret")).alias("edge_hat"), (F.lead("close").over(w) / C("close") - 1).alias("fwd_return")).filter("edge_hat is not null")
-    return rounded(allocation.conformal_gate(panel, window=60).select("ticker", "date", "lower", "trade"), 5)
+    return rounded(allocation.conformal_gate(panel).select("ticker", "date", "lower", "trade"), 5)
 
 
 @query(

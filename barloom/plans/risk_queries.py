@@ -8,7 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import events, gates, indicators, learning, stats
+from ..operators import events, forecasters, gates, indicators, learning, stats
 from ..operators.panel import brand_bars
 from ..sources.shared import landed
 from .catalog import query, rounded
@@ -266,28 +266,25 @@ def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.walk_forward(days, n, 4, 100, 5).groupBy("path", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
-FEATURES = ("ret_1", "ret_5", "vol_20", "range_20")
+HORIZON = 5
 
 
-def labelled(bars: DataFrame) -> DataFrame:
-    """Four features of each bar and the direction of the next five; the newest bars have no label."""
-    goal = indicators.targets(5)
-    rows = indicators.steps(bars).select(
-        "ticker", "date", C("log_ret").alias("ret_1"), F.log(C("close") / indicators.lag("close", 5)).alias("ret_5"), indicators.rolling_std(C("log_ret"), 20).alias("vol_20"),
-        (C("close") / indicators.rolling_max(C("high"), 20) - 1).alias("range_20"), goal["target_direction"].alias("label"),
-    )
-    return rows.dropna(subset=list(FEATURES))
+def labelled(bars: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The feature matrix with the direction of the next bars as label, and its features; gaps are filled in by each fit, the newest bars have no label."""
+    matrix = indicators.feature_matrix(bars, HORIZON, complete=False)
+    return matrix.withColumnRenamed("target_direction", "label"), [c for c in indicators.feature_names(matrix) if c != "close"]
 
 
-def model_evidence(bars: DataFrame, folds: int = 3) -> DataFrame:
+def scored_by(bars: DataFrame, recipe: forecasters.Recipe, spread: int) -> tuple[DataFrame, DataFrame]:
+    """Probabilities of all folds and the newest bar by ticker, and the rows they are of."""
+    rows, features = labelled(bars)
+    rows = landed(rows, "labelled")
+    return landed(forecasters.probabilities(rows, features, HORIZON, recipes=[recipe], spread=spread), "scored"), rows
+
+
+def model_evidence(bars: DataFrame, recipe: forecasters.Recipe = forecasters.LOGISTIC, spread: int = 2) -> DataFrame:
     """Out-of-fold quality and newest probability of the direction model, per ticker."""
-    every = landed(labelled(bars), "labelled")
-    rows = every.filter("label is not null")
-    n = rows.select("date").distinct().count()
-    parted = landed(learning.purged_folds(learning.positioned(rows, 5), n, folds), "folds")  # read by every fold's model
-    scored = learning.out_of_fold(parted, FEATURES)
-    newest = every.withColumn("_back", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))).filter("_back = 1").drop("_back")
-    return learning.evidence(scored, rows, learning.final_probabilities(rows, newest, FEATURES))
+    return forecasters.evidence(*scored_by(bars, recipe, spread))
 
 
 def honesty_evidence(bars: DataFrame) -> DataFrame:
@@ -308,21 +305,54 @@ def honesty_evidence(bars: DataFrame) -> DataFrame:
 
 @query()
 def out_of_fold_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purged-fold probabilities of the direction model on the whole feature matrix and their quality per fold."""
+    """Purged-fold probabilities of one model of the pooled panel, on the whole feature matrix, and their quality per fold."""
     matrix = landed(indicators.feature_matrix(brand_bars(spark, sf_dir, "p_type")), "matrix")
     rows = matrix.withColumnRenamed("target_direction", "label")
     n = rows.select("date").distinct().count()
-    parted = landed(learning.purged_folds(learning.positioned(rows, 5), n, 3), "folds")
+    parted = landed(learning.purged_folds(learning.positioned(rows, 5), n, 5), "folds")
     scored = learning.out_of_fold(parted, [c for c in indicators.feature_names(matrix) if c != "close"])
     return rounded(stats.average_rank_auc(scored, ["path"]), 4)
 
 
 @query()
 def model_by_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold quality per brand, and the newest probability from a final fit on all rows."""
+    """The logistic model of each brand on all features: out-of-fold quality, and the newest probability from a final fit on all rows."""
     return rounded(model_evidence(brand_bars(spark, sf_dir)), 4)
 
 
+@query()
+def forest_by_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(model_evidence(brand_bars(spark, sf_dir), forecasters.FOREST, 6), 4)
+
+
+@query()
+def boosted_by_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(model_evidence(brand_bars(spark, sf_dir), forecasters.BOOSTED, 6), 4)
+
+
+@query()
+def chosen_features_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality per brand and fold of the contrarian model on the twenty best features of each fold."""
+    scored, _ = scored_by(brand_bars(spark, sf_dir), forecasters.Recipe(top=20, contrarian=True), 1)
+    return rounded(forecasters.fold_quality(scored).drop("recipe"), 4)
+
+
+@query()
+def feature_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty features of largest coefficient of each brand's model."""
+    rows, features = labelled(brand_bars(spark, sf_dir))
+    return rounded(forecasters.importances(rows, features), 4)
+
+
+@query()
+def parameter_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brier score and AUC, blended, of five penalties over all brands and folds."""
+    rows, features = labelled(brand_bars(spark, sf_dir))
+    grid = [0.1, 1.0, 10.0, 100.0, 1000.0]
+    found = forecasters.search(rows, features, HORIZON, list(forecasters.penalties(grid)))
+    return rounded(found.withColumn("penalty", F.element_at(F.array(*map(F.lit, grid)), C("recipe") + 1)), 5)
+
+
 @query()
 def regime_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = daily_returns(spark, sf_dir).filter("ret is not null")
