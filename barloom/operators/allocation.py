@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import correlation, lookup, ratio, reasons, strip_market
+from .sliding import Step, slide
 from .timejoins import target_vs_current
 
 C = F.col
@@ -224,9 +225,9 @@ def conformal_gate(panel: DataFrame, window: int = 250, alpha: float = 0.2, cost
 
     ``panel``: ticker, date, edge_hat, fwd_return, known residuals are those of earlier dates.
     """
-    w = Window.partitionBy("ticker").orderBy("date").rowsBetween(-window, -1)
-    past = F.array_sort(F.filter(F.collect_list(C("edge_hat") - C("fwd_return")).over(w), lambda r: r.isNotNull()))
-    out = panel.withColumn("q", F.when(F.size(past) >= 20, sorted_quantile(past, F.lit(1 - alpha), higher=True)))
+    rows = panel.withColumn("_missed", C("edge_hat") - C("fwd_return"))
+    steps = [Step("_known", "lag", "_missed", 1), Step("q", "quantile", "_known", window, least=20, q=1 - alpha)]
+    out = slide(rows, steps).drop("_missed", "_known")
     bound = C("edge_hat") - C("q")
     return out.withColumn("lower", bound).withColumn("trade", F.coalesce(bound > cost, F.lit(False)))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import change, correlation, ratio, signed_power
 from .indicators import C, bollinger, cmf, lag, rolling_std, rolling_sum, rsi, sma, smoothed, steps, vortex
 from .panel import by_ticker
+from .sliding import Step, slide
 
 
 @dataclass(frozen=True)
@@ -41,8 +42,13 @@ def register(name: str, category: str, lookback: int, *needs: str) -> Callable:
     return add
 
 
+def rank_step(to: str, of: str, n: int = 252, least: int = 10) -> Step:
+    """Average-tie rank of the last value among the last n, as a share, for a streamed pass over the bars."""
+    return Step(to, "rank", of, n, least=least)
+
+
 def rolling_rank(x: Column, n: int = 252, least: int = 10) -> Column:
-    """Average-tie rank of the last value among the last n, as a share."""
+    """The same as a Column; it looks at the whole window for every bar."""
     values = F.collect_list(x).over(by_ticker(n))
     less = F.size(F.filter(values, lambda v: v < x))
     equal = F.size(F.filter(values, lambda v: v == x))
@@ -87,7 +93,7 @@ def alpha006() -> Column:
 
 @register("alpha001", "formulaic", 280, PEAK)
 def alpha001() -> Column:
-    return rolling_rank(C("alpha001_peak")) - 0.5
+    return C("rank_peak") - 0.5
 
 
 @register("alpha012", "formulaic", 1)
@@ -155,10 +161,11 @@ def prepared(df: DataFrame, needs: frozenset[str], fundamentals: DataFrame | Non
     """The panel with what the factors read; fundamentals, one row per ticker, join by ticker."""
     base = (smoothed(df) if SMOOTHED in needs else steps(df)).withColumn("day_return", change(C("close"), C("prior")))
     if RANKS in needs:
-        base = base.withColumns({"rank_open": rolling_rank(C("open")), "rank_volume": rolling_rank(C("volume"))})
+        base = slide(base, [rank_step("rank_open", "open"), rank_step("rank_volume", "volume")])
     if PEAK in needs:
         powered = signed_power(F.when(C("day_return") < 0, C("std_20")).otherwise(C("close")), 2.0)
         base = base.withColumn("std_20", rolling_std(C("day_return"), 20)).withColumn("alpha001_in", powered).withColumn("alpha001_peak", ts_argmax(C("alpha001_in"), 5))
+        base = slide(base, [rank_step("rank_peak", "alpha001_peak")])
     if WEEKS in needs:
         base = weekly_regime(base).withColumnRenamed("regime", "weekly_regime")
     names = ("market_cap", "pe", "pb", "ev_ebitda", "roe", "net_income", "ocf")

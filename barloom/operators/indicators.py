@@ -7,14 +7,14 @@ what is built from both. Recursive averages are made in one grouped pass.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bounded, change, ratio
-from .panel import BARS, by_ticker, over_last
+from .panel import BARS, FIELDS, by_ticker, over_last
 from .sliding import Step, in_order, slide
 from .smoothing import Smoothing, span, wilder
 
@@ -199,14 +199,17 @@ class Measures:
         return to
 
 
-def raw_features(df: DataFrame, beside: Sequence[str] = ()) -> DataFrame:
-    """All features of the same bar, not yet lagged, beside the bars and the columns ``beside``.
+def raw_features(df: DataFrame, beside: Mapping[str, Column] | None = None) -> DataFrame:
+    """All features of the same bar, not yet lagged, beside the bars and the columns ``beside``, windows of ticker and date.
 
     One shuffle and sort: columns of the bar before are windows in that order, all sliding and
     recursive measures follow in one streamed pass, and the features are a projection over them.
+    Numbers of a bar that are not finite count as null, so no feature is infinite either.
     """
     up, down = mfi()
-    ready = steps(in_order(df), *beside).withColumns({"flow_up": up, "flow_down": down})
+    finite = {c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), C(c)) for c in FIELDS}
+    beside = beside or {}
+    ready = steps(in_order(df.withColumns(finite)).withColumns(dict(beside)), *beside).withColumns({"flow_up": up, "flow_down": down})
     ready = ready.withColumns(
         {
             "flow": C("typical") * C("volume"), "money_flow": money_flow_value(), "rise": F.abs(C("high") - C("prior_low")), "fall": F.abs(C("low") - C("prior_high")),
@@ -262,8 +265,7 @@ def raw_features(df: DataFrame, beside: Sequence[str] = ()) -> DataFrame:
     base = slide(ready, [*(s.step for s in (*SMOOTHINGS, *SECOND)), *m.steps.values()], ready=True)
     made = base.select(*BARS, *beside, *(x.alias(k) for k, x in out.items()))
     # as SQL text: one call for each feature instead of one for each operator in it
-    shaped = {k: f"CASE WHEN {k} IS NOT NULL THEN least(greatest({k}, {limits[k][0]}D), {limits[k][1]}D) END" if k in limits else k for k in out}
-    return made.selectExpr(*BARS, *beside, *(f"CASE WHEN NOT isnan({x}) AND abs({x}) <> double('infinity') THEN {x} END AS {k}" for k, x in shaped.items()))
+    return made.selectExpr(*BARS, *beside, *(f"CASE WHEN {k} IS NOT NULL THEN least(greatest({k}, {limits[k][0]}D), {limits[k][1]}D) END AS {k}" if k in limits else k for k in out))
 
 
 def feature_names(df: DataFrame) -> list[str]:
@@ -289,8 +291,9 @@ def feature_matrix(df: DataFrame, horizon: int = 5, lag_by: int = 1, threshold:
     if with_targets:
         future = later("close", lag_by + horizon) / later("close", lag_by) - 1
         then |= {"target_return": future, "target_direction": F.when(future.isNotNull(), (future > threshold).cast("int"))}
-    raw = raw_features(in_order(df).withColumns(then), list(then))
+    raw = raw_features(df, then)
     goal = [c for c in then if c.startswith("target_")]
     names = [c for c in raw.columns if c not in BARS and c not in then]
-    rows = raw.filter("_date is not null").select("ticker", C("_date").alias("date"), C("_close").alias("close"), *names, *goal)
+    # a row number keeps the filters above the projection; pushed below it they would compute each feature twice
+    rows = raw.withColumn("_row", F.monotonically_increasing_id()).filter("_date is not null and _row >= 0").select("ticker", C("_date").alias("date"), C("_close").alias("close"), *names, *goal)
     return rows.dropna(subset=[*names, *goal] if complete else names, thresh=None if complete else len(names) // 2)

@@ -12,14 +12,15 @@ BARS = ["ticker", "date", *FIELDS]
 def brand_bars(spark: SparkSession, sf_dir: str, ticker: str = "p_brand") -> DataFrame:
     """Bars of unit prices by brand (or another column of the part table) and ship date.
 
-    Only the columns used are read; the dimension is joined by whichever strategy its size
+    Lines are ordered by order and line number, which are their key; as one number they keep
+    the aggregation in hash tables. Only the columns used are read; the dimension is joined by whichever strategy its size
     allows, and bars are aggregated before any window shuffles them.
     """
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), F.col(ticker).alias("ticker"))
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_orderkey", "l_linenumber", "l_shipdate", "l_quantity", "l_extendedprice")
     quoted = lines.join(part, "l_partkey").withColumns(
         {"price": F.col("l_extendedprice").cast("double") / F.col("l_quantity").cast("double"), "date": F.to_date("l_shipdate")}
-    ).withColumn("nth", F.struct("l_orderkey", "l_linenumber", "price"))
+    ).withColumn("nth", F.shiftleft(F.col("l_orderkey").cast("long"), 20) + F.col("l_linenumber"))
     return quoted.groupBy("ticker", "date").agg(
         F.min_by("price", "nth").alias("open"),
         F.max("price").alias("high"),

@@ -29,8 +29,9 @@ class Step:
     """``to`` is a measure of ``of``: a column, the ``to`` of an earlier step, or made from those by name.
 
     Kinds: average (recursive, ``alpha``), sum, mean, std, min, max, spread (mean distance from the
-    mean), rank (of the last value, as a share, ties averaged), quantile (``q``, the higher value)
-    over the last ``n`` bars; lag (``n`` bars before); running (total of all bars so far).
+    mean), rank (of the last value, as a share, ties averaged), quantile (``q``, the higher value),
+    rank_correlation (with the column ``by``) over the last ``n`` bars; lag (``n`` bars before);
+    running (total of all bars so far).
     """
 
     to: str
@@ -40,6 +41,7 @@ class Step:
     least: int | None = None
     alpha: float = 0.0
     q: float = 0.5
+    by: str | None = None
 
 
 class Average:
@@ -87,6 +89,33 @@ class _Window:
         return out
 
 
+class _RankCorrelation:
+    """Null without variance on either side, or with a null in the window; windows are short, so ranks are counts of pairs."""
+
+    def __init__(self, s: Step):
+        self.n, self.by = s.n, s.by
+        self.tail = np.zeros((2, 0))
+
+    @staticmethod
+    def _centred(w: np.ndarray) -> np.ndarray:
+        less = (w[:, None, :] < w[:, :, None]).sum(axis=2)
+        same = (w[:, None, :] == w[:, :, None]).sum(axis=2)
+        return less + (same + 1) / 2 - (w.shape[1] + 1) / 2
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        every = np.concatenate([self.tail, x], axis=1)
+        out = np.full(every.shape[1], np.nan)
+        windows = np.lib.stride_tricks.sliding_window_view(every, self.n, axis=1) if every.shape[1] >= self.n else np.zeros((2, 0, self.n))
+        for lo in range(0, windows.shape[1], 4096):
+            a, b = (self._centred(w[lo : lo + 4096]) for w in windows)
+            scale = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+            known = ~np.isnan(windows[:, lo : lo + 4096]).any(axis=(0, 2)) & (scale > 0)
+            out[self.n - 1 + lo : self.n - 1 + lo + len(a)] = np.where(known, (a * b).sum(axis=1) / np.where(scale > 0, scale, 1.0), np.nan)
+        fresh = out[self.tail.shape[1] :]
+        self.tail = every[:, max(0, every.shape[1] - self.n + 1) :]
+        return fresh
+
+
 class _Lag:
     def __init__(self, s: Step):
         self.tail = np.full(s.n, np.nan)
@@ -108,7 +137,7 @@ class _Running:
 
 
 def _started(s: Step) -> Callable[[np.ndarray], np.ndarray]:
-    return {"average": Average, "lag": _Lag, "running": _Running}.get(s.kind, _Window)(s)
+    return {"average": Average, "lag": _Lag, "running": _Running, "rank_correlation": _RankCorrelation}.get(s.kind, _Window)(s)
 
 
 def measured(columns: dict[str, np.ndarray], steps: Sequence[Step], states: Sequence[Callable]) -> dict[str, np.ndarray]:
@@ -116,7 +145,8 @@ def measured(columns: dict[str, np.ndarray], steps: Sequence[Step], states: Sequ
     known, out = dict(columns), {}
     with np.errstate(all="ignore"):
         for s, state in zip(steps, states, strict=True):
-            known[s.to] = out[s.to] = state(known[s.of] if isinstance(s.of, str) else s.of(known))
+            x = known[s.of] if isinstance(s.of, str) else s.of(known)
+            known[s.to] = out[s.to] = state(x if s.by is None else np.stack([x, known[s.by]]))
     return out
 
 

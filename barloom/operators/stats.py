@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import correlation, normal_cdf, normal_ppf, ratio
+from .sliding import Step, in_order, slide
 
 YEAR = 252
 EPS = 1e-12
@@ -45,14 +46,10 @@ def information_coefficient(df: DataFrame, factor: str, target: str, by: Sequenc
 
 def rolling_rank_ic(df: DataFrame, factor: str, target: str, n: int = 21) -> DataFrame:
     """Spearman correlation over each ticker's last n pairs; null without variance in either."""
-    w = Window.partitionBy("ticker").orderBy("date").rowsBetween(-(n - 1), 0)
-    rows = df.select("ticker", "date", F.col(factor).alias("f"), F.col(target).alias("r")).dropna()
-    last = rows.withColumns({"fs": F.collect_list("f").over(w), "rs": F.collect_list("r").over(w)}).filter(F.size("fs") == n)
-    ranks = lambda xs: F.transform(xs, lambda x: F.size(F.filter(xs, lambda y: y < x)) + (F.size(F.filter(xs, lambda y: y == x)) + 1) / 2.0 - (n + 1) / 2.0)
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    ranked = last.withColumns({"fs": ranks(F.col("fs")), "rs": ranks(F.col("rs"))})
-    scale = F.sqrt(dot("fs", "fs") * dot("rs", "rs"))
-    return ranked.select("ticker", "date", ratio(dot("fs", "rs"), scale).alias("ic"))
+    rows = df.select("ticker", "date", F.col(factor).cast("double").alias("f"), F.col(target).cast("double").alias("r")).dropna()
+    nth = F.row_number().over(Window.partitionBy("ticker").orderBy("date"))
+    out = slide(in_order(rows).withColumn("nth", nth), [Step("ic", "rank_correlation", "f", n, by="r")], ready=True)
+    return out.filter(F.col("nth") >= n).select("ticker", "date", "ic")
 
 
 def information_ratio(ics: DataFrame, by: Sequence[str] = ()) -> DataFrame:

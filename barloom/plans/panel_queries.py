@@ -11,7 +11,8 @@ from ..functions.scalars import bounded, change, ratio
 from ..operators import factors, indicators, timejoins
 from ..operators.indicators import lag, rolling_max, rolling_min, rolling_std, rolling_sum, sma
 from ..operators.panel import as_of, brand_bars, by_ticker, normalise
-from ..operators.smoothing import ema, span
+from ..operators.sliding import in_order, slide
+from ..operators.smoothing import Smoothing, ema, scanned, span, wilder
 from ..sources.lake import Lake, best_source, chart_records, read_universe, universe_changes, write_universe
 from ..sources.shared import shared_path
 from . import feature_sql
@@ -134,6 +135,16 @@ def recursive_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, {"ema_12": 4, "ema_26": 4, "atr_14": 4, "rsi_14": 5})
 
 
+@query(_EMA_SQL, days="date")
+def scanned_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same averages with each brand's years spread over tasks."""
+    steps = [Smoothing("ema_12", "close", span(12), 12), Smoothing("ema_26", "close", span(26), 26), Smoothing("atr_14", "tr", wilder(14), 14)]
+    steps += [Smoothing(f"{x}_14", x, wilder(14), 14) for x in ("gain", "loss")]
+    bars = scanned(indicators.steps(brand_bars(spark, sf_dir)), steps, F.year("date"))
+    out = bars.select("ticker", "date", "ema_12", "ema_26", ((C("ema_12") - C("ema_26")) / C("close")).alias("macd_line"), "atr_14", indicators.rsi(14).alias("rsi_14"))
+    return rounded(out, {"ema_12": 4, "ema_26": 4, "atr_14": 4, "rsi_14": 5})
+
+
 @query(
     """WITH RECURSIVE {BARS}, b AS (SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n FROM bars),
 e AS (SELECT ticker, date, n, close AS y FROM b WHERE n = 1 UNION ALL SELECT b.ticker, b.date, b.n, 0.8 * e.y + 0.2 * b.close FROM e JOIN b ON b.ticker = e.ticker AND b.n = e.n + 1)
@@ -177,7 +188,8 @@ SELECT ticker, date, round(CASE WHEN len(vs) >= 10 THEN (len(list_filter(vs, lam
     days="date",
 )
 def rolling_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(brand_bars(spark, sf_dir).select("ticker", "date", factors.rolling_rank(C("volume")).alias("rank_volume"), factors.ts_argmax(C("close"), 5).alias("argmax_5")))
+    rows = in_order(brand_bars(spark, sf_dir)).withColumn("argmax_5", factors.ts_argmax(C("close"), 5))
+    return rounded(slide(rows, [factors.rank_step("rank_volume", "volume")], ready=True).select("ticker", "date", "rank_volume", "argmax_5"))
 
 
 @query(feature_sql.zoo_sql(BARS_SQL), days="date")
