@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import correlation, lookup, ratio, reasons, strip_market
+from ..sources.shared import landed
 from .sliding import Step, slide
 from .timejoins import target_vs_current
 
@@ -32,8 +35,56 @@ def covariance(returns: DataFrame, tickers: Sequence[str] | None = None, complet
         full = rows.agg(F.count_distinct("ticker").alias("n"))
         days = rows.groupBy("date").agg(F.count_distinct("ticker").alias("k")).crossJoin(full).filter("k = n").select("date")
         rows = rows.join(days, "date", "left_semi")
-    a, b = rows.select("date", C("ticker").alias("a"), C("ret").alias("x")), rows.select("date", C("ticker").alias("b"), C("ret").alias("y"))
-    return a.join(b, "date").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"), correlation(C("x"), C("y")).alias("corr"), F.count(F.lit(1)).alias("days"))
+    return _pairs(rows)
+
+
+#: Assets of a block, and days of a chunk.
+ASSETS, DAYS = 256, 365
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Covariance and correlation of all pairs of (date, ticker, ret), each over the days that both have.
+
+    Assets are numbered and dealt to blocks. A task multiplies two blocks over a chunk of days
+    as matrices with zeros and a mask where a return is missing, so a row is sent once per
+    block and the sums of a chunk once per pair. Returns are taken from the asset's mean first.
+    """
+    kind = rows.schema["ticker"].dataType.simpleString()
+    rows = landed(rows, "returns")
+    named = rows.groupBy("ticker").agg(F.avg("ret").alias("mean")).withColumn("at", F.row_number().over(Window.orderBy("ticker")) - 1)  # one row per asset
+    placed = rows.join(named, "ticker").select("date", "at", (C("ret") - C("mean")).cast("double").alias("ret"), F.floor(C("at") / ASSETS).cast("int").alias("block"), F.floor(F.unix_date(C("date").cast("date")) / DAYS).alias("chunk"))
+    blocks = named.select(F.floor(C("at") / ASSETS).cast("int").alias("block")).distinct()
+    with_right = blocks.crossJoin(blocks.select(C("block").alias("other"))).filter("block <= other")
+    sides = with_right.select("block", F.struct(C("block").alias("i"), C("other").alias("j")).alias("pair")).union(with_right.filter("block < other").select("other", F.struct(C("block").alias("i"), C("other").alias("j"))))
+    dealt = placed.join(sides, "block").select(C("pair.i").alias("i"), C("pair.j").alias("j"), "chunk", "date", "at", "ret", "block")
+
+    def gram(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = key[0].as_py(), key[1].as_py()
+        at, ret, block = (table.column(c).to_numpy() for c in ("at", "ret", "block"))
+        _, day = np.unique(table.column("date").to_numpy(), return_inverse=True)
+        sides = []
+        for own in (i, j):
+            x, m = np.zeros((day.max() + 1, ASSETS)), np.zeros((day.max() + 1, ASSETS))
+            mine = block == own
+            x[day[mine], at[mine] - own * ASSETS], m[day[mine], at[mine] - own * ASSETS] = ret[mine], 1.0
+            sides.append((x, m))
+        (x, m), (y, k) = sides
+        n = m.T @ k
+        a, b = np.nonzero(n)
+        sums = {"n": n, "sx": x.T @ k, "sy": m.T @ y, "sxx": (x * x).T @ k, "syy": m.T @ (y * y), "sxy": x.T @ y}
+        return pa.table({"a": pa.array(a + i * ASSETS), "b": pa.array(b + j * ASSETS)} | {c: pa.array(v[a, b]) for c, v in sums.items()})
+
+    names = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    sums = dealt.groupBy("i", "j", "chunk").applyInArrow(gram, "a long, b long, " + ", ".join(f"{c} double" for c in names)).groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in names))
+    about = lambda s, u, v: C(s) - C(u) * C(v) / C("n")
+    vx, vy, cxy = about("sxx", "sx", "sx"), about("syy", "sy", "sy"), about("sxy", "sx", "sy")
+    found = sums.select("a", "b", F.when(C("n") > 1, cxy / (C("n") - 1)).alias("cov"), F.when((vx > EPS * C("sxx")) & (vy > EPS * C("syy")), cxy / F.sqrt(vx * vy)).alias("corr"), C("n").cast("long").alias("days"))
+    # the pairs of two blocks are found once; of one block both ways
+    across = F.floor(C("a") / ASSETS) != F.floor(C("b") / ASSETS)
+    found = found.unionByName(found.filter(across).select(C("b").alias("a"), C("a").alias("b"), "cov", "corr", "days"))
+    name = lambda c: named.select(C("at").cast("long").alias(c), C("ticker").alias(f"ticker_{c}"))
+    out = found.join(name("a"), "a").join(name("b"), "b")
+    return landed(out.select(C("ticker_a").cast(kind).alias("a"), C("ticker_b").cast(kind).alias("b"), "cov", "corr", "days"), "pairs")
 
 
 def shrunk(cov: DataFrame, share: float = 0.3) -> DataFrame:

@@ -155,19 +155,6 @@ def breaker(daily: DataFrame, off: float = 0.20, on: float = 0.05) -> DataFrame:
     return ordered_fold(rows, "ticker", ["date"], lambda: (1.0, 1.0, False), step, "held double").drop("wanted")
 
 
-def similar(queries: DataFrame, items: DataFrame, k: int = 7, floor: float = 0.30) -> DataFrame:
-    """Top-k items per query by cosine. ``queries`` are a stated, small set: (query_id, vector); items (item_id, vector).
-
-    Queries are grouped in blocks that are joined to all items, so the work is queries times items.
-    """
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    dot = F.aggregate(F.zip_with("vector", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    block = queries.select("query_id", C("vector").alias("q"))
-    scored = items.join(block, F.lit(True)).filter(C("item_id") != C("query_id")).select("query_id", "item_id", ratio(dot, norm(C("vector")) * norm(C("q"))).alias("cosine"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "item_id")
-    return scored.filter(C("cosine") >= floor).withColumn("nth", F.row_number().over(w)).filter(C("nth") <= k)
-
-
 def ticker_context(bars: DataFrame, back: int = 20, n: int = 20) -> DataFrame:
     """Per ticker the return over the last ``back`` bars and the z-score of the last return; 0 where bars are few."""
     w = Window.partitionBy("ticker").orderBy("date")

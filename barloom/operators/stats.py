@@ -103,6 +103,32 @@ def signal_profile(df: DataFrame, signal: str) -> DataFrame:
     return rows.groupBy("ticker").agg(F.avg((F.col("s") != 0).cast("double")).alias("active"), F.count_if("moved").alias("transitions"), F.count("s").alias("n"))
 
 
+def signal_quality(df: DataFrame, signal: str, ahead: str, window: int = 21, stride: int = 5, least: int = 30) -> DataFrame:
+    """Per ticker the rank and plain correlation of a signal with the return to come, and the mean rank correlation of windows over its spread.
+
+    Windows of ``window`` bars start every ``stride`` bars; a bar is sent to the few windows that
+    hold it. A correlation needs ``least`` pairs (a window its own length) and variance on both
+    sides; the ratio needs five windows. ``df``: ticker, date.
+    """
+    nth = F.row_number().over(Window.partitionBy("ticker").orderBy("date")) - 1
+    rows = df.select("ticker", "date", F.col(signal).cast("double").alias("f"), F.col(ahead).cast("double").alias("r"), nth.alias("at"), F.count(F.lit(1)).over(Window.partitionBy("ticker")).alias("bars"))
+    known = rows.filter(F.col("f").isNotNull() & F.col("r").isNotNull())
+    first = F.greatest(F.lit(0), F.ceil((F.col("at") - (window - 1)) / stride)).cast("int")
+    last = F.least(F.floor(F.col("at") / stride), F.ceil((F.col("bars") - window) / stride) - 1).cast("int")  # windows start before the last ``window`` bars
+    dealt = known.withColumns({"first": first, "last": last}).filter("first <= last").select("ticker", F.explode(F.sequence("first", "last")).alias("start"), "f", "r")
+
+    def correlations(rows: DataFrame, by: Sequence[str], least: int) -> DataFrame:
+        ranked = rows.select(*by, "f", "r", average_rank(F.col("f"), by, "f").alias("a"), average_rank(F.col("r"), by, "r").alias("b"))
+        fine = (F.count(F.lit(1)) >= least) & (F.stddev_samp("f") > 1e-9) & (F.stddev_samp("r") > 1e-9)
+        return ranked.groupBy(*by).agg(F.when(fine, correlation(F.col("a"), F.col("b"))).alias("rank_ic"), F.when(fine, correlation(F.col("f"), F.col("r"))).alias("ic"))
+
+    windows = correlations(dealt, ["ticker", "start"], window).filter("rank_ic is not null")
+    spread = F.stddev_samp("rank_ic")
+    ratios = windows.groupBy("ticker").agg(F.count(F.lit(1)).alias("windows"), F.when((F.count(F.lit(1)) >= 5) & (spread > 1e-9), F.avg("rank_ic") / spread).alias("ir"))
+    whole = correlations(known, ["ticker"], least)
+    return whole.join(ratios, "ticker", "left").select("ticker", "rank_ic", "ic", F.coalesce("windows", F.lit(0)).alias("windows"), "ir")
+
+
 # --- returns -------------------------------------------------------------------------------
 
 

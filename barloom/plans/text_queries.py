@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import mask_secrets
-from ..operators import events, timejoins
+from ..operators import events, patterns, timejoins
 from ..operators.events import BEAR_WORDS, BULL_WORDS, HOME_WORDS, TOPIC_KEYWORDS, TOPIC_WEIGHTS
 from ..operators.panel import brand_bars
 from .catalog import query, rounded
@@ -55,7 +55,7 @@ SELECT query_id, item_id, round(cosine, 5) AS cosine, nth FROM r WHERE nth <= 7"
 )
 def similar_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(C("vec_id").alias("item_id"), C("embedding").alias("vector"))
-    out = events.similar(e.filter("item_id % 50 = 0").withColumnRenamed("item_id", "query_id"), e)
+    out = patterns.similar(e.filter("item_id % 50 = 0").withColumnRenamed("item_id", "query_id"), e)
     return rounded(out.select("query_id", "item_id", "cosine", C("nth").cast("long").alias("nth")), 5)
 
 
