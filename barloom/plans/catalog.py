@@ -52,7 +52,7 @@ def rounded(df: DataFrame, places: dict[str, int] | int = 6) -> DataFrame:
 
 
 def _load() -> None:
-    from . import book_queries, gate_queries, panel_queries, portfolio_queries, regime_queries, research_queries, risk_queries, store_queries, text_queries  # noqa: F401
+    from . import book_queries, gate_queries, panel_queries, portfolio_queries, regime_queries, research_queries, risk_queries, store_queries, stream_queries, text_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,10 @@ class Lake:
         stamped = bars.select(*BARS, C("ticker").alias("symbol"), F.date_format("date", self.grain).alias("month"), F.lit(source).alias("_source"), (F.current_timestamp() if ingested_at is None else ingested_at).alias("_ingested_at"))
         stamped.repartition("symbol", "month").write.mode("append").partitionBy("symbol", "month").parquet(self.bars)
 
+    def exists(self) -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.bars)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
     def versions(self, tolerant: bool = True) -> DataFrame:
         return self.spark.read.option("ignoreCorruptFiles", str(tolerant).lower()).parquet(self.bars)
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.memory import upsert
+from ..operators.panel import FIELDS
 from ..operators.timejoins import reconcile
 from ..sources.lake import Lake
 
@@ -30,22 +31,65 @@ def tick_bars(ticks: DataFrame, every: str = "1 hour", late: str = "1 day") -> D
 
 
 def ingest(bars: DataFrame, lake: Lake, checkpoint: str, source: str, late: str = "7 days") -> DataStreamWriter:
-    """Bars (with ``ts``) into the lake, once per (ticker, date, source) within the watermark; later versions append."""
-    once = bars.withColumn("source", F.lit(source)).withWatermark("ts", late).dropDuplicatesWithinWatermark(["ticker", "date", "source"])
-    return once.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: lake.write(df, source))
+    """Bars (with ``ts``) into the lake, once per (ticker, date, source) and values within the watermark.
 
+    A corrected bar has other values and appends as a later version. A batch that is run again
+    after a failure adds only what is not there yet.
+    """
+    values = F.sha2(F.to_json(F.struct(*FIELDS)), 256)
+    once = bars.withColumns({"source": F.lit(source), "_values": values}).withWatermark("ts", late).dropDuplicatesWithinWatermark(["ticker", "date", "source", "_values"])
 
-def latest_snapshots(news: DataFrame, table: Callable[[], DataFrame | None], save: Callable[[DataFrame], None], checkpoint: str) -> DataStreamWriter:
-    """The newest snapshot per ticker, upserted batch by batch. Columns: ticker, updated_at, payload."""
+    def land(batch: DataFrame, _: int) -> None:
+        if lake.exists():
+            there = lake.versions().filter(C("_source") == source).select("ticker", "date", values.alias("_values"))
+            batch = batch.join(there, ["ticker", "date", "_values"], "left_anti")
+        lake.write(batch, source)
+
+    return once.writeStream.option("checkpointLocation", checkpoint).foreachBatch(land)
+
+
+def to_batches(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataStreamWriter:
+    """Each batch into a folder of its own number: one that is run again replaces itself."""
 
-    def merge(batch: DataFrame, _: int) -> None:
-        new = batch.groupBy("ticker").agg(F.max("updated_at").alias("updated_at"), F.max_by("payload", "updated_at").alias("payload"))
-        old = table()
-        save(new if old is None else upsert(old, new.join(old.select("ticker", C("updated_at").alias("_seen")), "ticker", "left").filter("_seen is null or updated_at > _seen").drop("_seen"), ["ticker"]))
+    def land(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(land)
+
+
+def snapshot_table(news: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """``latest_snapshots`` kept as files: batch n merges what the batch before left, so that running it again gives the same."""
+
+    def merge(batch: DataFrame, n: int) -> None:
+        merged(batch, _version(batch.sparkSession, path, n), lambda df: df.write.mode("overwrite").parquet(f"{path}/batch={n}"))
 
     return news.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge)
 
 
+def _version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest version of a table of batches, or that before a batch."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+    numbers = [n for n in (int(x[6:]) for x in names if x.startswith("batch=")) if before is None or n < before]
+    return spark.read.parquet(f"{path}/batch={max(numbers)}") if numbers else None
+
+
+def newest_snapshots(spark: SparkSession, path: str) -> DataFrame | None:
+    return _version(spark, path)
+
+
+def merged(batch: DataFrame, old: DataFrame | None, save: Callable[[DataFrame], None]) -> None:
+    """The newest snapshot per ticker of a batch into the table that there is; one as old as the table's does not replace it."""
+    new = batch.groupBy("ticker").agg(F.max("updated_at").alias("updated_at"), F.max_by("payload", "updated_at").alias("payload"))
+    save(new if old is None else upsert(old, new.join(old.select("ticker", C("updated_at").alias("_seen")), "ticker", "left").filter("_seen is null or updated_at > _seen").drop("_seen"), ["ticker"]))
+
+
+def latest_snapshots(news: DataFrame, table: Callable[[], DataFrame | None], save: Callable[[DataFrame], None], checkpoint: str) -> DataStreamWriter:
+    """The newest snapshot per ticker, upserted batch by batch. Columns: ticker, updated_at, payload."""
+    return news.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: merged(batch, table(), save))
+
+
 def stale(snapshots: DataFrame, now, seconds: int = 3600) -> DataFrame:
     return snapshots.withColumn("stale", (now.cast("double") - C("updated_at").cast("double")) > seconds)
 
@@ -99,9 +143,15 @@ def drawdown_alerts(equity: DataFrame, limit: float = 0.10) -> DataFrame:
     return equity.groupBy("book").applyInPandasWithState(run, "book string, ts timestamp, drawdown double, alert string", "peak double, on boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def reconciler(broker: DataFrame, book: Callable[[], DataFrame], save: Callable[[DataFrame], None], checkpoint: str) -> DataStreamWriter:
-    """Each batch of broker positions against the book; differences are saved, large ones flagged."""
-    return broker.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: save(reconcile(book(), df).withColumn("batch", F.lit(n)).withColumn("pause", C("is_large"))))
+def reconciler(broker: DataFrame, book: Callable[[], DataFrame], path: str, checkpoint: str) -> DataStreamWriter:
+    """Each batch of broker positions against the book as it is then: its differences, with ``pause`` where any is large."""
+
+    def land(batch: DataFrame, n: int) -> None:
+        found = reconcile(book(), batch)
+        pause = found.agg(F.coalesce(F.bool_or("is_large"), F.lit(False)).alias("pause"))
+        found.crossJoin(pause).write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return broker.writeStream.option("checkpointLocation", checkpoint).foreachBatch(land)
 
 
 def append_once(log: DataFrame, late: str = "7 days") -> DataFrame:
