@@ -12,12 +12,13 @@ as in the input; other columns pass through untouched, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .textkernel import NEWLINE, SPACE, Tokens, U64, blocks, mix64, per_row
 
@@ -37,7 +38,9 @@ class Bands:
     bound clean text and noise compress alike (mostly the compressor's header): no limits.
 
     Chunks of ``chunk_bytes`` and the rest after them have the limits of their own length. A
-    text also fails if more than ``bad_share`` of its bytes lie in chunks outside theirs.
+    text also fails if more than ``bad_share`` of its bytes, and more than one chunk, lie in
+    chunks outside theirs: one odd chunk (a table, a listing) is let pass. None of the 3,330
+    texts mentioned has such a chunk. ``fitted`` measures bands on another clean sample.
     """
 
     whole: tuple[tuple[float, float, float], ...] = (
@@ -52,8 +55,8 @@ class Bands:
         (65_536, 1.73, 3.35),
         (float("inf"), 1.78, 3.75),
     )
-    chunk_bytes: int = 4_096
-    bad_share: float = 0.5
+    chunk_bytes: int = 1_024
+    bad_share: float = 0.1
     level: int = 3
 
 
@@ -97,8 +100,8 @@ def in_bands(raw: bytes, bands: Bands, zip_: zstandard.ZstdCompressor) -> tuple[
     n, size = len(raw), bands.chunk_bytes
     ratio, fine = judged(raw)
     chunks = [raw[i : i + size] for i in range(0, n, size)] if n > size else []
-    share = sum(len(c) for c in chunks if not judged(c)[1]) / n if chunks else 0.0
-    return ratio, share, fine and share <= bands.bad_share
+    bad = sum(len(c) for c in chunks if not judged(c)[1])
+    return ratio, bad / n if chunks else 0.0, fine and bad <= max(size, bands.bad_share * n)
 
 
 def measure(column: pa.Array, bands: Bands = Bands()) -> dict[str, np.ndarray]:
@@ -124,6 +127,30 @@ def measure(column: pa.Array, bands: Bands = Bands()) -> dict[str, np.ndarray]:
     return out
 
 
+def fitted(clean: DataFrame, noise: Bands = Bands(), below: float = 0.75, above: float = 1.35, text_col: str = "text") -> Bands:
+    """Bands of a clean sample: per length class from ``below`` times its least ratio, of texts and of chunks, to ``above`` times its
+    highest, counted over all of it. Classes and chunks are those of ``noise``, whose limits stay where the sample has nothing."""
+    size, tops = noise.chunk_bytes, np.array([b for b, _, _ in noise.whole])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=noise.level)
+        for b in batches:
+            seen: dict[int, tuple[float, float]] = {}
+            for text in b.column(0).to_pylist():
+                raw = (text or "").encode()
+                for part in [raw, *(raw[i : i + size] for i in range(0, len(raw), size) if len(raw) > size)]:
+                    if part:
+                        k, r = int(np.searchsorted(tops, len(part), side="right")), len(part) / len(zip_.compress(part))
+                        lo, hi = seen.get(k, (r, r))
+                        seen[k] = min(lo, r), max(hi, r)
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), *(pa.array([v[i] for v in seen.values()], pa.float64()) for i in (0, 1))], names=["k", "lo", "hi"])
+
+    found = clean.select(text_col).mapInArrow(run, "k int, lo double, hi double").groupBy("k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    own = {r["k"]: (below * r["lo"], above * r["hi"]) for r in found.collect()}  # a row per class
+    limits = [(b, lo, hi) if k not in own or hi == float("inf") else (b, *own[k]) for k, (b, lo, hi) in enumerate(noise.whole)]
+    return replace(noise, whole=tuple(limits))
+
+
 _OUT = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
     " ratio double, bad_chunks double, base_failed boolean, kept boolean"
