@@ -9,7 +9,11 @@ All buckets that at least two training documents hold are fitted, none is screen
 have normal priors whose variances come from the data (empirical Bayes): wide where a bucket
 goes with the label beyond chance, narrow elsewhere. Vectors are fitted to what the weights
 leave; those that the data do not tell from zero (Wald statistic of their information) are
-set to zero, and weights and the vectors left are fitted together once more.
+set to zero, and weights and the vectors left are fitted together once more. A vector
+without another one has no pair, so at least two must be left; and the machine with vectors
+is taken only if it foresees left-out training documents better (likelihood over ``FOLDS``
+parts of them) than the weights alone, which it is therefore never worse than by more than
+chance. ``Machine.living`` tells how many vectors there are.
 
 The model is fitted on at most ``TRAIN_ROWS`` labelled documents; scoring reads every
 whole text. Null and empty texts have no terms and get the score of the bias. Only
@@ -20,7 +24,7 @@ repeat in the output as in the input, null ids included; an empty table gives no
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,7 @@ from .textkernel import NON_TERM, Tokens, U64, blocks
 BITS = 20
 TRAIN_ROWS = 20_000
 FACTORS = 4
+FOLDS = 3
 THRESHOLD = 0.7
 
 
@@ -48,6 +53,10 @@ class Machine:
     slot: np.ndarray  # per bucket: its vector, or -1
     factor: np.ndarray
 
+    @property
+    def living(self) -> int:
+        return len(self.factor)
+
     def logits(self, column: pa.Array) -> np.ndarray:
         out = [np.zeros(0)]
         for lo, hi, data, at in blocks(column):
@@ -169,8 +178,29 @@ def _prior(row: np.ndarray, feature: np.ndarray, label: np.ndarray, how: Fitting
 
 
 def fit(label: np.ndarray, packed: list[bytes], how: Fitting = Fitting()) -> Machine:
-    weight, slot = np.zeros(1 << BITS, np.float32), np.full(1 << BITS, -1, np.int32)
+    """The machine, with vectors if they pay on documents that a fit has not seen; else the weights alone."""
     label = np.asarray(label, float)
+    made = _fitted(label, packed, how)
+    if not made.living:
+        return made
+    part = np.random.default_rng(how.seed).permutation(len(label)) % FOLDS
+    gain = 0.0
+    for k in range(FOLDS):
+        seen, rest = np.flatnonzero(part != k), np.flatnonzero(part == k)
+        for sign, way in ((1, how), (-1, replace(how, wald=float("inf")))):
+            gain += sign * _likelihood(_fitted(label[seen], [packed[i] for i in seen], way), label[rest], [packed[i] for i in rest])
+    return made if gain > 0 else _fitted(label, packed, replace(how, wald=float("inf")))
+
+
+def _likelihood(machine: Machine, label: np.ndarray, packed: list[bytes]) -> float:
+    """Log likelihood of the labels."""
+    row = np.repeat(np.arange(len(packed)), [len(x) // 4 for x in packed])
+    y = machine.of(row, np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(x, "<i4") for x in packed)]).astype(np.int64), len(packed))
+    return float((label * y - np.logaddexp(0, y)).sum())
+
+
+def _fitted(label: np.ndarray, packed: list[bytes], how: Fitting) -> Machine:
+    weight, slot = np.zeros(1 << BITS, np.float32), np.full(1 << BITS, -1, np.int32)
     n, rng = len(label), np.random.default_rng(how.seed)
     share = np.clip(label.mean(), 0.01, 0.99) if n else 0.5
     bias = np.array([np.log(share / (1 - share))], np.float32)
@@ -233,6 +263,7 @@ def fit(label: np.ndarray, packed: list[bytes], how: Fitting = Fitting()) -> Mac
         p = sigmoid(bias[0] + y)
         information[b.own] += b.by_feature((p * (1 - p))[:, None] * s[:, 1:] ** 2)
     kept = (vectors**2 * information).sum(axis=1) > how.wald
+    kept &= kept.sum() > 1
     vectors[~kept] = 0
     if kept.any():
         narrow[kept] = 1 / how.most / n
