@@ -3,6 +3,8 @@
 import dataclasses
 import random
 
+import numpy as np
+
 import pytest
 
 pytest.importorskip("barloom.llm.queries")
@@ -72,6 +74,23 @@ def test_toxic_pairs_of_innocent_terms(spark, vocabulary):
     assert right["machine"] > 0.9 and right["weights"] < 0.65, right
 
 
+def test_vectors_only_where_they_pay():
+    """Labels that single terms explain, or nothing does: the machine is the weights alone."""
+    rng = random.Random(2)
+    for rule in (lambda ws: int("bad" in ws), lambda ws: rng.randrange(2)):
+        texts = [[*words(rng, 30, 500), *(["bad"] if rng.random() < 0.3 else [])] for _ in range(900)]
+        label = np.array([rule(ws) for ws in texts], float)
+        packed = [np.unique([hash_of(w) for w in ws]).astype("<i4").tobytes() for ws in texts]
+        made, alone = toxicity.fit(label, packed), toxicity.fit(label, packed, toxicity.Fitting(wald=float("inf")))
+        assert made.living == 0 and made.bias == alone.bias and np.array_equal(made.weight, alone.weight)
+
+
+def hash_of(word):
+    import zlib
+
+    return zlib.crc32(word.encode()) % (1 << toxicity.BITS)
+
+
 def test_attention_finds_a_bad_passage(spark):
     """One passage of broken words in a long document decides; the mean over passages does not."""
     rng = random.Random(12)

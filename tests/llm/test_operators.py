@@ -216,7 +216,7 @@ def test_compression_bands():
     noise = "".join(chr(rng.randrange(33, 127)) for _ in range(4000))
     noise = " ".join(noise[i : i + 5] for i in range(0, 4000, 5))
     fine = " ".join(words(rng, 800))
-    m = quality_rules.measure(pa.array([fine, "abc " * 200 + fine[:10], noise + " " + fine]), quality_rules.Bands(whole=((float("inf"), 1.5, 4.0),)))
+    m = quality_rules.measure(pa.array([fine, "abc " * 200 + fine[:10], noise + " " + fine]), quality_rules.Bands(whole=((float("inf"), 1.5, 4.0),), chunk_bytes=4_096, bad_share=0.5))
     assert list(m["in_bands"]) == [True, False, True]
     zip_ = zstandard.ZstdCompressor(level=3)
     for text, ratio in zip((fine, "abc " * 200 + fine[:10], noise + " " + fine), m["ratio"], strict=True):
@@ -245,6 +245,51 @@ def test_production_bands(n):
         assert not quality_rules.measure(pa.array([twice if n < 9_000 else (clean[:900] + " ") * (n // 900)]))["in_bands"][0]
 
 
+@pytest.mark.parametrize("n", [6_000, 20_000, 80_000, 300_000])
+def test_noise_in_part_of_a_text(n):
+    """Noise at the end, in the middle and in one place after another; one odd chunk is let pass, clean text too."""
+    import random
+    import string
+
+    import pyarrow as pa
+
+    from .conftest import words
+
+    rng = random.Random(n)
+    clean = " ".join(words(rng, n // 4))
+    for k in (int(share * n) for share in (0.2, 0.3, 0.4, 0.5)):
+        if k < 1_500:  # may be one odd chunk
+            continue
+        noise = "".join(rng.choice(string.ascii_letters + string.digits + " ") for _ in range(k))
+        half = (n - k) // 2
+        parts = "".join(clean[i * (n - k) // 2 : (i + 1) * (n - k) // 2] + noise[i * k // 2 : (i + 1) * k // 2] for i in range(2))
+        m = quality_rules.measure(pa.array([clean[: n - k] + noise, clean[:half] + noise + clean[half : n - k], parts]))
+        assert not m["in_bands"].any(), k
+    assert list(quality_rules.measure(pa.array([clean[:n], clean[: n - 800] + noise[:800]]))["in_bands"]) == [True, True]
+
+
+def test_fitted_bands(spark):
+    import random
+
+    from .conftest import words
+
+    rng = random.Random(3)
+    texts = [" ".join(words(rng, 300)) for _ in range(20)] + [None, ""]
+    bands = quality_rules.fitted(spark.createDataFrame([(t,) for t in texts], "text string"))
+    zip_ = zstandard.ZstdCompressor(level=3)
+    own = {}
+    for t in texts[:20]:
+        for part in (t.encode(), *(t.encode()[i : i + 1024] for i in range(0, len(t), 1024))):
+            k = next(i for i, (below, _, _) in enumerate(quality_rules.Bands().whole) if len(part) < below)
+            own.setdefault(k, []).append(len(part) / len(zip_.compress(part)))
+    for k, (below, lo, hi) in enumerate(bands.whole):
+        plain = quality_rules.Bands().whole[k]
+        assert (below, lo, hi) == plain if k not in own or plain[2] == float("inf") else abs(lo - 0.75 * min(own[k])) + abs(hi - 1.35 * max(own[k])) < 1e-12
+    import pyarrow as pa
+
+    assert quality_rules.measure(pa.array(texts[:20]), bands)["in_bands"].all()
+
+
 def test_chunk_bands_reach_the_tail():
     import random
 
@@ -255,7 +300,7 @@ def test_chunk_bands_reach_the_tail():
     rng = random.Random(2)
     noise = "".join(chr(rng.randrange(33, 127)) for _ in range(3_000))
     fine = " ".join(words(rng, 2_000))[:4_096]
-    m = quality_rules.measure(pa.array([fine + noise, noise + fine, fine + fine[::-1][:50]]))
+    m = quality_rules.measure(pa.array([fine + noise, noise + fine, fine + fine[::-1][:50]]), quality_rules.Bands(chunk_bytes=4_096, bad_share=0.5))
     assert m["bad_chunks"][0] == 3_000 / 7_096 and m["bad_chunks"][1] > 0.5 and m["bad_chunks"][2] == 0
     assert list(m["in_bands"]) == [False, False, True]
 
