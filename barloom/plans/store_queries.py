@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import to_utc
+from ..functions.scalars import VERDICT_SEVERITY, to_utc
 from ..operators import allocation, events, gates, memory, paper, stats, timejoins
 from ..operators.panel import brand_bars, field
-from ..sources import lake, logs
+from ..sources import dashboard, lake, logs
 from ..sources.shared import shared_path
 from .catalog import query, rounded
 from .gate_queries import _events, _mod, _names, _pick, _sql_pick, _sql_reasons
@@ -55,6 +55,43 @@ def eligible_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.eligible(found).select("ticker", "verdict", "score")
 
 
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as results of a run that has some of the optional fields, one of them under another name."""
+    n = C("event_id")
+    check = F.struct(F.lit("DATA").alias("name"), F.when(n % 3 == 0, "PASS").otherwise("AMBER").alias("status"))
+    return _events(spark, sf_dir).select(
+        F.concat(F.lit("T"), n.cast("string")).alias("ticker"), F.when(n % 2 == 0, "S").otherwise("L").alias("track"), _pick(_VERDICTS, n).alias("verdict"), F.round("value", 2).alias("recommendation_rank_score"),
+        ((n % 100) / 100.0).alias("direction_prob"), (C("value") / 10).alias("expected_value_pct"), (C("value") + 10).alias("entry"), (C("value") + 9).alias("stop"), (C("value") + 13).alias("tp2"), F.lit(3.0).alias("risk_reward"),
+        F.lit(True).alias("screening_output_only"), F.array(check).alias("validations"), F.when(n % 5 > 0, n % 90).alias("n_trades"), F.when(n % 4 > 0, C("value")).alias("backtest_alpha_pct"), F.lit(1.5).alias("alpha"),
+        F.when(n % 7 > 0, F.repeat(C("event_type"), (n % 60).cast("int"))).alias("advisor_rationale"),
+    )
+
+
+@query(
+    f"""WITH e AS (SELECT 'T' || event_id AS ticker, CASE WHEN event_id % 2 = 0 THEN 'S' ELSE 'L' END AS track, {_sql_pick(_VERDICTS, "event_id")} AS verdict, round(value, 2) AS score, event_id AS n, value, repeat(event_type, (event_id % 60)::INTEGER) AS r FROM events),
+s AS (SELECT *, CASE verdict WHEN 'ELIGIBLE_RECOMMENDATION' THEN {VERDICT_SEVERITY.get("ELIGIBLE_RECOMMENDATION", 0)} WHEN 'ACCUMULATE_RECOMMENDATION' THEN {VERDICT_SEVERITY.get("ACCUMULATE_RECOMMENDATION", 0)} WHEN 'AMBER_REVIEW_ONLY' THEN {VERDICT_SEVERITY.get("AMBER_REVIEW_ONLY", 0)} ELSE {VERDICT_SEVERITY.get("RED_NOT_RECOMMENDED", 0)} END AS sev FROM e)
+SELECT row_number() OVER (ORDER BY sev DESC, score DESC, ticker, track) AS rank, ticker, track, verdict, CASE sev WHEN 3 THEN 'PASS' WHEN 2 THEN 'AMBER' ELSE 'RED' END AS status, score AS raw_score, round(value + 13, 4) AS tp2, NULL::DOUBLE AS tp1, CASE WHEN n % 5 > 0 THEN n % 90 END AS trades,
+  round(CASE WHEN n % 4 > 0 THEN value ELSE 1.5 END, 4) AS alpha_pct, CASE WHEN n % 7 > 0 THEN CASE WHEN length(r) > 240 THEN substr(r, 1, 237) || '...' ELSE r END END AS rationale, false AS pattern_there, CASE WHEN n % 3 = 0 THEN 'PASS' ELSE 'AMBER' END AS first_check FROM s"""
+)
+def dashboard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested rows written as JSON lines, read back and flattened."""
+    rows, path = dashboard.snapshot(_results(spark, sf_dir)), shared_path(spark, "dashboard")
+    dashboard.write(rows, path)
+    back = dashboard.read(spark, path, rows)
+    return back.select(
+        "rank", "ticker", "track", "verdict", "status", C("scores.raw_score").alias("raw_score"), F.round("plan.tp2", 4).alias("tp2"), C("plan.tp1").alias("tp1"), C("backtest.completed_trades").alias("trades"), F.round("backtest.alpha_pct", 4).alias("alpha_pct"),
+        C("advisor.advisor_rationale").alias("rationale"), C("pattern.kevpe_available").alias("pattern_there"), F.element_at("validations", 1)["status"].alias("first_check"),
+    )
+
+
+@query(
+    f"""SELECT 'T' || event_id AS ticker, CASE WHEN event_id % 2 = 0 THEN 'S' ELSE 'L' END AS track, {_sql_pick(_VERDICTS, "event_id")} AS verdict, round(value, 2) AS score, round(value + 10, 4) AS entry, round(value + 9, 4) AS stop, NULL::DOUBLE AS tp1, round(value + 13, 4) AS tp2, 3.0::DOUBLE AS risk_reward, NULL::DOUBLE AS suggested_quantity, NULL::DOUBLE AS suggested_position_value,
+  'REVIEW_PENDING' AS manual_action, true AS manual_approval_required, false AS broker_order_execution, true AS screening_output_only, '' AS reviewer, '' AS reviewed_at, '' AS final_decision, '' AS journal_reason FROM events"""
+)
+def approval_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(dashboard.approval_template(_results(spark, sf_dir)), 4)
+
+
 @query(
     """WITH r AS (SELECT ts::DATE AS run_id, user_id, event_type, value, event_id FROM events), l AS (SELECT * FROM r WHERE run_id = (SELECT max(run_id) FROM r))
 SELECT CAST(run_id AS VARCHAR) AS run_id, user_id, count(*) AS positions, count(*) FILTER (event_type = 'error') AS rejected, round(min(value) / max(value) - 1, 6) AS drawdown FROM l GROUP BY ALL"""

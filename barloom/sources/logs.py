@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import mask_secrets, severity, stable_sha
+from ..functions.scalars import mask_secrets, stable_sha
 
 C = F.col
 
@@ -53,13 +53,6 @@ def journalled(entries: DataFrame) -> DataFrame:
     return entries.withColumn("sha256", stable_sha(*map(C, sorted(entries.columns))))
 
 
-def payload(results: DataFrame) -> DataFrame:
-    """One row: counts per verdict, the worst and best, and the ranked rows as JSON."""
-    rank = Window.orderBy(severity(C("verdict")).desc(), F.desc("score"), "ticker")
-    rows = results.withColumn("rank", F.row_number().over(rank))
-    return rows.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(severity(C("verdict")) == 3).alias("eligible"), F.to_json(F.array_sort(F.collect_list(F.struct("rank", "ticker", "verdict", "score")))).alias("results"))
-
-
 def eligible(rows: DataFrame) -> DataFrame:
     return rows.filter(C("verdict").isin("ELIGIBLE_RECOMMENDATION", "ACCUMULATE_RECOMMENDATION"))
 
