@@ -172,6 +172,13 @@ def pattern_confidence(low_pct: Column, high_pct: Column) -> Column:
     return F.when(width > 5, "low").when(width > 2, "medium").otherwise("high")
 
 
+def supplement(signals: DataFrame) -> DataFrame:
+    """Columns that a report adds of pattern signals (ticker, regime, risk_score, expected_return, ci_low, ci_high, reason): null and not available without a regime."""
+    there = C("regime").isNotNull()
+    shown = {"regime": C("regime"), "score": C("risk_score"), "expected_return_pct": C("expected_return"), "ci": F.array("ci_low", "ci_high"), "confidence": pattern_confidence(C("ci_low"), C("ci_high")), "reason": F.substring("reason", 1, 200)}
+    return signals.select("ticker", there.alias("kevpe_available"), *(F.when(there, x).alias(f"kevpe_{c}") for c, x in shown.items()))
+
+
 def bootstrap_interval(matches: DataFrame, draws: int = 200, seed: int = 7) -> DataFrame:
     """Percentile interval of the weighted mean return by redrawing matches (group, ret, weight)."""
     each = matches.filter(C("ret").isNotNull() & (C("weight") > 0)).groupBy("group").agg(F.array_sort(F.collect_list(F.struct(C("ret").cast("double").alias("ret"), C("weight").cast("double").alias("weight")))).alias("m"))

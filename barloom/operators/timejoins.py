@@ -23,6 +23,16 @@ def as_of_backward(left: DataFrame, right: DataFrame, by: Sequence[str], on: str
     return carried.select(*left.columns, *(F.col(f"_last.{v}").alias(v) for v in values))
 
 
+def onto_dates(rows: DataFrame, features: DataFrame, values: Sequence[str], prefix: str = "x_") -> DataFrame:
+    """``rows`` (one per date) with features of some dates, each carried to the dates that follow; null before the first.
+
+    As in a reindex, values of dates that ``rows`` lacks are left out; each value is carried by itself. The window runs over one row per date.
+    """
+    both = rows.join(features.select("date", *(F.col(v).cast("double").alias(f"{prefix}{v}") for v in values)), "date", "left")
+    w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumns({f"{prefix}{v}": F.last(f"{prefix}{v}", ignorenulls=True).over(w) for v in values})
+
+
 def as_of_forward(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, value: str) -> DataFrame:
     """Adds the first ``value`` of ``right`` at or after the row's time."""
     a = left.select("*", F.lit(None).cast(right.schema[value].dataType).alias(value), F.lit(True).alias("_left"), F.lit(0).alias("_side"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import patterns, stats, sweeps
+from ..operators import patterns, rules, stats, sweeps, timejoins
 from ..operators.panel import brand_bars
 from .catalog import query, rounded
 from .risk_queries import _RET, _W, daily_returns
@@ -79,3 +79,44 @@ SELECT CAST(ma AS INTEGER) AS ma, stop, round(ann, 5) AS ann_return, round(sharp
 def stop_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best of twelve rules of average and stop, on tamed prices."""
     return rounded(sweeps.stop_sweep(brand_bars(spark, sf_dir).withColumn("close", F.pow("close", F.lit(0.1))), _MAS, _STOPS), 5)
+
+
+_CANDIDATES = """c AS (SELECT event_id AS n, 'T' || event_id AS ticker, value + 5 AS entry, (event_id % 101)::DOUBLE AS rsi, (event_id % 77)::DOUBLE AS adx, (event_id % 9) / 2.0 AS vr, (event_id % 5 - 2)::DOUBLE AS macd, (event_id % 7 - 3) / 100.0 AS r5,
+  (event_id % 11 - 5) / 100.0 AS sma, (event_id % 13) / 12.0 AS bb, (event_id % 17 - 8) / 10.0 AS cmf, (event_id % 19 - 9) / 50.0 AS vi, CASE WHEN event_id % 4 > 0 THEN (event_id % 100) / 100.0 END AS prob, CASE WHEN event_id % 3 > 0 THEN (event_id % 23) / 200.0 END AS atr,
+  (event_id % 6) * 2000000.0 AS dv, CASE WHEN event_id % 29 = 0 THEN -0.06 ELSE 0.0 END AS pnl, event_id % 31 = 0 AS margin, CASE WHEN event_id % 2 = 0 THEN (event_id % 100)::DOUBLE END AS quality, (event_id % 50) / 50.0 AS vol FROM events)"""
+
+
+@query(
+    f"""WITH {_CANDIDATES}, s AS (SELECT *, least(greatest(50 + CASE WHEN rsi BETWEEN 45 AND 68 THEN 10 WHEN rsi > 80 OR rsi < 25 THEN -8 ELSE 0 END + least(12, least(adx, 60) / 5) + least(10, least(vr, 4) * 3) + CASE WHEN macd > 0 THEN 8 ELSE -4 END + CASE WHEN r5 > 0 THEN 8 ELSE -5 END
+    + CASE WHEN sma > 0 THEN 7 ELSE -4 END + CASE WHEN bb BETWEEN 0.35 AND 0.85 THEN 4 ELSE -3 END + least(greatest(cmf * 8, -6), 8) + CASE WHEN vi > 0.05 THEN 4 WHEN vi < -0.05 THEN -3 ELSE 0 END + (coalesce(prob, 0.5) - 0.5) * 30, 0), 100) AS score,
+  entry * (1 - CASE WHEN atr > 0 THEN greatest(0.04, 2 * atr) ELSE 0.04 END) AS stop FROM c),
+z AS (SELECT *, entry - stop AS risk, floor(20000 * 0.0075 / (entry - stop))::BIGINT AS qty, (entry * 1.1 - entry) / (entry - stop) AS reward FROM s),
+g AS (SELECT *, least(CASE WHEN margin OR pnl <= -0.05 THEN 0 ELSE 3 END, CASE WHEN dv <> 0 AND dv < 5000000 THEN 1 ELSE 3 END, CASE WHEN reward < 2 THEN 2 ELSE 3 END, CASE WHEN score >= 75 THEN 3 WHEN score >= 65 THEN 2 ELSE 1 END, CASE WHEN qty * risk > 400 THEN 1 ELSE 3 END) AS g FROM z),
+l AS (SELECT *, least(greatest(CASE WHEN quality > 0 THEN 0.35 * quality + 0.25 * 90 ELSE 70 + CASE WHEN sma > 0 THEN 8 ELSE -8 END + CASE WHEN r5 > 0 THEN 5 ELSE -5 END - least(15, greatest(0, vol - 0.25) * 35) END + (coalesce(prob, 0.5) - 0.5) * 10, 0), 100) AS score FROM c)
+SELECT ticker, 'S' AS track, round(score, 6) AS score, ['ZERO', 'RED', 'AMBER', 'GREEN'][g + 1] AS gate, ['No Trade', 'Reject', 'Watch Only', 'Watch/Buy'][g + 1] AS verdict, round(entry, 6) AS entry, round(stop, 6) AS stop, round(entry * 1.05, 6) AS tp1, round(entry * 1.1, 6) AS tp2, round(reward, 6) AS risk_reward, round(risk, 6) AS risk_per_share,
+  qty AS quantity, round(qty * entry, 6) AS position_value, round(qty * risk, 6) AS open_risk FROM g
+UNION ALL SELECT ticker, 'L', round(score, 6), CASE WHEN score >= 80 THEN 'GREEN' WHEN score >= 70 THEN 'AMBER' ELSE 'RED' END, CASE WHEN score >= 80 THEN 'Eligible/DCA' WHEN score >= 70 THEN 'Hold/Monitor' ELSE 'Reject' END, round(entry, 6), round(entry * 0.88, 6), round(entry * 1.1, 6), round(entry * 1.2, 6), 0, 0, floor(9000 / entry)::BIGINT, round(floor(9000 / entry) * entry, 6), 0 FROM l"""
+)
+def rule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a candidate of both tracks, half of them with a quality to go by."""
+    n = C("event_id")
+    m = lambda k: (n % k).cast("double")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.concat(F.lit("T"), n.cast("string")).alias("ticker"), (C("value") + 5).alias("entry"), m(101).alias("rsi_14"), m(77).alias("adx_14"), (m(9) / 2).alias("volume_ratio_20"), (m(5) - 2).alias("macd_hist"), ((m(7) - 3) / 100).alias("return_5d"), ((m(7) - 3) / 100).alias("return_20d"),
+        ((m(11) - 5) / 100).alias("sma_ratio_20"), ((m(11) - 5) / 100).alias("sma_ratio_200"), (m(13) / 12).alias("bb_pct"), ((m(17) - 8) / 10).alias("cmf_20"), ((m(19) - 9) / 50).alias("vi_diff_14"), F.when(n % 4 > 0, m(100) / 100).alias("prob"), F.when(n % 3 > 0, m(23) / 200).alias("atr_pct"),
+        ((n % 6) * 2_000_000.0).alias("dollar_volume"), F.when(n % 29 == 0, -0.06).otherwise(0.0).alias("monthly_pnl_pct"), (n % 31 == 0).alias("allow_margin"), F.when(n % 2 == 0, m(100)).alias("business_quality"), F.when((n % 2 == 0) & (n % 100 > 0), 90.0).alias("earnings_quality"), (m(50) / 50).alias("hist_vol_20"),
+    )
+    return rounded(rules.short_verdicts(rows).unionByName(rules.long_verdicts(rows)))
+
+
+@query(
+    f"""WITH {{BARS}}, {_RET}, d AS (SELECT date, avg(ret) AS market FROM r WHERE ret IS NOT NULL GROUP BY date), x AS (SELECT o_orderdate::DATE AS date, count(*)::DOUBLE AS orders, avg(o_totalprice) / 1e6 AS price FROM orders WHERE day(o_orderdate) = 15 GROUP BY ALL)
+SELECT d.date, round(market, 6) AS market, last_value(orders IGNORE NULLS) OVER (ORDER BY d.date ROWS UNBOUNDED PRECEDING) AS x_orders, round(last_value(price IGNORE NULLS) OVER (ORDER BY d.date ROWS UNBOUNDED PRECEDING), 6) AS x_price FROM d LEFT JOIN x ON x.date = d.date""",
+    days="date",
+)
+def exogenous_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean return of each day beside what the fifteenths of months say of orders, carried onto the days that follow."""
+    market = daily_returns(spark, sf_dir).filter("ret is not null").groupBy("date").agg(F.avg("ret").alias("market"))
+    lines = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.to_date("o_orderdate").alias("date"), (C("o_totalprice").cast("double") / 1e6).alias("price")).filter(F.dayofmonth("date") == 15)
+    monthly = lines.groupBy("date").agg(F.count(F.lit(1)).cast("double").alias("orders"), F.avg("price").alias("price"))
+    return rounded(timejoins.onto_dates(market, monthly, ["orders", "price"]))

@@ -98,8 +98,8 @@ SELECT CAST(run_id AS VARCHAR) AS run_id, user_id, count(*) AS positions, count(
 )
 def latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest run's positions, rejections and drawdown."""
-    runs = _events(spark, sf_dir).withColumn("run_id", F.to_date("ts").cast("string"))
-    return rounded(logs.latest_run(runs).groupBy("run_id", "user_id").agg(F.count(F.lit(1)).alias("positions"), F.count_if(C("event_type") == "error").alias("rejected"), (F.min("value") / F.max("value") - 1).alias("drawdown")))
+    runs = _events(spark, sf_dir).select(F.to_date("ts").cast("string").alias("run_id"), "user_id", F.when(C("event_type") == "error", "REJECTED").otherwise("OPEN").alias("status"), C("value").alias("equity"))
+    return rounded(logs.run_status(runs, ["user_id"]))
 
 
 @query(

@@ -88,3 +88,19 @@ def match_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     m = e.select(C("user_id").alias("group"), C("value").alias("ret"), (1 + C("event_id") % 3).cast("double").alias("weight"))
     return rounded(events.bootstrap_interval(m, draws=500), 4)
+
+
+@query(
+    """WITH e AS (SELECT event_id, 'T' || event_id AS ticker, CASE WHEN event_id % 5 > 0 THEN ['GREEN', 'AMBER', 'RED'][event_id % 3 + 1] END AS regime, (event_id % 100) / 100.0 AS score, value / 20 AS r, repeat(event_type || ' ', (event_id % 60)::INTEGER) AS reason, (event_id % 8)::DOUBLE AS w FROM events)
+SELECT ticker, regime IS NOT NULL AS kevpe_available, regime AS kevpe_regime, CASE WHEN regime IS NOT NULL THEN score END AS kevpe_score, CASE WHEN regime IS NOT NULL THEN round(r, 4) END AS kevpe_expected_return_pct, CASE WHEN regime IS NOT NULL THEN round(r - w / 2, 4) END AS low, CASE WHEN regime IS NOT NULL THEN round(r + w / 2, 4) END AS high,
+  CASE WHEN regime IS NOT NULL THEN CASE WHEN (r + w / 2) - (r - w / 2) > 5 THEN 'low' WHEN (r + w / 2) - (r - w / 2) > 2 THEN 'medium' ELSE 'high' END END AS kevpe_confidence, CASE WHEN regime IS NOT NULL THEN substr(reason, 1, 200) END AS kevpe_reason FROM e"""
+)
+def pattern_supplements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a pattern signal, a fifth of them without one."""
+    n, r, w = C("event_id"), C("value") / 20, (C("event_id") % 8).cast("double") / 2
+    signals = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.concat(F.lit("T"), n.cast("string")).alias("ticker"), F.when(n % 5 > 0, F.element_at(F.array(*map(F.lit, ("GREEN", "AMBER", "RED"))), (n % 3 + 1).cast("int"))).alias("regime"), ((n % 100) / 100.0).alias("risk_score"), r.alias("expected_return"),
+        (r - w).alias("ci_low"), (r + w).alias("ci_high"), F.repeat(F.concat("event_type", F.lit(" ")), (n % 60).cast("int")).alias("reason"),
+    )
+    out = events.supplement(signals)
+    return rounded(out.select("ticker", "kevpe_available", "kevpe_regime", "kevpe_score", "kevpe_expected_return_pct", F.element_at("kevpe_ci", 1).alias("low"), F.element_at("kevpe_ci", 2).alias("high"), "kevpe_confidence", "kevpe_reason"), 4)

@@ -83,3 +83,9 @@ def ops_summary(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def latest_run(runs: DataFrame, by: Column | str = "run_id") -> DataFrame:
     """Rows of the newest run."""
     return runs.join(F.broadcast(runs.agg(F.max(by).alias("run_id"))), "run_id", "left_semi")
+
+
+def run_status(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The newest run's positions, rejections and drawdown of its equity. ``runs``: run_id, status, equity."""
+    low, high = F.min("equity"), F.max("equity")
+    return latest_run(runs).groupBy("run_id", *by).agg(F.count(F.lit(1)).alias("positions"), F.count_if(C("status") == "REJECTED").alias("rejected"), (low / high - 1).alias("drawdown"))
