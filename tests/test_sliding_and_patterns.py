@@ -192,3 +192,87 @@ def test_signal_quality_by_hand(spark):
     assert got["A"]["rank_ic"] == pytest.approx(rank(s[:89], r[:89])) and got["A"]["windows"] == len(ics)
     assert got["A"]["ir"] == pytest.approx(np.mean(ics) / np.std(ics, ddof=1))
     assert got["B"]["rank_ic"] is None and got["B"]["windows"] == 0 and got["B"]["ir"] is None
+
+
+def test_ranks_of_a_snapshot(spark, tmp_path):
+    """Ranks over many partitions are one sequence; what is missing is null, an alternative name fills in, an unmarked result is an error."""
+    from pyspark.errors import PySparkException
+
+    from barloom.sources import dashboard
+
+    base = spark.range(500).select(
+        F.concat(F.lit("T"), F.col("id").cast("string")).alias("ticker"), F.lit("S").alias("track"), F.when(C("id") % 3 == 0, "ELIGIBLE_RECOMMENDATION").when(C("id") % 3 == 1, "AMBER_WATCHLIST").otherwise("RED_NOT_RECOMMENDED").alias("verdict"), (C("id") % 40).cast("double").alias("recommendation_rank_score"),
+        *(F.lit(1.0).alias(c) for c in ("direction_prob", "expected_value_pct", "entry", "stop", "tp2", "risk_reward")), F.lit(True).alias("screening_output_only"), F.array(F.struct(F.lit("x").alias("name"))).alias("validations"), F.lit("12").alias("n_trades"), F.lit("y" * 300).alias("advisor_rationale"),
+    ).repartition(7)
+    rows = dashboard.snapshot(base)
+    dashboard.write(rows, f"{tmp_path}/d")
+    back = sorted(dashboard.read(spark, f"{tmp_path}/d", rows).collect(), key=lambda r: r["rank"])
+    order = {"ELIGIBLE_RECOMMENDATION": 0, "AMBER_WATCHLIST": 1, "RED_NOT_RECOMMENDED": 2}
+    want = sorted(base.collect(), key=lambda r: (order[r["verdict"]], -r["recommendation_rank_score"], r["ticker"]))
+    assert [r["rank"] for r in back] == list(range(1, 501)) and [r["ticker"] for r in back] == [r["ticker"] for r in want]
+    one = back[0]
+    assert one["backtest"]["completed_trades"] == 12 and one["plan"]["tp1"] is None and one["pattern"]["kevpe_available"] is False and one["scores"]["raw_score"] == 39.0
+    assert len(one["advisor"]["advisor_rationale"]) == 240 and one["reasons"] == []
+    total = dashboard.summary(rows).first()
+    assert (total["result_count"], total["eligible"], total["worst"]) == (500, 167, "RED_NOT_RECOMMENDED")
+    with pytest.raises(ValueError, match="validations"):
+        dashboard.snapshot(base.drop("validations"))
+    with pytest.raises(PySparkException):
+        dashboard.snapshot(base.withColumn("screening_output_only", C("ticker") != "T3")).collect()
+    assert dashboard.snapshot(base.limit(0)).count() == 0
+
+
+def test_corrected_bars_pass_the_ingest(spark, tmp_path):
+    """A repeated bar is dropped, before and after a restart; one with other values is a later version; a batch run twice adds nothing."""
+    from barloom.operators.panel import synthetic_bars
+    from barloom.sources.lake import Lake
+    from barloom.streaming import jobs
+
+    bars = synthetic_bars(spark, 1, 6).withColumn("ts", C("date").cast("timestamp"))
+    lake = Lake(spark, f"{tmp_path}/lake")
+
+    def run(batch, state="state"):
+        batch.write.mode("append").parquet(f"{tmp_path}/in")
+        jobs.ingest(jobs.file_stream(spark, f"{tmp_path}/in", bars.schema), lake, f"{tmp_path}/{state}", "feed").trigger(availableNow=True).start().awaitTermination()
+
+    run(bars.unionByName(bars))
+    assert lake.versions().count() == 6
+    last = bars.agg(F.max("date")).first()[0]
+    run(bars.filter(C("date") == last).withColumn("close", C("close") * 2).unionByName(bars.filter(C("date") == last)))
+    assert lake.versions().count() == 7
+    closes = {r["date"]: r["close"] for r in lake.read().collect()}
+    assert closes[last] == pytest.approx(2 * bars.filter(C("date") == last).first()["close"]) and len(closes) == 6
+    run(bars.limit(0), "another")  # all files again, as after a lost checkpoint
+    assert lake.versions().count() == 7
+
+
+def test_snapshots_and_positions_over_a_restart(spark, tmp_path):
+    import datetime as dt
+
+    from barloom.streaming import jobs
+
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    schema = "ticker string, updated_at timestamp, payload string"
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/n")
+        jobs.snapshot_table(jobs.file_stream(spark, f"{tmp_path}/n", spark.createDataFrame([], schema).schema), f"{tmp_path}/t", f"{tmp_path}/s").trigger(availableNow=True).start().awaitTermination()
+        return {r["ticker"]: r["payload"] for r in jobs.newest_snapshots(spark, f"{tmp_path}/t").collect()}
+
+    assert jobs.newest_snapshots(spark, f"{tmp_path}/t") is None
+    assert run([("A", at(1), "a1"), ("A", at(3), "a3"), ("B", at(1), "b1")]) == {"A": "a3", "B": "b1"}
+    assert run([("A", at(2), "a2"), ("B", at(4), "b4"), ("C", at(1), "c1")]) == {"A": "a3", "B": "b4", "C": "c1"}
+
+
+def test_rules_at_their_edges(spark):
+    from barloom.operators import rules
+
+    rows = [("ok", 100.0, None), ("none", None, None), ("zero", 0.0, None), ("wild", 100.0, 0.3), ("nan", float("nan"), None)]
+    df = spark.createDataFrame(rows, "ticker string, entry double, atr_pct double")
+    got = {r["ticker"]: r for r in rules.short_verdicts(df).collect()}
+    assert got["ok"]["gate"] == "RED" and got["ok"]["quantity"] == 37 and got["ok"]["risk_reward"] == pytest.approx(2.5)
+    assert {got[t]["gate"] for t in ("none", "zero", "nan")} == {"ZERO"} and {got[t]["quantity"] for t in ("none", "zero", "nan")} == {0}
+    assert got["wild"]["stop"] == pytest.approx(40.0)
+    long = {r["ticker"]: r for r in rules.long_verdicts(df).collect()}
+    assert long["ok"]["quantity"] == 90 and long["ok"]["gate"] == "RED" and long["none"]["gate"] == "ZERO"
+    assert {r["track"]: r["value"] for r in rules.portfolio_targets(spark).collect()} == {"Track-S": 20_000.0, "Track-L": 75_000.0, "Cash": 5_000.0}
