@@ -11,9 +11,9 @@ goes with the label beyond chance, narrow elsewhere. Vectors are fitted to what
 leave; those that the data do not tell from zero (Wald statistic of their information) are
 set to zero, and weights and the vectors left are fitted together once more. A vector
 without another one has no pair, so at least two must be left; and the machine with vectors
-is taken only if it foresees left-out training documents better (likelihood over ``FOLDS``
-parts of them) than the weights alone, which it is therefore never worse than by more than
-chance. ``Machine.living`` tells how many vectors there are.
+is taken only if, fitted to the other training documents, it foresees a third of them that
+it has not seen better (by likelihood) than the weights alone, which it is therefore never
+worse than by more than chance. ``Machine.living`` tells how many vectors there are.
 
 The model is fitted on at most ``TRAIN_ROWS`` labelled documents; scoring reads every
 whole text. Null and empty texts have no terms and get the score of the bias. Only
@@ -37,7 +37,6 @@ from .textkernel import NON_TERM, Tokens, U64, blocks
 BITS = 20
 TRAIN_ROWS = 20_000
 FACTORS = 4
-FOLDS = 3
 THRESHOLD = 0.7
 
 
@@ -183,13 +182,12 @@ def fit(label: np.ndarray, packed: list[bytes], how: Fitting = Fitting()) -> Mac
     made = _fitted(label, packed, how)
     if not made.living:
         return made
-    part = np.random.default_rng(how.seed).permutation(len(label)) % FOLDS
-    gain = 0.0
-    for k in range(FOLDS):
-        seen, rest = np.flatnonzero(part != k), np.flatnonzero(part == k)
-        for sign, way in ((1, how), (-1, replace(how, wald=float("inf")))):
-            gain += sign * _likelihood(_fitted(label[seen], [packed[i] for i in seen], way), label[rest], [packed[i] for i in rest])
-    return made if gain > 0 else _fitted(label, packed, replace(how, wald=float("inf")))
+    alone = replace(how, wald=float("inf"))
+    part = np.random.default_rng(how.seed).permutation(len(label)) % 3
+    seen, rest = np.flatnonzero(part), np.flatnonzero(part == 0)
+    known, unseen = [packed[i] for i in seen], [packed[i] for i in rest]
+    with_vectors, without = (_likelihood(_fitted(label[seen], known, way), label[rest], unseen) for way in (how, alone))
+    return made if with_vectors > without else _fitted(label, packed, alone)
 
 
 def _likelihood(machine: Machine, label: np.ndarray, packed: list[bytes]) -> float:
@@ -235,6 +233,9 @@ def _fitted(label: np.ndarray, packed: list[bytes], how: Fitting) -> Machine:
         d[b.own] = b.by_feature(g)
         move(w, d, rate, narrow)
         move_bias(bias, g.sum(keepdims=True), rate, 0.0)
+    if how.wald == float("inf"):  # no vector would be left
+        weight[seen] = w
+        return Machine(float(bias[0]), weight, slot, np.zeros((0, FACTORS)))
     theta[:, 0] = w
     theta[:, 1:] = rng.normal(0, 0.02, (m, FACTORS))
     wide = np.full((m, FACTORS), 1 / how.vectors / n, np.float32)
