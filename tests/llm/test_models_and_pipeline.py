@@ -144,14 +144,99 @@ def test_stages(spark, docs, corpus, tmp_path):
     assert rows.count() > 0
 
 
+def test_every_stage_by_hand(spark, docs, corpus, tmp_path):
+    """What each stage keeps of what the one before kept, against plain Python on the same rows."""
+    import re
+    from collections import Counter, defaultdict
+
+    import pyarrow as pa
+
+    from barloom.llm import mixing, quality_rules
+    from barloom.llm.tokens import RunEncoder
+
+    from .test_operators import WORD, shingles
+
+    outs, rows = [], docs
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, rows, "").write.parquet(f"{tmp_path}/{i}")
+        rows = spark.read.parquet(f"{tmp_path}/{i}")
+        outs.append(rows)
+    ruled, exact, near, mixed, packed = outs
+    texts = {i: t or "" for i, t, *_ in corpus}
+    sources = {i: s for i, _, _, s, *_ in corpus}
+
+    def good(t):
+        ws = WORD.findall(t)
+        windows = Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4))
+        twice = {i + k for i in range(len(ws) - 4) if windows[tuple(ws[i : i + 5])] > 1 for k in range(5)}
+        return len(ws) >= 10 and 100 * len(twice) <= 20 * len(ws) and quality_rules.measure(pa.array([t]))["in_bands"][0]
+
+    want = {i for i, t in texts.items() if good(t)}
+    assert {r["doc_id"] for r in ruled.collect()} == want and 50 < len(want) < len(texts)
+
+    groups = defaultdict(list)
+    for i in want:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", texts[i])].append((-len(texts[i]), i))
+    want = {min(g)[1] for g in groups.values()}
+    assert {r["doc_id"] for r in exact.collect()} == want
+
+    sets, root = {i: shingles(texts[i]) for i in want}, {i: i for i in want}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in want:
+        for b in want:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    want = {i for i in want if find(i) == i}
+    assert {r["doc_id"] for r in near.collect()} == want
+
+    taken = {r["doc_id"]: r["taken"] for r in mixing.taken(mixing.mix(near.select(*corpus_pipeline.COLUMNS))).collect()}
+    got = Counter()
+    for r in mixed.collect():
+        own, part = WORD.findall(texts[r["doc_id"]]), WORD.findall(r["text"])
+        got[r["doc_id"]] += len(part)
+        assert r["source"] == sources[r["doc_id"]] and not Counter(part) - Counter(own)
+    assert {i: n for i, n in got.items() if n} == {i: n for i, n in taken.items() if n}
+
+    import public_tokenizers
+
+    enc = RunEncoder(public_tokenizers.path("word_bpe_49k.json")).tokenizer
+    tokens = Counter()
+    for r in mixed.collect():
+        tokens[r["doc_id"], len(enc.encode(r["text"], add_special_tokens=False).ids) + 1] += 1
+    pieces = packed.collect()
+    whole = Counter()
+    for r in pieces:
+        if r["start"] + r["length"] == r["doc_tokens"]:
+            whole[r["doc_id"], r["doc_tokens"]] += 1
+    assert whole == tokens
+    assert sum(r["length"] for r in pieces) == sum(n * k for (_, n), k in tokens.items())
+    filled = Counter()
+    for r in sorted(pieces, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == filled[r["sequence_id"]]
+        filled[r["sequence_id"]] += r["length"]
+    assert [n for _, n in sorted(filled.items())][:-1] == [2048] * (len(filled) - 1)
+
+
 def test_stages_on_odd_rows(spark, odd_docs, no_docs, tmp_path):
+    """Of copies with and without ids one stays and its near copy goes with it or stays for it; nothing comes of nothing."""
+    counts = []
     for k, start in enumerate((odd_docs, no_docs)):
         rows = start
         for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
             stage(spark, rows, "").write.parquet(f"{tmp_path}/{k}-{i}")
             rows = spark.read.parquet(f"{tmp_path}/{k}-{i}")
+            counts.append(rows.count())
+    assert counts[:2] == [5, 2] and 1 <= counts[2] <= 2 and counts[3] >= 1 and counts[4] >= counts[3] and counts[5:] == [0] * 5
+    kept = spark.read.parquet(f"{tmp_path}/0-1").collect()
+    assert sorted(len(r["text"].split()) for r in kept) == [60, 61]
 
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
