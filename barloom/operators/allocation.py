@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import correlation, lookup, ratio, reasons, strip_market
+from ..functions.scalars import lookup, ratio, reasons, strip_market
 from ..sources.shared import landed
 from .sliding import Step, slide
 from .timejoins import target_vs_current

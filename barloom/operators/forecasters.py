@@ -97,27 +97,33 @@ def _binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
 
 
 class Tree:
-    """A binary tree over binned features, grown level by level from sums of gradients and weights per bin."""
+    """A binary tree over binned features, grown level by level from sums of gradients, weights and counts per bin.
 
-    def __init__(self, bins: np.ndarray, g: np.ndarray, h: np.ndarray, count: np.ndarray, depth: int, size: int, gain: Callable, allowed: Callable, pick: Callable):
-        n = 2**depth - 1
+    ``columns`` are the features of the whole tree, or a function that draws a row of them for each node of a level.
+    """
+
+    def __init__(self, bins: np.ndarray, sums: Sequence[np.ndarray], depth: int, size: int, gain: Callable, allowed: Callable, columns: np.ndarray | Callable[[int], np.ndarray]):
+        n, rows = 2**depth - 1, np.arange(len(bins))[:, None]
         self.feature, self.cut = np.zeros(n, int), np.full(n, size)
-        node = np.zeros(len(bins), int)
+        node, fixed = np.zeros(len(bins), int), not callable(columns)
+        k = len(columns) if fixed else columns(1).shape[1]
+        weights, place = [np.repeat(v, k) for v in sums], np.arange(k) * size
+        same = bins[:, columns] + place if fixed else None
         for level in range(depth):
             first, width = 2**level - 1, 2**level
-            columns = pick(width)  # a row of features per node
-            k = columns.shape[1]
-            own = bins[np.arange(len(bins))[:, None], columns[node]]
-            at = ((node[:, None] * k + np.arange(k)) * size + own).ravel()
-            sums = [np.bincount(at, np.repeat(v, k), width * k * size).reshape(width, k, size) for v in (g, h, count)]
-            left = [np.cumsum(s, axis=2)[:, :, :-1] for s in sums]
-            total = [s.sum(axis=2, keepdims=True) for s in sums]
-            right = [t - s for t, s in zip(total, left, strict=True)]
+            drawn = np.broadcast_to(columns, (width, k)) if fixed else columns(width)
+            own = same if fixed else bins[rows, drawn[node]] + place
+            at = (own + (node * (k * size))[:, None]).ravel()
+            found = [np.bincount(at, w, width * k * size).reshape(width, k, size) for w in weights]
+            left = [np.cumsum(x, axis=2) for x in found]
+            total = [x[:, :, -1:] for x in left]
+            left = [x[:, :, :-1] for x in left]
+            right = [t - x for t, x in zip(total, left, strict=True)]
             better = gain(*left[:2]) + gain(*right[:2]) - gain(*total[:2])
-            better = np.where(allowed(left[1], left[2]) & allowed(right[1], right[2]), better, -np.inf).reshape(width, -1)
+            better = np.where(allowed(*left[1:]) & allowed(*right[1:]), better, -np.inf).reshape(width, -1)
             best = better.argmax(axis=1)
             pays = better[np.arange(width), best] > 1e-12
-            self.feature[first : first + width] = columns[np.arange(width), best // (size - 1)]
+            self.feature[first : first + width] = drawn[np.arange(width), best // (size - 1)]
             self.cut[first : first + width] = np.where(pays, best % (size - 1), size)
             node = 2 * node + self._right(bins, first + node)
         self.leaf, self.leaves = node, 2**depth
@@ -142,16 +148,14 @@ def forest(x: np.ndarray, y: np.ndarray, weight: np.ndarray, unseen: np.ndarray,
     for _ in range(r.trees):
         times = np.bincount(rng.integers(0, len(x), len(x)), minlength=len(x)).astype(float)
         w = weight * times
-        tree = Tree(
-            bins, w * y, w, times, r.depth, size, lambda g, h: np.where(h > 0, g * g / np.maximum(h, 1e-12), 0.0), lambda h, n: n >= 5,
-            lambda width: np.argsort(rng.random((width, x.shape[1])), axis=1)[:, :k],
-        )
+        draw = lambda width: np.argsort(rng.random((width, x.shape[1])), axis=1)[:, :k]
+        tree = Tree(bins, (w * y, w, times), r.depth, size, lambda g, h: np.where(h > 0, g * g / np.maximum(h, 1e-12), 0.0), lambda h, n: n >= 5, draw)
         share = np.bincount(tree.leaf, w * y, tree.leaves) / np.maximum(np.bincount(tree.leaf, w, tree.leaves), 1e-12)
         out += share[tree.leaf_of(ahead)]
     return out / r.trees
 
 
-def boosted(x: np.ndarray, y: np.ndarray, unseen: np.ndarray, r: Recipe, size: int = 64, ridge: float = 1.5, lasso: float = 0.05, least: float = 3.0) -> np.ndarray:
+def boosted(x: np.ndarray, y: np.ndarray, unseen: np.ndarray, r: Recipe, size: int = 32, ridge: float = 1.5, lasso: float = 0.05, least: float = 3.0) -> np.ndarray:
     """Second-order boosting of the log loss with sampled rows and features per tree."""
     rng = np.random.default_rng(r.seed)
     cuts = [np.unique(np.quantile(c, np.arange(1, size) / size)) for c in x.T]
@@ -161,12 +165,12 @@ def boosted(x: np.ndarray, y: np.ndarray, unseen: np.ndarray, r: Recipe, size: i
     margin, out = np.zeros(len(x)), np.zeros(len(unseen))
     for _ in range(r.trees):
         p = 1 / (1 + np.exp(-margin))
-        used = (rng.random(len(x)) < r.rows).astype(float)
-        g, h = used * (p - y), used * p * (1 - p)
+        used = np.flatnonzero(rng.random(len(x)) < r.rows)
+        g, h = (p - y)[used], (p * (1 - p))[used]
         own = np.sort(rng.permutation(x.shape[1])[:k])
-        tree = Tree(bins, g, h, used, r.depth, size, lambda g, h: shrunk(g) ** 2 / (h + ridge), lambda h, n: h >= least, lambda width, own=own: np.broadcast_to(own, (width, k)))
+        tree = Tree(bins[used], (g, h), r.depth, size, lambda g, h: shrunk(g) ** 2 / (h + ridge), lambda h: h >= least, own)
         leaf = -r.rate * shrunk(np.bincount(tree.leaf, g, tree.leaves)) / (np.bincount(tree.leaf, h, tree.leaves) + ridge)
-        margin += leaf[tree.leaf]
+        margin += leaf[tree.leaf_of(bins)]
         out += leaf[tree.leaf_of(ahead)]
     return 1 / (1 + np.exp(-out))
 
