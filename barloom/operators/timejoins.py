@@ -34,11 +34,14 @@ def onto_dates(rows: DataFrame, features: DataFrame, values: Sequence[str], pref
 
 
 def as_of_forward(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, value: str) -> DataFrame:
-    """Adds the first ``value`` of ``right`` at or after the row's time."""
+    """Adds the first ``value`` of ``right`` at or after the row's time.
+
+    Times run backwards, so that the frame grows from its start and is carried on row by row.
+    """
     a = left.select("*", F.lit(None).cast(right.schema[value].dataType).alias(value), F.lit(True).alias("_left"), F.lit(0).alias("_side"))
     b = right.select(*by, on, value, F.lit(False).alias("_left"), F.lit(1).alias("_side"))
-    w = Window.partitionBy(*by).orderBy(on, "_side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    every = a.unionByName(b, allowMissingColumns=True).withColumn("_next", F.first(value, ignorenulls=True).over(w))
+    w = Window.partitionBy(*by).orderBy(F.desc(on), F.desc("_side")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = a.unionByName(b, allowMissingColumns=True).withColumn("_next", F.last(value, ignorenulls=True).over(w))
     return every.filter("_left").select(*left.columns, F.col("_next").alias(value))
 
 
@@ -152,11 +155,15 @@ def first_touch(entries: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
 
 
 def forward_return(events: DataFrame, bars: DataFrame, ahead: int = 20) -> DataFrame:
-    """Return from the first bar at or after an event to ``ahead`` bars later, or the last bar."""
+    """Return from the first bar at or after an event to ``ahead`` bars later, or the last bar.
+
+    Days are matched once each, whatever their number of events, so no task holds a ticker's events.
+    """
     w = Window.partitionBy("ticker").orderBy("date")
     last = F.last("close").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     known = bars.select("ticker", "date", (F.coalesce(F.lead("close", ahead).over(w), last) / F.col("close") - 1).alias("forward_return"))
-    return as_of_forward(events, known, ["ticker"], "date", "forward_return")
+    days = as_of_forward(events.select("ticker", "date").distinct(), known, ["ticker"], "date", "forward_return")
+    return events.join(days, ["ticker", "date"], "left").select(*events.columns, "forward_return")
 
 
 def target_vs_current(target: DataFrame, current: DataFrame, by: Sequence[str] = ("ticker",)) -> DataFrame:

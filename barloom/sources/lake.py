@@ -89,7 +89,7 @@ def from_wide_csv(spark: SparkSession, path: str, least_share: float = 0.6) -> D
     counted = long.withColumns({"known": F.count("price").over(per), "n": F.count(F.lit(1)).over(per)})
     kept = counted.filter(C("known") >= F.greatest(F.lit(10.0), least_share * C("n")))
     ahead = F.last("price", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    back = F.first("price", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = F.first("price", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # taken before the first value alone
     return kept.select("date", "asset", F.coalesce(ahead, back).alias("price"))
 
 
