@@ -86,6 +86,10 @@ def latest_run(runs: DataFrame, by: Column | str = "run_id") -> DataFrame:
 
 
 def run_status(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The newest run's positions, rejections and drawdown of its equity. ``runs``: run_id, status, equity."""
+    """The newest run's positions, rejections and drawdown of its equity. ``runs``: run_id, status, equity.
+
+    Of an equity that is never above 0 the drawdown is not a number, as in floating point.
+    """
     low, high = F.min("equity"), F.max("equity")
-    return latest_run(runs).groupBy("run_id", *by).agg(F.count(F.lit(1)).alias("positions"), F.count_if(C("status") == "REJECTED").alias("rejected"), (low / high - 1).alias("drawdown"))
+    share = F.when(high == 0, low * float("inf")).otherwise(low / high)
+    return latest_run(runs).groupBy("run_id", *by).agg(F.count(F.lit(1)).alias("positions"), F.count_if(C("status") == "REJECTED").alias("rejected"), (share - 1).alias("drawdown"))

@@ -1,11 +1,19 @@
 """Ties, zero denominators and steps whose work must not grow faster than their rows."""
 
-from datetime import date
+import functools
+import itertools
+import math
+import operator
+from datetime import date, datetime, timedelta
+from decimal import Decimal
 
-import pytest
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from barloom.operators import timejoins
+from barloom.plans import catalog, feature_sql
 
 
 def plan_of(df) -> str:
@@ -20,3 +28,26 @@ def test_forward_returns_read_each_day_once(spark):
     assert "currentrow$(), unboundedfollowing" not in plan_of(out)
     assert "currentrow$(), unboundedfollowing" not in plan_of(timejoins.as_of_forward(events, bars, ["ticker"], "date", "close"))
     assert {r["n"]: r["forward_return"] for r in out.collect()} == {1: 0.5, 2: 0.0, 3: 0.0, 4: None, 5: None, 6: None}
+
+
+def sql_rows(name: str, base: str, tables: tuple[str, ...]) -> list[tuple]:
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{base}/{t}.parquet'")
+    return sorted(con.execute(catalog.oracle_sql()[name]).fetchall(), key=repr)
+
+
+def events_table(path, rows: list[tuple]) -> str:
+    """Events (user, kind, value), a minute apart."""
+    at = [datetime(2024, 1, 1) + timedelta(minutes=i) for i in range(len(rows))]
+    user, kind, value = zip(*rows, strict=True)
+    pq.write_table(pa.table({"event_id": list(range(len(rows))), "ts": at, "user_id": list(user), "event_type": list(kind), "value": list(value), "props": ["{}"] * len(rows)}), f"{path}/events.parquet")
+    return str(path)
+
+
+def test_run_without_equity_has_no_drawdown(spark, tmp_path):
+    base = events_table(tmp_path, [(1, "view", 0.0), (1, "error", 0.0), (2, "view", 2.0), (2, "view", 1.0)])
+    got = sorted((tuple(r) for r in catalog.queries()["latest_runs"](spark, base).collect()), key=repr)
+    assert [r[:4] for r in got] == [r[:4] for r in sql_rows("latest_runs", base, ("events",))]
+    drawdown = {r[1]: r[4] for r in got}
+    assert math.isnan(drawdown[1]) and drawdown[2] == -0.5
