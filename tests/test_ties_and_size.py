@@ -51,3 +51,15 @@ def test_run_without_equity_has_no_drawdown(spark, tmp_path):
     assert [r[:4] for r in got] == [r[:4] for r in sql_rows("latest_runs", base, ("events",))]
     drawdown = {r[1]: r[4] for r in got}
     assert math.isnan(drawdown[1]) and drawdown[2] == -0.5
+
+
+def test_means_at_a_limit_do_not_depend_on_order(spark, tmp_path):
+    # the mean is 45; added one by one, some orders end a bit above it
+    values = [45.1, 44.9, 45.3, 44.7, 45.07, 44.93, 0.1, 89.9]
+    orders = [o for o in itertools.islice(itertools.permutations(values), 0, None, 97) if functools.reduce(operator.add, o) / 8 > 45]
+    assert orders
+    rows = [(user, "view", v) for user, o in enumerate(orders[:40]) for v in o]
+    base = events_table(tmp_path, rows)
+    got = sorted((tuple(r) for r in catalog.queries()["approvals"](spark, base).collect()), key=repr)
+    assert {r[1:] for r in got} == {("APPROVED", 1, 1)}
+    assert got == sql_rows("approvals", base, ("events",))
