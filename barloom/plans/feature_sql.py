@@ -110,15 +110,16 @@ def features() -> str:
     ), names
 
 
-#: Places by name; the rest have six.
-PLACES = {"close": 6, "atr_14": 4, "dollar_volume_20": 1, "obv": 2, "cci_20": 3, "roc_10": 4, "trix_15": 4, "mfi_14": 4, "adx_14": 4, "williams_r_14": 4, "stoch_k": 4, "stoch_d": 4, "rsi_7": 4, "rsi_14": 4, "rsi_28": 4, "ret_z_10": 4, "ret_z_20": 4, "ret_z_60": 4, "dollar_volume_z_60": 4, "obv_slope_20": 4}
+#: Places by name; the rest have six. Unit prices are cents over up to 50 units: at six places some
+#: are ties, which engines round by their last bit; none has more than seven places unless it has no end.
+PLACES = {"close": 8, "atr_14": 4, "dollar_volume_20": 1, "obv": 2, "cci_20": 3, "roc_10": 4, "trix_15": 4, "mfi_14": 4, "adx_14": 4, "williams_r_14": 4, "stoch_k": 4, "stoch_d": 4, "rsi_7": 4, "rsi_14": 4, "rsi_28": 4, "ret_z_10": 4, "ret_z_20": 4, "ret_z_60": 4, "dollar_volume_z_60": 4, "obv_slope_20": 4}
 
 
 def matrix_sql(bars: str) -> str:
     ctes, names = features()
     shown = ", ".join(f'round("{k}", {PLACES.get(k, 6)}) AS "{k}"' for k in names)
     known = " AND ".join(f'"{k}" IS NOT NULL' for k in (*names, "target_return"))
-    return f"WITH RECURSIVE {bars}, {smoothed()}, {ctes} SELECT ticker, date, round(close, 6) AS close, {shown}, round(target_return, 6) AS target_return, target_direction FROM g WHERE {known}"
+    return f"WITH RECURSIVE {bars}, {smoothed()}, {ctes} SELECT ticker, date, round(close, {PLACES["close"]}) AS close, {shown}, round(target_return, 6) AS target_return, target_direction FROM g WHERE {known}"
 
 
 def _rank(x: str) -> str:

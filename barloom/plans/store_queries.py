@@ -18,7 +18,7 @@ C = F.col
 _DAY = "2024-01-20 12:00:00"
 
 
-@query("WITH {BARS} SELECT ticker, date, round(close, 6) AS close, CAST(day(date) AS DOUBLE) AS primary_score, 5.0 / 1e4 AS cost_return FROM bars", days="date")
+@query("WITH {BARS} SELECT ticker, date, round(close, 8) AS close, CAST(day(date) AS DOUBLE) AS primary_score, 5.0 / 1e4 AS cost_return FROM bars", days="date")
 def long_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars exported as CSV per ticker under the feed's own names, read back by name, then as a long panel with a defaulted column."""
     bars, root = brand_bars(spark, sf_dir), shared_path(spark, "csv")
@@ -27,7 +27,7 @@ def long_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = lake.renamed(feed)
     back.select(C("date").alias("Date"), C("ticker").alias("Asset"), F.dayofmonth(C("date").cast("date")).alias("primary_score"), C("close").alias("fwd_return")).write.option("header", True).csv(f"{root}/panel")
     out = lake.from_long_csv(spark, f"{root}/panel")
-    return rounded(out.select("ticker", "date", C("fwd_return").alias("close"), "primary_score", "cost_return"), 6)
+    return rounded(out.select("ticker", "date", C("fwd_return").alias("close"), "primary_score", "cost_return"), {"close": 8})
 
 
 @query(

@@ -63,3 +63,11 @@ def test_means_at_a_limit_do_not_depend_on_order(spark, tmp_path):
     got = sorted((tuple(r) for r in catalog.queries()["approvals"](spark, base).collect()), key=repr)
     assert {r[1:] for r in got} == {("APPROVED", 1, 1)}
     assert got == sql_rows("approvals", base, ("events",))
+
+
+def test_prices_are_shown_without_ties(spark):
+    # 68310.73 / 32 = 2134.7103125
+    places = feature_sql.PLACES["close"]
+    x = 68310.73 / 32
+    got = spark.range(1).select(F.round(F.lit(x), places)).first()[0]
+    assert got == duckdb.execute(f"SELECT round({x!r}::DOUBLE, {places})").fetchall()[0][0] == 2134.7103125
