@@ -128,9 +128,10 @@ def strategy_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH e AS (SELECT event_id, (event_id % 12) / 100.0 AS atr, CASE WHEN event_id % 7 <> 0 THEN (event_id % 2)::DOUBLE END AS fast, CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE 0.0 END AS slow, value, (event_id % 97) / 97.0 AS p FROM events),
-r AS (SELECT *, CASE WHEN atr >= 0.08 THEN 'CRISIS' WHEN slow >= 0.5 THEN 'TREND' WHEN fast >= 0.5 AND atr <= 0.05 THEN 'CALM' WHEN atr >= 0.05 THEN 'RISK' ELSE 'CALM' END AS regime, round(greatest(0.1, least(0.55, p * 0.55)), 2) AS bull, round(greatest(0.1, least(0.45, (1 - p) * 0.65)), 2) AS bear FROM e)
-SELECT event_id, regime, CASE regime WHEN 'CRISIS' THEN 1.0 WHEN 'RISK' THEN 0.5 ELSE 0.0 END AS crisis_prob, s AS scenario, round(CASE s WHEN 'bull' THEN value * 1.25 WHEN 'base' THEN value + (value * 1.13 - value) * 0.5 ELSE value * 0.875 END, 8) AS price,
-  CASE s WHEN 'bull' THEN 25.0 WHEN 'base' THEN 6.5 ELSE -12.5 END AS return_pct, CASE s WHEN 'bull' THEN bull WHEN 'bear' THEN bear ELSE round(greatest(0.1, 1 - bull - bear), 2) END AS probability FROM r, (SELECT unnest(['bull', 'base', 'bear']) AS s)"""
+r AS (SELECT *, CASE WHEN atr >= 0.08 THEN 'CRISIS' WHEN slow >= 0.5 THEN 'TREND' WHEN fast >= 0.5 AND atr <= 0.05 THEN 'CALM' WHEN atr >= 0.05 THEN 'RISK' ELSE 'CALM' END AS regime, round(greatest(0.1, least(0.55, p * 0.55)), 2) AS bull, round(greatest(0.1, least(0.45, (1 - p) * 0.65)), 2) AS bear FROM e),
+m AS (SELECT *, CASE s WHEN 'bull' THEN value * 1.25 WHEN 'base' THEN value + (value * 1.13 - value) * 0.5 ELSE value * 0.875 END AS price FROM r, (SELECT unnest(['bull', 'base', 'bear']) AS s))
+SELECT event_id, regime, CASE regime WHEN 'CRISIS' THEN 1.0 WHEN 'RISK' THEN 0.5 ELSE 0.0 END AS crisis_prob, s AS scenario, round(price, 8) AS price,
+  coalesce(round((price - value) / nullif(value, 0) * 100, 1), 0.0) AS return_pct, CASE s WHEN 'bull' THEN bull WHEN 'bear' THEN bear ELSE round(greatest(0.1, 1 - bull - bear), 2) END AS probability FROM m"""
 )
 def sizing_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizing regime of each event and the bull, base and bear rows of a plan around its value."""

@@ -71,3 +71,11 @@ def test_prices_are_shown_without_ties(spark):
     x = 68310.73 / 32
     got = spark.range(1).select(F.round(F.lit(x), places)).first()[0]
     assert got == duckdb.execute(f"SELECT round({x!r}::DOUBLE, {places})").fetchall()[0][0] == 2134.7103125
+
+
+def test_scenarios_of_a_value_of_nothing(spark, tmp_path):
+    base = events_table(tmp_path, [(1, "view", 0.0), (1, "view", 50.0), (2, "view", 0.01)])
+    got = sorted((tuple(r) for r in catalog.queries()["sizing_scenarios"](spark, base).collect()), key=repr)
+    want = sorted(((*r[:2], *map(lambda x: float(x) if isinstance(x, (int, float, Decimal)) else x, r[2:])) for r in sql_rows("sizing_scenarios", base, ("events",))), key=repr)
+    assert got == want
+    assert {r[5] for r in got if r[0] == 0} == {0.0} and {r[5] for r in got if r[0] == 2} == {25.0, 6.5, -12.5}
