@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 from .textkernel import SPACE, Tokens, U64, blocks, mix64
 
 WORDS = 5
@@ -185,7 +185,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, id_col: str
     """
     scratch = scratch or Scratch(docs.sparkSession, "near-dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = scratch.table(signatures(docs), "rows")
+    with small_batches(docs.sparkSession):
+        rows = scratch.table(signatures(docs), "rows")
     same = ["digest", "n_shingles"]
     real = rows.filter("n_shingles > 0 and doc_id is not null")
     nodes = scratch.table(
@@ -197,7 +198,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, id_col: str
 
     stars = members.filter("node <> pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct()
     stars = scratch.table(_with_distance(stars, nodes), "stars")
-    sets = scratch.table(_sets_of(docs, stars), "sets")
+    with small_batches(docs.sparkSession):
+        sets = scratch.table(_sets_of(docs, stars), "sets")
     found = scratch.table(_confirm(_near(stars), sets), "found")
     links = _links(found)
     comp = scratch.table(components(links, scratch, "first"), "comp")

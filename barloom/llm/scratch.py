@@ -42,6 +42,18 @@ def dropped_after() -> Iterator[None]:
             one._remove(one.root)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of whole texts written inside have fewer rows: both sides hold a batch or two at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Named Parquet tables under one fresh folder; ``drop`` removes those no longer read."""
 

@@ -31,7 +31,7 @@ _BYTE_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _VALUE_SEEDS = (0x9E3779B97F4A7C15, 0xE7037ED1A0B428DB)
 _BYTE_BASE = _BYTE_BASES[0]
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -85,7 +85,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def blocks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of about ``most`` bytes (one longer text alone): first row, end row, bytes, offsets."""
     data, at = text_bytes(column)
     n, lo = len(at) - 1, 0
@@ -114,7 +114,7 @@ def edges(data: np.ndarray, at: np.ndarray, separators: np.ndarray) -> tuple[np.
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray | None = None, nth: int = 0) -> np.ndarray:
     """Hashes of the byte spans, which are in order and do not overlap, by polynomial ``nth``.
 
-    Over segments of about a megabyte that end between two spans; a longer span is a segment of its own.
+    Over segments of about a quarter of a megabyte that end between two spans; a longer span is a segment of its own.
     """
     out = np.empty(len(start), U64)
     first = 0

@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from barloom.llm.scratch import small_batches
+from barloom.llm.textkernel import blocks
 from barloom.operators import timejoins
 from barloom.plans import catalog, feature_sql
 
@@ -79,3 +81,13 @@ def test_scenarios_of_a_value_of_nothing(spark, tmp_path):
     want = sorted(((*r[:2], *map(lambda x: float(x) if isinstance(x, (int, float, Decimal)) else x, r[2:])) for r in sql_rows("sizing_scenarios", base, ("events",))), key=repr)
     assert got == want
     assert {r[5] for r in got if r[0] == 0} == {0.0} and {r[5] for r in got if r[0] == 2} == {25.0, 6.5, -12.5}
+
+
+def test_texts_reach_workers_in_small_pieces(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, docs = spark.conf.get(name), spark.range(0, 3000, 1, 1)
+    count = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+    with small_batches(spark):
+        assert {r["n"] for r in docs.mapInArrow(count, "n long").collect()} == {1000}
+    assert spark.conf.get(name) == before
+    assert max(len(data) for _, _, data, _ in blocks(pa.array(["x" * 1000] * 2000))) <= 1 << 18
