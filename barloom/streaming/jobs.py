@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +97,7 @@ def stale(snapshots: DataFrame, now, seconds: int = 3600) -> DataFrame:
 
 POSITION_OUT = "ticker string, ts timestamp, price double, peak double, stop double, status string"
 POSITION_STATE = "peak double, stop double, status string"
+STATUSES = ("OPEN", "STOP_NEAR", "STOPPED")
 
 
 def position_states(quotes: DataFrame, trail: float = 0.5) -> DataFrame:
@@ -106,21 +108,25 @@ def position_states(quotes: DataFrame, trail: float = 0.5) -> DataFrame:
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values("ts", kind="stable")
         peak, stop, status = state.get if state.exists else (float("-inf"), float("-inf"), "NEW")
-        out = []
-        for r in rows.itertuples(index=False):
-            if status == "STOPPED":
-                break
-            peak, stop = max(peak, r.price), max(stop, r.stop)
-            if peak >= r.tp1:
-                stop = max(stop, r.entry + trail * (peak - r.entry))
-            now = "STOPPED" if r.price <= stop else "STOP_NEAR" if r.price <= 1.02 * stop else "OPEN"
-            if now != status:
-                status = now
-                out.append((key[0], r.ts, r.price, peak, stop, status))
-        state.update((peak, stop, status))
-        yield pd.DataFrame(out, columns=["ticker", "ts", "price", "peak", "stop", "status"])
+        if status == "STOPPED":
+            return
+        rows = pd.concat(list(parts))
+        ts = rows["ts"].to_numpy()
+        if (ts[1:] < ts[:-1]).any():
+            rows = rows.sort_values("ts", kind="stable")
+            ts = rows["ts"].to_numpy()
+        price, entry, floor, tp1 = (rows[c].to_numpy(float) for c in ("price", "entry", "stop", "tp1"))
+        # both only rise, so they are running maxima; fmax passes over missing values
+        peaks = np.fmax.accumulate(np.fmax(price, peak))
+        raised = np.where(peaks >= tp1, entry + trail * (peaks - entry), np.nan)
+        stops = np.fmax.accumulate(np.fmax(np.fmax(floor, raised), stop))
+        now = np.where(price <= stops, 2, np.where(price <= 1.02 * stops, 1, 0))
+        end = int(np.argmax(now == 2)) + 1 if (now == 2).any() else len(now)
+        told = np.flatnonzero(now[:end] != np.concatenate([[STATUSES.index(status) if status in STATUSES else -1], now[: end - 1]]))
+        state.update((float(peaks[end - 1]), float(stops[end - 1]), STATUSES[now[end - 1]]))
+        if len(told):
+            yield pd.DataFrame({"ticker": key[0], "ts": ts[told], "price": price[told], "peak": peaks[told], "stop": stops[told], "status": [STATUSES[i] for i in now[told]]})
 
     return quotes.groupBy("ticker").applyInPandasWithState(run, POSITION_OUT, POSITION_STATE, "append", GroupStateTimeout.NoTimeout)
 
