@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import functools
+import operator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,8 @@ from ..functions.scalars import clip, ratio
 from .folds import ordered_fold
 
 C = F.col
+#: Matches drawn at a time by a bootstrap.
+DRAWN = 1 << 18
 
 # Topic keywords and weights.
 TOPIC_KEYWORDS = {
@@ -32,25 +36,31 @@ BULL_WORDS = ("growth", "beat", "record", "upgrade", "strong", "surge")
 BEAR_WORDS = ("loss", "miss", "lawsuit", "downgrade", "weak", "plunge")
 
 
+def _once(text: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` a text that is computed once per row; written out, each term would lower-case the whole text again."""
+    return F.get(F.transform(F.array(text), of), F.lit(0))
+
+
 def _holds(text: Column, words: Sequence[str]) -> Column:
-    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+    return functools.reduce(operator.or_, (F.contains(text, F.lit(w)) for w in words))
 
 
 def hits(text: Column, words: Sequence[str]) -> Column:
     """How many of the words occur in the text."""
-    return F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(text), w)))
+    count = lambda low: functools.reduce(operator.add, (F.contains(low, F.lit(w)).cast("int") for w in words))
+    return F.coalesce(_once(F.lower(text), count), F.lit(0))
 
 
 def topics(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    found = F.array_compact(F.array(*(F.when(_holds(low, words), F.lit(t)) for t, words in TOPIC_KEYWORDS.items())))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("general")))
+    flags = lambda low: F.array(*(F.when(_holds(low, words), F.lit(t)) for t, words in TOPIC_KEYWORDS.items()))
+    found = _once(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.array_compact(flags(low)))
+    return _once(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(F.lit("general"))))
 
 
 def relevance(topics_: Column, volume: Column, diversity: Column, tone: Column, place: Column, headline: Column) -> Column:
     weights = F.create_map(*(F.lit(x) for item in TOPIC_WEIGHTS.items() for x in item))
     best = F.array_max(F.transform(topics_, lambda t: F.coalesce(F.try_element_at(weights, t), F.lit(0.3))))
-    home = F.when(_holds(F.lower(F.concat_ws(" ", place, headline)), HOME_WORDS), 1.0).otherwise(0.55)
+    home = F.when(_once(F.lower(F.concat_ws(" ", place, headline)), lambda low: _holds(low, HOME_WORDS)), 1.0).otherwise(0.55)
     size = F.log1p(F.greatest(volume, F.lit(0.0))) / F.log1p(F.lit(1000.0))
     spread = F.log1p(F.greatest(diversity, F.lit(0.0))) / F.log1p(F.lit(100.0))
     return clip(0.35 * best + 0.25 * size + 0.20 * spread + 0.10 * F.least(F.abs(tone) / 10, F.lit(1.0)) + 0.10 * home)
@@ -179,8 +189,17 @@ def supplement(signals: DataFrame) -> DataFrame:
     return signals.select("ticker", there.alias("kevpe_available"), *(F.when(there, x).alias(f"kevpe_{c}") for c, x in shown.items()))
 
 
+def _between(ordered: np.ndarray, at: float) -> float:
+    """Value at a place between two of an ordered array, weighed as in Spark's percentile."""
+    lo, hi = int(np.floor(at)), int(np.ceil(at))
+    return ordered[lo] if lo == hi or ordered[lo] == ordered[hi] else (hi - at) * ordered[lo] + (at - lo) * ordered[hi]
+
+
 def bootstrap_interval(matches: DataFrame, draws: int = 200, seed: int = 7) -> DataFrame:
-    """Percentile interval of the weighted mean return by redrawing matches (group, ret, weight)."""
+    """Percentile interval of the weighted mean return by redrawing matches (group, ret, weight).
+
+    Redraws are made many at a time and summed up beside them; one row per group leaves the task.
+    """
     each = matches.filter(C("ret").isNotNull() & (C("weight") > 0)).groupBy("group").agg(F.array_sort(F.collect_list(F.struct(C("ret").cast("double").alias("ret"), C("weight").cast("double").alias("weight")))).alias("m"))
     rows = each.select("group", F.xxhash64("group", F.lit(seed)).alias("own"), C("m.ret").alias("ret"), C("m.weight").alias("weight"))
 
@@ -189,11 +208,16 @@ def bootstrap_interval(matches: DataFrame, draws: int = 200, seed: int = 7) -> D
             found = []
             for own, ret, weight in zip(b.column(1), b.column(2), b.column(3), strict=True):
                 x, hi = ret.values.to_numpy(), np.cumsum(weight.values.to_numpy())
-                rng = np.random.default_rng(own.as_py() % (1 << 64))
-                at = lambda: np.minimum(np.searchsorted(hi, rng.random(len(x)) * hi[-1], side="right"), len(x) - 1)  # noqa: E731, B023
-                found.append([float(x[at()].mean()) for _ in range(draws)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.float64()))], names=["group", "m"])
+                rng, step = np.random.default_rng(own.as_py() % (1 << 64)), max(1, DRAWN // len(x))
+                means = []
+                for first in range(0, draws, step):
+                    at = np.searchsorted(hi, rng.random((min(step, draws - first), len(x))) * hi[-1], side="right")
+                    means.append(x[np.minimum(at, len(x) - 1)].mean(axis=1))
+                m = np.concatenate(means)
+                total, m = np.cumsum(m)[-1], np.sort(m)  # in order, as Spark adds
+                found.append((total / draws, *(_between(m, p * (draws - 1)) for p in (0.025, 0.975))))
+            columns = np.array(found, np.float64).reshape(-1, 3).T
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, columns)], names=["group", "mean", "low", "high"])
 
     kind = matches.schema["group"].dataType.simpleString()
-    means = rows.mapInArrow(run, f"group {kind}, m array<double>").select("group", F.explode("m").alias("m"))
-    return means.groupBy("group").agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    return rows.mapInArrow(run, f"group {kind}, mean double, low double, high double")

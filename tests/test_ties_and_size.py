@@ -8,13 +8,15 @@ from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from barloom.llm.scratch import small_batches
 from barloom.llm.textkernel import blocks
-from barloom.operators import timejoins
+from barloom.operators import events, timejoins
 from barloom.plans import catalog, feature_sql
 
 
@@ -91,3 +93,24 @@ def test_texts_reach_workers_in_small_pieces(spark):
         assert {r["n"] for r in docs.mapInArrow(count, "n long").collect()} == {1000}
     assert spark.conf.get(name) == before
     assert max(len(data) for _, _, data, _ in blocks(pa.array(["x" * 1000] * 2000))) <= 1 << 18
+
+
+def test_bootstrap_leaves_one_row_per_group(spark):
+    m = spark.createDataFrame([(g, float(i % 7), 1.0 + i % 3) for g in (1, 2) for i in range(40 * g)], "group int, ret double, weight double")
+    out = events.bootstrap_interval(m, draws=400)
+    assert "Explode" not in plan_of(out) and "explode" not in plan_of(out)
+    # as drawn one at a time
+    for r in out.collect():
+        one = m.filter(F.col("group") == r["group"])
+        own = one.select(F.xxhash64("group", F.lit(7))).first()[0]
+        x, w = map(np.array, zip(*sorted((y["ret"], y["weight"]) for y in one.collect()), strict=True))
+        rng, hi = np.random.default_rng(own % (1 << 64)), np.cumsum(w)
+        means = [x[np.minimum(np.searchsorted(hi, rng.random(len(x)) * hi[-1], side="right"), len(x) - 1)].mean() for _ in range(400)]
+        assert (r["mean"], r["low"], r["high"]) == pytest.approx((np.mean(means), *np.quantile(means, (0.025, 0.975))), abs=1e-12)
+
+
+def test_topics_lower_each_text_once(spark):
+    texts = spark.createDataFrame([("A WAR and oil",), ("Nothing",), ("",), (None,)], "text string")
+    got = texts.select(events.topics(F.col("text")).alias("t"), events.hits(F.col("text"), ("war", "oil", "x")).alias("n"))
+    assert plan_of(texts.select(F.size(events.topics(F.col("text"))))).count("lower(") < len(events.TOPIC_KEYWORDS)
+    assert [(r["t"], r["n"]) for r in got.collect()] == [(["war_conflict", "oil_energy"], 2), (["general"], 0), (["general"], 0), (["general"], 0)]
